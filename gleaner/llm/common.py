@@ -98,3 +98,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def unit(x: np.ndarray) -> np.ndarray:
     """Hashes as uniform doubles in (0, 1)."""
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+# Polynomial hashing of byte spans: with sums[i] the sum of value(byte j) * BASE ** j over j < i, the span [a, b) has
+# the hash (sums[b] - sums[a]) * BASE ** -a, all modulo 2 ** 64. BASE is odd, so it has an inverse.
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    found = _powers.get(base)
+    if found is None or len(found) < n:
+        size = max(1 << 16, 1 << (n - 1).bit_length() if n > 1 else 1)
+        found = np.full(size, base, np.uint64)
+        found[0] = 1
+        found = np.cumprod(found, dtype=np.uint64)
+        if size <= 1 << 23:
+            _powers[base] = found
+    return found[:n]
+
+
+def span_sums(text: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(_VALUES[text] * _power(_BASE, len(text)), out=sums[1:])
+    return sums
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans' contents, their lengths included."""
+    inverse = _power(_INVERSE, len(sums))
+    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))

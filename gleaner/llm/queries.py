@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, mixing
+from . import chat, exact_dedup, langid, mixing, quality, token_files
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
@@ -22,12 +22,25 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+    return token_files.read_token_files(manifest)
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return chat.chat_digest(chat.format_chats(turns))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = langid.fold("doc_id", 3) == 1
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = langid.fold("doc_id", 4) == 2
@@ -38,7 +51,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op3_token_files": op3_token_files,
     "op8_chat_format": op8_chat_format,
+    "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
 }
 
