@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, mixing, quality, token_files
+from . import chat, embedding_dedup, exact_dedup, langid, minhash, mixing, quality, token_files
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
@@ -29,6 +29,14 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
@@ -52,6 +60,8 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op3_token_files": op3_token_files,
+    "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
