@@ -27,8 +27,8 @@ DIMENSIONS = 1024
 N = 3
 #: Most training documents that the prototypes are fitted on, about: a hash of doc_id picks that share.
 FIT_DOCUMENTS = 50_000
-#: A text whose best cosine is lower is rejected by the pipeline's stage.
-LEAST_SCORE = 0.05
+#: A text whose best cosine is not above this is rejected by the pipeline's stage.
+LEAST_SCORE = 0.0
 
 
 @lru_cache(1 << 16)
@@ -162,9 +162,9 @@ def fold(id_col: str, folds: int) -> F.Column:
 
 
 def keep_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs whose language is found with a cosine of `least` or more, with all their columns.
+    """The rows of docs whose language is found with a cosine above `least`, with all their columns.
 
     Ids have to be distinct. The rejected ids, few, are what the texts are joined with.
     """
-    out = predict(docs, prototypes).filter((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("doc_id").alias("_rejected")).distinct()
+    out = predict(docs, prototypes).filter((F.col("lang_pred") == "und") | (F.col("score") <= least)).select(F.col("doc_id").alias("_rejected")).distinct()
     return docs.join(out, docs["doc_id"].eqNullSafe(F.col("_rejected")), "left_anti")

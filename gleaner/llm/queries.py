@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, exact_dedup, langid, minhash, mixing, quality, token_files
+from . import chat, embedding_dedup, exact_dedup, langid, merge_dropout, minhash, mixing, quality, token_files
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
@@ -37,6 +37,14 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    decoded = merge_dropout.decode(merge_dropout.encode(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select("doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "lossless")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
@@ -62,6 +70,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_merge_dropout": op6_merge_dropout,
     "op8_chat_format": op8_chat_format,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
