@@ -257,6 +257,12 @@ class Encoder:
         return out
 
 
+@lru_cache(1)
+def worker_encoder(path: str, rate: float, seed: int) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path, rate, seed)
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, seed: int = SEED) -> DataFrame:
     """doc_id, ids (array of int), text_sha256 of every row of docs; each worker has to find the model at the path.
 
@@ -264,7 +270,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """
 
     def each(batches):
-        encoder = Encoder(model_path, rate, seed)
+        encoder = worker_encoder(model_path, rate, seed)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for a in range(0, len(ids), 512):

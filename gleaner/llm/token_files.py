@@ -180,7 +180,7 @@ class WordEncoder:
                 self.young[w] = self.old[w]
             else:
                 new.append(w)
-        encoded = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
         self.young.update((w, np.array(e.ids, self.type).tobytes()) for w, e in zip(new, encoded, strict=True))
 
     def encode(self, data: bytes, offsets: list[int], end: bytes, most: int = 1 << 22) -> list[bytes]:
@@ -198,6 +198,12 @@ class WordEncoder:
         return out
 
 
+@lru_cache(1)
+def worker_encoder(path: str, width: int) -> WordEncoder:
+    """One for all tasks of a worker."""
+    return WordEncoder(path, width)
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_size: int = SHARD_BYTES) -> DataFrame:
     """Writes the ids of every whole text in shard files and returns the manifest: shard, uri, n_docs, n_tokens, base.
 
@@ -217,7 +223,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     end = np.array([end_id], f"<u{width}").tobytes()
 
     def encode(batches):
-        encoder = WordEncoder(tokenizer_path, width)
+        encoder = worker_encoder(tokenizer_path, width)
         for batch in batches:
             keys = batch.column(0)
             data, offsets = utf8(batch.column(1))
