@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, exact_dedup, langid, merge_dropout, minhash, mixing, quality, token_files
+from . import chat, embedding_dedup, exact_dedup, langid, merge_dropout, minhash, mixing, quality, suffix_dedup, token_files
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
@@ -45,6 +45,10 @@ def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "lossless")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
@@ -71,6 +75,7 @@ QUERIES = {
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_merge_dropout": op6_merge_dropout,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
