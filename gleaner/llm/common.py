@@ -54,7 +54,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text, offsets - low
 
 
-def text_blocks(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) for runs of rows of about `most` bytes; a longer text comes alone."""
     text, offsets = utf8(column)
     row, n = 0, len(offsets) - 1

@@ -46,7 +46,7 @@ def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

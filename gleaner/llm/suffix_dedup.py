@@ -337,8 +337,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, group: int = GROUP) -
     return spans.unionByName(part)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP, keep_bytes: bool = True) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes; null unless keep_bytes).
 
     Texts are their UTF-8 bytes; null counts as empty. Repeats are judged on the input, within and across documents.
     Ids have to be distinct; the text of a row with a null id is never cut, but counts for others. Texts of fewer than length
@@ -352,7 +352,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             raw, at = data.tobytes(), offsets.tolist()
-            removed, runs, kept = [], [], []
+            removed, runs, kept, shas = [], [], [], []
             for a, b, cut in zip(at, at[1:], batch.column(2).to_pylist(), strict=False):
                 parts, done, gone, n = [], a, 0, 0
                 top = None
@@ -367,8 +367,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 parts.append(raw[a if top is None else top : b])
                 removed.append(gone)
                 runs.append(n)
-                kept.append(b"".join(parts))
-            shas = [hashlib.sha256(x).hexdigest() for x in kept]
+                left = b"".join(parts)
+                shas.append(hashlib.sha256(left).hexdigest())
+                kept.append(left if keep_bytes else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     joined = texts.join(listed.hint("shuffle_hash"), F.col("doc") == F.col("_doc"), "left").select("doc", "text", "cut")
