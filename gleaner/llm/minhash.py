@@ -11,7 +11,8 @@ similarity 0.8 shares a band with a probability of 0.999997. In the first round
 whole sets, against the bucket's smallest class only, so a bucket with a third of all classes costs as many
 comparisons as it has classes. Buckets that still hold different components after that go through a second round,
 in blocks of BLOCK classes against blocks: pairs of different components whose signatures agree in nearly enough
-coordinates are verified as well. So no link that shares a band is lost, and pairs within a component are not made.
+coordinates are verified as well, where they are found, and a task gives out one link for each two components that it
+joins. So no link between components that share a band is lost, and pairs within a component are not made.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, mix64, span_hashes, span_sums, text_blocks, unit, utf8, word_starts
-from .components import connected_components
+from .components import Forest, connected_components
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -169,50 +170,81 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(both >= threshold * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
 
 
-def _open_pairs(members: DataFrame, coordinates: int, threshold: float, block: int) -> DataFrame:
-    """Pairs of different components within a bucket, block against block, that the sketches can't tell to be unlike.
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sorted arrays without repeats."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
 
-    members: key, n (classes in the bucket), doc, component, sketch.
+
+def _second_links(members: DataFrame, coordinates: int, threshold: float, block: int) -> DataFrame:
+    """Links between different components within a bucket, at most one for each two components and two blocks.
+
+    members: key, n_main, n_other (classes of the bucket in its main component and in others), main, doc, component,
+    sketch, bands, set. Classes of the main component meet blocks of the others only, so a bucket that is nearly all one component costs
+    little. A pair is looked at in the first bucket that it shares; sketches exclude unlike ones, whole sets decide.
     """
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    mine = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    met = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "doc", "component", "sketch")
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
+    mine = members.withColumns({"mains": blocks("n_main"), "others": blocks("n_other")})
+    own = F.pmod(F.xxhash64("doc"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    at = lambda side, b: F.struct(F.lit(side).alias("s"), b.alias("b"))
+    met = lambda lo, hi, left: F.struct(lo.alias("lo"), hi.alias("hi"), left.alias("left"))
+    facing_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda b: met(at(0, b), at(1, F.col("own")), F.lit(False)))
+    facing_other = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda b: met(at(1, F.least(b, F.col("own"))), at(1, F.greatest(b, F.col("own"))), F.col("own") <= b))
+    as_main = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda b: met(at(0, F.col("own")), at(1, b), F.lit(True)))
+    meetings = F.when(F.col("main"), as_main).otherwise(F.concat(facing_main, facing_other))
+    rows = mine.withColumn("own", own).withColumn("m", F.explode(meetings)).select("key", "m.lo", "m.hi", "m.left", "doc", "component", "sketch", "bands", "set")
     least = threshold - DEVIATIONS * (threshold * (1 - threshold) / coordinates) ** 0.5
 
     def each(batches):
         held: list[tuple] = []
         at = None
 
-        def compare():
+        def compare() -> pa.RecordBatch | None:
             docs, parts = np.array([x[1] for x in held]), np.array([x[2] for x in held])
-            if len(docs) < 2 or (parts == parts[0]).all():
+            inner = at[1] == at[2]
+            side = np.array([x[0] for x in held])
+            left = np.arange(len(docs)) if inner else np.flatnonzero(side)
+            right = np.arange(len(docs)) if inner else np.flatnonzero(~side)
+            if not len(left) or not len(right) or (parts == parts[0]).all():
                 return None
-            mine = np.array([x[0] for x in held])
             sketch = np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(len(held), -1)
-            inner = at[1] == at[2]
-            left = np.arange(len(docs)) if inner else np.flatnonzero(mine == at[1])
-            right = np.arange(len(docs)) if inner else np.flatnonzero(mine == at[2])
-            out_a, out_b = [], []
-            for i in left:
+            bands = np.array([x[4] for x in held])
+            sets: dict[int, np.ndarray] = {}
+            forest, a, b = Forest(), [], []
+            for i in left.tolist():
                 agree = (sketch[i] == sketch[right]).mean(1)
-                ok = right[(agree >= least) & (parts[right] != parts[i]) & ((docs[right] > docs[i]) if inner else True)]
-                out_a += [docs[i]] * len(ok)
-                out_b += docs[ok].tolist()
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(out_a, out_b), pa.int64()), pa.array(np.maximum(out_a, out_b), pa.int64())], ["a", "b"]) if out_a else None
+                ok = (agree >= least) & (parts[right] != parts[i])
+                if inner:
+                    ok &= docs[right] > docs[i]
+                near = right[ok]
+                if len(near):
+                    same = bands[near] == bands[i]
+                    near = near[bands[i][same.argmax(1)] == at[0]]  # the first bucket that the two share is this one
+                for j in near.tolist():
+                    if forest.root(int(parts[i])) == forest.root(int(parts[j])):
+                        continue
+                    for k in (i, j):
+                        if k not in sets:
+                            sets[k] = np.array(held[k][5], np.int64)
+                    if _jaccard(sets[i], sets[j]) >= threshold - 1e-12:
+                        forest.join(int(parts[i]), int(parts[j]))
+                        a.append(min(docs[i], docs[j]))
+                        b.append(max(docs[i], docs[j]))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            for key, lo, hi, *row in zip(*columns, strict=True):
+            plain = [batch.column(i).to_pylist() for i in range(7)]
+            bands, sets = batch.column(7), batch.column(8)
+            for r, (key, lo, hi, *row) in enumerate(zip(*plain, strict=True)):
                 if (key, lo, hi) != at:
                     if (out := compare() if held else None) is not None:
                         yield out
                     at, held = (key, lo, hi), []
-                held.append(tuple(row))
+                held.append((*row, bands[r].values.to_numpy(), sets[r].values.to_numpy()))
         if (out := compare() if held else None) is not None:
             yield out
 
-    return met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(each, "a long, b long").distinct()
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(each, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -237,11 +269,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = members.filter("doc <> centre").select(F.col("doc").alias("a"), F.col("centre").alias("b")).distinct()
     links = materialize(_verified(stars, sets, threshold), "links")
     parts = connected_components(links)
-    named = materialize(members.select("key", "n", "doc").join(parts, F.col("doc") == F.col("node"), "left").select("key", "n", "doc", F.coalesce("component", "doc").alias("component")), "named")
-    unsettled = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    more = named.join(unsettled, "key", "left_semi").join(rows.select("doc", "sketch"), "doc")
-    pairs = materialize(_open_pairs(more, BANDS * ROWS, threshold, block), "pairs")
-    links = links.unionByName(materialize(_verified(pairs, sets, threshold), "links"))
+    named = materialize(members.select("key", "doc").join(parts, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("component")), "named")
+    counts = named.groupBy("key", "component").agg(F.count("*").alias("c"))
+    unsettled = counts.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.min_by("c", "component").alias("n_main"), (F.sum("c") - F.min_by("c", "component")).alias("n_other"))
+    unsettled = unsettled.filter("first <> last").select("key", "first", "n_main", "n_other")
+    more = named.join(unsettled, "key").withColumn("main", F.col("component") == F.col("first")).join(rows.select("doc", "sketch", "bands"), "doc").join(sets, "doc")
+    links = links.unionByName(materialize(_second_links(more, BANDS * ROWS, threshold, block), "links"))
     parts = materialize(connected_components(links), "parts")
     named = materialize(classes.join(parts, F.col("rep") == F.col("node"), "left").select("same", F.col("rep").alias("copy_id"), F.coalesce("component", "rep").alias("class_id")), "decided")
     return rows.select("doc", "same").join(named, "same", "left").select(
