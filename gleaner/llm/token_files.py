@@ -35,7 +35,12 @@ HEAD = "<8sQQQQQ"
 END_ID = 1
 SHARD_BYTES = 256 << 20
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+#: A word that is one token and stands between words that are encoded in one go.
+DELIMITER = "|"
+#: A word with one of these behind a letter is encoded without it.
+MARKS = ".,;:!?"
+LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 
 class PerfectHash:
@@ -164,12 +169,26 @@ def _tokenizer(path: str):
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer that drops [\\x20\\x09-\\x0D] and never joins across it: word by word, remembered."""
+    """Encodes texts with a tokenizer that drops [\\x20\\x09-\\x0D] and never joins across it: word by word, remembered.
+
+    Unseen words are encoded many at a time, with a delimiter between them where the ids are cut again; a
+    mark behind a letter is put to the ids of the word before it if the tokenizer splits it off. If the tokenizer folds
+    case, words that differ in ASCII case only are one.
+    """
 
     def __init__(self, path: str, width: int, remembered: int = REMEMBERED):
         self.tokenizer, self.type, self.remembered = _tokenizer(path), f"<u{width}", remembered
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.folds = '"type":"Lowercase"' in self.tokenizer.to_str()
+        ids = self.tokenizer.encode(DELIMITER, add_special_tokens=False).ids
+        self.delimiter = ids[0] if len(ids) == 1 else None
+        self.marks = {ord(m): self.packed(self.encoded([m])[0]) for m in MARKS if self.splits(m)}
+
+    def splits(self, mark: str) -> bool:
+        """Whether a mark behind a letter is a piece of its own."""
+        pieces = self.tokenizer.pre_tokenizer and [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(f"ab{mark}")]
+        return pieces == ["ab", mark]
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.young) > self.remembered:
@@ -180,12 +199,34 @@ class WordEncoder:
                 self.young[w] = self.old[w]
             else:
                 new.append(w)
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.young.update((w, np.array(e.ids, self.type).tobytes()) for w, e in zip(new, encoded, strict=True))
+        marked = [w for w in new if w[-1] in self.marks and len(w) > 1 and w[-2] in LETTERS and b"<" not in w]
+        new = [*set(new).difference(marked), *{w[:-1] for w in marked}.difference(self.young, new)]
+        alone = [w for w in new if self.delimiter is None or DELIMITER.encode() in w or b"<" in w]
+        self.young.update((w, self.packed(e)) for w, e in zip(alone, self.encoded([w.decode() for w in alone]), strict=True))
+        mark = f" {DELIMITER} "
+        rest = [w for w in new if w not in self.young]
+        blocks = [rest[a : a + 10_000] for a in range(0, len(rest), 10_000)]
+        for block, e in zip(blocks, self.encoded([mark.join(w.decode() for w in b) for b in blocks]), strict=True):
+            ids = np.array(e.ids, self.type)
+            cut = np.flatnonzero(ids == self.delimiter)
+            if len(cut) != len(block) - 1:
+                raise ValueError("the tokenizer joins words or splits them by their neighbours")
+            raw, size = ids.tobytes(), ids.itemsize
+            starts, ends = [0, *((cut + 1) * size).tolist()], [*(cut * size).tolist(), len(raw)]
+            self.young.update((w, raw[a:b]) for w, a, b in zip(block, starts, ends, strict=True))
+        self.young.update((w, self.young[w[:-1]] + self.marks[w[-1]]) for w in marked)
+
+    def encoded(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+
+    def packed(self, encoding) -> bytes:
+        return np.array(encoding.ids, self.type).tobytes()
 
     def encode(self, data: bytes, offsets: list[int], end: bytes, most: int = 1 << 22) -> list[bytes]:
         out: list[bytes] = []
         row = 0
+        if self.folds and b"<|" not in data:  # control strings are told apart by their case
+            data = data.lower()
         while row < len(offsets) - 1:
             docs, size = [], 0
             while row < len(offsets) - 1 and (not docs or size < most):
