@@ -1 +1,285 @@
-"""."""
+"""Admission, provenance, grading and approval plans.
+
+The driver's tables have no validations, rubrics or grades; plans derive them from existing columns by fixed rules, which
+the SQL repeats.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.functions import text as T
+from gleaner.operators import admission as A
+from gleaner.operators import grading as G
+from gleaner.operators import provenance as P
+
+from .registry import query, table
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their labels as tasks: doc_id, text, quality, toxic, status."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    joined = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    status = F.when(F.col("quality") == 1, "validated").when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 0, "approved").otherwise("draft")
+    return joined.withColumn("status", status)
+
+
+TASKS_SQL = """t AS (SELECT d.doc_id, text, source, quality, toxic, CASE WHEN quality = 1 THEN 'validated' WHEN toxic = 1 THEN 'rejected' WHEN quality = 0 THEN 'approved' ELSE 'draft' END AS status
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def every(n: int) -> Column:
+    return F.col("doc_id") % n == 0
+
+
+def some_if(condition: Column, value: str) -> Column:
+    return F.when(condition, F.array(F.lit(value))).otherwise(F.array().cast("array<string>"))
+
+
+def validation() -> Column:
+    """A validation whose parts fail for fixed shares of the tasks."""
+    match = lambda n: F.when(every(n), "mismatch").otherwise("match")
+    checks = F.create_map(*[x for i, k in enumerate(A.CRITIC_CHECKS) for x in (F.lit(k), (F.col("doc_id") % 97 != i))])
+    critic = F.struct(F.when(every(23), "fail").otherwise("pass").alias("status"), checks.alias("checks"), some_if(every(29), "wording").alias("issues"))
+    chemistry = F.struct(
+        F.when(every(5), "limited").otherwise("pass").alias("admission_effect"), some_if(every(31), "x").alias("blocking"), some_if(F.lit(False), "x").alias("indeterminate"), some_if(every(37), "x").alias("warnings"),
+        F.array(F.lit("chemistry.dilution")).alias("required"), some_if(~every(41), "chemistry.dilution").alias("passed"))
+    data = F.struct(F.when(every(43), "warn").otherwise("ok").alias("status"), some_if(every(43), "1.5").alias("unknown_numbers"), F.lit(None).cast("array<string>").alias("unknown_sources"))
+    lineage = F.struct(F.lit("ok").alias("status"), some_if(every(47), "x").alias("unbound"))
+    return F.struct(
+        F.when(every(7), "rejected").otherwise("validated").alias("verdict"), F.when(every(3), "text").otherwise("numeric").alias("answer_format"), F.when(every(3), "theory").otherwise("calculation").alias("task_kind"),
+        F.sha2("text", 256).alias("content_fingerprint"), F.lit(A.POLICY).alias("policy_version"), F.lit(True).alias("decision_capable"), match(11).alias("solver_status"), match(11).alias("solver_verdict"),
+        match(13).alias("verifier_status"), match(13).alias("verifier_verdict"), match(17).alias("cross_verdict"), match(19).alias("solution_verdict"), critic.alias("critic"), chemistry.alias("chemistry"),
+        data.alias("data"), lineage.alias("lineage"), some_if(every(53), "x").alias("sanity_issues"), every(59).alias("duplicate"), some_if(F.lit(False), "x").alias("reasons"))
+
+
+DECISION_SQL = """(doc_id % 97 > 6 AND doc_id % 7 <> 0 AND (doc_id % 5 <> 0 OR doc_id % 3 = 0) AND """ + " AND ".join(f"doc_id % {n} <> 0" for n in (11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59)) + " AND doc_id % 61 <> 0)"
+APPROVAL_SQL = "(doc_id % 4 <> 0 AND doc_id % 9 <> 0 AND doc_id % 6 <> 0 AND doc_id % 61 <> 0)"
+
+
+def approval() -> Column:
+    return F.struct(
+        F.lit("teacher_override").alias("basis"), F.when(every(4), 0).otherwise(1).alias("schema_version"), F.lit("someone").alias("reviewed_by"), F.when(every(9), "yesterday").otherwise("2026-01-02T03:04:05Z").alias("reviewed_at"),
+        F.sha2("text", 256).alias("content_fingerprint"), F.when(every(6), "short").otherwise("the statement was checked by hand").alias("reason"))
+
+
+def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fresh = ~every(61)
+    rows = tasks(spark, sf_dir).withColumn("v", validation()).withColumn("a", approval())
+    decision, manual = A.current_decision(F.col("v"), fresh), A.approved(F.col("a"), fresh)
+    return rows.withColumns({"decision": decision, "manual": manual}).withColumn("ready", A.export_ready(F.col("status"), F.col("status") == "approved", F.col("decision"), F.col("manual")))
+
+
+READY_SQL = f"(status = 'validated' AND {DECISION_SQL}) OR (status = 'approved' AND {APPROVAL_SQL})"
+
+
+@query(f"WITH {TASKS_SQL} SELECT doc_id, status, {DECISION_SQL} AS decision, {APPROVAL_SQL} AS manual, {READY_SQL} AS ready FROM t")
+def export_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decided(spark, sf_dir).select("doc_id", "status", "decision", "manual", "ready")
+
+
+@query(f"WITH {TASKS_SQL}, r AS (SELECT *, {READY_SQL} AS ready FROM t) SELECT doc_id, status = 'validated' AND ready AS auto_ready, status = 'approved' AND ready AS manual_ready, NOT ready AND status <> 'rejected' AS attention FROM r")
+def attention_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decided(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in A.partitions(F.col("status"), F.col("ready")).items()])
+
+
+@query(f"""WITH {TASKS_SQL}, r AS (SELECT *, {READY_SQL} AS ready FROM t) SELECT source, count(*) AS candidates, count(*) FILTER (ready) AS ready, count(*) FILTER (status = 'rejected') AS discarded, count(*) FILTER (ready) >= 5 AS complete FROM r GROUP BY 1""")
+def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.quality_summary(decided(spark, sf_dir).withColumn("requested", F.lit(5)), "source")
+
+
+@query("""SELECT CASE WHEN doc_id % 5 = 0 THEN 'duplicate' WHEN doc_id % 3 = 0 THEN 'data' WHEN doc_id % 2 = 0 THEN 'other' END AS class, count(*) AS n FROM documents GROUP BY 1""")
+def failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reasons = F.array_compact(F.array(F.when(every(3), "Unknown DATA in the statement"), F.when(every(5), "a duplicate"), F.when(every(2), "strange")))
+    found = A.failure_class(reasons, [("duplicate", "duplicate"), ("data", "data|source")])
+    return table(spark, sf_dir, "documents").groupBy(found.alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN length(trim(text, ' ')) < 30 THEN 'short_statement' END, CASE WHEN length(trim(coalesce(source, ''), ' ')) < 20 THEN 'short_solution' END, CASE WHEN length(trim(coalesce(lang, ''), ' ')) < 1 THEN 'no_answer' END,
+    CASE WHEN doc_id % 8 = 0 THEN 'empty' END, CASE WHEN doc_id % 8 = 1 THEN 'blank_name' END, CASE WHEN doc_id % 8 = 2 THEN 'repeated_name' END, CASE WHEN doc_id % 8 = 3 THEN 'bad_score' END, CASE WHEN doc_id % 8 = 4 THEN 'bad_max' END, CASE WHEN doc_id % 8 = 5 THEN 'sum_differs' END], lambda x: x IS NOT NULL), ',') AS issues FROM documents""")
+def sanity_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case = F.col("doc_id") % 8
+    one = lambda name, score: F.struct(name.alias("name"), score.alias("max_score"))
+    rubric = F.array(one(F.when(case == 1, "  ").otherwise("Setup"), F.lit(4.0)), one(F.when(case == 2, "SETUP ").otherwise("Result"), F.when(case == 3, float("nan")).when(case == 5, 7.0).otherwise(6.0)))
+    empty = F.array().cast("array<struct<name:string,max_score:double>>")
+    issues = A.sanity_issues(F.col("text"), F.col("source"), F.col("lang"), F.when(case == 0, empty).otherwise(rubric), F.when(case == 4, F.lit(-1.0)).otherwise(F.lit(10.0)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(issues, ",").alias("issues"))
+
+
+@query(f"""WITH {TASKS_SQL} SELECT doc_id, coalesce(quality = 1, false) AND coalesce(toxic = 0, false) AND doc_id % 5 <> 0 AS passed, concat_ws(',', CASE WHEN NOT coalesce(quality = 1, false) THEN 'solver' END, CASE WHEN NOT coalesce(toxic = 0, false) THEN 'critic' END, CASE WHEN doc_id % 5 = 0 THEN 'data' END) AS failed FROM t""")
+def verdict_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passed, failed = A.verdict([("solver", F.col("quality") == 1), ("critic", F.col("toxic") == 0), ("data", ~every(5))])
+    return tasks(spark, sf_dir).select("doc_id", passed.alias("passed"), F.array_join(failed, ",").alias("failed"))
+
+
+@query("""WITH c AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'match' WHEN 1 THEN 'incomplete' ELSE 'mismatch' END AS s, CASE doc_id % 5 WHEN 0 THEN 'match' WHEN 1 THEN 'mismatch' ELSE 'incomplete' END AS v, CASE doc_id % 2 WHEN 0 THEN 'match' ELSE 'incomplete' END AS x, doc_id % 7 = 0 AS wordy, doc_id % 11 <> 0 AS rules, doc_id % 13 = 0 AS dirty FROM documents)
+    SELECT doc_id, x = 'match' AND s = 'incomplete' AND v = 'incomplete' AND (wordy OR rules) AND NOT dirty AS semantic,
+    ((s = 'match' AND v = 'incomplete' AND NOT dirty) OR (v = 'match' AND s = 'incomplete' AND NOT dirty)) AND (wordy OR rules) AS solution_backed, s = 'match' AND v = 'match' AND x = 'incomplete' AND NOT dirty AND rules AS reference_anchored FROM c""")
+def entailment_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def comparison(verdict: Column) -> Column:
+        return F.struct(verdict.alias("verdict"), F.when(every(13), 1).otherwise(0).alias("n_missing"), F.lit(0).alias("n_unexpected"))
+
+    m3, m5, m2 = F.col("doc_id") % 3, F.col("doc_id") % 5, F.col("doc_id") % 2
+    s = comparison(F.when(m3 == 0, "match").when(m3 == 1, "incomplete").otherwise("mismatch"))
+    v = comparison(F.when(m5 == 0, "match").when(m5 == 1, "mismatch").otherwise("incomplete"))
+    x = comparison(F.when(m2 == 0, "match").otherwise("incomplete"))
+    ways = A.entailment(F.when(every(7), "text").otherwise("numeric"), s, v, x, ~every(11))
+    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in ways.items()])
+
+
+@query("""SELECT doc_id, doc_id % 2 = 0 AS numeric, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN 3 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS n_true, 'mismatch' AS previous, 'match' AS verdict FROM documents""")
+def critic_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = F.create_map(F.lit("answers_agree"), F.lit(False), F.lit("units_consistent"), every(5))
+    fixed = A.numeric_override(checks, F.when(every(2), "numeric").otherwise("text"), every(3))
+    report = A.promoted(F.struct(F.lit("mismatch").alias("verdict")), "semantic")
+    return table(spark, sf_dir, "documents").select("doc_id", every(2).alias("numeric"), F.size(F.filter(F.map_values(fixed), lambda x: x)).alias("n_true"), report["previous"].alias("previous"), report["verdict"].alias("verdict"))
+
+
+@query(f"""WITH {TASKS_SQL} SELECT doc_id, CASE WHEN hit THEN 'needs_review' ELSE status END AS status, CASE WHEN hit THEN 'sheet changed;old' ELSE 'old' END AS reasons, CASE WHEN NOT hit AND status = 'approved' THEN 'someone' END AS approval, CASE WHEN hit THEN sha256(text) END AS previous_fingerprint FROM (SELECT *, doc_id % 3 = 0 AND status IN ('validated', 'approved') AS hit FROM t)""")
+def invalidate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tasks(spark, sf_dir).withColumns({"reasons": F.array(F.lit("old")), "approval": F.when(F.col("status") == "approved", "someone"), "content_fingerprint": F.sha2("text", 256), "previous_fingerprint": F.lit(None).cast("string")})
+    return A.invalidate(rows, every(3), "sheet changed").select("doc_id", "status", F.array_join("reasons", ";").alias("reasons"), "approval", "previous_fingerprint")
+
+
+@query(f"""WITH {TASKS_SQL} SELECT source, count(*) FILTER (doc_id % 3 = 0 AND status IN ('validated', 'approved')) AS affected, count(*) FILTER (doc_id % 3 = 0 AND status = 'approved') AS approved FROM t GROUP BY 1""")
+def impact_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = every(3) & F.col("status").isin("validated", "approved")
+    return tasks(spark, sf_dir).groupBy("source").agg(F.count_if(hit).alias("affected"), F.count_if(hit & (F.col("status") == "approved")).alias("approved"))
+
+
+@query("""SELECT doc_id, sha256('{"answer":"' || coalesce(lang, '') || '","config":{"run_solver":true,"sheet_ids":["a","b"],"tolerance_pct":' || CASE WHEN doc_id % 2 = 0 THEN '2.5' ELSE '5' END || '},"max_score":' || n_chars || ',"rubric":["r"],"solution":"s","statement":"t"}') AS fingerprint FROM documents""")
+def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = A.normal_config(F.when(every(2), "2.5").otherwise("x"), F.array(F.lit("b"), F.lit("a"), F.lit("b")), F.lit(None).cast("boolean"))
+    print_ = A.content_fingerprint(F.lit("t"), F.lit("s"), T.text("lang"), F.array(F.lit("r")), F.col("n_chars"), config)
+    return table(spark, sf_dir, "documents").select("doc_id", print_.alias("fingerprint"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 3 = 0 THEN 'untrusted' WHEN doc_id % 5 = 0 THEN 'not_parsed' END END AS violation, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'quarantine' WHEN doc_id % 2 = 0 THEN 'student' ELSE 'teacher_only' END AS visibility FROM documents""")
+def source_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    visibility, authority = F.when(every(2), "student").otherwise("teacher_only"), F.when(every(3), "unverified").otherwise("reference")
+    return table(spark, sf_dir, "documents").select("doc_id", A.source_violation(visibility, authority, ~every(5)).alias("violation"), A.quarantined(visibility, authority).alias("visibility"))
+
+
+@query("""SELECT p_partkey, least(p_size * 3, p_size + 20) AS candidate_budget, CAST(ceil(p_size / 2.0) AS BIGINT) + 3 AS call_limit FROM part""")
+def refill_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", *[c.alias(n) for n, c in A.refill(F.col("p_size")).items()])
+
+
+@query("""SELECT doc_id, CASE WHEN trim(text, ' ') = '' OR doc_id % 7 = 0 THEN 'statement' WHEN doc_id % 5 = 0 THEN 'data_used' WHEN doc_id % 3 = 0 THEN 'facts' WHEN doc_id % 2 = 0 THEN 'block' END AS error, CASE WHEN doc_id % 3 = 0 THEN 10.0 ELSE 7.5 END AS max_score FROM documents""")
+def candidate_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = F.when(~every(3), F.create_map(F.lit("dilution"), F.lit("{}")))
+    error = A.candidate_error(F.when(~every(7), F.col("text")), F.when(~every(5), F.array(F.lit(1))), facts, F.when(every(2), "bet").otherwise("auto"))
+    item = F.struct(F.col("text").alias("statement"), F.col("lang").alias("answer"), F.when(every(3), "ten").otherwise("7.5").alias("max_score"), F.lit(None).cast("array<struct<name:string,max_score:double>>").alias("rubric"))
+    row = A.task_row(item, F.lit(None).cast("array<struct<name:string,max_score:double>>"))
+    return table(spark, sf_dir, "documents").select("doc_id", error.alias("error"), row["max_score"].alias("max_score"))
+
+
+NUMS = "list_filter(list_distinct(list_transform(regexp_extract_all({c}, '[0-9]+(\\.[0-9]+)?'), lambda x: x)), lambda x: NOT (regexp_full_match(x, '\\d+') AND CAST(x AS DOUBLE) < 1000) AND NOT (regexp_full_match(x, '\\d+\\.\\d') AND CAST(x AS DOUBLE) < 100))"
+
+
+@query(f"""WITH s AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, coalesce(text, '')) FILTER (role <> 'user') AS sheets, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, coalesce(text, '')) FILTER (role = 'user') AS statement FROM conversations GROUP BY 1),
+    n AS (SELECT conv_id, sheets, {NUMS.format(c="coalesce(statement, '')")} AS st, regexp_extract_all(coalesce(sheets, ''), '[0-9]+(\\.[0-9]+)?') AS sh FROM s),
+    u AS (SELECT conv_id, sheets, list_filter(st, lambda x: NOT list_contains(sh, x) AND len(list_filter(sh, lambda y: abs(CAST(x AS DOUBLE) - CAST(y AS DOUBLE)) <= 1e-6 * greatest(CAST(x AS DOUBLE), CAST(y AS DOUBLE)))) = 0) AS un FROM n)
+    SELECT conv_id, CASE WHEN trim(coalesce(sheets, ''), ' ') = '' THEN 'skipped' WHEN len(un) > 0 THEN 'warn' ELSE 'ok' END AS status, CASE WHEN trim(coalesce(sheets, ''), ' ') = '' THEN 0 ELSE least(20, len(un)) END AS n_unknown FROM u""")
+def legacy_data_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").withColumn("text", T.text("text"))
+    side = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("turn", "text")))), lambda x: x["text"]), "\n")
+    both = turns.groupBy("conv_id").agg(side(F.col("role") != "user").alias("sheets"), side(F.col("role") == "user").alias("statement"))
+    found = P.legacy_data_check(F.col("statement"), F.col("sheets"), plain=True)
+    return both.select("conv_id", found.alias("f")).select("conv_id", "f.status", F.size("f.unknown").cast("long").alias("n_unknown"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'invalid' WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN 'warn' ELSE 'ok' END AS status, CASE WHEN doc_id % 7 <> 0 AND doc_id % 3 = 0 THEN 1 ELSE 0 END AS n_numbers, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS n_sources FROM documents""")
+def data_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = F.when(every(7), F.array().cast("array<string>")).otherwise(F.array(F.when(every(3), "9,75").otherwise("8.31"), F.lit("298")))
+    used = F.array(F.struct(F.when(every(5), "Missing table").otherwise("Gas constants").alias("sheet_title"), values.alias("values")))
+    found = P.data_check(used, F.lit("### Gas constants (Справка)\nR = 8,31; T = 298 K"))
+    return table(spark, sf_dir, "documents").select("doc_id", found.alias("f")).select("doc_id", "f.status", F.size("f.unknown_numbers").alias("n_numbers"), F.size("f.unknown_sources").alias("n_sources"))
+
+
+@query("""SELECT doc_id AS task_id, CASE WHEN doc_id % 3 = 0 THEN 'skipped' WHEN doc_id % 5 = 0 THEN 'warn' WHEN doc_id % 4 = 3 AND doc_id % 2 = 1 THEN 'ok' WHEN doc_id % 4 = 2 AND doc_id % 7 = 0 THEN 'warn' ELSE 'ok' END AS status,
+    CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 5 = 0 OR (doc_id % 4 = 2 AND doc_id % 7 = 0) THEN CASE doc_id % 4 WHEN 1 THEN 'Gas  CONSTANTS' WHEN 2 THEN '### Gas constants' ELSE 'Gas constants' END ELSE '' END AS unbound FROM documents""")
+def lineage_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    case = F.col("doc_id") % 4
+    title = F.when(case == 1, "Gas  CONSTANTS").when(case == 2, "### Gas constants").otherwise("Gas constants")
+    used = F.when(~every(3), F.array(F.struct(title.alias("sheet_title"), F.array(F.lit("8.31")).alias("values"))))
+    context = F.when(every(7), "no heading").otherwise("text\n### Gas constants\nR = 8.31")
+    rows = docs.select(F.col("doc_id").alias("task_id"), used.alias("data_used"), context.alias("context"))
+    sheets = docs.select(F.col("doc_id").alias("task_id"), F.lit("Gas constants").alias("title"), F.lit("d1").alias("document"), (~every(5)).alias("document_exists"), F.lit("reference").alias("authority"))
+    return P.lineage_check(rows, sheets).select("task_id", "status", F.array_join("unbound", ";").alias("unbound"))
+
+
+GRADES_SQL = "g AS (SELECT l_orderkey AS run, l_linenumber AS role, 'c' || (l_suppkey % 2) AS criterion, l_quantity AS score, 50.0 AS max_score FROM lineitem)"
+
+
+def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as grades: the order is the run, the line the grader, the quantity the score out of 50."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("role"), F.concat(F.lit("c"), (F.col("l_suppkey") % 2).cast("string")).alias("criterion"), F.col("l_quantity").alias("score"), F.lit(50.0).alias("max_score"))
+
+
+@query(f"""WITH {GRADES_SQL} SELECT run, criterion, count(*) AS n, round(avg(score), 6) AS average, max(score) - min(score) AS spread, round((max(score) - min(score)) / min(max_score) * 100, 6) AS spread_pct, (max(score) - min(score)) / min(max_score) * 100 > 20 AS disagreement FROM g GROUP BY 1, 2""")
+def consensus_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = G.consensus_criteria(grades(spark, sf_dir))
+    return out.select("run", "criterion", "n", F.round("average", 6).alias("average"), "spread", F.round("spread_pct", 6).alias("spread_pct"), "disagreement")
+
+
+@query(f"""WITH {GRADES_SQL}, t AS (SELECT run, role, sum(score) AS t, sum(max_score) AS m FROM g GROUP BY 1, 2), r AS (SELECT run, count(*) AS n, min(m) AS max_score, avg(t) AS average, max(t) - min(t) AS spread FROM t GROUP BY 1),
+    c AS (SELECT run, count(*) FILTER (d) AS n_disagreements FROM (SELECT run, (max(score) - min(score)) / min(max_score) * 100 > 20 AS d FROM g GROUP BY run, criterion) GROUP BY 1)
+    SELECT run, n, round(average, 6) AS average, spread, round(spread / max_score * 100, 6) AS spread_pct, n_disagreements, spread / max_score * 100 > 20 OR n_disagreements > 0 AS needs_review FROM r JOIN c USING (run)""")
+def consensus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = G.consensus_totals(grades(spark, sf_dir))
+    return out.select("run", "n", F.round("average", 6).alias("average"), "spread", F.round("spread_pct", 6).alias("spread_pct"), "n_disagreements", "needs_review")
+
+
+@query(f"""WITH {GRADES_SQL}, r AS (SELECT run, role, count(*) > count(DISTINCT criterion) AS repeated, string_agg(criterion, ',' ORDER BY criterion) AS names, sum(max_score) AS m FROM g GROUP BY 1, 2)
+    SELECT run, count(*) AS n, CASE WHEN count(*) < 2 THEN 'too_few' WHEN bool_or(repeated) THEN 'repeated_role' WHEN count(DISTINCT names) > 1 THEN 'criteria_differ' WHEN max(m) - min(m) > 1e-6 THEN 'maxima_differ' ELSE 'ok' END AS state FROM r GROUP BY 1""")
+def consensus_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.consensus_guards(grades(spark, sf_dir))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'reason_missing' WHEN o_orderkey % 7 = 0 THEN 'confidence_range' WHEN o_orderkey % 5 = 0 THEN 'criteria_missing' WHEN o_orderkey % 3 = 0 THEN 'score_range' WHEN o_orderkey % 2 = 0 THEN 'total_differs' END AS violation, o_orderkey % 11 = 0 OR o_orderkey % 4 = 0 AS needs_review FROM orders""")
+def rubric_sum_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda n: F.col("o_orderkey") % n == 0
+    rubric = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(m).alias("max_score")) for n, m in (("Setup", 4.0), ("Result", 6.0))])
+    scored = lambda n, s, m: F.struct(n.alias("name"), s.alias("score"), F.lit(m).alias("max_score"))
+    criteria = F.array(scored(F.lit("Setup"), F.when(at(3), 5.0).otherwise(3.0), 4.0), scored(F.when(at(5), "Other").otherwise(" Result "), F.lit(6.0), 6.0))
+    total = F.when(at(3), 11.0).otherwise(9.0) + F.when(at(2), 0.5).otherwise(0.0)
+    output = F.struct(at(11).alias("unreadable"), F.lit("").alias("unreadable_reason"), total.alias("total_score"), F.lit(10.0).alias("max_score"), criteria.alias("criteria"), F.when(at(7), 1.5).otherwise(0.9).alias("confidence"), at(4).alias("needs_review"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", output.alias("o"), rubric.alias("r"))
+    return rows.select("o_orderkey", G.contract_violation(F.col("o"), F.col("r"), F.lit(10.0)).alias("violation"), G.needs_review(F.col("o")).alias("needs_review"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'unknown_type' WHEN p_partkey % 11 = 0 THEN 'step_after_consensus' WHEN p_partkey % 7 = 0 THEN 'ocr_not_first' WHEN p_partkey % 5 = 0 THEN 'model_missing' WHEN p_partkey % 3 = 0 THEN 'temperature_range' WHEN p_partkey % 2 = 0 THEN 'repeated_role' END AS violation FROM part""")
+def pipeline_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda n: F.col("p_partkey") % n == 0
+    null = F.lit(None).cast("string")
+    step = lambda kind, model=null, role=null, temperature=F.lit(0.5), threshold=F.lit(20.0): F.struct(kind.alias("type"), model.alias("model"), role.alias("role"), temperature.alias("temperature"), threshold.alias("threshold"))
+    grade = step(F.lit("grade"), F.when(~at(5), "m1"), F.when(at(2), "primary"), F.when(at(3), 3.0).otherwise(0.5))
+    first = step(F.when(at(13), "magic").when(at(7), "grade").otherwise("ocr"), F.lit("m0"), F.lit("zero"))
+    last = step(F.when(at(7), "ocr").otherwise("consensus"))
+    steps = F.array(first, grade, step(F.lit("grade"), F.lit("m2"), F.when(at(2), "PRIMARY ")), last)
+    extended = F.when(at(11), F.concat(steps, F.array(step(F.lit("grade"), F.lit("m3"), F.lit("late"))))).otherwise(steps)
+    # with 7 and 11 an earlier rule speaks: there is no consensus step then
+    rows = table(spark, sf_dir, "part").select("p_partkey", extended.alias("s"))
+    return rows.select("p_partkey", F.when(at(77) & ~at(13), "step_after_consensus").otherwise(G.pipeline_violation(F.col("s"))).alias("violation"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'task_text' WHEN o_orderkey % 5 = 0 THEN 'rubric' WHEN o_orderkey % 3 = 0 THEN 'files' WHEN o_orderkey % 2 = 0 THEN 'model' END AS missing FROM orders""")
+def run_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda n: F.col("o_orderkey") % n == 0
+    run = F.struct(
+        F.when(at(7), " ").otherwise("task").alias("task_text"), F.when(at(5), F.array().cast("array<string>")).otherwise(F.array(F.lit("c"))).alias("rubric"), F.lit(True).alias("needs_ocr"),
+        F.when(at(3), 0).otherwise(2).alias("n_files"), F.lit("").alias("ocr_text"), F.when(at(2), 1).otherwise(2).alias("n_models"), F.lit(2).alias("n_graders"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", G.preflight(run).alias("missing"))
+
+
+@query("""SELECT o_orderkey, o_orderkey % 2 = 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 5 <> 0) AS substantive, CASE o_orderkey % 4 WHEN 0 THEN 'Primary grader' WHEN 1 THEN 'Grader 3' WHEN 2 THEN 'Second grader' ELSE 'custom' END AS label FROM orders""")
+def substantive_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda n: F.col("o_orderkey") % n == 0
+    reasons = F.when(at(5), F.array(F.lit("low Confidence of the model"))).otherwise(F.array(F.lit("low confidence"), F.lit("sums differ")))
+    case = F.col("o_orderkey") % 4
+    role = F.when(case == 0, "primary").when(case == 1, "grader_3").when(case == 2, "skeptic").otherwise("custom")
+    return table(spark, sf_dir, "orders").select("o_orderkey", G.substantive(at(2), at(3), reasons).alias("substantive"), T.role_label(role).alias("label"))
