@@ -32,7 +32,7 @@ SEED = 6
 VARIANTS = 4
 #: Characters up to which segments are encoded in batches.
 SHORT = 48
-#: Segments whose ids a worker remembers, in each of two generations.
+#: Segments whose ids a worker remembers.
 REMEMBERED = 300_000
 MARK = "▁"
 
@@ -40,6 +40,25 @@ _SEGMENT = re.compile(r" *[^ \n]+|\n| +")
 _OTHER = 1 << 21  # symbols from here on are characters without a piece
 
 
+_SLOTS = 1 << 20
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
+def _placed(keys: np.ndarray, merges: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The merges in a hash table of _SLOTS places, the next free place on a collision."""
+    if len(keys) > _SLOTS // 2:
+        raise ValueError("the vocabulary has too many merges")
+    table, merged = np.full(_SLOTS, -1, np.int64), np.full(_SLOTS, -1, np.int32)
+    for key, at in zip(keys.tolist(), _slot(keys).tolist(), strict=True):
+        while table[at] >= 0:
+            at = (at + 1) & (_SLOTS - 1)
+        table[at], merged[at] = key, merges[key]
+    return table, merged
+
+
 class Vocabulary:
     """Pieces of a SentencePiece BPE model with byte fallback, and the table of its merges."""
 
@@ -71,8 +90,7 @@ class Vocabulary:
                 left, right = symbol(piece[:cut]), symbol(piece[cut:])
                 if left is not None and right is not None:
                     merges[left << 22 | right] = i
-        self.keys = np.array(sorted(merges), np.int64)
-        self.merged = np.array([merges[k] for k in self.keys.tolist()], np.int64)
+        self.table, self.merged = _placed(np.array(sorted(merges), np.int64), merges)
         self.merges = merges
         self.score = np.array([model.get_score(i) for i in range(n)])
         self.raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
@@ -80,8 +98,18 @@ class Vocabulary:
     def merge(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece of each pair, or -1."""
         wanted = left << 22 | right
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return np.where(self.keys[at] == wanted, self.merged[at], -1)
+        at = _slot(wanted)
+        out = np.where(self.table[at] == wanted, self.merged[at], -1)
+        ask = np.flatnonzero((out < 0) & (self.table[at] >= 0))
+        at = at[ask]
+        while len(ask):
+            at = (at + 1) & (_SLOTS - 1)
+            here = self.table[at]
+            hit = here == wanted[ask]
+            out[ask[hit]] = self.merged[at[hit]]
+            on = ~hit & (here >= 0)
+            ask, at = ask[on], at[on]
+        return out
 
     def spell(self, symbols) -> list[int]:
         out: list[int] = []
@@ -204,57 +232,82 @@ def encode_short(v: Vocabulary, codes: np.ndarray, sizes: np.ndarray, keys: np.n
 
 
 class Encoder:
-    """Encodes documents; remembers the ids of segments, for each variant."""
+    """Encodes documents. Segments are numbered as they come; the ids of each segment and variant that was asked for are kept in
+    one array, until more than `remembered` segments are known."""
 
     def __init__(self, path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, remembered: int = REMEMBERED):
         self.v, self.rate, self.seed, self.variants, self.remembered = vocabulary(path), rate, seed, variants if rate > 0 else 1, remembered
-        self.young: dict[tuple[int, str], bytes] = {}
-        self.old: dict[tuple[int, str], bytes] = {}
-
-    def learn(self, wanted: set[tuple[int, str]]) -> None:
-        if len(self.young) > self.remembered:
-            self.old, self.young = self.young, {}
-        new = []
-        for w in wanted.difference(self.young):
-            if w in self.old:
-                self.young[w] = self.old[w]
-            else:
-                new.append(w)
-        short, long = [w for w in new if len(w[1]) <= SHORT], [w for w in new if len(w[1]) > SHORT]
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.segments: list[str] = []
+        self.start, self.count = np.full(0, -1, np.int64), np.zeros(0, np.int32)
+        self.store, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def keep(self, places: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+        self.store[self.used : self.used + len(ids)] = ids
+        self.start[places], self.count[places] = self.used + np.cumsum(counts) - counts, counts
+        self.used += len(ids)
+
+    def learn(self, places: np.ndarray) -> None:
+        """places: number * variants + variant of pairs that are not known yet."""
+        numbers, variants = places // self.variants, places % self.variants
+        wanted = [self.segments[i] for i in numbers.tolist()]
+        sizes = np.fromiter(map(len, wanted), np.int64, len(wanted))
+        short = np.flatnonzero(sizes <= SHORT)
         for a in range(0, len(short), 20_000):
             part = short[a : a + 20_000]
-            codes, sizes, keys = self.keyed(part)
-            ids, counts = encode_short(self.v, codes, sizes, keys, self.rate)
-            raw, ends = ids.astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
-            self.young.update((w, raw[i:j]) for w, i, j in zip(part, [0, *ends], ends, strict=False))
-        for w in long:
-            self.young[w] = np.array(encode_long(self.v, w[1], int(self.keyed([w])[2][0]), self.rate), "<u4").tobytes()
-
-    def keyed(self, part: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        segments = [s for _, s in part]
-        codes, sizes = codes_of(segments), np.fromiter(map(len, segments), np.int64, len(segments))
-        return codes, sizes, segment_keys(codes, sizes, np.fromiter((k for k, _ in part), np.int64, len(part)), self.seed)
-
-    def encode(self, texts: list[str], keys: list[int | None], most: int = 1 << 20) -> list[bytes]:
-        """The ids of each text as little-endian uint32. keys: ids of the documents, which pick the variants."""
-        out: list[bytes] = []
+            codes = codes_of([wanted[i] for i in part.tolist()])
+            keys = segment_keys(codes, sizes[part], variants[part], self.seed)
+            self.keep(places[part], *encode_short(self.v, codes, sizes[part], keys, self.rate))
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            key = segment_keys(codes_of([wanted[i]]), sizes[i : i + 1], variants[i : i + 1], self.seed)
+            ids = np.array(encode_long(self.v, wanted[i], int(key[0]), self.rate), np.uint32)
+            self.keep(places[i : i + 1], ids, np.array([len(ids)]))
+
+    def known(self, segments: list[str], pick: np.ndarray) -> np.ndarray:
+        """The place of each segment in its variant."""
+        if len(self.number) > self.remembered:
+            self.forget()
+        new = set(segments).difference(self.number)
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.segments += new
+        grown = len(self.number) * self.variants - len(self.start)
+        self.start, self.count = np.r_[self.start, np.full(grown, -1)], np.r_[self.count, np.zeros(grown, np.int32)]
+        places = np.fromiter(map(self.number.__getitem__, segments), np.int64, len(segments)) * self.variants + pick
+        missing = np.unique(places[self.start[places] < 0])
+        if len(missing):
+            self.learn(missing)
+        return places
+
+    def encode(self, texts: list[str], keys: list[int | None], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (uint32) one after another, and the number of ids of each text. keys: ids of the documents, which pick the variants."""
+        ids, counts = [], []
         row = 0
         while row < len(texts):
-            docs, size = [], 0
-            while row < len(texts) and (not docs or size < most):
-                segments = _SEGMENT.findall(" " + texts[row]) if texts[row] else []
-                if self.variants > 1:
-                    own = mix64(np.array([(keys[row] or 0) & (2**64 - 1)], np.uint64) + np.uint64(self.seed))
-                    pick = (mix64(np.arange(1, len(segments) + 1, dtype=np.uint64) + own) % np.uint64(self.variants)).tolist()
-                else:
-                    pick = [0] * len(segments)
-                docs.append(list(zip(pick, segments, strict=True)))
+            segments: list[str] = []
+            sizes: list[int] = []
+            first, size = row, 0
+            while row < len(texts) and (row == first or size < most):
+                found = _SEGMENT.findall(" " + texts[row]) if texts[row] else []
+                segments += found
+                sizes.append(len(found))
                 size += len(texts[row])
                 row += 1
-            self.learn(set().union(*docs))
-            known = self.young.__getitem__
-            out += [b"".join(map(known, doc)) for doc in docs]
-        return out
+            n = np.array(sizes, np.int64)
+            place = np.arange(len(segments)) - np.repeat(np.cumsum(n) - n, n)
+            own = mix64(np.array([(k or 0) & (2**64 - 1) for k in keys[first:row]], np.uint64) + np.uint64(self.seed))
+            pick = (mix64((place + 1).astype(np.uint64) + np.repeat(own, n)) % np.uint64(self.variants)).astype(np.int64)
+            at = self.known(segments, pick)
+            each = self.count[at].astype(np.int64)
+            ends = np.cumsum(each)
+            ids.append(self.store[np.repeat(self.start[at] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)])
+            upto = np.r_[0, ends][np.r_[0, np.cumsum(n)]]
+            counts.append(np.diff(upto))
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate(counts) if counts else np.zeros(0, np.int64)
 
 
 @lru_cache(1)
@@ -275,10 +328,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             ids = batch.column(0).to_pylist()
             for a in range(0, len(ids), 512):
                 texts = [x or "" for x in batch.column(1).slice(a, 512).to_pylist()]
-                found = encoder.encode(texts, ids[a : a + 512])
-                ends = np.zeros(len(found) + 1, np.int32)
-                np.cumsum([len(x) // 4 for x in found], out=ends[1:])
-                lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32)))
+                found, counts = encoder.encode(texts, ids[a : a + 512])
+                lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), pa.array(found.view(np.int32)))
                 shas = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 512], pa.int64()), lists, pa.array(shas)], ["doc_id", "ids", "text_sha256"])
 
