@@ -32,8 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, ids_crc32, decoded_sha256, lossless."""
-    path = str(public_tokenizers.path("piece_bpe_32k.model"))
-    return merge_dropout.decode(merge_dropout.encode(docs, path), path).drop("text")
+    return merge_dropout.round_trip(docs, str(public_tokenizers.path("piece_bpe_32k.model")))
 
 
 STAGES = [

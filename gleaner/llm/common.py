@@ -64,6 +64,13 @@ def text_blocks(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, in
         row = end
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, for work that holds much more than a row per row."""
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield batch.slice(a, rows)
+
+
 def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many flags are set in each text; a text may be empty."""
     total = np.zeros(len(flags) + 1, np.int64)

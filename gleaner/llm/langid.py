@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, slices
 
 DIMENSIONS = 1024
 N = 3
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
     def each(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             vectors = directions(bundles(batch.column(1).to_pylist()))
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
             for lang in set(langs):
@@ -142,7 +142,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     matrix = np.stack([prototypes[k] for k in names]).astype(np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)
 
     def each(batches):
-        for batch in batches:
+        for batch in slices(batches):
             vectors = directions(bundles([x or "" for x in batch.column(1).to_pylist()]))
             if names:
                 cosines = vectors @ matrix.T

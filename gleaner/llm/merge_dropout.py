@@ -321,19 +321,46 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     Null text counts as empty and has no ids. A null id picks the variants of id 0. Other columns are ignored.
     """
+    return _encoded(docs, model_path, id_col, text_col, rate, seed, check=False)
 
+
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, seed: int = SEED) -> DataFrame:
+    """doc_id, ids, n_tokens, ids_crc32, decoded_sha256, lossless: encode() and decode() in one pass over the texts.
+
+    The ids of each document are decoded again and the digest of the outcome is compared with that of the text. Nulls as in encode().
+    """
+    return _encoded(docs, model_path, id_col, text_col, rate, seed, check=True)
+
+
+def _encoded(docs: DataFrame, model_path: str, id_col: str, text_col: str, rate: float, seed: int, check: bool) -> DataFrame:
     def each(batches):
         encoder = worker_encoder(model_path, rate, seed)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for a in range(0, len(ids), 512):
+            for a in range(0, len(batch), 512):
+                keys = batch.column(0).slice(a, 512)
                 texts = [x or "" for x in batch.column(1).slice(a, 512).to_pylist()]
-                found, counts = encoder.encode(texts, ids[a : a + 512])
+                found, counts = encoder.encode(texts, keys.to_pylist())
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), pa.array(found.view(np.int32)))
                 shas = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 512], pa.int64()), lists, pa.array(shas)], ["doc_id", "ids", "text_sha256"])
+                if check:
+                    _, crc, decoded = _decoded(encoder.v, lists)
+                    same = [x == y for x, y in zip(decoded, shas, strict=True)]
+                    yield pa.RecordBatch.from_arrays([keys, lists, pa.array(counts), pa.array(crc, pa.int64()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
+                else:
+                    yield pa.RecordBatch.from_arrays([keys, lists, pa.array(shas, pa.string())], ["doc_id", "ids", "text_sha256"])
+
+    schema = "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean" if check else "doc_id long, ids array<int>, text_sha256 string"
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(each, schema)
+
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(each, "doc_id long, ids array<int>, text_sha256 string")
+def _decoded(v: Vocabulary, lists: pa.Array) -> tuple[list[bytes], list[int], list[str]]:
+    """The UTF-8 text, the crc32 of the ids as little-endian uint32, and the SHA-256 of the text, of each list; null is empty."""
+    texts, crc = [], []
+    for x in lists:
+        ids = x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int32)
+        texts.append(v.decode(ids.tolist()))
+        crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
+    return texts, crc, [hashlib.sha256(t).hexdigest() for t in texts]
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -342,16 +369,12 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     def each(batches):
         v = vocabulary(model_path)
         for batch in batches:
-            texts, crc, shas = [], [], []
-            for x in batch.column(1):
-                ids = x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int32)
-                raw = v.decode(ids.tolist())
-                texts.append(raw.decode("utf-8", "replace"))
-                shas.append(hashlib.sha256(raw).hexdigest())
-                crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-            sizes = pa.array(np.array([len(x) if x.is_valid else 0 for x in batch.column(1)], np.int64))
-            same = [a == b for a, b in zip(shas, batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes, pa.array(crc, pa.int64()), pa.array(shas, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "ids", "text", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
+            for a in range(0, len(batch), 512):
+                keys, lists, shas = (batch.column(k).slice(a, 512) for k in range(3))
+                texts, crc, decoded = _decoded(v, lists)
+                sizes = [len(x) if x.is_valid else 0 for x in lists]
+                same = [x == y for x, y in zip(decoded, shas.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([keys, lists, pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "ids", "text", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
 
     schema = "doc_id long, ids array<int>, text string, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean"
     return encoded.select("doc_id", "ids", "text_sha256").mapInArrow(each, schema)

@@ -41,8 +41,7 @@ def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = str(public_tokenizers.path("piece_bpe_32k.model"))
-    decoded = merge_dropout.decode(merge_dropout.encode(table(spark, sf_dir, "documents"), path), path)
-    return decoded.select("doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "lossless")
+    return merge_dropout.round_trip(table(spark, sf_dir, "documents"), path).drop("ids")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
