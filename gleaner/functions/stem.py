@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 VOWELS = "аеиоуыэюя"
 
 # The ending classes of the algorithm. A `*` class needs а or я before it.
@@ -38,23 +40,33 @@ R2 = f"^[^{VOWELS}]*[{VOWELS}]+[^{VOWELS}]+[{VOWELS}]+[^{VOWELS}]"
 
 def stem_ru(word: Column) -> Column:
     """The stem of a word in lower case; words without a Russian vowel stay as they are."""
-    word = F.regexp_replace(word, "ё", "е")
-    head = F.regexp_extract(word, f"^[^{VOWELS}]*[{VOWELS}]", 0)
-    rv = F.substr(word, F.length(head) + 1, F.length(word))
     step = lambda c, s: F.regexp_replace(c, *s)
-    plain = step(rv, REFLEXIVE_STEP)
-    adjective = step(plain, ADJECTIVE_STEP)
-    endings = F.when(adjective != plain, step(adjective, PARTICIPLE_STEP)).otherwise(F.when(step(plain, VERB_STEP) != plain, step(plain, VERB_STEP)).otherwise(step(plain, NOUN_STEP)))
-    one = F.when(step(rv, GERUND_STEP) != rv, step(rv, GERUND_STEP)).otherwise(endings)
-    two = F.regexp_replace(F.concat(head, one), "(?<=.)и$", "")
-    two = F.when(F.length(two) < F.length(head), head).otherwise(two)
-    start = F.length(F.regexp_extract(word, R2, 0))
-    derived = F.regexp_extract(two, f"(?:{DERIVED})$", 0)
-    three = F.when((derived != "") & (start > 0) & (F.length(two) - F.length(derived) >= start), F.substr(two, F.lit(1), F.length(two) - F.length(derived))).otherwise(two)
-    tail = F.substr(three, F.length(head) + 1, F.length(three))
-    superlative = F.regexp_replace(tail, f"(?:{SUPERLATIVE})$", "")
-    four = F.when(tail.rlike("нн$"), F.regexp_replace(tail, "н$", "")).when(superlative != tail, F.regexp_replace(superlative, "нн$", "н")).otherwise(F.regexp_replace(tail, "ь$", ""))
-    return F.when(head == "", word).otherwise(F.concat(head, four))
+
+    def inflection(rv: Column) -> Column:
+        """RV without its gerund ending, or without what an adjective, verb or noun ends in."""
+        other = let(step(rv, REFLEXIVE_STEP), lambda plain: let(step(plain, ADJECTIVE_STEP), lambda adjective: F.when(adjective != plain, step(adjective, PARTICIPLE_STEP)).otherwise(
+            let(step(plain, VERB_STEP), lambda verb: F.when(verb != plain, verb).otherwise(step(plain, NOUN_STEP))))))
+        return let(step(rv, GERUND_STEP), lambda gerund: F.when(gerund != rv, gerund).otherwise(other))
+
+    def derivation(w: Column, two: Column) -> Column:
+        """two without a derivational ending that lies in R2 of the word."""
+        ending = F.regexp_extract(two, f"(?:{DERIVED})$", 0)
+        start = F.length(F.regexp_extract(w, R2, 0))
+        return let(F.struct(ending.alias("e"), start.alias("s")), lambda x: F.when((x["e"] != "") & (x["s"] > 0) & (F.length(two) - F.length(x["e"]) >= x["s"]), F.substr(two, F.lit(1), F.length(two) - F.length(x["e"]))).otherwise(two))
+
+    def finish(tail: Column) -> Column:
+        """Without a superlative ending, a doubled н or a soft sign."""
+        return let(F.regexp_replace(tail, f"(?:{SUPERLATIVE})$", ""), lambda s: F.when(tail.endswith("нн"), F.regexp_replace(tail, "н$", "")).when(s != tail, F.regexp_replace(s, "нн$", "н")).otherwise(F.regexp_replace(tail, "ь$", "")))
+
+    def whole(x: Column) -> Column:
+        head, w = x["head"], x["w"]
+        rv = F.substr(w, F.length(head) + 1, F.length(w))
+        two = F.concat(head, F.regexp_replace(let(rv, inflection), "и$", ""))
+        tail = let(two, lambda t: let(derivation(w, t), lambda d: F.substr(d, F.length(head) + 1, F.length(d))))
+        return F.when(head == "", w).otherwise(F.concat(head, let(tail, finish)))
+
+    clean = F.regexp_replace(word, "ё", "е")
+    return let(F.struct(clean.alias("w"), F.regexp_extract(clean, f"^[^{VOWELS}]*[{VOWELS}]", 0).alias("head")), whole)
 
 
 def stems(tokens: Column) -> Column:

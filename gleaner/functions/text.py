@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,6 +29,11 @@ def text(c: Column | str) -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often the body uses it: inside of lambdas nothing else shares it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(c: Column | str) -> Column:
     """The word tokens of a text in lower case, in order."""
     return F.regexp_extract_all(F.lower(text(c)), F.lit(WORD), F.lit(0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .numbers import normalize
-from .text import text
+from .text import let, text
 
 # Dimension, symbol, factor to SI, spellings in lower case (latin and Russian). Temperatures in degrees have
 # an offset of their own.
@@ -144,9 +144,12 @@ def join_units(df: DataFrame, c: Column) -> DataFrame:
 
 def measure(value: Column, unit_text: Column) -> Column:
     """value, unit, dimension, si of a number and a unit's spelling; null if the unit is unknown or the number not finite."""
-    u = unit(unit_text)
-    good = u.isNotNull() & value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
-    return F.when(good, F.struct(value.alias("value"), u["symbol"].alias("unit"), u["dimension"].alias("dimension"), (value * u["factor"] + u["offset"]).alias("si")))
+    def found(v: Column) -> Column:
+        u, x = v["u"], v["x"]
+        good = u.isNotNull() & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+        return F.when(good, F.struct(x.alias("value"), u["symbol"].alias("unit"), u["dimension"].alias("dimension"), (x * u["factor"] + u["offset"]).alias("si")))
+
+    return let(F.struct(unit(unit_text).alias("u"), value.alias("x")), found)
 
 
 def parse_measurement(c: Column) -> Column:
@@ -156,8 +159,7 @@ def parse_measurement(c: Column) -> Column:
 
 
 def in_unit(si: Column, unit_text: Column) -> Column:
-    u = unit(unit_text)
-    return (si - u["offset"]) / u["factor"]
+    return let(unit(unit_text), lambda u: (si - u["offset"]) / u["factor"])
 
 
 def close_si(a: Column, b: Column, relative: float = 0.01) -> Column:
@@ -183,15 +185,19 @@ def unit_pattern() -> str:
     return "(?:" + "|".join(sorted(spellings, key=lambda s: (-len(s), s))) + r")(?![\p{L}\p{N}])(?!\s*[/·×*^])"
 
 
+#: What may be a unit behind a number: a run without blanks that is looked up as a whole, so an unknown compound has no unit.
+UNIT_TOKEN = r"[%°\p{L}][\p{L}\p{N}²³⁻¹°/·*×^-]*(?:\([^()\s]*\))?"
+
+
 def measurements(c: Column | str) -> Column:
     """All measurements of a text, in order: numbers followed by a known unit."""
-    found = F.regexp_extract_all(normalize(c), F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_.,^]){NUMBER}\s*{unit_pattern()}"), F.lit(0))
+    found = F.regexp_extract_all(normalize(c), F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_.,^]){NUMBER}\s*{UNIT_TOKEN}"), F.lit(0))
     return F.filter(F.transform(found, parse_measurement), lambda m: m.isNotNull())
 
 
 def assigned_measurements(c: Column | str) -> Column:
     """label, measurement of every `label = number unit` of a text, in order."""
-    found = F.regexp_extract_all(normalize(c), F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_])[\p{{L}}][\p{{L}}\p{{N}}_]*\s*=\s*{NUMBER}\s*{unit_pattern()}"), F.lit(0))
+    found = F.regexp_extract_all(normalize(c), F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_])[\p{{L}}][\p{{L}}\p{{N}}_]*\s*=\s*{NUMBER}\s*{UNIT_TOKEN}"), F.lit(0))
     pairs = F.transform(found, lambda x: F.struct(label_key(F.regexp_extract(x, r"^([^=]*?)\s*=", 1)).alias("label"), parse_measurement(F.regexp_extract(x, r"(?s)=(.*)$", 1)).alias("measurement")))
     return F.filter(pairs, lambda p: p["measurement"].isNotNull())
 

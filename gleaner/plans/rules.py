@@ -1 +1,244 @@
-"""."""
+"""Number, unit, answer and rule plans. Facts come from line items and orders by fixed formulas that the SQL repeats."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.functions import chemistry as C
+from gleaner.functions import numbers as N
+from gleaner.functions import units as U
+from gleaner.operators import answers
+from gleaner.operators import rules as R
+
+from .registry import query, table
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[0-9]+(\\.[0-9]+)?')) AS n, round(list_sum(list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9]+(\\.[0-9]+)?'), lambda x: length(x) < 12), lambda x: CAST(x AS DOUBLE))), 4) AS total FROM documents""")
+def number_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain decimal numbers; the whole grammar is tested on fixtures."""
+    tokens = N.plain_tokens("text")
+    values = N.as_doubles(F.filter(tokens, lambda t: F.length(t) < 12))
+    total = F.when(F.size(values) > 0, F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 4))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("n"), total.alias("total"))
+
+
+@query()
+def number_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", N.numbers("text").alias("values"), N.number_keys(N.number_tokens("text")).alias("keys"))
+
+
+UNITS_SQL = "(VALUES ('мл', 'mL', 1e-6), ('mL', 'mL', 1e-6), ('мКл', 'mC', 1e-3), ('M', 'mol/L', 1000.0), ('ммоль/л', 'mmol/L', 1.0), ('°C', '°C', 1.0), ('parsec', NULL, NULL)) u(unit, symbol, factor)"
+SPELLINGS = ["мл", "mL", "мКл", "M", "ммоль/л", "°C", "parsec"]
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, list_extract(['мл', 'mL', 'мКл', 'M', 'ммоль/л', '°C', 'parsec'], CAST(l_partkey % 7 + 1 AS INT)) AS unit FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, symbol, round(l_quantity * factor + CASE WHEN symbol = '°C' THEN 273.15 ELSE 0 END, 9) AS si FROM l JOIN {UNITS_SQL} USING (unit)""")
+def unit_si_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spelled = F.element_at(F.array(*map(F.lit, SPELLINGS)), (F.col("l_partkey") % 7 + 1).cast("int"))
+    rows = U.join_units(table(spark, sf_dir, "lineitem").withColumn("unit", spelled), F.col("unit"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "symbol", F.round(F.col("l_quantity") * F.col("factor") + F.col("offset"), 9).alias("si"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity * 1e-3 / 1e-6, 6) AS in_ml, true AS same FROM lineitem""")
+def measurement_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`23.0 дм³` read back from text and turned into millilitres."""
+    m = U.parse_measurement(F.concat(F.col("l_quantity").cast("string"), F.lit(" дм³")))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", m.alias("m"))
+    again = U.measure(F.col("l_quantity") * 1000, F.lit("мл"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.round(U.in_unit(F.col("m.si"), F.lit("mL")), 6).alias("in_ml"), U.same_quantity(F.col("m"), again).alias("same"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, abs(l_extendedprice - l_quantity * 1000) <= greatest(0.5 * greatest(abs(l_extendedprice), abs(l_quantity * 1000)), 1e-15) AS near, abs(l_extendedprice - l_quantity * 1000) / greatest(abs(l_extendedprice), abs(l_quantity * 1000), 1e-30) AS error FROM lineitem""")
+def rel_close_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("l_extendedprice"), F.col("l_quantity") * 1000
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", N.close(a, b, 0.5).alias("near"), N.relative_error(a, b).alias("error"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) THEN value END AS strict, CASE WHEN event_id % 5 IN (0, 2) THEN value END AS lenient FROM events""")
+def strict_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON values that may be numbers, text or booleans, and texts with decimal commas."""
+    case, v = F.col("event_id") % 5, F.col("value").cast("string")
+    json = F.when(case.isin(0, 1), v).when(case == 2, F.concat(F.lit('"'), v, F.lit('"'))).when(case == 3, "true").otherwise("null")
+    said = F.when(case.isin(0, 2), F.regexp_replace(v, r"\.", ",")).otherwise("n/a")
+    return table(spark, sf_dir, "events").select("event_id", N.strict_number(F.parse_json(json)).alias("strict"), N.lenient_number(said).alias("lenient"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'mismatch' WHEN p_size % 3 = 0 THEN 'incomplete' WHEN p_size % 2 = 0 THEN 'incomplete' ELSE 'match' END AS verdict, 2 AS n_required, CASE WHEN p_size % 5 = 0 THEN 0 WHEN p_size % 3 = 0 THEN 1 ELSE 2 END AS n_matched FROM part""")
+def answer_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.col("p_retailprice")
+    at = lambda n: F.col("p_size") % n == 0
+    reference = F.concat(F.lit("m = "), price.cast("string"), F.lit(" г; V = 25 мл"))
+    first = F.concat(F.lit("m = "), price.cast("decimal(18,2)").cast("string"), F.lit(" г"))
+    given = F.when(at(5), "m = 1 г; V = 999 мл").when(at(3), first).otherwise(F.concat(first, F.lit("; V = 0,025 л"), F.when(at(2), "; T = 77 К").otherwise("")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", reference.alias("reference"), given.alias("given"))
+    return answers.compare_answers(rows, "reference", "given", F.lit(1.0)).select("p_partkey", "verdict", "n_required", "n_matched")
+
+
+@query()
+def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statement = F.concat(F.lit("m = "), F.col("l_quantity").cast("string"), F.lit(" г, V(р-ра) = 0,25 л; c₁ = "), F.col("l_tax").cast("string"), F.lit(" моль/л"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", statement.alias("s"))
+    found = U.assigned_measurements("s")
+    return rows.select("l_orderkey", "l_linenumber", U.measurements("s").alias("all"), found.alias("assigned"), U.last_assigned(found, ["c1"]).alias("c1"))
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with a key, and `off`: 1, or 1.05 for every seventh part."""
+    off = F.when(F.col("l_partkey") % 7 == 0, 1.05).otherwise(1.0)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("q"), (F.col("l_discount") + 1).alias("d"), (F.col("l_tax") + 1).alias("t"), off.alias("off"))
+
+
+def m(c: Column, unit: str) -> Column:
+    return U.measure(c, F.lit(unit))
+
+
+FACTS_SQL = "f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS q, l_discount + 1 AS d, l_tax + 1 AS t, CASE WHEN l_partkey % 7 = 0 THEN 1.05 ELSE 1.0 END AS off FROM lineitem)"
+KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
+
+
+def rule(sql: str):
+    return query(f"WITH {FACTS_SQL} SELECT l_orderkey, l_linenumber, l_partkey, {sql} AS state FROM f")
+
+
+def state(spark: SparkSession, sf_dir: str, result: Column) -> DataFrame:
+    return facts(spark, sf_dir).select(*KEYS, result.alias("r")).select(*KEYS, F.col("r.state").alias("state"))
+
+
+@rule("CASE WHEN l_partkey % 11 = 0 THEN 'indeterminate' WHEN l_partkey % 7 = 0 THEN 'fail' ELSE 'pass' END")
+def rule_dilution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c1 = F.when(F.col("l_partkey") % 11 != 0, m(F.col("q"), "mol/L"))
+    return state(spark, sf_dir, R.dilution(c1, m(F.col("d"), "L"), m(F.col("q") * F.col("d") / F.col("t") * F.col("off") * 1000, "mmol/L"), m(F.col("t") * 1000, "mL")))
+
+
+@rule("CASE WHEN l_partkey % 7 = 0 THEN 'fail' ELSE 'pass' END")
+def rule_titration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, d, t = F.col("q"), F.col("d"), F.col("t")
+    return state(spark, sf_dir, R.titration(m(q, "mol/L"), m(d, "mL"), F.lit(2.0), m(q * d / 2 / t * F.col("off"), "mol/L"), m(t, "mL"), F.lit(1.0)))
+
+
+@rule("CASE WHEN l_partkey % 7 = 0 THEN 'fail' ELSE 'pass' END")
+def rule_conductometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, d = F.col("q"), F.col("d")
+    return state(spark, sf_dir, R.conductometry(q, 1 / q, d, d / q * F.col("off")))
+
+
+@rule("CASE WHEN l_partkey % 7 = 0 THEN 'fail' ELSE 'pass' END")
+def rule_faraday(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, d, t = F.col("q"), F.col("d"), F.col("t")
+    charge, k = q * d, F.lit(96485.0)
+    return state(spark, sf_dir, R.faraday(q, d, charge, charge / k, F.lit(0.0635) * charge * 0.9 / (2 * k) * F.col("off"), F.lit(0.0635), F.lit(2.0), F.lit(0.9), k) if t is not None else None)
+
+
+@rule("CASE WHEN l_partkey % 7 = 0 THEN 'fail' WHEN q > 40 THEN 'warning' ELSE 'pass' END")
+def rule_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, d, t = F.col("q"), F.col("d"), F.col("t")
+    return state(spark, sf_dir, R.calibration(d, t, d * q + t, q * F.col("off"), F.lit(0.0), F.lit(40.0)))
+
+
+@rule("CASE WHEN l_partkey % 7 = 0 THEN 'fail' WHEN q > 35 THEN 'warning' ELSE 'pass' END")
+def rule_bet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, d, t = F.col("q"), F.col("d"), F.col("t")
+    return state(spark, sf_dir, R.bet_linear(d, t, 1 / (d + t) * F.col("off"), 1 + d / t, F.array(F.lit(0.1), q / 100 + F.when(q < 5, 0.05).otherwise(0.0))))
+
+
+@rule("CASE WHEN l_partkey % 7 = 0 THEN 'fail' ELSE 'pass' END")
+def rule_bet_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state(spark, sf_dir, R.bet_surface(F.col("q"), F.lit(1.62e-19), F.col("q") * R.AVOGADRO * 1.62e-19 * F.col("off")))
+
+
+@rule("CASE WHEN l_partkey % 7 = 0 OR q <= 10 THEN 'fail' WHEN q < 50 THEN 'warning' ELSE 'pass' END")
+def rule_smoluchowski(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mobility, viscosity, e = F.col("d") * 1e-8, F.lit(8.9e-4), F.lit(78.5)
+    zeta = viscosity * mobility / (e * R.VACUUM_PERMITTIVITY) * F.col("off")
+    return state(spark, sf_dir, R.smoluchowski(mobility, viscosity, zeta, e, F.col("q")))
+
+
+@rule("CASE WHEN l_partkey % 7 = 0 OR (q / 100.0 > 0.1 AND l_linenumber = 2) THEN 'fail' WHEN q / 100.0 > 0.1 THEN 'warning' ELSE 'pass' END")
+def rule_dlvo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strength = F.col("d") / 100
+    return state(spark, sf_dir, R.dlvo(strength, R.DEBYE_NM / F.sqrt(strength) * F.col("off"), F.lit(100.0), F.col("q"), F.col("l_linenumber") == 2, F.lit(False), F.lit(True)))
+
+
+@query()
+def rule_gravimetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    literal = F.when(F.col("l_partkey") % 7 == 0, "0.6995").otherwise("0.6994")
+    exact = F.lit(2 * 55.845 / 159.687)
+    return state(spark, sf_dir, R.gravimetry(F.lit(2.0), F.lit(55.845), F.lit(1.0), F.lit(159.687), literal, F.col("q"), F.col("q") * exact))
+
+
+@query(f"""WITH {FACTS_SQL} SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN q / 2 < d * 10 OR q / 2 = least(q / 2, d * 10) THEN 'A' ELSE 'B' END AS found_limiting, round(least(q / 2, d * 10) * 3, 6) AS amount, CASE WHEN l_partkey % 7 = 0 THEN 'fail' ELSE 'pass' END AS state FROM f""")
+def rule_stoichiometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, b = F.col("q"), F.col("d") * 10
+    least = F.least(q / 2, b)
+    part = lambda name, k, n: F.struct(F.lit(name).alias("name"), F.lit(k).alias("coefficient"), n.alias("amount"))
+    rows = facts(spark, sf_dir).withColumn("id", F.struct(*KEYS, F.monotonically_increasing_id().alias("k")))
+    rows = rows.select("id", F.array(part("A", 2.0, q), part("B", 1.0, b)).alias("reactants"), F.struct(F.lit(3.0).alias("coefficient"), (least * 3 * F.col("off")).alias("amount")).alias("target"), F.when(q / 2 <= b, "A").otherwise("B").alias("limiting"))
+    out = R.stoichiometry(rows, "id")
+    return out.select(*[F.col(f"id.{k}").alias(k) for k in KEYS], "found_limiting", F.round("amount", 6).alias("amount"), "state")
+
+
+RESULTS_SQL = f"""WITH {FACTS_SQL}, r AS (SELECT l_orderkey AS id, 'chemistry.dilution' AS check_id, CASE WHEN l_partkey % 7 = 0 THEN 'fail' ELSE 'pass' END AS state FROM f UNION ALL
+    SELECT l_orderkey, 'analytical.calibration', CASE WHEN l_partkey % 7 = 0 THEN 'fail' WHEN q > 40 THEN 'warning' ELSE 'pass' END FROM f)"""
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, d, t = F.col("q"), F.col("d"), F.col("t")
+    rules = [
+        R.dilution(m(q, "mol/L"), m(d, "L"), m(q * d / t * F.col("off"), "mol/L"), m(t, "L")),
+        R.calibration(d, t, d * q + t, q * F.col("off"), F.lit(0.0), F.lit(40.0)),
+    ]
+    return R.evaluate(facts(spark, sf_dir).withColumnRenamed("l_orderkey", "id"), "id", rules)
+
+
+@query(RESULTS_SQL + """ SELECT id, coalesce(string_agg(check_id, ',' ORDER BY check_id) FILTER (state = 'fail'), '') AS blocking, coalesce(string_agg(check_id, ',' ORDER BY check_id) FILTER (state = 'warning'), '') AS warnings, count(*) AS n_applicable, bool_and(state = 'pass') AS deterministic_pass FROM r GROUP BY 1""")
+def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = R.report(results(spark, sf_dir), "id")
+    return out.select("id", F.array_join("blocking", ",").alias("blocking"), F.array_join("warnings", ",").alias("warnings"), "n_applicable", "deterministic_pass")
+
+
+@query(RESULTS_SQL + """, s AS (SELECT id, bool_or(state IN ('fail', 'warning')) AS bad, bool_or(state = 'pass') AS good FROM r GROUP BY 1) SELECT id, CASE WHEN bad OR id % 5 = 0 THEN 'block' WHEN good THEN 'pass' ELSE 'limited' END AS effect FROM s""")
+def rule_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth run also requires a check that did not run."""
+    rows = results(spark, sf_dir)
+    ids = rows.select("id").distinct()
+    checks = R.required_checks(F.when(F.col("id") % 5 == 0, "colloid.bet").otherwise("auto"), F.array(F.lit("dilution")))
+    required = ids.select("id", F.explode(checks).alias("check_id"))
+    one = rows.groupBy("id", "check_id").agg(F.max_by("state", F.when(F.col("state") == "fail", 2).when(F.col("state") == "pass", 0).otherwise(1)).alias("state"))
+    return R.admission_effect(one, required, "id")
+
+
+EQUATIONS = [
+    (1, "2H2 + O2 -> 2H2O"), (2, "H2 + O2 -> H2O"), (3, "Fe + CuSO4 = FeSO4 + Cu"), (4, "MnO4- + 5Fe2+ + 8H+ → Mn2+ + 5Fe3+ + 4H2O"), (5, "Ca(OH)2 + 2HCl → CaCl2 + 2H2O"),
+    (6, "SO₄²⁻ + Ba²⁺ → BaSO₄"), (7, "x -> y"), (8, "1/2N2 + 3/2H2 <=> NH3"), (9, "CuSO4·5H2O → CuSO4 + 5H2O"), (10, "[Fe(CN)6]3- + e- → [Fe(CN)6]4-"), (11, "a = b = c"), (12, "Al2(SO4)3 + 6NaOH -> 2Al(OH)3 + 3Na2SO4"),
+]
+BALANCED = {1: True, 2: False, 3: True, 4: True, 5: True, 6: True, 7: None, 8: True, 9: True, 10: True, 11: None, 12: True}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{ {True: 'balanced', False: 'unbalanced', None: 'unparsed'}[v]}')" for k, v in BALANCED.items()) + ") v(id, state)")
+def rule_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(EQUATIONS, "id int, equation string")
+    state = F.when(~F.col("parsed"), "unparsed").when(F.col("balanced"), "balanced").otherwise("unbalanced")
+    return C.reaction_balance(rows, "id", "equation").select("id", state.alias("state"))
+
+
+@query()
+def equation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an equation in the middle of their text: found again and checked."""
+    pick = F.element_at(F.array(*[F.lit(e) for _, e in EQUATIONS]), (F.col("doc_id") % len(EQUATIONS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 200), F.lit(": "), pick, F.lit(". "), F.substring("text", 201, 200)).alias("t"))
+    return R.reaction_results(rows, "doc_id", "t")
+
+
+@query()
+def rule_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statement = F.concat(F.lit("m = "), F.col("q").cast("string"), F.when(F.col("l_partkey") % 7 == 0, F.lit(" г, m = 5 мл")).otherwise(F.lit(" г, V = 5 мл")))
+    checks = [R.unit_consistency(statement, F.when(F.col("l_partkey") % 3 == 0, "12").otherwise("12 г"), F.lit(True)), R.scale_compatibility(statement)]
+    return R.evaluate(facts(spark, sf_dir).withColumnRenamed("l_orderkey", "id"), "id", checks)
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'colloid' WHEN 1 THEN 'analytical' WHEN 2 THEN 'general' ELSE 'unspecified' END AS discipline FROM part""")
+def discipline_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case = F.col("p_size") % 4
+    name = F.when(case == 0, "Коллоидная химия").when(case == 1, "Analytical chemistry").when(case == 2, "Общая химия").otherwise("Music")
+    return table(spark, sf_dir, "part").select("p_partkey", R.discipline(name).alias("discipline"))
