@@ -42,6 +42,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose id is in the one column of ids; null equals null. Columns of docs may have any names."""
+    return docs.join(ids, docs[id_col].eqNullSafe(ids[ids.columns[0]]), "left_anti")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts of an Arrow string column and their n + 1 offsets; null reads as empty."""
     if column.null_count:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialize, utf8
+from .common import SPACES, materialize, utf8, without
 
 FINGERPRINTS_PER_RANGE = 1 << 16
 
@@ -120,8 +120,10 @@ def repeated_fingerprints(digest_rows: DataFrame, prefix: int) -> DataFrame:
         for batch in batches:
             new = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             found, counts = add_up(np.concatenate([found, new]), np.concatenate([counts, np.ones(len(new), np.int64)]))
+        if not len(found):
+            return
         tops = (found >> np.uint64(64 - prefix)).astype(np.int64)
-        cuts = np.flatnonzero(np.r_[True, tops[1:] != tops[:-1]]) if len(found) else np.zeros(0, np.int64)
+        cuts = np.flatnonzero(np.r_[True, tops[1:] != tops[:-1]])
         blocks = [CountingQuotientFilter.build(found[a:b], counts[a:b], prefix).to_bytes() for a, b in zip(cuts, np.r_[cuts[1:], len(found)], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(tops[cuts].astype(np.int32)), pa.array(blocks, pa.binary())], ["top", "filter"])
 
@@ -159,4 +161,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of docs that stay, with all their columns. Rows with a null id that has copies are dropped with them."""
     decided = exact_dedup(docs, id_col, text_col)
     dropped = decided.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("_dropped")), "left_anti")
+    return without(docs, id_col, dropped)

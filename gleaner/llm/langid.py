@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices
+from .common import mix64, slices, without
 
 DIMENSIONS = 1024
 N = 3
@@ -166,5 +166,5 @@ def keep_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], least: fl
 
     Ids have to be distinct. The rejected ids, few, are what the texts are joined with.
     """
-    out = predict(docs, prototypes).filter((F.col("lang_pred") == "und") | (F.col("score") <= least)).select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(out, docs["doc_id"].eqNullSafe(F.col("_rejected")), "left_anti")
+    out = predict(docs, prototypes).filter((F.col("lang_pred") == "und") | (F.col("score") <= least)).select("doc_id").distinct()
+    return without(docs, "doc_id", out)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, span_hashes, span_sums, text_blocks, unit, utf8, word_starts
+from .common import materialize, mix64, span_hashes, span_sums, text_blocks, unit, utf8, without, word_starts
 from .components import Forest, connected_components
 
 WORDS = 5
@@ -288,4 +288,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents that near_dedup doesn't keep, with all their columns."""
     dropped = near_dedup(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs[options.get("id_col", "doc_id")].eqNullSafe(F.col("_dropped")), "left_anti")
+    return without(docs, options.get("id_col", "doc_id"), dropped)

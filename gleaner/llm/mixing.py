@@ -147,6 +147,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; ids have to be distinct."""
-    taken = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_copies"))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[joined[c] for c in docs.columns])
+    taken = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("id"), F.col("copies").cast("int").alias("copies"))
+    rows = docs.select(F.col("doc_id").alias("key"), F.struct("*").alias("row"))
+    return rows.join(taken, F.col("key").eqNullSafe(F.col("id"))).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
