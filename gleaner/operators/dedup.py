@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.numbers import number_keys, number_tokens, plain_tokens
 from gleaner.functions.text import jaccard, word_set
 
-from .relational import numbered
+from .relational import running
 
 LIMIT = 0.85
 NUMBER_OVERLAP = 0.8
@@ -28,21 +28,23 @@ def duplicate(similarity, numbers_a, numbers_b):
     return (similarity > LIMIT) & (none | (jaccard(numbers_a, numbers_b) >= NUMBER_OVERLAP))
 
 
-def dedup_bounded(statements: DataFrame, group: str, id_col: str, text_col: str, neighbours: int = NEIGHBOURS, plain: bool = False) -> DataFrame:
-    """id, group, similarity, duplicate: each statement against the `neighbours` before it in its group, by id.
+def dedup_bounded(statements: DataFrame, group: str, id_col: str, text_col: str, neighbours: int = NEIGHBOURS, plain: bool = False, eligible: Column | None = None) -> DataFrame:
+    """id, group, similarity, duplicate: each statement against the last `neighbours` eligible ones before it in its group, by id.
 
-    The distance condition is an equality: statements are numbered within their group and dealt into blocks of
-    `neighbours`; each is joined with its own block and the one before. A block holds at most that many rows, whatever the
-    size of the group.
+    The distance condition is an equality: eligible statements are numbered within their group and dealt into blocks of
+    `neighbours`; each statement is joined with the block of the last one before it and the block before that. A block holds at most
+    that many rows, whatever the size of the group.
     """
-    rows = profiles(numbered(statements.select(group, id_col, text_col), [group], [id_col]), text_col, plain)
-    block = F.floor((F.col("rn") - 1) / neighbours)
-    mine = rows.select(group, id_col, "rn", F.col("_words").alias("w"), F.col("_numbers").alias("x"), F.explode(F.array(block, block - 1)).alias("block"))
-    prior = rows.select(F.col(group).alias("_g"), F.col("rn").alias("_rn"), F.col("_words").alias("_w"), F.col("_numbers").alias("_x"), block.alias("_block"))
-    near = (F.col("rn") - F.col("_rn")).between(1, neighbours)
+    fit = eligible if eligible is not None else F.lit(True)
+    flagged = statements.select(group, id_col, text_col, F.coalesce(fit, F.lit(False)).alias("_fit"))
+    rows = profiles(running(flagged, [group], [id_col], {"_e": F.when(F.col("_fit"), 1).otherwise(0)}), text_col, plain)
+    before = F.col("_e") - F.when(F.col("_fit"), 1).otherwise(0)
+    block = lambda c: F.floor((c - 1) / neighbours)
+    mine = rows.select(group, id_col, before.alias("_before"), F.col("_words").alias("w"), F.col("_numbers").alias("x"), F.explode(F.array(block(before), block(before) - 1)).alias("block"))
+    prior = rows.filter("_fit").select(F.col(group).alias("_g"), F.col("_e").alias("_n"), F.col("_words").alias("_w"), F.col("_numbers").alias("_x"), block(F.col("_e")).alias("_block"))
+    near = (F.col("_before") - F.col("_n")).between(0, neighbours - 1)
     pairs = mine.join(prior, F.col(group).eqNullSafe(F.col("_g")) & (F.col("block") == F.col("_block")) & near)
     similarity = jaccard(F.col("w"), F.col("_w"))
-    found = pairs.select(group, id_col, similarity.alias("s"), duplicate(similarity, F.col("x"), F.col("_x")).alias("d"))
-    best = found.groupBy(group, id_col).agg(F.max("s").alias("s"), F.max("d").alias("d"))
-    keys = rows.select(group, id_col)
-    return keys.join(best.withColumnRenamed(group, "_g"), id_col, "left").select(id_col, group, F.round(F.coalesce("s", F.lit(0.0)), 6).alias("similarity"), F.coalesce("d", F.lit(False)).alias("duplicate"))
+    found = pairs.select(id_col, similarity.alias("s"), duplicate(similarity, F.col("x"), F.col("_x")).alias("d"))
+    best = found.groupBy(id_col).agg(F.max("s").alias("s"), F.max("d").alias("d"))
+    return rows.select(group, id_col).join(best, id_col, "left").select(id_col, group, F.round(F.coalesce("s", F.lit(0.0)), 6).alias("similarity"), F.coalesce("d", F.lit(False)).alias("duplicate"))

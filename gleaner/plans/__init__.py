@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import documents, quality, relations, rules
+from . import contracts, documents, quality, relations, rules
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "documents", "quality", "relations", "rules"]
+__all__ = ["ORACLE_SQL", "QUERIES", "contracts", "documents", "quality", "relations", "rules"]
