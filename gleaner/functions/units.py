@@ -127,8 +127,13 @@ def _struct(r: tuple) -> Column:
     return F.struct(F.lit(r[1]).alias("symbol"), F.lit(r[2]).alias("dimension"), F.lit(r[3]).alias("factor"), F.lit(r[4]).alias("offset"))
 
 
-def unit(c: Column) -> Column:
-    """symbol, dimension, factor, offset of a unit's spelling, from a constant map of some 190 entries; null if unknown."""
+def unit(c: Column | str) -> Column:
+    """symbol, dimension, factor, offset of a unit's spelling; null if unknown. A str is a spelling that holds for all rows and is looked
+    up at once; a column is looked up in a constant map of some 190 entries."""
+    if isinstance(c, str):
+        known = {r[0]: r for r in rows()}
+        found = known.get(f"={c}") or known.get(c.translate(str.maketrans("²³·µ", "23*μ")).replace(" ", "").lower())
+        return _struct(found) if found else F.lit(None).cast("struct<symbol:string,dimension:string,factor:double,offset:double>")
     lookup = F.create_map(*[x for r in rows() for x in (F.lit(r[0]), _struct(r))])
     return F.coalesce(F.try_element_at(lookup, cased_key(c)), F.try_element_at(lookup, unit_key(c)))
 
@@ -142,13 +147,15 @@ def join_units(df: DataFrame, c: Column) -> DataFrame:
     return out.select(*df.columns, *[F.coalesce(f"_c_{k}", f"_f_{k}").alias(k) for k in units.columns[1:]])
 
 
-def measure(value: Column, unit_text: Column) -> Column:
-    """value, unit, dimension, si of a number and a unit's spelling; null if the unit is unknown or the number not finite."""
-    def found(v: Column) -> Column:
+def measure(value: Column, unit_text: Column | str) -> Column:
+    """value, unit, dimension, si of a number and a unit's spelling (a str: of all rows); null if the unit is unknown or the number not finite."""
+    def found(v: Column | dict[str, Column]) -> Column:
         u, x = v["u"], v["x"]
         good = u.isNotNull() & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
         return F.when(good, F.struct(x.alias("value"), u["symbol"].alias("unit"), u["dimension"].alias("dimension"), (x * u["factor"] + u["offset"]).alias("si")))
 
+    if isinstance(unit_text, str):  # no lambda is needed, so the expression stays in generated code
+        return found({"u": unit(unit_text), "x": value})
     return let(F.struct(unit(unit_text).alias("u"), value.alias("x")), found)
 
 
@@ -158,7 +165,7 @@ def parse_measurement(c: Column) -> Column:
     return measure(F.regexp_replace(F.regexp_extract(c, pattern, 1), ",", ".").try_cast("double"), F.regexp_extract(c, pattern, 2))
 
 
-def in_unit(si: Column, unit_text: Column) -> Column:
+def in_unit(si: Column, unit_text: Column | str) -> Column:
     return let(unit(unit_text), lambda u: (si - u["offset"]) / u["factor"])
 
 

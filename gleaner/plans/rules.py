@@ -45,8 +45,8 @@ def measurement_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`23.0 дм³` read back from text and turned into millilitres."""
     m = U.parse_measurement(F.concat(F.col("l_quantity").cast("string"), F.lit(" дм³")))
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", m.alias("m"))
-    again = U.measure(F.col("l_quantity") * 1000, F.lit("мл"))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.round(U.in_unit(F.col("m.si"), F.lit("mL")), 6).alias("in_ml"), U.same_quantity(F.col("m"), again).alias("same"))
+    again = U.measure(F.col("l_quantity") * 1000, "мл")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.round(U.in_unit(F.col("m.si"), "mL"), 6).alias("in_ml"), U.same_quantity(F.col("m"), again).alias("same"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, abs(l_extendedprice - l_quantity * 1000) <= greatest(0.5 * greatest(abs(l_extendedprice), abs(l_quantity * 1000)), 1e-15) AS near, abs(l_extendedprice - l_quantity * 1000) / greatest(abs(l_extendedprice), abs(l_quantity * 1000), 1e-30) AS error FROM lineitem""")
@@ -90,7 +90,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m(c: Column, unit: str) -> Column:
-    return U.measure(c, F.lit(unit))
+    return U.measure(c, unit)
 
 
 FACTS_SQL = "f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS q, l_discount + 1 AS d, l_tax + 1 AS t, CASE WHEN l_partkey % 7 = 0 THEN 1.05 ELSE 1.0 END AS off FROM lineitem)"

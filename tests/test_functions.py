@@ -141,6 +141,11 @@ def test_units_there_and_back(value, x, unit):
     assert value(units.in_unit(units.measure(L(x), L(unit))["si"], L(unit))) == pytest.approx(x, rel=1e-9, abs=1e-9)
 
 
+@pytest.mark.parametrize("spelled", ["мл", "M", "m", "S/cm", "°C", "м²/г", "Па·с", "parsec"])
+def test_a_constant_unit_is_the_same(value, spelled):
+    assert value(units.measure(L(2.0), spelled)) == value(units.measure(L(2.0), L(spelled)))
+
+
 def test_measurements_in_text(value):
     got = value(units.measurements(L("V = 25 мл, m = 2,5 kg; 5 mV/cm не в счёт; c = 0,1 моль/л.")))
     assert [(m.value, m.unit) for m in got] == [(25.0, "mL"), (2.5, "kg"), (0.1, "mol/L")]
