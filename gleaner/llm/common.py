@@ -42,6 +42,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
+    """df, whose session sends at most `rows` rows at a time to Python workers from now on: texts may be long, and a worker and
+    its executor hold whole batches. A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > rows:
+        df.sparkSession.conf.set(name, rows)
+    return df
+
+
 def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """docs without the rows whose id is in the one column of ids; null equals null. Columns of docs may have any names."""
     return docs.join(ids, docs[id_col].eqNullSafe(ids[ids.columns[0]]), "left_anti")
@@ -69,13 +79,6 @@ def text_blocks(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, in
         row = end
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, for work that holds much more than a row per row."""
-    for batch in batches:
-        for a in range(0, len(batch), rows):
-            yield batch.slice(a, rows)
-
-
 def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many flags are set in each text; a text may be empty."""
     total = np.zeros(len(flags) + 1, np.int64)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialize, utf8, without
+from .common import SPACES, materialize, small_batches, utf8, without
 
 FINGERPRINTS_PER_RANGE = 1 << 16
 
@@ -109,7 +109,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             fingerprints = np.frombuffer(b"".join(x[:8] for x in found), ">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.binary()), pa.array(fingerprints), pc.fill_null(pc.utf8_length(texts), 0).cast(pa.int64())], ["_id", "_sha", "_fp", "_points"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(each, "_id long, _sha binary, _fp long, _points long")
+    return small_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).mapInArrow(each, "_id long, _sha binary, _fp long, _points long")
 
 
 def repeated_fingerprints(digest_rows: DataFrame, prefix: int) -> DataFrame:

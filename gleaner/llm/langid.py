@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, without
+from .common import mix64, small_batches, without
 
 DIMENSIONS = 1024
 N = 3
@@ -39,7 +39,7 @@ def letter(code: int, dimensions: int) -> np.ndarray:
     return (np.unpackbits(bits.astype("<u8").view(np.uint8)).astype(np.float32) * 2 - 1).copy()
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 15)
 def gram(code: int, dimensions: int) -> np.ndarray:
     """The bound vector of N letters packed in 21 bits each, as bytes of signs."""
     out = np.ones(dimensions, np.float32)
@@ -118,14 +118,14 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
     def each(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in slices(batches):
+        for batch in batches:
             vectors = directions(bundles(batch.column(1).to_pylist()))
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
             for lang in set(langs):
                 sums[lang] = sums.get(lang, 0) + vectors[langs == lang].sum(0, dtype=np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
-    partial = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, "lang string, v array<double>")
+    partial = small_batches(known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))).mapInArrow(each, "lang string, v array<double>")
     summed = partial.select("lang", F.posexplode("v").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
     rows = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v")).select("lang", "v.x").orderBy("lang").collect()
     found = {r["lang"]: np.array(r["x"], np.float64) for r in rows}
@@ -142,7 +142,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     matrix = np.stack([prototypes[k] for k in names]).astype(np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)
 
     def each(batches):
-        for batch in slices(batches):
+        for batch in batches:
             vectors = directions(bundles([x or "" for x in batch.column(1).to_pylist()]))
             if names:
                 cosines = vectors @ matrix.T
@@ -154,7 +154,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
                 langs, scores = np.full(len(vectors), "und", dtype=object), np.zeros(len(vectors))
             yield pa.RecordBatch.from_pandas(pd.DataFrame({"doc_id": batch.column(0).to_pandas(integer_object_nulls=True), "lang_pred": langs, "score": scores}), schema=pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())]), preserve_index=False)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(each, "doc_id long, lang_pred string, score double")
+    return small_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).mapInArrow(each, "doc_id long, lang_pred string, score double")
 
 
 def fold(id_col: str, folds: int) -> F.Column:

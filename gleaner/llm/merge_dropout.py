@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, unit
+from .common import mix64, small_batches, unit
 
 RATE = 0.1
 SEED = 6
@@ -350,7 +350,7 @@ def _encoded(docs: DataFrame, model_path: str, id_col: str, text_col: str, rate:
                     yield pa.RecordBatch.from_arrays([keys, lists, pa.array(shas, pa.string())], ["doc_id", "ids", "text_sha256"])
 
     schema = "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean" if check else "doc_id long, ids array<int>, text_sha256 string"
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(each, schema)
+    return small_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).mapInArrow(each, schema)
 
 
 def _decoded(v: Vocabulary, lists: pa.Array) -> tuple[list[bytes], list[int], list[str]]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, span_hashes, span_sums, text_blocks, unit, utf8, without, word_starts
+from .common import materialize, mix64, small_batches, span_hashes, span_sums, text_blocks, unit, utf8, without, word_starts
 from .components import Forest, connected_components
 
 WORDS = 5
@@ -142,7 +142,7 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
                 sketch = signature.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([ids.slice(first, n), pa.array(same, pa.binary()), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], ["doc", "same", "bands", "sketch"])
 
-    return docs.mapInArrow(each, "doc long, same binary, bands array<long>, sketch binary")
+    return small_batches(docs).mapInArrow(each, "doc long, same binary, bands array<long>, sketch binary")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 np.cumsum(np.bincount(rows[keep], minlength=last - first), out=ends[1:])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.ListArray.from_arrays(ends, pa.array(hashes[keep].view(np.int64)))], ["doc", "set"])
 
-    return docs.mapInArrow(each, "doc long, set array<long>")
+    return small_batches(docs).mapInArrow(each, "doc long, set array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

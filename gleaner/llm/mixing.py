@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, per_text, text_blocks, word_starts
+from .common import materialize, per_text, small_batches, text_blocks, word_starts
 
 NODE = 2048
 WEIGHTS = (1, 2, 3)
@@ -39,7 +39,7 @@ def sizes(docs: DataFrame) -> DataFrame:
             counts = [per_text(word_starts(text, offsets)[0], offsets) for _, _, text, offsets in text_blocks(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64))], ["doc_id", "source", "size"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, source string, size long")
+    return small_batches(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))).mapInArrow(each, "doc_id long, source string, size long")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: float = LIMIT) -> DataFrame:

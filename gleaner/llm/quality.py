@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, materialize, per_text, span_hashes, span_sums, text_blocks, word_starts
+from .common import IS_SPACE, materialize, per_text, small_batches, span_hashes, span_sums, text_blocks, word_starts
 
 #: Most labelled rows that the model is fitted on, about: a hash of the id picks that share of more.
 FIT_ROWS = 40_000
@@ -94,7 +94,7 @@ def feature_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "x"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(each, "doc_id long, x array<double>")
+    return small_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).mapInArrow(each, "doc_id long, x array<double>")
 
 
 def _tree(gain_of, g: np.ndarray, h: np.ndarray, least: float) -> np.ndarray:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, span_hashes, span_sums, text_blocks, utf8
+from .common import materialize, mix64, small_batches, span_hashes, span_sums, text_blocks, utf8
 
 LENGTH = 200
 ANCHOR = 64
@@ -158,7 +158,7 @@ def anchor_rows(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
                 ids = batch.column(0).take(pa.array(rows + first))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(at - offsets[rows]), pa.array((at - start).astype(np.int32)), pa.array((end - at).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(whole.view(np.int64))], ["doc", "place", "left", "right", "hash", "context"])
 
-    return texts.mapInArrow(each, "doc long, place long, left int, right int, hash long, context long")
+    return small_batches(texts).mapInArrow(each, "doc long, place long, left int, right int, hash long, context long")
 
 
 class Tries:

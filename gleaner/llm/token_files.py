@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, scratch_path, utf8
+from .common import materialize, mix64, scratch_path, small_batches, utf8
 
 MAGIC = b"GTOKENS1"
 HEAD = "<8sQQQQQ"
@@ -274,7 +274,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
             for a in range(0, len(ids), 1024):
                 yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 1024]), keys.slice(a, 1024), pa.array(ids[a : a + 1024], pa.binary())], ["shard", "key", "ids"])
 
-    encoded = rows.mapInArrow(encode, "shard int, key long, ids binary")
+    encoded = small_batches(rows).mapInArrow(encode, "shard int, key long, ids binary")
     placed = encoded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("key").asc_nulls_last(), "ids")
     folder = scratch_path(spark, "tokens")
 
