@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from .text import text
 
-#: A number that no letter or underscore precedes, nor a power sign.
+#: Fixed value: a number that no letter or underscore precedes, nor a power sign.
 NUMBER = r"(?iu)(?<![a-zа-яё_^])(?<!\^[-+])[-+]?\d+(?:\.\d+)?(?:e[-+]?\d+)?"
 SUPERSCRIPTS, SUPERSCRIPT_DIGITS = "⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺", "0123456789-+"
 SUBSCRIPTS, SUBSCRIPT_DIGITS = "₀₁₂₃₄₅₆₇₈₉", "0123456789"
 
-#: Rewriting rules in order: what is presentation only goes, powers of ten and decimal commas become plain notation.
+#: Rewriting rules in order; what is presentation only goes, powers of ten and decimal commas become plain notation.
 RULES = (
     (f"([{SUPERSCRIPTS}]+)", "^$1"),
     ("−", "-"),

@@ -96,6 +96,7 @@ amount_concentration|mol/L|1e3|M
 charge|mC|1e-3|мКл
 """
 KELVIN_OFFSET = 273.15
+#: Fixed value: the number of a measurement.
 NUMBER = r"[-+]?(?:[0-9]+(?:[.,][0-9]*)?|[.,][0-9]+)(?:[eE][-+]?[0-9]+)?"
 
 

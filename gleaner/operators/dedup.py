@@ -10,6 +10,7 @@ from gleaner.functions.text import jaccard, word_set
 
 from .relational import running
 
+#: Fixed values.
 LIMIT = 0.85
 NUMBER_OVERLAP = 0.8
 NEIGHBOURS = 50

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.stem import stems
 from gleaner.functions.text import query_terms, text, words
 
+#: Fixed values.
 CHUNK = 2_500
 K1, B = 1.2, 0.75
 FIELD_WEIGHTS = (12, 4, 1)
