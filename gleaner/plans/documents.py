@@ -9,6 +9,7 @@ from gleaner.functions import stem, text as T
 from gleaner.operators import exports, retrieval
 from gleaner.operators import relational as R
 from gleaner.operators.dedup import dedup_bounded as bounded
+from gleaner.session import checkpointed
 from gleaner.sources import readers
 
 from .registry import query, table
@@ -161,7 +162,8 @@ def index_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     r AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM q JOIN f USING (term) JOIN p USING (term) JOIN l USING (doc_id), s GROUP BY 1, 2)
     SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r QUALIFY rank <= 8""")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = retrieval.postings(documents(spark, sf_dir), "doc_id", "text")
+    """The index is used for lengths, frequencies and hits, so it is written once."""
+    index = checkpointed(retrieval.postings(documents(spark, sf_dir), "doc_id", "text"))
     queries = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 200).alias("q"))
     return retrieval.bm25(index, queries, "doc_id", "item_id", "q")
 
