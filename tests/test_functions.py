@@ -151,6 +151,11 @@ def test_measurements_in_text(value):
     assert [(m.value, m.unit) for m in got] == [(25.0, "mL"), (2.5, "kg"), (0.1, "mol/L")]
 
 
+@pytest.mark.parametrize(("statement", "there"), [("взяли 0,025 л воды", True), ("взяли 26 мл", False), ("взяли 25 г", False), ("25", False)])
+def test_stated_in_any_unit(value, statement, there):
+    assert value(units.stated(L(statement), units.measure(L(25.0), "мл"))) is there
+
+
 def test_last_assignment_wins(value):
     assigned = units.assigned_measurements(L("V = 25 мл, затем V = 30 мл; c₁ = 2 M"))
     assert value(units.last_assigned(assigned, ["v"])).value == 30.0

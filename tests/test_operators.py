@@ -96,6 +96,19 @@ def test_lineage(spark):
     assert got == {1: ("ok", []), 2: ("ok", []), 3: ("warn", ["Table A (Формулы, справочный источник)"]), 4: ("invalid", ["Other", "data_used[1]"]), 5: ("ok", []), 6: ("skipped", [])}
 
 
+def test_only_rendered_sheets_stay(spark):
+    sheets = spark.createDataFrame([(1, "Table A"), (1, "Table B"), (2, "Table A")], "task_id int, title string")
+    contexts = spark.createDataFrame([(1, "### table  a\nx\n#### Table B"), (2, "Table A")], "task_id int, context string")
+    assert [tuple(r) for r in provenance.rendered_sheets(sheets, contexts).collect()] == [(1, "Table A")]
+
+
+def test_rendered_context_and_explicit_selection(spark):
+    rows = spark.createDataFrame([(1, 2, "B", "b"), (1, 1, "A", "a")], "k int, o int, title string, content string")
+    assert retrieval.rendered_context(rows, ["k"], ["o"], "title", "content").first().context == "### A\na\n\n### B\nb"
+    sheets = spark.createDataFrame([(1,), (2,)], "sheet_id int")
+    assert retrieval.trusted(sheets, sheets, "sheet_id", explicit=[]).count() == 0
+
+
 def test_merged_sheets(spark):
     rows = [(1, 0, "table", "Acids", "a\nb"), (1, 1, "odd", "Acids", "z"), (1, 2, "table", " acids ", "b\n c\na"), (1, 3, "table", "", "x")]
     got = exports.merged_sheets(spark.createDataFrame(rows, "k int, p int, kind string, title string, content string"), "k", "p").orderBy("rank").collect()
