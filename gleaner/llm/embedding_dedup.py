@@ -155,7 +155,8 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, fit_vector
 
     Rows link if their labels are equal and the cosine in doubles is threshold or more; both vectors have to have the
     same length. Rows with a null id, label or vector, an empty or zero vector, or a component that is null or not finite
-    link with nothing and are their own component. Ids have to be distinct. Other columns are ignored; no rows give
+    link with nothing and are their own component. Rows that repeat an id count
+    each as a vector and have the same result. Other columns are ignored; no rows give
     no rows.
     """
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-7
@@ -191,7 +192,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, fit_vector
     parts = connected_components(found.filter("links = 0")).select(F.col("node").alias("rep"), "component")
     decided = classes.join(links, "rep", "left").join(parts, "rep", "left").select("label", "raw", "rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     decided = materialize(decided, "decided")
-    known = rows.join(decided, ["label", "raw"]).select(F.col("vec_id").alias("known"), "links", "component")
+    known = rows.join(decided, ["label", "raw"]).groupBy(F.col("vec_id").alias("known")).agg(F.max("links").alias("links"), F.min("component").alias("component"))
     return vectors.select(F.col("vec_id").cast("long")).join(known, F.col("vec_id") == F.col("known"), "left").select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.col("component") == F.col("vec_id"), F.lit(True)).alias("kept")
     )

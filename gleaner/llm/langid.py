@@ -164,7 +164,7 @@ def fold(id_col: str, folds: int) -> F.Column:
 def keep_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs whose language is found with a cosine above `least`, with all their columns.
 
-    Ids have to be distinct. The rejected ids, few, are what the texts are joined with.
+    Rows that repeat an id go if any of them is rejected. The rejected ids, few, are what the texts are joined with.
     """
     out = predict(docs, prototypes).filter((F.col("lang_pred") == "und") | (F.col("score") <= least)).select("doc_id").distinct()
     return without(docs, "doc_id", out)

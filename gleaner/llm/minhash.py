@@ -253,7 +253,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copy_id is the smallest id with the same word sequence, class_id the smallest id that links lead to; a link is a Jaccard
     similarity of the sets of five-word runs of threshold or more. Words are runs of bytes other than [\\x20\\x09-\\x0D]. A text
     with one to four words has all of them as its one run. Texts without words, null ones included, and rows
-    with a null id link with nothing and stay. kept marks the smallest id of a class. Ids have to be distinct. Other columns
+    with a null id link with nothing and stay. kept marks the smallest id of a class. Rows that repeat
+    an id with the same text have the same result. Other columns
     are ignored; no rows give no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))

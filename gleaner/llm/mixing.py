@@ -112,7 +112,7 @@ def _level(rows: DataFrame, seed: int, depth: int, last: bool) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: int = 20, node: int = NODE) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken, copies.
 
-    docs has doc_id, text and source; other columns are ignored. Null or blank text has size 0 and is never taken.
+    docs has doc_id, text and source; other columns are ignored. Rows that repeat an id count each on its own. Null or blank text has size 0 and is never taken.
     A null source is a source of its own, the last one. taken is copies times size, and copies is at most limit.
     The same rows and the same seed give the same copies, whatever the partitions. An empty table gives no rows.
     """
@@ -146,7 +146,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it; ids have to be distinct."""
-    taken = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("id"), F.col("copies").cast("int").alias("copies"))
+    """docs with each row repeated as often as the mix takes it; rows that repeat an id as often as the one that is taken most."""
+    taken = mix(docs, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").cast("int").alias("copies"))
     rows = docs.select(F.col("doc_id").alias("key"), F.struct("*").alias("row"))
     return rows.join(taken, F.col("key").eqNullSafe(F.col("id"))).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -341,7 +341,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes; null unless keep_bytes).
 
     Texts are their UTF-8 bytes; null counts as empty. Repeats are judged on the input, within and across documents.
-    Ids have to be distinct; the text of a row with a null id is never cut, but counts for others. Texts of fewer than length
+    Rows that repeat an id with the same text are copies of each other;
+    the text of a row with a null id is never cut, but counts for others. Texts of fewer than length
     bytes stay whole. Other columns are ignored; no rows give no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
