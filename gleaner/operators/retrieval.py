@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.stem import stems
-from gleaner.functions.text import query_terms, text, words
+from gleaner.functions.text import let, query_terms, text, words
 
 #: Fixed values.
 CHUNK = 2_500
@@ -15,39 +17,51 @@ FIELD_WEIGHTS = (12, 4, 1)
 BUDGET = 24_000
 
 
-def _sections(c: Column) -> Column:
-    """Lines of a Markdown text with the heading trail above each, by one fold over the lines.
+HEADING = r"^(#{1,3})\s+(.+)$"
 
-    A heading of level 1 to 3 sets its level and clears the deeper ones.
-    """
-    lines = F.split(F.regexp_replace(text(c), r"\r\n?|[\x0B\x0C\x85\u2028\u2029]", "\n"), "\n")
+
+def _places(lines: Column, keep: Callable[[Column], Column]) -> Column:
+    """Positions (from 0) of a list of lines that satisfy a condition on the position."""
+    return F.when(F.size(lines) > 0, F.filter(F.sequence(F.lit(0), F.size(lines) - 1), keep)).otherwise(F.array().cast("array<int>"))
+
+
+def _trails(headings: Column) -> Column:
+    """The heading trail of each section: none before the first heading; a level clears the deeper ones."""
 
     def step(at: Column, line: Column) -> Column:
-        marks = F.length(F.regexp_extract(line, r"^(#{1,3})\s+.+$", 1))
-        title = F.trim(F.regexp_extract(line, r"^#{1,3}\s+(.+)$", 1))
-        level = lambda k: F.when(marks == k, title).when((marks > 0) & (marks < k), F.lit("")).otherwise(at[f"h{k}"])
-        own = F.array(F.struct(level(1).alias("h1"), level(2).alias("h2"), level(3).alias("h3"), (at["n"] + F.when(marks > 0, 1).otherwise(0)).alias("section"), line.alias("line")))
-        return F.struct(level(1).alias("h1"), level(2).alias("h2"), level(3).alias("h3"), (at["n"] + F.when(marks > 0, 1).otherwise(0)).alias("n"), F.when(marks > 0, at["out"]).otherwise(F.concat(at["out"], own)).alias("out"))
-
-    start = F.struct(*[F.lit("").alias(f"h{k}") for k in (1, 2, 3)], F.lit(0).alias("n"), F.array().cast("array<struct<h1:string,h2:string,h3:string,section:int,line:string>>").alias("out"))
-    return F.aggregate(lines, start, step, lambda at: at["out"])
-
-
-def _blocks(lines: Column) -> Column:
-    """Runs of table lines and of other lines within a section: heading, kind, content."""
-
-    def step(out: Column, x: Column) -> Column:
-        table = F.ltrim(x["line"]).startswith("|")
-        kind = F.when(table, "table").otherwise("text")
-        last = F.try_element_at(out, F.lit(-1))
-        heading = F.concat_ws(" › ", *[F.nullif(x[f"h{k}"], F.lit("")) for k in (1, 2, 3)])
-        new = F.struct(x["section"].alias("section"), heading.alias("heading"), kind.alias("kind"), x["line"].alias("content"))
-        grown = F.struct(last["section"].alias("section"), last["heading"].alias("heading"), last["kind"].alias("kind"), F.concat(last["content"], F.lit("\n"), x["line"]).alias("content"))
-        same = (last["section"] == x["section"]) & (last["kind"] == kind)
-        return F.when(same, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(out, F.array(new)))
-
-    empty = F.array().cast("array<struct<section:int,heading:string,kind:string,content:string>>")
-    return F.aggregate(lines, empty, step)
+        marks, title = F.length(F.regexp_extract(line, HEADING, 1)), F.trim(F.regexp_extract(line, HEADING, 2))
+        level = lambda k: F.when(marks == k, title).when(marks < k, F.lit("")).otherwise(at[f"h{k}"]).alias(f"h{k}")
+        return let(F.struct(level(1), level(2), level(3)), lambda now: F.struct(now["h1"].alias("h1"), now["h2"].alias("h2"), now["h3"].alias("h3"), F.concat(at["out"], F.array(F.concat_ws(" › ", *[F.nullif(now[f"h{k}"], F.lit("")) for k in (1, 2, 3)]))).alias("out")))
+
+    start = F.struct(*[F.lit("").alias(f"h{k}") for k in (1, 2, 3)], F.array(F.lit("")).alias("out"))
+    return F.aggregate(headings, start, step, lambda at: at["out"])
+
+
+def _sections(c: Column) -> Column:
+    """heading, lines of each section of a Markdown text: what lies between two headings of level 1 to 3."""
+    lines = F.split(F.regexp_replace(text(c), r"\r\n?|[\x0B\x0C\x85\u2028\u2029]", "\n"), "\n")
+
+    def cut(x: Column) -> Column:
+        at, bounds = x["at"], F.concat(F.array(F.lit(-1)), x["at"], F.array(F.size(x["lines"])))
+        trails = _trails(F.transform(at, lambda i: F.get(x["lines"], i)))
+        one = lambda y: lambda k: F.struct(F.get(y["trails"], k).alias("heading"), F.slice(x["lines"], F.get(y["bounds"], k) + 2, F.get(y["bounds"], k + 1) - F.get(y["bounds"], k) - 1).alias("lines"))
+        return let(F.struct(trails.alias("trails"), bounds.alias("bounds")), lambda y: F.transform(F.sequence(F.lit(0), F.size(at)), one(y)))
+
+    return let(lines, lambda x: let(F.struct(x.alias("lines"), _places(x, lambda i: F.get(x, i).rlike(HEADING)).alias("at")), cut))
+
+
+def _blocks(sections: Column) -> Column:
+    """Runs of table lines and of other lines within each section: heading, kind, content."""
+
+    def cut(section: Column) -> Column:
+        lines = section["lines"]
+        table = lambda i: F.startswith(F.ltrim(F.get(lines, i)), F.lit("|"))
+        starts = _places(lines, lambda i: (i == 0) | (table(i) != table(F.greatest(i - 1, F.lit(0)))))
+        one = lambda y: lambda k: F.struct(section["heading"].alias("heading"), F.when(table(F.get(y, k)), "table").otherwise("text").alias("kind"), F.array_join(F.slice(lines, F.get(y, k) + 1, F.get(y, k + 1) - F.get(y, k)), "\n").alias("content"))
+        none = F.array().cast("array<struct<heading:string,kind:string,content:string>>")
+        return let(F.concat(starts, F.array(F.size(lines))), lambda y: F.when(F.size(y) > 1, F.transform(F.sequence(F.lit(0), F.size(y) - 2), one(y))).otherwise(none))
+
+    return F.flatten(F.transform(sections, cut))
 
 
 def _pieces(content: Column, size: int) -> Column:
