@@ -4,12 +4,13 @@ Every document of a source has the same expected number of copies: the target of
 its source. The whole part is certain. The fractions are rounded by the pivotal method: two documents trade
 probability, measured in words so that the sum of words does not change, in a random direction and until one of them
 is 0 or 1; the other goes on. A node of the reduction tree does this for at most about NODE documents of one source,
-largest first, and hands the one document that is left to its parent. The words that a source takes differ from its
-target by the rounding of the last document at the root alone; what that adds or lacks is made up for, largest first,
-by other documents of the root, so small sources come near their targets too.
+largest first, and hands the one document that is left to its parent, with settled ones of all sizes as spares. The
+words that a source takes differ from its target by the rounding of the last document at the root alone; what that adds
+or lacks is made up for, largest first, by other documents of the root, so small sources come near their targets too.
 
-Nodes are buckets of a hash, so a source with a third of all rows has many of them; the depth is the logarithm of the
-largest source to the base NODE. Every level is one shuffle of the rows that are still open.
+Nodes are buckets of a hash, so a source with a third of all rows has many of them; the depth of a source is the
+logarithm of its own size to the base NODE, and a source that fits one node has its root there, whatever the others
+have. Every level is one shuffle of the rows that go on: one and the spares for each node.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 from .common import materialize, per_text, small_batches, text_blocks, word_starts
 
 NODE = 2048
+#: Settled documents that the children of a node hand to it, about; each child hands one at least.
+SPARES = 512
 WEIGHTS = (1, 2, 3)
 LIMIT = 3
 
-ROWS = "doc_id long, source string, size long, source_size long, target double, base long, p double, node long, open boolean"
+ROWS = "doc_id long, source string, size long, source_size long, target double, base long, p double, node long, nodes long, up boolean"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -90,23 +93,28 @@ def make_up(p: np.ndarray, size: np.ndarray, excess: float) -> None:
             p[j], excess = 1 - p[j], excess + change
 
 
-def _level(rows: DataFrame, seed: int, depth: int, last: bool) -> DataFrame:
-    def node(pdf: pd.DataFrame) -> pd.DataFrame:
+def _level(rows: DataFrame, seed: int, depth: int, node: int) -> DataFrame:
+    """Rounds each node; up is whether a row goes on to the parent, which a root has not."""
+
+    def rounded(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         p, size = pdf["p"].to_numpy(np.float64).copy(), pdf["size"].to_numpy(np.float64)
-        first = pdf["doc_id"].iloc[0]
+        first, nodes = pdf["doc_id"].iloc[0], int(pdf["nodes"].iloc[0])
         draws = np.random.default_rng([seed, depth, int(pdf["node"].iloc[0]), 0 if pd.isna(first) else int(first) & (2**63 - 1)]).random(len(p))
         left = pivot(p, size, draws)
-        if last:
+        up = np.zeros(len(p), bool)
+        if nodes == 1:
             asked = p[left]
             p[left] = float(asked >= 0.5)
             make_up(p, size, (p[left] - asked) * size[left])
-        pdf["p"] = p
-        pdf["open"] = False
-        pdf.loc[left, "open"] = not last
+        else:
+            spares = max(1, SPARES // min(node, nodes))
+            up[np.linspace(0, len(p) - 1, min(spares, len(p))).astype(np.int64)] = True
+            up[[left, -1]] = True  # the shortest one comes nearest
+        pdf["p"], pdf["up"] = p, up
         return pdf
 
-    return rows.groupBy("source", "node").applyInPandas(node, ROWS)
+    return rows.groupBy("source", "node").applyInPandas(rounded, ROWS)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: int = 20, node: int = NODE) -> DataFrame:
@@ -122,21 +130,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
     shares = shares.select(F.col("source").alias("_source"), "source_size", "target", "n")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = sized.join(shares, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", F.least(copies, F.lit(float(limit))))
+    nodes = F.ceil(F.col("n") / F.lit(node)).cast("long")
     rows = rows.select(
         "doc_id", "source", "size", "source_size", "target", F.floor("copies").cast("long").alias("base"), (F.col("copies") - F.floor("copies")).alias("p"),
-        F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.ceil(F.col("n") / F.lit(node)).cast("long")).alias("node"),
+        F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), nodes).alias("node"), nodes.alias("nodes"),
     )
     open_ = (F.col("size") > 0) & (F.col("p") > 0)
-    done = [rows.filter(~open_).withColumn("p", F.lit(0.0)).withColumn("open", F.lit(False))]
-    rows = rows.filter(open_).withColumn("open", F.lit(True))
+    done = [rows.filter(~open_).withColumn("p", F.lit(0.0)).withColumn("up", F.lit(False))]
+    rows = rows.filter(open_).withColumn("up", F.lit(True))
     depth = 0
     while True:
-        last = deepest == 1
-        level = materialize(_level(rows, seed, depth, last), f"level{depth}")
-        done.append(level.filter(~F.col("open")))
-        if last:
+        level = materialize(_level(rows, seed, depth, node), f"level{depth}")
+        done.append(level.filter(~F.col("up")))
+        if deepest == 1:
             break
-        rows = level.filter("open").withColumn("node", F.floor(F.col("node") / F.lit(node)).cast("long"))
+        rows = level.filter("up").withColumn("node", F.floor(F.col("node") / F.lit(node)).cast("long")).withColumn("nodes", F.ceil(F.col("nodes") / F.lit(node)).cast("long"))
         deepest, depth = math.ceil(deepest / node), depth + 1
     out = done[0]
     for x in done[1:]:

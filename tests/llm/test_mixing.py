@@ -63,6 +63,14 @@ def test_many_nodes_keep_the_sum(spark):
         assert abs(taken - target) <= 8
 
 
+def test_long_texts_beside_a_hot_source_are_made_up_for(spark):
+    """Sources of one node and of several, each with one very long text; other words come one text at a time."""
+    docs = spark.range(5300).selectExpr("id AS doc_id", "CASE WHEN id < 5000 THEN 'hot' WHEN id < 5200 THEN 'small' ELSE 'third' END AS source", "repeat('w ', CASE WHEN id IN (17, 5100) THEN 5001 ELSE cast(11 + id % 40 AS int) END) AS text")
+    for seed in range(4):
+        for taken, target in check(mixing.mix(docs, seed=seed).collect(), docs.collect()).values():
+            assert abs(taken - target) <= 51
+
+
 def test_edge_cases(edge_docs):
     rows = mixing.mix(edge_docs).collect()
     check(rows, edge_docs.collect())
