@@ -14,7 +14,7 @@ from gleaner.llm.common import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or unlike every language learned, go."""
+    """Documents without a letter, or unlike every language learned, go; those of a few words go if unlike by sign only."""
     return langid.keep_languages(docs, langid.fit(docs.filter(langid.fold("doc_id", 4) != 2)))
 
 

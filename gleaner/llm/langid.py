@@ -27,8 +27,11 @@ DIMENSIONS = 1024
 N = 3
 #: Most training documents that the prototypes are fitted on, about: a hash of doc_id picks that share.
 FIT_DOCUMENTS = 50_000
-#: A text whose best cosine is not above this is rejected by the pipeline's stage.
-LEAST_SCORE = 0.0
+#: A text whose best cosine is not above this is rejected by the pipeline's stage. Cosines of a text that has no n-gram of a
+#: language vary by 1 / sqrt(DIMENSIONS) around 0, whatever its length; clean texts with JUDGED n-grams start at about 0.14.
+LEAST_SCORE = 4.5 / DIMENSIONS**0.5
+#: Texts with fewer different n-grams, of some three words, have cosines like noise even if clean; they go at 0 only.
+JUDGED = 16
 
 
 @lru_cache(1 << 16)
@@ -68,8 +71,11 @@ def grams(text: str) -> np.ndarray:
     return sum(codes[i : len(codes) - N + 1 + i] << (21 * i) for i in range(N))
 
 
-def bundles(texts: list[str], dimensions: int = DIMENSIONS, most: int = 1 << 17) -> np.ndarray:
-    """A row per text: the sum of its n-gram vectors, zero without a letter. Works on runs of texts with about `most` n-grams."""
+def bundles(texts: list[str], dimensions: int = DIMENSIONS, most: int = 1 << 17, different: np.ndarray | None = None) -> np.ndarray:
+    """A row per text: the sum of its n-gram vectors, zero without a letter. Works on runs of texts with about `most` n-grams.
+
+    The number of different n-grams of each text is written to `different`, if given.
+    """
     out = np.zeros((len(texts), dimensions), np.float32)
     held: list[tuple[int, np.ndarray, np.ndarray]] = []
     total = 0
@@ -93,6 +99,8 @@ def bundles(texts: list[str], dimensions: int = DIMENSIONS, most: int = 1 << 17)
         if len(found):
             codes, counts = np.unique(found, return_counts=True)
             held.append((i, codes, counts))
+            if different is not None:
+                different[i] = len(codes)
             total += len(codes)
             if total >= most or len(held) >= 256:
                 flush()
@@ -138,12 +146,18 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     score is the cosine with the best prototype, 0 at least and 1 at most. Null texts and texts without a letter are
     `und` with score 0, as is everything if there are no prototypes. On a tie the language that sorts first wins.
     """
+    return _scored(docs, prototypes, id_col, text_col).drop("different")
+
+
+def _scored(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """predict(), and the number of different n-grams."""
     names = sorted(prototypes)
     matrix = np.stack([prototypes[k] for k in names]).astype(np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)
 
     def each(batches):
         for batch in batches:
-            vectors = directions(bundles([x or "" for x in batch.column(1).to_pylist()]))
+            different = np.zeros(len(batch), np.int64)
+            vectors = directions(bundles([x or "" for x in batch.column(1).to_pylist()], different=different))
             if names:
                 cosines = vectors @ matrix.T
                 best = cosines.argmax(1)
@@ -152,9 +166,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
                 scores = np.clip(cosines[np.arange(len(best)), best].astype(np.float64), 0, 1)
             else:
                 langs, scores = np.full(len(vectors), "und", dtype=object), np.zeros(len(vectors))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame({"doc_id": batch.column(0).to_pandas(integer_object_nulls=True), "lang_pred": langs, "score": scores}), schema=pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())]), preserve_index=False)
+            yield pa.RecordBatch.from_pandas(pd.DataFrame({"doc_id": batch.column(0).to_pandas(integer_object_nulls=True), "lang_pred": langs, "score": scores, "different": different}), schema=pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("different", pa.int64())]), preserve_index=False)
 
-    return small_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).mapInArrow(each, "doc_id long, lang_pred string, score double")
+    return small_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).mapInArrow(each, "doc_id long, lang_pred string, score double, different long")
 
 
 def fold(id_col: str, folds: int) -> F.Column:
@@ -164,7 +178,9 @@ def fold(id_col: str, folds: int) -> F.Column:
 def keep_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs whose language is found with a cosine above `least`, with all their columns.
 
+    Texts with fewer than JUDGED different n-grams need a cosine above 0.
     Rows that repeat an id go if any of them is rejected. The rejected ids, few, are what the texts are joined with.
     """
-    out = predict(docs, prototypes).filter((F.col("lang_pred") == "und") | (F.col("score") <= least)).select("doc_id").distinct()
+    needed = F.when(F.col("different") < JUDGED, F.lit(0.0)).otherwise(F.lit(float(least)))
+    out = _scored(docs, prototypes).filter((F.col("lang_pred") == "und") | (F.col("score") <= needed)).select("doc_id").distinct()
     return without(docs, "doc_id", out)

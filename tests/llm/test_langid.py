@@ -48,6 +48,21 @@ def test_edge_cases(edge_docs, no_docs):
     assert left.columns == edge_docs.columns and {r.doc_id for r in left.collect()} == {1, 4, 6, 7, 8, 9, 11}
 
 
+def test_unlearned_scripts_go_and_clean_short_texts_stay(spark, middle_dir):
+    rng = np.random.default_rng(3)
+    scripts = ["абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "אבגדהוזחטיכלמנסעפצקרשת", "abcdefghijklmnopqrstuvwxyz"]
+    unlike = []
+    for letters in scripts:
+        words = ["".join(rng.choice(list(letters), int(k))) for k in rng.integers(2, 10, 400)]
+        unlike += [" ".join(words[min(int(k), 399)] for k in rng.exponential(40, int(n))) for n in rng.integers(30, 300, 50)]
+    docs = spark.read.parquet(f"{middle_dir}/documents.parquet")
+    prototypes = langid.fit(docs.filter(langid.fold("doc_id", 4) != 2))
+    made = spark.createDataFrame(list(enumerate(unlike)), "doc_id long, text string")
+    assert langid.keep_languages(made, prototypes).count() <= 0.01 * len(unlike)
+    clean = {d.doc_id for d in docs.collect() if d.text and len(langid.grams(d.text))}
+    assert {r.doc_id for r in langid.keep_languages(docs, prototypes).collect()} == clean
+
+
 def test_nothing_to_learn_from(spark, no_docs):
     assert langid.fit(no_docs) == {}
     rows = langid.predict(spark.createDataFrame([(1, "text"), (None, None)], "doc_id long, text string"), {}).collect()
