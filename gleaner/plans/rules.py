@@ -226,7 +226,8 @@ def rule_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def equation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with an equation in the middle of their text: found again and checked."""
     pick = F.element_at(F.array(*[F.lit(e) for _, e in EQUATIONS]), (F.col("doc_id") % len(EQUATIONS) + 1).cast("int"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 200), F.lit(": "), pick, F.lit(". "), F.substring("text", 201, 200)).alias("t"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", F.lit(1), half), F.lit(": "), pick, F.lit(". "), F.substring("text", half + 1, F.length("text"))).alias("t"))
     return R.reaction_results(rows, "doc_id", "t")
 
 

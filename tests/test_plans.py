@@ -18,6 +18,14 @@ def test_runs_and_has_rows(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 
 
+def test_equation_search_reads_whole_texts(spark, tmp_path):
+    """Document 0 gets a balanced equation, document 1 an unbalanced one; document 12 has an unbalanced one of its own far behind."""
+    rows = [(0, "word " * 300), (1, "word " * 300), (12, "word " * 250 + "H2 + O2 -> H2O. " + "word " * 50)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.state for r in QUERIES["equation_search"](spark, str(tmp_path)).collect()}
+    assert got == {0: "pass", 1: "fail", 12: "fail"}
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
