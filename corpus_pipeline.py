@@ -7,7 +7,8 @@ the columns of documents; the mixing stage repeats a document as often as the mi
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from gleaner.llm import exact_dedup, langid, merge_dropout, minhash, mixing
 from gleaner.llm.common import materialize
@@ -31,8 +32,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens, ids_crc32, decoded_sha256, lossless."""
-    return merge_dropout.round_trip(docs, str(public_tokenizers.path("piece_bpe_32k.model")))
+    """doc_id, ids, n_tokens, ids_crc32, decoded_sha256, lossless. Each copy of a document is segmented on its own."""
+    alike = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    numbered = docs.select("doc_id", "text", (F.row_number().over(alike) - 1).alias("copy"))
+    return merge_dropout.round_trip(numbered, str(public_tokenizers.path("piece_bpe_32k.model")), copy_col="copy")
 
 
 STAGES = [

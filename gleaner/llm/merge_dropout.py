@@ -4,10 +4,11 @@ Adjacent symbols whose concatenation is a piece are candidate merges. An agenda
 the leftmost of equals. Each candidate is skipped, for good, if the keyed hash of its place in the segment falls below
 the dropout rate; so rate 0 gives the plain segmentation, and higher rates other segmentations made of merges. A piece
 never has a space mark after other characters nor a line feed, so a text is cut there into segments that are encoded on
-their own. The key of a segment is its content and one of VARIANTS variants, drawn for each place of each document
-from the seed: equal segments share their work, and reruns agree.
+their own. The key of a segment is its content and a number of VARIANTS, drawn for each place of each document (and copy
+of it) from the seed: every occurrence has a segmentation of its own, and reruns agree.
 
-Workers encode batches of unseen segments at once, one merge in each per step; long segments go through a heap.
+Workers remember the plain segmentation of segments with the candidates it met. An occurrence that skips none of these has
+just that; all others are encoded anew, in batches, one merge in each per step; long segments go through a heap.
 Decoding joins pieces and bytes and is lossless for every text: characters without a piece, and literal space marks, are
 written as their UTF-8 bytes.
 """
@@ -29,10 +30,11 @@ from .common import mix64, small_batches, unit
 
 RATE = 0.1
 SEED = 6
-VARIANTS = 4
+#: So many that each place of each document has a key of its own.
+VARIANTS = 1 << 62
 #: Characters up to which segments are encoded in batches.
 SHORT = 48
-#: Segments whose ids a worker remembers.
+#: Segments whose plain ids a worker remembers.
 REMEMBERED = 300_000
 MARK = "▁"
 
@@ -134,18 +136,30 @@ def codes_of(segments: list[str]) -> np.ndarray:
     return np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def segment_keys(codes: np.ndarray, sizes: np.ndarray, variants: np.ndarray, seed: int) -> np.ndarray:
-    """A key for each segment, from its characters with their places, its variant and the seed."""
+def contents(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each segment's characters with their places."""
     first = np.cumsum(sizes) - sizes
     place = (np.arange(len(codes)) - np.repeat(first, sizes)).astype(np.uint64)
-    sums = np.add.reduceat(mix64(codes.astype(np.uint64) + ((place + np.uint64(1)) << np.uint64(32))), first)
-    return mix64(sums ^ mix64(variants.astype(np.uint64) + np.uint64(seed << 8)))
+    return np.add.reduceat(mix64(codes.astype(np.uint64) + ((place + np.uint64(1)) << np.uint64(32))), first)
+
+
+def keyed(content: np.ndarray, variants: np.ndarray, seed: int) -> np.ndarray:
+    return mix64(content ^ mix64(variants.astype(np.uint64) + np.uint64(seed << 8)))
+
+
+def segment_keys(codes: np.ndarray, sizes: np.ndarray, variants: np.ndarray, seed: int) -> np.ndarray:
+    """A key for each segment, from its characters with their places, its variant and the seed."""
+    return keyed(contents(codes, sizes), variants, seed)
+
+
+def spans(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the merge of [start, middle) and [middle, end)."""
+    return mix64(start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + middle.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + end.astype(np.uint64) * np.uint64(0x165667B19E3779F9))
 
 
 def skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, rate: float) -> np.ndarray:
     """Whether the merge of [start, middle) and [middle, end) of the segment with the key is skipped."""
-    place = mix64(start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + middle.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + end.astype(np.uint64) * np.uint64(0x165667B19E3779F9))
-    return unit(mix64(key ^ place)) < rate
+    return unit(mix64(key ^ spans(start, middle, end))) < rate
 
 
 def encode_long(v: Vocabulary, segment: str, key: int, rate: float) -> list[int]:
@@ -177,8 +191,11 @@ def encode_long(v: Vocabulary, segment: str, key: int, rate: float) -> list[int]
     return v.spell(s for s, a in zip(symbols, alive, strict=True) if a)
 
 
-def encode_short(v: Vocabulary, codes: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Many segments at once: (all ids, ids of each segment). Every step merges the best candidate of each segment that has one."""
+def encode_short(v: Vocabulary, codes: np.ndarray, sizes: np.ndarray, keys: np.ndarray | None, rate: float, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Many segments at once: (all ids, ids of each segment). Every step merges the best candidate of each segment that has one.
+
+    The segments and hashes of all candidates are appended to `met`, if given. Rate 0 needs no keys.
+    """
     symbols = v.char[codes]
     owner = np.repeat(np.arange(len(sizes)), sizes)
     start = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -192,6 +209,8 @@ def encode_short(v: Vocabulary, codes: np.ndarray, sizes: np.ndarray, keys: np.n
         i = at[fit]
         found = v.merge(symbols[i], symbols[i + 1])
         ok = found >= 0
+        if met is not None:
+            met.append((owner[i[ok]], spans(start[i[ok]], start[i[ok] + 1], end[i[ok] + 1])))
         if rate > 0:
             ok &= ~skipped(keys[owner[i]], start[i], start[i + 1], end[i + 1], rate)
         to[fit[ok]], value[fit[ok]] = found[ok], v.score[found[ok]]
@@ -232,59 +251,99 @@ def encode_short(v: Vocabulary, codes: np.ndarray, sizes: np.ndarray, keys: np.n
 
 
 class Encoder:
-    """Encodes documents. Segments are numbered as they come; the ids of each segment and variant that was asked for are kept in
-    one array, until more than `remembered` segments are known."""
+    """Encodes documents. Segments are numbered as they come; the plain ids of each, and the hashes of the candidates that lead
+    to them, are kept in one array each, until more than `remembered` segments are known."""
 
-    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, remembered: int = REMEMBERED):
-        self.v, self.rate, self.seed, self.variants, self.remembered = vocabulary(path), rate, seed, variants if rate > 0 else 1, remembered
+    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, remembered: int = REMEMBERED):
+        self.v, self.rate, self.seed, self.remembered = vocabulary(path), rate, seed, remembered
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.segments: list[str] = []
-        self.start, self.count = np.full(0, -1, np.int64), np.zeros(0, np.int32)
+        self.size, self.content = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.first, self.many = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.store, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def keep(self, places: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
-        self.store[self.used : self.used + len(ids)] = ids
-        self.start[places], self.count[places] = self.used + np.cumsum(counts) - counts, counts
-        self.used += len(ids)
-
-    def learn(self, places: np.ndarray) -> None:
-        """places: number * variants + variant of pairs that are not known yet."""
-        numbers, variants = places // self.variants, places % self.variants
-        wanted = [self.segments[i] for i in numbers.tolist()]
-        sizes = np.fromiter(map(len, wanted), np.int64, len(wanted))
+        self.met, self.held = np.zeros(1 << 16, np.uint64), 0
+
+    @staticmethod
+    def put(store: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+        """store with the values from `at` on, made larger if need be."""
+        while at + len(values) > len(store):
+            store = np.concatenate([store, np.zeros_like(store)])
+        store[at : at + len(values)] = values
+        return store
+
+    def learn(self, new: list[str]) -> None:
+        """Numbers segments that are not known yet. With dropout, long ones are not worth remembering."""
+        base, n = len(self.segments), len(new)
+        self.number.update(zip(new, range(base, base + n), strict=True))
+        self.segments += new
+        sizes = np.fromiter(map(len, new), np.int64, n)
+        self.size, self.content = np.r_[self.size, sizes], np.r_[self.content, contents(codes_of(new), sizes)]
+        self.start, self.count, self.first, self.many = (np.r_[x, np.zeros(n, np.int64)] for x in (self.start, self.count, self.first, self.many))
         short = np.flatnonzero(sizes <= SHORT)
         for a in range(0, len(short), 20_000):
             part = short[a : a + 20_000]
-            codes = codes_of([wanted[i] for i in part.tolist()])
-            keys = segment_keys(codes, sizes[part], variants[part], self.seed)
-            self.keep(places[part], *encode_short(self.v, codes, sizes[part], keys, self.rate))
-        for i in np.flatnonzero(sizes > SHORT).tolist():
-            key = segment_keys(codes_of([wanted[i]]), sizes[i : i + 1], variants[i : i + 1], self.seed)
-            ids = np.array(encode_long(self.v, wanted[i], int(key[0]), self.rate), np.uint32)
-            self.keep(places[i : i + 1], ids, np.array([len(ids)]))
-
-    def known(self, segments: list[str], pick: np.ndarray) -> np.ndarray:
-        """The place of each segment in its variant."""
+            met: list | None = [] if self.rate > 0 else None
+            ids, counts = encode_short(self.v, codes_of([new[i] for i in part.tolist()]), sizes[part], None, 0.0, met)
+            self.store = self.put(self.store, self.used, ids)
+            self.start[base + part], self.count[base + part] = self.used + np.cumsum(counts) - counts, counts
+            self.used += len(ids)
+            if met:
+                owner, hashes = (np.concatenate(x) for x in zip(*met, strict=True))
+                many = np.bincount(owner, minlength=len(part))
+                self.met = self.put(self.met, self.held, hashes[np.argsort(owner, kind="stable")])
+                self.first[base + part], self.many[base + part] = self.held + np.cumsum(many) - many, many
+                self.held += len(hashes)
+        for i in np.flatnonzero(sizes > SHORT).tolist() if self.rate <= 0 else ():
+            ids = np.array(encode_long(self.v, new[i], 0, 0.0), np.uint32)
+            self.store = self.put(self.store, self.used, ids)
+            self.start[base + i], self.count[base + i] = self.used, len(ids)
+            self.used += len(ids)
+
+    def known(self, segments: list[str]) -> np.ndarray:
+        """The number of each segment."""
         if len(self.number) > self.remembered:
             self.forget()
-        new = set(segments).difference(self.number)
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-        self.segments += new
-        grown = len(self.number) * self.variants - len(self.start)
-        self.start, self.count = np.r_[self.start, np.full(grown, -1)], np.r_[self.count, np.zeros(grown, np.int32)]
-        places = np.fromiter(map(self.number.__getitem__, segments), np.int64, len(segments)) * self.variants + pick
-        missing = np.unique(places[self.start[places] < 0])
-        if len(missing):
-            self.learn(missing)
-        return places
-
-    def encode(self, texts: list[str], keys: list[int | None], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-        """All ids (uint32) one after another, and the number of ids of each text. keys: ids of the documents, which pick the variants."""
+        new = list(set(segments).difference(self.number))
+        if new:
+            self.learn(new)
+        return np.fromiter(map(self.number.__getitem__, segments), np.int64, len(segments))
+
+    def other(self, numbers: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Which occurrences may differ from the plain segmentation: those that skip a candidate of it, and long ones."""
+        out = self.size[numbers] > SHORT
+        for a in range(0, len(numbers), 1 << 16):
+            at = numbers[a : a + (1 << 16)]
+            many = self.many[at]
+            ends = np.cumsum(many)
+            hashes = self.met[np.repeat(self.first[at] - ends + many, many) + np.arange(ends[-1])]
+            skips = np.r_[0, np.cumsum(unit(mix64(np.repeat(keys[a : a + (1 << 16)], many) ^ hashes)) < self.rate)]
+            out[a : a + (1 << 16)] |= skips[ends] > skips[ends - many]
+        return np.flatnonzero(out)
+
+    def dropped(self, segments: list[str], numbers: np.ndarray, keys: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        """Encodes these occurrences anew. Their ids lie behind those that are remembered, until the next segments come."""
+        end = self.used
+        sizes = self.size[numbers]
+        short = np.flatnonzero(sizes <= SHORT)
+        for a in range(0, len(short), 20_000):
+            part = short[a : a + 20_000]
+            ids, counts = encode_short(self.v, codes_of([segments[i] for i in part.tolist()]), sizes[part], keys[part], self.rate)
+            self.store = self.put(self.store, end, ids)
+            start[part], count[part] = end + np.cumsum(counts) - counts, counts
+            end += len(ids)
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            ids = np.array(encode_long(self.v, segments[i], int(keys[i]), self.rate), np.uint32)
+            self.store = self.put(self.store, end, ids)
+            start[i], count[i] = end, len(ids)
+            end += len(ids)
+
+    def encode(self, texts: list[str], keys: list[int | None], most: int = 1 << 20, copies: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (uint32) one after another, and the number of ids of each text. keys: ids of the documents; copies: which copy of
+        its document, from 0 on, each text is. Both pick the variants."""
         ids, counts = [], []
         row = 0
         while row < len(texts):
@@ -300,11 +359,20 @@ class Encoder:
             n = np.array(sizes, np.int64)
             place = np.arange(len(segments)) - np.repeat(np.cumsum(n) - n, n)
             own = mix64(np.array([(k or 0) & (2**64 - 1) for k in keys[first:row]], np.uint64) + np.uint64(self.seed))
-            pick = (mix64((place + 1).astype(np.uint64) + np.repeat(own, n)) % np.uint64(self.variants)).astype(np.int64)
-            at = self.known(segments, pick)
-            each = self.count[at].astype(np.int64)
+            if copies is not None:
+                copy = np.array(copies[first:row], np.uint64)
+                own = np.where(copy > 0, mix64(own ^ mix64(copy)), own)
+            at = self.known(segments)
+            start, each = self.start[at], self.count[at]
+            if self.rate > 0 and len(at):
+                pick = (mix64((place + 1).astype(np.uint64) + np.repeat(own, n)) % np.uint64(VARIANTS)).astype(np.int64)
+                key = keyed(self.content[at], pick, self.seed)
+                other = self.other(at, key)
+                s, c = start[other], each[other]
+                self.dropped([segments[i] for i in other.tolist()], at[other], key[other], s, c)
+                start[other], each[other] = s, c
             ends = np.cumsum(each)
-            ids.append(self.store[np.repeat(self.start[at] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)])
+            ids.append(self.store[np.repeat(start - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)])
             upto = np.r_[0, ends][np.r_[0, np.cumsum(n)]]
             counts.append(np.diff(upto))
         return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate(counts) if counts else np.zeros(0, np.int64)
@@ -319,27 +387,28 @@ def worker_encoder(path: str, rate: float, seed: int) -> Encoder:
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, seed: int = SEED) -> DataFrame:
     """doc_id, ids (array of int), text_sha256 of every row of docs; each worker has to find the model at the path.
 
-    Null text counts as empty and has no ids. A null id picks the variants of id 0. Other columns are ignored.
+    Null text counts as empty and has no ids. A null id picks the variants of id 0. Rows that repeat an id and a text are alike. Other columns are ignored.
     """
     return _encoded(docs, model_path, id_col, text_col, rate, seed, check=False)
 
 
-def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, seed: int = SEED) -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, seed: int = SEED, copy_col: str | None = None) -> DataFrame:
     """doc_id, ids, n_tokens, ids_crc32, decoded_sha256, lossless: encode() and decode() in one pass over the texts.
 
     The ids of each document are decoded again and the digest of the outcome is compared with that of the text. Nulls as in encode().
+    copy_col numbers the copies of a document from 0 on, so that each has segmentations of its own; without it all are alike.
     """
-    return _encoded(docs, model_path, id_col, text_col, rate, seed, check=True)
+    return _encoded(docs, model_path, id_col, text_col, rate, seed, check=True, copy_col=copy_col)
 
 
-def _encoded(docs: DataFrame, model_path: str, id_col: str, text_col: str, rate: float, seed: int, check: bool) -> DataFrame:
+def _encoded(docs: DataFrame, model_path: str, id_col: str, text_col: str, rate: float, seed: int, check: bool, copy_col: str | None = None) -> DataFrame:
     def each(batches):
         encoder = worker_encoder(model_path, rate, seed)
         for batch in batches:
             for a in range(0, len(batch), 512):
                 keys = batch.column(0).slice(a, 512)
                 texts = [x or "" for x in batch.column(1).slice(a, 512).to_pylist()]
-                found, counts = encoder.encode(texts, keys.to_pylist())
+                found, counts = encoder.encode(texts, keys.to_pylist(), copies=batch.column(2).slice(a, 512).to_pylist())
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), pa.array(found.view(np.int32)))
                 shas = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
                 if check:
@@ -350,7 +419,8 @@ def _encoded(docs: DataFrame, model_path: str, id_col: str, text_col: str, rate:
                     yield pa.RecordBatch.from_arrays([keys, lists, pa.array(shas, pa.string())], ["doc_id", "ids", "text_sha256"])
 
     schema = "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean" if check else "doc_id long, ids array<int>, text_sha256 string"
-    return small_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).mapInArrow(each, schema)
+    copy = F.col(copy_col).cast("long") if copy_col else F.lit(0).cast("long")
+    return small_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), copy)).mapInArrow(each, schema)
 
 
 def _decoded(v: Vocabulary, lists: pa.Array) -> tuple[list[bytes], list[int], list[str]]:

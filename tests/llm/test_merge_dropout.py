@@ -74,6 +74,16 @@ def test_dropout_varies_and_reruns_agree(spark):
     assert len(one[0][1]) > len(md.encode(rows.limit(1), PATH, rate=0.0).first().ids)
 
 
+def test_a_word_has_more_than_a_few_segmentations():
+    """One word in 2,000 documents, and in copies of one document."""
+    encoder = md.Encoder(PATH, 0.3)
+    texts, one = ["internationalization"] * 2000, ["international considerations " * 20] * 3
+    ids, counts = encoder.encode(texts, list(range(2000)))
+    assert len({x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])}) > 50
+    ids, counts = encoder.encode(one, [7] * 3, copies=[0, 1, 2])
+    assert len({x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])}) == 3
+
+
 def check(rows, docs):
     for r, d in zip(sorted(rows, key=lambda r: r.doc_id), sorted(docs, key=lambda r: r.doc_id), strict=True):
         assert r.lossless and r.decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
