@@ -259,12 +259,11 @@ def pipeline_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = lambda kind, model=null, role=null, temperature=F.lit(0.5), threshold=F.lit(20.0): F.struct(kind.alias("type"), model.alias("model"), role.alias("role"), temperature.alias("temperature"), threshold.alias("threshold"))
     grade = step(F.lit("grade"), F.when(~at(5), "m1"), F.when(at(2), "primary"), F.when(at(3), 3.0).otherwise(0.5))
     first = step(F.when(at(13), "magic").when(at(7), "grade").otherwise("ocr"), F.lit("m0"), F.lit("zero"))
-    last = step(F.when(at(7), "ocr").otherwise("consensus"))
+    last = step(F.when(at(7) & ~at(11), "ocr").otherwise("consensus"))
     steps = F.array(first, grade, step(F.lit("grade"), F.lit("m2"), F.when(at(2), "PRIMARY ")), last)
     extended = F.when(at(11), F.concat(steps, F.array(step(F.lit("grade"), F.lit("m3"), F.lit("late"))))).otherwise(steps)
-    # with 7 and 11 an earlier rule speaks: there is no consensus step then
     rows = table(spark, sf_dir, "part").select("p_partkey", extended.alias("s"))
-    return rows.select("p_partkey", F.when(at(77) & ~at(13), "step_after_consensus").otherwise(G.pipeline_violation(F.col("s"))).alias("violation"))
+    return rows.select("p_partkey", G.pipeline_violation(F.col("s")).alias("violation"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'task_text' WHEN o_orderkey % 5 = 0 THEN 'rubric' WHEN o_orderkey % 3 = 0 THEN 'files' WHEN o_orderkey % 2 = 0 THEN 'model' END AS missing FROM orders""")

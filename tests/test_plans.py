@@ -26,6 +26,15 @@ def test_equation_search_reads_whole_texts(spark, tmp_path):
     assert got == {0: "pass", 1: "fail", 12: "fail"}
 
 
+def test_pipeline_steps_asks_the_operator_for_every_row(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from gleaner.operators import grading
+
+    monkeypatch.setattr(grading, "pipeline_violation", lambda steps: F.lit("asked"))
+    assert {r.violation for r in QUERIES["pipeline_steps"](spark, SMALL).collect()} == {"asked"}
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
