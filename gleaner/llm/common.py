@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The characters [\x20\x09-\x0D], as bytes.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -19,9 +21,11 @@ IS_SPACE[list(SPACES)] = True
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; an own one only where it is unset."""
+    """The shared folder that the session names in spark.checkpoint.dir; an own one only where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -52,9 +56,22 @@ def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
     return df
 
 
-def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose id is in the one column of ids; null equals null. Columns of docs may have any names."""
-    return docs.join(ids, docs[id_col].eqNullSafe(ids[ids.columns[0]]), "left_anti")
+def text_key(text_col: str) -> Column:
+    """Tells rows of one id with different texts apart."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def without(docs: DataFrame, id_col: str, text_col: str, marks: DataFrame, name: str) -> DataFrame:
+    """docs without the rows that marks name by id and text (columns id, key = text_key(), once): of rows with `once` set one stays,
+    the others go. Null ids equal each other. Columns of docs may have any names.
+
+    marks is written first, so Spark knows its size and sends it to all tasks if it is small, else joins by shuffle.
+    """
+    marks = materialize(marks.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "once"), name)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"))
+    rows = rows.join(marks, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left").select("row", "id", "key", "once")
+    repeated = rows.filter("once").groupBy("id", "key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return rows.filter("once IS NULL").select("row").unionByName(repeated.select("row")).select("row.*")
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,33 +132,30 @@ def unit(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-# Polynomial hashing of byte spans: with sums[i] the sum of value(byte j) * BASE ** j over j < i, the span [a, b) has
-# the hash (sums[b] - sums[a]) * BASE ** -a, all modulo 2 ** 64. BASE is odd, so it has an inverse.
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_powers: dict[int, np.ndarray] = {}
+#: Bytes up to which spans are hashed in steps of eight bytes, all at once; longer ones go one by one.
+_STEPPED = 512
+_SPAN = np.uint64(0xA0761D6478BD642F)
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    found = _powers.get(base)
-    if found is None or len(found) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length() if n > 1 else 1)
-        found = np.full(size, base, np.uint64)
-        found[0] = 1
-        found = np.cumprod(found, dtype=np.uint64)
-        if size <= 1 << 23:
-            _powers[base] = found
-    return found[:n]
+def span_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans' contents and lengths.
 
-
-def span_sums(text: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(_VALUES[text] * _power(_BASE, len(text)), out=sums[1:])
-    return sums
-
-
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans' contents, their lengths included."""
-    inverse = _power(_INVERSE, len(sums))
-    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    Each step mixes the next eight bytes into all bits, so no pattern of the bytes makes two spans collide, as
+    polynomials modulo 2 ** 64 do. Longer spans are hashed with BLAKE2b.
+    """
+    size = ends - starts
+    padded = np.zeros(len(text) + 8, np.uint8)
+    padded[: len(text)] = text
+    eight = np.ndarray(len(text) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    out = mix64(size.astype(np.uint64) * _SPAN + _SPAN)
+    live, at = np.flatnonzero((size > 0) & (size <= _STEPPED)), 0
+    while live.size:
+        chunk, left = eight[starts[live] + at], size[live] - at
+        last = np.flatnonzero(left < 8)
+        chunk[last] &= (np.uint64(1) << (left[last] * 8).astype(np.uint64)) - np.uint64(1)
+        out[live] = mix64(out[live] ^ chunk) + _SPAN
+        at += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > _STEPPED).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(text[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out

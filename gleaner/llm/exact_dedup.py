@@ -3,28 +3,27 @@
 Texts are compared without the characters [\\x20\\x09-\\x0D]. Each partition packs the 64-bit fingerprints of its
 texts into counting quotient filters, one for each range of the top bits. The filters of one range merge without
 loss, since quotient and remainder give the fingerprint back: their sorted remainders are merged and counts of equal
-ones added. Only fingerprints with a count above one go on to the verification, which groups their rows by the
-SHA-256 of all normalised bytes; rows whose fingerprint is single are done.
+ones added, in a tree of FAN_BITS bits a step. Only rows whose fingerprint has a count above one go on to the verification,
+which reads their texts again and groups them by all their bytes; rows whose fingerprint is single are done.
 
-Texts never leave the partition that reads them: rows of about 60 bytes are shuffled. A group of copies that holds a
-third of all rows arrives as one filter entry and one partial aggregate per partition; the joins that hand its result
-back to its rows have plain exchanges on both sides, which adaptive execution splits.
+A group of copies that holds a third of all rows arrives as one filter entry and one partial group per partition; the
+joins that hand its result back to its rows have plain exchanges on both sides, which adaptive execution splits.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialize, small_batches, utf8, without
+from .common import SPACES, materialize, text_key, without
 
-FINGERPRINTS_PER_RANGE = 1 << 16
+#: Bits by which a step of the merge cuts ranges, and partitions that it brings together.
+FAN_BITS = 6
 
 
 class CountingQuotientFilter:
@@ -97,68 +96,110 @@ def add_up(fingerprints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
     return fingerprints[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def normalised(text_col: str) -> Column:
+    return F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACES.decode(), "")
+
+
+def fingerprint(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id, the SHA-256 and a 64-bit fingerprint of the normalised text, and the code points of the original."""
+    """One row per document: _id, _key (of the original text), _sha and _fp (SHA-256 and a 64-bit fingerprint of the normalised text),
+    _points (code points of the original)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_key(text_col).alias("_key"), normalised(text_col).alias("_norm"), F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("_points"))
+    return rows.select("_id", "_key", F.sha2("_norm", 256).alias("_sha"), fingerprint(F.col("_norm")).alias("_fp"), "_points")
 
-    def each(batches):
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            data, offsets = utf8(texts)
-            raw = data.tobytes()
-            found = [hashlib.sha256(raw[a:b].translate(None, SPACES)).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            fingerprints = np.frombuffer(b"".join(x[:8] for x in found), ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.binary()), pa.array(fingerprints), pc.fill_null(pc.utf8_length(texts), 0).cast(pa.int64())], ["_id", "_sha", "_fp", "_points"])
 
-    return small_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).mapInArrow(each, "_id long, _sha binary, _fp long, _points long")
+def _split(found: np.ndarray, counts: np.ndarray, group: int, bits: int) -> pa.RecordBatch:
+    """A filter for each value of the top bits: group, top, filter."""
+    tops = (found >> np.uint64(64 - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.r_[True, tops[1:] != tops[:-1]])
+    blocks = [CountingQuotientFilter.build(found[a:b], counts[a:b], bits).to_bytes() for a, b in zip(cuts, np.r_[cuts[1:], len(found)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([group] * len(cuts), pa.int64()), pa.array(tops[cuts]), pa.array(blocks, pa.binary())], ["group", "top", "filter"])
 
 
-def repeated_fingerprints(digest_rows: DataFrame, prefix: int) -> DataFrame:
-    """The fingerprints that occur more than once, by merged counting quotient filters over 2 ** prefix ranges."""
+def repeated_fingerprints(digest_rows: DataFrame, fan_bits: int = FAN_BITS) -> DataFrame:
+    """_fp, _n of the fingerprints that occur more than once.
+
+    Each partition packs its fingerprints into filters of 2 ** fan_bits ranges. A step merges the filters of one range and of as many
+    partitions, and cuts the merged filter into as many finer ranges for the next step, until all partitions are merged. So a filter
+    holds as many fingerprints on every step, and their number grows with the rows alone.
+    """
+    partitions = digest_rows.rdd.getNumPartitions()
+    steps = 1
+    while 1 << (fan_bits * steps) < partitions:
+        steps += 1
 
     def build(batches):
-        found, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            new = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            found, counts = add_up(np.concatenate([found, new]), np.concatenate([counts, np.ones(len(new), np.int64)]))
-        if not len(found):
-            return
-        tops = (found >> np.uint64(64 - prefix)).astype(np.int64)
-        cuts = np.flatnonzero(np.r_[True, tops[1:] != tops[:-1]])
-        blocks = [CountingQuotientFilter.build(found[a:b], counts[a:b], prefix).to_bytes() for a, b in zip(cuts, np.r_[cuts[1:], len(found)], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(tops[cuts].astype(np.int32)), pa.array(blocks, pa.binary())], ["top", "filter"])
+        found, counts, new = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
 
-    def merge(key, table):
-        top = key[0].as_py()
-        found, counts = CountingQuotientFilter.merge([CountingQuotientFilter.from_bytes(x.as_py()) for x in table.column("filter")], top).entries(top)
-        return pa.table({"_fp": found[counts > 1].view(np.int64), "_n": counts[counts > 1]})
+        def packed():
+            both = np.concatenate([found, *new])
+            return add_up(both, np.concatenate([counts, np.ones(len(both) - len(found), np.int64)]))
 
-    return digest_rows.select("_fp").mapInArrow(build, "top int, filter binary").groupBy("top").applyInArrow(merge, "_fp long, _n long")
+        for batch in batches:
+            new.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            if sum(map(len, new)) > max(1 << 20, len(found)):
+                (found, counts), new = packed(), []
+        found, counts = packed()
+        if len(found):
+            yield _split(found, counts, TaskContext.get().partitionId() >> fan_bits, fan_bits)
+
+    def merge(last: bool, bits: int):
+        def each(key, table):
+            group, top = key[0].as_py(), key[1].as_py()
+            found, counts = CountingQuotientFilter.merge([CountingQuotientFilter.from_bytes(x.as_py()) for x in table.column("filter")], top).entries(top)
+            if last:
+                return pa.table({"_fp": found[counts > 1].view(np.int64), "_n": counts[counts > 1]})
+            return pa.Table.from_batches([_split(found, counts, group >> fan_bits, bits + fan_bits)])
+
+        return each
+
+    filters = digest_rows.select("_fp").mapInArrow(build, "group long, top long, filter binary")
+    for step in range(1, steps + 1):
+        last = step == steps
+        filters = filters.groupBy("group", "top").applyInArrow(merge(last, fan_bits * step), "_fp long, _n long" if last else "group long, top long, filter binary")
+    return filters
+
+
+def _groups(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_sha, _size, _best (p, u, i, key: the row that stays) of every text that several rows have.
+
+    Only rows whose fingerprint is repeated are read again. They are grouped by their normalised texts themselves, with partial
+    groups before the shuffle, so a group's text is sent once by each partition that has it.
+    """
+    again = materialize(repeated_fingerprints(rows).select("_fp"), "fingerprints")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_key(text_col).alias("_key"), normalised(text_col).alias("_norm"), F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("_points"))
+    suspects = texts.withColumn("_fp", fingerprint(F.col("_norm"))).join(again, "_fp", "left_semi")
+    best = F.min(F.struct((-F.col("_points")).alias("p"), F.col("_id").isNull().alias("u"), F.col("_id").alias("i"), F.col("_key").alias("key")))
+    groups = suspects.groupBy("_fp", "_norm").agg(best.alias("_best"), F.count("*").alias("_size")).filter("_size > 1")
+    return materialize(groups.select(F.sha2("_norm", 256).alias("_sha"), "_size", "_best"), "copies")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty, and all empty texts equal each other. Of equal texts the row with the most code points
-    stays, then the smallest id (null last). Rows that repeat an id with equal text are one document stored twice:
-    both carry the same decision. An empty table gives no rows. Other columns of docs are ignored.
+    stays, then the smallest id (null last). kept tells whether a row has the id that stays; rows that repeat an id with equal text
+    are one document stored twice and carry the same decision. An empty table gives no rows. Other columns of docs are ignored.
     """
     rows = materialize(digests(docs, id_col, text_col), "digests")
-    prefix = max(6, (rows.count() // FINGERPRINTS_PER_RANGE).bit_length())
-    suspects = rows.join(repeated_fingerprints(rows, prefix).select("_fp"), "_fp", "left_semi")
-    best = F.min(F.struct((-F.col("_points")).alias("p"), F.col("_id").isNull().alias("u"), F.col("_id").alias("i")))
-    groups = materialize(suspects.groupBy("_sha").agg(best.alias("_best"), F.count("*").alias("_size")), "copies")
-    groups = groups.select("_sha", "_size", F.col("_best.i").alias("_keep"))
+    groups = _groups(docs, rows, id_col, text_col).select("_sha", "_size", F.col("_best.i").alias("_keep"))
     return rows.join(groups, "_sha", "left").select(
         F.col("_id").alias("doc_id"),
         F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
         F.when(F.col("_size").isNull(), F.lit(True)).otherwise(F.col("_id").eqNullSafe(F.col("_keep"))).alias("kept"),
-        F.lower(F.hex("_sha")).alias("text_sha256"),
+        F.col("_sha").alias("text_sha256"),
     )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows with a null id that has copies are dropped with them."""
-    decided = exact_dedup(docs, id_col, text_col)
-    dropped = decided.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return without(docs, id_col, dropped)
+    """docs with one row of each text, with all their columns: of a document that is stored twice one row stays, and another text with the
+    same id is a document of its own. Rows with a null id that has copies are dropped with them. No rows give no rows."""
+    rows = materialize(digests(docs, id_col, text_col), "digests")
+    groups = _groups(docs, rows, id_col, text_col).select("_sha", "_best")
+    stays = F.col("_best.i").eqNullSafe(F.col("_id")) & (F.col("_best.key") == F.col("_key"))
+    marks = rows.join(groups, "_sha").groupBy(F.col("_id").alias("id"), F.col("_key").alias("key")).agg(F.max(stays).alias("once"), F.count("*").alias("n"))
+    return without(docs, id_col, text_col, marks.filter("NOT once OR n > 1"), "exact")

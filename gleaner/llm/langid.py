@@ -16,12 +16,11 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, without
+from .common import mix64, small_batches, text_key, without
 
 DIMENSIONS = 1024
 N = 3
@@ -144,13 +143,14 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     """doc_id, lang_pred, score for every row of docs; the other columns are ignored.
 
     score is the cosine with the best prototype, 0 at least and 1 at most. Null texts and texts without a letter are
-    `und` with score 0, as is everything if there are no prototypes. On a tie the language that sorts first wins.
+    `und` with score 0, as is everything if there are no prototypes. On a tie the language that sorts first wins. Rows that repeat an id
+    or a text each have a row with the same result; no rows give no rows.
     """
-    return _scored(docs, prototypes, id_col, text_col).drop("different")
+    return _scored(docs, prototypes, id_col, text_col).drop("key", "different")
 
 
 def _scored(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """predict(), and the number of different n-grams."""
+    """predict(), and key (see text_key) and the number of different n-grams."""
     names = sorted(prototypes)
     matrix = np.stack([prototypes[k] for k in names]).astype(np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)
 
@@ -166,9 +166,10 @@ def _scored(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
                 scores = np.clip(cosines[np.arange(len(best)), best].astype(np.float64), 0, 1)
             else:
                 langs, scores = np.full(len(vectors), "und", dtype=object), np.zeros(len(vectors))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame({"doc_id": batch.column(0).to_pandas(integer_object_nulls=True), "lang_pred": langs, "score": scores, "different": different}), schema=pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("different", pa.int64())]), preserve_index=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), batch.column(2), pa.array(different)], ["doc_id", "lang_pred", "score", "key", "different"])
 
-    return small_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).mapInArrow(each, "doc_id long, lang_pred string, score double, different long")
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), text_key(text_col))
+    return small_batches(rows).mapInArrow(each, "doc_id long, lang_pred string, score double, key long, different long")
 
 
 def fold(id_col: str, folds: int) -> F.Column:
@@ -178,9 +179,10 @@ def fold(id_col: str, folds: int) -> F.Column:
 def keep_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs whose language is found with a cosine above `least`, with all their columns.
 
-    Texts with fewer than JUDGED different n-grams need a cosine above 0.
-    Rows that repeat an id go if any of them is rejected. The rejected ids, few, are what the texts are joined with.
+    Texts with fewer than JUDGED different n-grams need a cosine above 0. Each row is decided by its own text, so rows that repeat an
+    id with other texts stay or go on their own, and a row that is stored twice stays twice. No rows give no rows.
+    The rejected ids, few, are what the texts are joined with.
     """
     needed = F.when(F.col("different") < JUDGED, F.lit(0.0)).otherwise(F.lit(float(least)))
-    out = _scored(docs, prototypes).filter((F.col("lang_pred") == "und") | (F.col("score") <= needed)).select("doc_id").distinct()
-    return without(docs, "doc_id", out)
+    out = _scored(docs, prototypes).filter((F.col("lang_pred") == "und") | (F.col("score") <= needed))
+    return without(docs, "doc_id", "text", out.select(F.col("doc_id").alias("id"), "key", F.lit(False).alias("once")).distinct(), "rejected")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, materialize, per_text, small_batches, span_hashes, span_sums, text_blocks, word_starts
+from .common import IS_SPACE, materialize, per_text, small_batches, span_hashes, text_blocks, word_starts
 
 #: Most labelled rows that the model is fitted on, about: a hash of the id picks that share of more.
 FIT_ROWS = 40_000
@@ -59,8 +59,7 @@ def features(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     word_row = rows[starts]
     words = np.bincount(word_row, minlength=n)
     length = ends - starts
-    sums = span_sums(text)
-    hashes = span_hashes(sums, starts, ends)
+    hashes = span_hashes(text, starts, ends)
     marked = per_text(np.isin(_CLASS[text], (_SYMBOL, _EXCLAIM, _PIPE, _DIGIT)), np.r_[starts, len(text)])[: len(starts)] > 0 if len(starts) else np.zeros(0, bool)
     breaks = text == 10
     line_starts = np.flatnonzero(np.r_[True, breaks[:-1]]) if len(text) else np.zeros(0, np.int64)
@@ -79,7 +78,7 @@ def features(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         np.log1p(size), np.log1p(words), np.log1p(lines), share(shown, words), np.log1p(longest), np.log1p(share(size, lines)),
         share(kinds[:, _UPPER], letters), *(share(kinds[:, k], shown) for k in (_DIGIT, _STOP, _SYMBOL, _EXCLAIM, _PIPE, _WIDE, _CONTROL)),
         share(np.bincount(word_row, _CLASS[text[starts]] == _UPPER, n), words), share(np.bincount(word_row, marked, n), words),
-        share(_repeats(word_row, hashes, n), words), share(_repeats(line_row, span_hashes(sums, line_starts, line_ends), n), lines),
+        share(_repeats(word_row, hashes, n), words), share(_repeats(line_row, span_hashes(text, line_starts, line_ends), n), lines),
         share(np.bincount(word_row, length <= 2, n), words), share(_repeats(word_row[1:][pair], pairs, n), words - 1.0),
     ])
 

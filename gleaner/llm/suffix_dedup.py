@@ -12,8 +12,11 @@ alone, so equal strings have equal anchors at equal places. The work follows the
    leaf to right leaf. Two contexts share exactly the edges that their common bytes make up, so the repeated
    strings are the common substrings of these strings of edges, measured in bytes. They are found with a suffix array:
    for each suffix the longest common prefix with its neighbours in the array.
-4. An anchor with more than GROUP distinct contexts would be too much for a task. Its strings of LENGTH bytes, 137 for each
-   context, are counted by 128-bit hashes instead, with partial sums before the shuffle.
+4. More than GROUP distinct contexts of an anchor are too many for a task. They are split by what they share: a string of LENGTH
+   bytes begins x bytes before the anchor, and for x from a to b it holds the a bytes before the anchor and the LENGTH - b bytes from
+   there on. Contexts that share these are a cell of their own, in which they are cut to what such strings reach; equal ones
+   of these are found by grouping, the others go through step 3 again. x is split in STEPS ranges at a time, down to a
+   single x, where contexts are the strings themselves and grouping is all there is to do.
 
 The suffix array is built by linear grouping: suffixes are grouped by their longest Lyndon prefixes, from the
 greatest group down, each group sending the suffixes at its previous smaller places to new groups; then a pass over
@@ -26,18 +29,47 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, small_batches, span_hashes, span_sums, text_blocks, utf8
+from .common import materialize, mix64, small_batches, span_hashes, text_blocks, text_key, utf8
 
 LENGTH = 200
 ANCHOR = 64
 GROUP = 4096
+#: Ranges that the places of a frequent anchor in its strings are split in at a time.
+STEPS = 12
+#: Parts that the members of very frequent anchors are dealt to when results are handed back to them.
+SALTS = 32
 #: Trie edges that one suffix array is built over, about.
 ARRAY = 20_000
 
-_OTHER = np.uint64(0xA5A5A5A55A5A5A5B)
+# Polynomial hashes of windows: with sums[i] the sum of value(byte j) * BASE ** j over j < i, the window [a, b) has the hash
+# (sums[b] - sums[a]) * BASE ** -a, all modulo 2 ** 64. They choose anchors and bring them together, no more: contexts are
+# told apart by span_hashes and by their bytes, so windows that collide cost time only.
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    found = _powers.get(base)
+    if found is None or len(found) < n:
+        size = max(1 << 16, 1 << (n - 1).bit_length() if n > 1 else 1)
+        found = np.full(size, base, np.uint64)
+        found[0] = 1
+        found = np.cumprod(found, dtype=np.uint64)
+        if size <= 1 << 23:
+            _powers[base] = found
+    return found[:n]
+
+
+def window_hashes(text: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each window of `width` bytes."""
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(_VALUES[text] * _power(_BASE, len(text)), out=sums[1:])
+    return mix64((sums[width:] - sums[:-width]) * _power(_INVERSE, len(text) - width + 1))
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -123,9 +155,8 @@ def anchors(text: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor:
     width = length - anchor + 1
     if len(text) < length:
         return none
-    sums = span_sums(text)
     starts = np.arange(len(text) - anchor + 1)
-    hashes = span_hashes(sums, starts, starts + anchor)
+    hashes = window_hashes(text, anchor)
     # The least of hash and place, the leftmost of equal hashes, over `width` starts: from prefix and suffix minima of blocks.
     keyed = (hashes & np.uint64(0xFFFFFFFF00000000)) | starts.astype(np.uint64)
     n = len(keyed) - width + 1
@@ -146,19 +177,19 @@ def anchors(text: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor:
 
 
 def anchor_rows(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """doc, place, left and right (the bytes of its context before its start and from there on), hash, context hash."""
+    """doc, key, place, left and right (the bytes of its context before its start and from there on), hash, context hash."""
 
     def each(batches):
         for batch in batches:
-            for first, _, text, offsets in text_blocks(batch.column(1)):
+            for first, _, text, offsets in text_blocks(batch.column(2)):
                 rows, at, hashes = anchors(text, offsets, length, anchor)
                 start = np.maximum(offsets[rows], at - (length - anchor))
                 end = np.minimum(offsets[rows + 1], at + length)
-                whole = mix64(span_hashes(span_sums(text), start, end) ^ _OTHER) + (at - start).astype(np.uint64)
-                ids = batch.column(0).take(pa.array(rows + first))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(at - offsets[rows]), pa.array((at - start).astype(np.int32)), pa.array((end - at).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(whole.view(np.int64))], ["doc", "place", "left", "right", "hash", "context"])
+                whole = span_hashes(text, start, end) + (at - start).astype(np.uint64)
+                ids, keys = (batch.column(k).take(pa.array(rows + first)) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([ids, keys, pa.array(at - offsets[rows]), pa.array((at - start).astype(np.int32)), pa.array((end - at).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(whole.view(np.int64))], ["doc", "key", "place", "left", "right", "hash", "context"])
 
-    return small_batches(texts).mapInArrow(each, "doc long, place long, left int, right int, hash long, context long")
+    return small_batches(texts).mapInArrow(each, "doc long, key long, place long, left int, right int, hash long, context long")
 
 
 class Tries:
@@ -240,9 +271,14 @@ def shared(groups: list[list[tuple[bytes, bytes]]], length: int = LENGTH) -> lis
     return out
 
 
+def _same_text(doc: str = "_doc", key: str = "_key") -> Column:
+    return F.col("doc").eqNullSafe(F.col(doc)) & (F.col("key") == F.col(key))
+
+
 def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """hash, context, n, before, after: the bytes of one occurrence of each wanted context (doc, place, left, right)."""
-    listed = wanted.groupBy("doc").agg(F.collect_list(F.struct("hash", "context", "n", "large", "place", "left", "right")).alias("w")).withColumnRenamed("doc", "_doc")
+    """hash, context, large, before, after: the bytes of one occurrence of each wanted context (doc, key, place, left, right)."""
+    listed = wanted.groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("hash", "context", "large", "place", "left", "right")).alias("w"))
+    names = ["hash", "context", "large", "before", "after"]
 
     def each(batches):
         for batch in batches:
@@ -252,28 +288,30 @@ def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             for start, items in zip(cut, batch.column(1).to_pylist(), strict=False):
                 for x in items:
                     at = start + x["place"]
-                    out.append((x["hash"], x["context"], x["n"], x["large"], raw[at - x["left"] : at], raw[at : at + x["right"]]))
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["hash", "context", "n", "large", "before", "after"])
-                    out = []
+                    out.append((x["hash"], x["context"], x["large"], raw[at - x["left"] : at], raw[at : at + x["right"]]))
+                    if len(out) > 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
+                        out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["hash", "context", "n", "large", "before", "after"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
 
-    joined = texts.join(listed.hint("shuffle_hash"), F.col("doc") == F.col("_doc")).select("text", "w")
-    return joined.mapInArrow(each, "hash long, context long, n long, large boolean, before binary, after binary")
+    joined = texts.join(listed.hint("shuffle_hash"), _same_text()).select("text", "w")
+    return joined.mapInArrow(each, "hash long, context long, large boolean, before binary, after binary")
 
 
-def _by_suffix_arrays(contexts: DataFrame, length: int) -> DataFrame:
-    """hash, context, low, high of the contexts of which another one of the same anchor has a string of length bytes."""
+def _by_suffix_arrays(contexts: DataFrame, length: int, group: str = "hash", name: str = "context") -> DataFrame:
+    """group, name, low, high of the contexts of which another one of the same group has a string of length bytes."""
+    kinds = [contexts.schema[c].dataType for c in (group, name)]
+    types = [pa.binary() if k.simpleString() == "binary" else pa.int64() for k in kinds]
 
     def each(batches):
-        keys: list[tuple[int, list[int]]] = []
+        keys: list[tuple] = []
         groups: list[list[tuple[bytes, bytes]]] = []
         size = 0
 
         def flush():
             out = [(h, c, low, high) for (h, names), found in zip(keys, shared(groups, length), strict=True) for c, (low, high) in zip(names, found, strict=True) if high]
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], ["hash", "context", "low", "high"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate([*types, pa.int64(), pa.int64()])], [group, name, "low", "high"])
 
         for batch in batches:
             for h, c, a, b in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -289,51 +327,104 @@ def _by_suffix_arrays(contexts: DataFrame, length: int) -> DataFrame:
         if keys:
             yield flush()
 
-    placed = contexts.select("hash", "context", "before", "after").repartition("hash").sortWithinPartitions("hash", "context")
-    return placed.mapInArrow(each, "hash long, context long, low long, high long")
+    placed = contexts.select(group, name, "before", "after").repartition(group).sortWithinPartitions(group, name)
+    return placed.mapInArrow(each, f"{group} {kinds[0].simpleString()}, {name} {kinds[1].simpleString()}, low long, high long")
 
 
-def _by_counting(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for the contexts of very frequent anchors: all their strings of length bytes are counted."""
+def _cells(contexts: DataFrame, length: int, width: int) -> DataFrame:
+    """hash, context, cell, part, low, high, before, after: the contexts of frequent anchors in the cells of the ranges, of `width` places each,
+    between their low and high. before and after are what strings of a range can reach, and part names that."""
 
     def each(batches):
         for batch in batches:
-            rows = []
-            for h, c, before, after in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                whole = before + after
-                for x in range(len(before) + 1):
-                    start = len(before) - x
-                    if start + length <= len(whole):
-                        name = h.to_bytes(8, "little", signed=True) + x.to_bytes(8, "little")  # a string with several anchors counts once for each
-                        rows.append((h, c, x, hashlib.blake2b(name + whole[start : start + length], digest_size=16).digest()))
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(k) for k in zip(*rows, strict=True)], ["hash", "context", "low", "string"])
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(k) for k in zip(*rows, strict=True)], ["hash", "context", "low", "string"])
-
-    strings = contexts.select("hash", "context", "before", "after").mapInArrow(each, "hash long, context long, low long, string binary")
-    again = materialize(strings.groupBy("string").agg(F.count("*").alias("k")).filter("k > 1").select("string"), "strings")
-    return strings.join(again, "string", "left_semi").groupBy("hash", "context").agg(F.max("low").alias("low"), (F.lit(length) - F.min("low")).alias("high"))
-
-
-def repeated_spans(texts: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """doc, start, end of spans that together are all bytes of repeated strings. texts: doc, text."""
-    rows = anchor_rows(texts, length)
+            out: list[tuple] = []
+            for h, c, low, high, before, after in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                for a in range(low, min(high, len(before)) + 1, width):
+                    b = min(a + width - 1, high)
+                    shown, rest = before[max(0, len(before) - b) :], after[: length - a]
+                    if len(shown) + len(rest) < length:
+                        continue
+                    cell = hashlib.blake2b(b"%d,%d,%d," % (h, a, b), digest_size=16)
+                    part = cell.copy()
+                    cell.update(before[len(before) - a :] + after[: length - b])
+                    part.update(b"%d," % len(shown) + shown + rest)
+                    out.append((h, c, cell.digest(), part.digest(), a, b, shown, rest))
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    names = ["hash", "context", "cell", "part", "low", "high", "before", "after"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    rows = contexts.select("hash", "context", "low", "high", "before", "after")
+    return rows.mapInArrow(each, "hash long, context long, cell binary, part binary, low int, high int, before binary, after binary")
+
+
+def _large(rows: DataFrame, name: str, group: int) -> DataFrame:
+    """The values of `name` that more than `group` rows have, with every number below SALTS as `salt`."""
+    found = rows.groupBy(name).agg(F.count("*").alias("m")).filter(F.col("m") > group)
+    return found.select(F.col(name).alias("_large"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+
+
+def _marked(rows: DataFrame, name: str, by: str, group: int) -> DataFrame:
+    """rows with `large`: whether more than `group` of them have their value of `name`. A very frequent value is dealt to SALTS parts."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return salted.join(_large(rows, name, group), (F.col(name) == F.col("_large")) & (F.col("salt") == F.col("_salt")), "left").withColumn("large", F.col("_large").isNotNull()).drop("salt", "_salt", "_large")
+
+
+def _by_cells(contexts: DataFrame, length: int, anchor: int, group: int) -> DataFrame:
+    """hash, context, low, high (as _by_suffix_arrays) of the contexts of very frequent anchors, by cells that share ever more bytes."""
+    found, open_, width = None, contexts.select("hash", "context", F.lit(0).alias("low"), F.lit(length - anchor).alias("high"), "before", "after"), length - anchor + 1
+    while width > 1:
+        width = -(-width // STEPS)
+        rows = materialize(_cells(open_, length, width), "cells")
+        parts = materialize(rows.groupBy("cell", "part").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("after").alias("after")), "parts")
+        whole = parts.filter("n > 1").select("part", F.length("before").cast("long").alias("low"), F.length("after").cast("long").alias("high"))
+        reach = whole
+        if width > 1:  # else equal strings are all there is to find
+            marked = materialize(_marked(parts, "cell", "part", group), "marked")
+            arrays = _by_suffix_arrays(marked.filter("NOT large"), length, "cell", "part").select("part", "low", "high")
+            deeper = marked.filter("large")
+            open_ = rows.join(_salted(deeper.select("part")), _part_of("hash", "context")).select("hash", "context", "low", "high", "before", "after")
+            open_ = materialize(open_, "open")
+            reach = reach.unionByName(arrays)
+        reach = _salted(materialize(reach.groupBy("part").agg(F.max("low").alias("low"), F.max("high").alias("high")), "reach"))
+        out = rows.select("hash", "context", "part").join(reach, _part_of("hash", "context")).select("hash", "context", "low", "high")
+        found = out if found is None else found.unionByName(out)
+        if width > 1 and open_.isEmpty():
+            break
+    return found
+
+
+def _salted(parts: DataFrame) -> DataFrame:
+    """parts (part, ...) for every salt, to be joined with rows of which very many may have one part."""
+    return parts.withColumnRenamed("part", "_part").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _part_of(*by: str) -> Column:
+    return (F.col("part") == F.col("_part")) & (F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int") == F.col("_salt"))
+
+
+def repeated_spans(texts: DataFrame, length: int = LENGTH, group: int = GROUP, anchor: int = ANCHOR) -> DataFrame:
+    """doc, key, start, end of spans that together are all bytes of repeated strings. texts: doc, key, text; a text is named by
+    both, so an id may be null or have several texts."""
+    rows = anchor_rows(texts, length, anchor)
     counts = rows.groupBy("hash").agg(F.count("*").alias("k"), F.min("context").alias("lo"), F.max("context").alias("hi")).filter("k > 1")
     counts = materialize(counts.select("hash", (F.col("lo") == F.col("hi")).alias("same")), "anchors")
     hits = materialize(rows.join(counts, "hash"), "hits")
-    spans = hits.filter("same").select("doc", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
+    spans = hits.filter("same").select("doc", "key", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
     mixed = hits.filter("NOT same")
-    one = F.min(F.struct("doc", "place", "left", "right")).alias("one")
-    classes = materialize(mixed.groupBy("hash", "context").agg(F.count("*").alias("n"), one, F.count("doc").alias("known")).filter("known > 0"), "contexts")
-    sizes = classes.groupBy("hash").agg(F.count("*").alias("m")).withColumn("large", F.col("m") > group).select("hash", "large")
-    wanted = classes.join(sizes, "hash").select("hash", "context", "n", "large", "one.*")
+    one = F.min(F.struct("doc", "key", "place", "left", "right")).alias("one")
+    classes = materialize(mixed.groupBy("hash", "context").agg(F.count("*").alias("n"), one), "contexts")
+    wanted = _marked(classes, "hash", "context", group).select("hash", "context", "large", "one.*")
     contexts = materialize(_contexts(texts, wanted), "bytes")
-    reach = _by_suffix_arrays(contexts.filter("NOT large"), length).unionByName(_by_counting(contexts.filter("large"), length))
+    reach, large = _by_suffix_arrays(contexts.filter("NOT large"), length), contexts.filter("large")
+    if not large.isEmpty():
+        reach = reach.unionByName(_by_cells(large, length, anchor, group))
     whole = classes.filter("n > 1").select("hash", "context", F.col("one.left").cast("long").alias("low"), F.col("one.right").cast("long").alias("high"))
     reach = materialize(reach.unionByName(whole).groupBy("hash", "context").agg(F.max("low").alias("low"), F.max("high").alias("high")), "reach")
-    part = mixed.join(reach, ["hash", "context"]).select("doc", (F.col("place") - F.col("low")).alias("start"), (F.col("place") + F.col("high")).alias("end"))
+    part = mixed.join(reach, ["hash", "context"]).select("doc", "key", (F.col("place") - F.col("low")).alias("start"), (F.col("place") + F.col("high")).alias("end"))
     return spans.unionByName(part)
 
 
@@ -341,13 +432,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes; null unless keep_bytes).
 
     Texts are their UTF-8 bytes; null counts as empty. Repeats are judged on the input, within and across documents.
-    Rows that repeat an id with the same text are copies of each other;
-    the text of a row with a null id is never cut, but counts for others. Texts of fewer than length
-    bytes stay whole. Other columns are ignored; no rows give no rows.
+    Every row is a document of its own, also where the id is null or another row has it: rows that repeat an id and a text are copies
+    of each other. Texts of fewer than length bytes stay whole. Other columns are ignored; no rows give no rows.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     spans = repeated_spans(texts.filter(F.octet_length("text") >= length), length, group)
-    listed = spans.filter("doc IS NOT NULL").groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("cut")).withColumnRenamed("doc", "_doc")
+    listed = spans.groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "end")).alias("cut"))
 
     def each(batches):
         for batch in batches:
@@ -373,5 +463,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(left if keep_bytes else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = texts.join(listed.hint("shuffle_hash"), F.col("doc") == F.col("_doc"), "left").select("doc", "text", "cut")
+    joined = texts.join(listed.hint("shuffle_hash"), _same_text(), "left").select("doc", "text", "cut")
     return joined.mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

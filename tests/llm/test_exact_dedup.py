@@ -41,6 +41,24 @@ def test_repeated_rows_null_ids_and_ties(spark):
     assert got == brute(rows)
 
 
+def test_rows_of_one_id_are_decided_by_their_texts(spark):
+    from collections import Counter
+
+    rows = [(1, "a b"), (1, "ab"), (1, "other"), (2, "ab"), (3, "q"), (3, "q"), (None, "z"), (None, "z"), (None, "y"), (4, "y")]
+    left = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert Counter(map(tuple, left.collect())) == Counter([(1, "a b"), (1, "other"), (3, "q"), (None, "z"), (4, "y")])
+
+
+@pytest.mark.parametrize("bits", [1, 2])
+def test_filters_of_many_partitions_meet_in_a_tree(spark, bits):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 3000, numPartitions=13).select(F.xxhash64(F.col("id") % 1700).alias("_fp"))
+    got = sorted(map(tuple, exact_dedup.repeated_fingerprints(rows, bits).collect()))
+    want = rows.groupBy("_fp").count().filter("count > 1")
+    assert got == sorted(map(tuple, want.collect())) and len(got) == 1300
+
+
 def test_no_rows(no_docs):
     assert exact_dedup.exact_dedup(no_docs).count() == 0
     assert exact_dedup.drop_exact_copies(no_docs).columns == no_docs.columns
@@ -78,8 +96,7 @@ def test_equal_fingerprints_are_told_apart_by_all_bytes(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     from pyspark.sql import functions as F
 
-    real = exact_dedup.digests
-    monkeypatch.setattr(exact_dedup, "digests", lambda *a: real(*a).withColumn("_fp", F.lit(7).cast("long")))
+    monkeypatch.setattr(exact_dedup, "fingerprint", lambda text: F.lit(7).cast("long"))
     assert sorted(map(tuple, exact_dedup.exact_dedup(docs).collect()), key=str) == brute(rows)
 
 

@@ -16,7 +16,8 @@ def brute(rows, threshold=0.8):
     for i, t in rows:
         words = WORD.findall((t or "").encode())
         if words and i is not None:
-            sets[i] = frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+            runs = Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+            sets[i] = frozenset((x, k) for x, n in runs.items() for k in range(n))  # as often as the text has it
             by_words.setdefault(tuple(words), []).append(i)
     where = defaultdict(list)
     for i, s in sets.items():
@@ -44,6 +45,33 @@ def test_same_classes_as_brute_force(spark, middle_dir):
     assert sorted(map(tuple, queries.op5_minhash_dedup(spark, middle_dir).collect()), key=str) == brute(rows)
 
 
+def test_weights_count(spark):
+    """Texts with the same runs of words, as often or far more often."""
+    line = "the same line of eight words again and "
+    rows = [(1, line * 20 + "end one"), (2, line * 21 + "end two"), (3, line * 60 + "end"), (4, line * 3), (5, line * 61)]
+    want = brute(rows)
+    assert [r[2] for r in want] == [1, 1, 3, 4, 3]
+    assert sorted(map(tuple, minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == want
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_words_that_polynomial_hashes_confuse(spark, n):
+    word = "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, " ".join([word] * 3)), (4, " ".join([other] * 3)), (5, word + "\t")]
+    assert sorted(map(tuple, minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == brute(rows)
+
+
+def test_rows_of_one_id_are_decided_by_their_texts(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    near, alone, other = base + " end", " ".join(f"x{k}" for k in range(60)), " ".join(f"y{k}" for k in range(30))
+    rows = [(1, base), (5, near), (5, alone), (7, other), (7, other), (1, base), (9, "")] + [(9, "")] * 2
+    left = minhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, left.collect())) == Counter([(1, base), (5, alone), (7, other), (9, "")])
+    got = Counter((r.doc_id, r.class_id) for r in minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(1, 1): 2, (5, 1): 1, (5, 5): 1, (7, 7): 2, (9, 9): 3})
+
+
 def chains(n, seed):
     """Texts in which each is like the ones before and after it, and most pairs of a chain are not alike."""
     rng = np.random.default_rng(seed)
@@ -92,6 +120,15 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs((s[0] == s[1]).mean() - exact) < 0.04
 
 
+def test_weights_of_any_size_are_sampled_alike():
+    """One heavy element beside light ones: the share of its darts is its share of the weight."""
+    rng = np.random.default_rng(5)
+    elements = rng.integers(0, 2**63, 101).astype(np.uint64)
+    weights = np.r_[300.0, np.ones(100)]
+    both = minhash.signatures(np.repeat([0, 1], [101, 100]), np.r_[elements, elements[1:]], np.r_[weights, weights[1:]], 2, 4000)
+    assert abs((both[0] == both[1]).mean() - 100 / 400) < 0.03
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(100, 105), (105, 101), (7, 7)]
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()))

@@ -20,9 +20,10 @@ def twice(spark):
 
 def test_documents(twice):
     ids = Counter({0: 2, 1: 2, 2: 2, 3: 1, 4: 1, 5: 1})
+    once = Counter(range(6))
     count = lambda df: Counter(r.doc_id for r in df.collect())
-    assert count(exact_dedup.exact_dedup(twice)) == ids and count(exact_dedup.drop_exact_copies(twice)) == ids
-    assert count(minhash.near_dedup(twice)) == ids
+    assert count(exact_dedup.exact_dedup(twice)) == ids and count(exact_dedup.drop_exact_copies(twice)) == once
+    assert count(minhash.near_dedup(twice)) == ids and count(minhash.drop_near_copies(twice)) == once
     assert count(langid.keep_languages(twice, langid.fit(twice))) == ids
     assert count(mixing.mix(twice)) == ids
     assert set(mixing.take_mix(twice).collect()) <= set(twice.collect()) and max(count(mixing.take_mix(twice)).values()) <= 6
