@@ -62,12 +62,55 @@ def test_lookup_by_key(spark, tokenizer, small_dir):
     assert all(s.get(10**12) is None for s in shards)
 
 
+def test_lookup_over_all_shards(spark, tokenizer):
+    rows = [(i * 7 - 300, f"text number {i} " * (1 + i % 9 * 40)) for i in range(200)] + [(8, "again"), (None, "none"), (8, "a")] + [(None, f"x{k} " * 3000) for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = token_files.write_token_files(docs, PATH, shard_size=20_000).persist()
+    shards = manifest.orderBy("shard").collect()
+    known = [r for r in shards if r.first_key is not None]
+    assert len(known) > 4 and len(shards) - len(known) > 4  # null keys are in several shards, too
+    assert all(a.last_key < b.first_key for a, b in zip(known, known[1:], strict=False))
+    wanted = [rows[0][0], 8, 8, 9, 1093, -300, None, 10**15, -(10**15), rows[150][0]]
+    got = {r.key: r.ids for r in token_files.lookup(manifest, spark.createDataFrame([(k,) for k in wanted], "key long")).collect()}
+    encode = lambda t: [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+    texts = {}
+    for key, text in rows:
+        texts.setdefault(key, []).append(encode(text))
+    assert set(got) == {k for k in wanted if k in texts and k is not None}
+    assert all(got[k] in texts[k] for k in got)
+    whole = sorted(map(tuple, token_files.read_token_files(manifest).collect()), key=lambda r: r[1])
+    assert [r[2] for r in whole[:1]] == [len(encode(rows[0][1]))] and len(whole) == len(rows)
+    assert all(a[1] + a[2] == b[1] for a, b in zip(whole, whole[1:], strict=False)) and [r[0] for r in whole[-10:]] == [None] * 10
+
+
+def test_lookup_reads_little(spark, tmp_path):
+    """The bytes that a lookup reads do not grow with the shard."""
+    sizes = []
+    for n in (300, 30_000):
+        keys = np.arange(n) * 3
+        path = tmp_path / f"{n}.ids"
+        path.write_bytes(token_files.shard_bytes(keys, np.zeros(n), [np.array([k % 50_000, 1], "<u2").tobytes() for k in keys], 2))
+        shard = token_files.ShardFile(f"file://{path}")
+        read, total = shard.read, []
+        shard.read = lambda *a, read=read, total=total: total.append(a[2]) or read(*a)
+        for k in range(0, n, 37):
+            assert shard.get(int(keys[k])).tolist() == [keys[k] % 50_000, 1]
+            assert shard.get(int(keys[k]) + 1) is None
+        sizes.append(sum(total) / (2 * len(range(0, n, 37))))
+    assert max(sizes) < 300 and abs(sizes[1] - sizes[0]) < 60
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=300))
 def test_perfect_hash_is_minimal(keys):
     array = np.array(sorted(keys), np.uint64)
-    function = token_files.PerfectHash.from_bytes(token_files.PerfectHash.build(array).to_bytes())
+    data = token_files.PerfectHash.build(array).to_bytes()
+    function = token_files.PerfectHash.from_bytes(data)
     assert sorted(function.slots(array).tolist()) == list(range(len(keys)))
+    sizes = tuple(len(x) for x in function.levels)
+    at = 8 + 8 * len(sizes)
+    block = lambda k: data[at + k * function.WIDTH : at + (k + 1) * function.WIDTH]
+    assert [token_files.PerfectHash.slot(array[k : k + 1], sizes, block) for k in range(len(array))] == function.slots(array).tolist()
 
 
 @settings(max_examples=60, deadline=None)
