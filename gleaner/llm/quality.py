@@ -1,6 +1,7 @@
 """Quality classifier: a generalised additive model with pairwise interactions.
 
-Features are counts and shares of a text's bytes, words and lines. Boosting goes round the features in a cycle; each
+Features are counts and shares of a text's bytes, words and lines, how often words, pairs of words and lines repeat, the
+entropy and compressibility of the bytes, and the shares of words by buckets of their hashes. Boosting goes round the features in a cycle; each
 step fits a shallow tree to the gradient on one feature's bins and adds it, shrunk, to that feature's lookup table.
 Then the feature pairs with the most gain left get tables of their own in the same way. A score is the logistic of the
 sum of the table entries of a text's bins.
@@ -11,6 +12,7 @@ texts. The tables are fitted on at most about FIT_ROWS labelled rows.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -22,9 +24,11 @@ from pyspark.sql import functions as F
 from .common import IS_SPACE, materialize, per_text, small_batches, span_hashes, text_blocks, word_starts
 
 #: Most labelled rows that the model is fitted on, about: a hash of the id picks that share of more.
-FIT_ROWS = 40_000
+FIT_ROWS = 20_000
+#: Words are dealt by a hash to so many buckets; the share of each is a feature, so common words of one kind of text count.
+BUCKETS = 16
 
-FEATURES = ("bytes", "words", "lines", "word_len", "longest_word", "line_len", "upper", "digit", "stop", "symbol", "exclaim", "pipe", "wide", "control", "capital_words", "marked_words", "same_words", "same_lines", "short_words", "same_pairs")
+FEATURES = ("bytes", "words", "lines", "word_len", "longest_word", "line_len", "upper", "digit", "stop", "symbol", "exclaim", "pipe", "wide", "control", "capital_words", "marked_words", "same_words", "same_lines", "short_words", "same_pairs", "top_word", "entropy", "packed", *(f"words_{k}" for k in range(BUCKETS)))
 
 _UPPER, _LOWER, _DIGIT, _STOP, _SYMBOL, _EXCLAIM, _PIPE, _WIDE, _CONTROL, _SPACE = range(10)
 _CLASS = np.full(256, _SYMBOL, np.int64)
@@ -40,12 +44,14 @@ _CLASS[127] = _CONTROL
 _CLASS[IS_SPACE] = _SPACE
 
 
-def _repeats(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    """For each of n texts, how many of its items repeat an earlier one."""
+def _repeats(rows: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n texts, how many of its items repeat an earlier one, and how often the most frequent one comes."""
     order = np.lexsort((hashes, rows))
     r, h = rows[order], hashes[order]
-    same = (r[1:] == r[:-1]) & (h[1:] == h[:-1])
-    return np.bincount(r[1:][same], minlength=n)
+    first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (h[1:] != h[:-1])]) if len(r) else np.zeros(0, np.int64)
+    times, top = np.diff(np.r_[first, len(r)]), np.zeros(n, np.int64)
+    np.maximum.at(top, r[first], times)
+    return np.bincount(r[first], times - 1, n), top
 
 
 def features(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -74,12 +80,19 @@ def features(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     share = lambda x, of: np.divide(x, of, out=np.zeros(n), where=of > 0)
     letters = kinds[:, _UPPER] + kinds[:, _LOWER]
     shown = size - kinds[:, _SPACE]
+    bytes_ = np.bincount(rows * 256 + text, minlength=n * 256).reshape(n, 256) / np.maximum(size, 1)[:, None]
+    entropy = -(bytes_ * np.log2(np.where(bytes_ > 0, bytes_, 1))).sum(1)
+    raw, cut = text.tobytes(), offsets.tolist()
+    packed = np.array([len(zlib.compress(raw[a:b], 1)) for a, b in zip(cut, cut[1:], strict=False)], np.float64)
+    same_words, top_word = _repeats(word_row, hashes, n)
+    buckets = np.bincount(word_row * BUCKETS + (hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=n * BUCKETS).reshape(n, BUCKETS)
     return np.column_stack([
         np.log1p(size), np.log1p(words), np.log1p(lines), share(shown, words), np.log1p(longest), np.log1p(share(size, lines)),
         share(kinds[:, _UPPER], letters), *(share(kinds[:, k], shown) for k in (_DIGIT, _STOP, _SYMBOL, _EXCLAIM, _PIPE, _WIDE, _CONTROL)),
         share(np.bincount(word_row, _CLASS[text[starts]] == _UPPER, n), words), share(np.bincount(word_row, marked, n), words),
-        share(_repeats(word_row, hashes, n), words), share(_repeats(line_row, span_hashes(text, line_starts, line_ends), n), lines),
-        share(np.bincount(word_row, length <= 2, n), words), share(_repeats(word_row[1:][pair], pairs, n), words - 1.0),
+        share(same_words, words), share(_repeats(line_row, span_hashes(text, line_starts, line_ends), n)[0], lines),
+        share(np.bincount(word_row, length <= 2, n), words), share(_repeats(word_row[1:][pair], pairs, n)[0], words - 1.0),
+        share(top_word, words), entropy, share(packed, size), *(share(buckets[:, k], words) for k in range(BUCKETS)),
     ])
 
 
@@ -90,10 +103,10 @@ def feature_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             found = [features(text, offsets) for _, _, text, offsets in text_blocks(batch.column(1))]
             x = np.concatenate(found) if found else np.zeros((0, len(FEATURES)))
-            lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
+            lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.astype(np.float32).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "x"])
 
-    return small_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).mapInArrow(each, "doc_id long, x array<double>")
+    return small_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).mapInArrow(each, "doc_id long, x array<float>")
 
 
 def _tree(gain_of, g: np.ndarray, h: np.ndarray, least: float) -> np.ndarray:
@@ -214,7 +227,9 @@ def score(rows: DataFrame, model: AdditiveModel) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
     """Features of all docs, a model fitted on the labelled ones, and the score of every document.
 
-    Null and empty texts are scored like others, from zero features. Without labels every score is 0.5.
+    One row per row of docs: doc_id, score, predicted. Null and empty texts are scored like others, from zero features. Without labels
+    every score is 0.5. Rows that repeat an id are scored each by its text, and each teaches the id's label, the greatest of several.
+    No rows give no rows; other columns of both tables are ignored.
     """
     rows = materialize(feature_rows(docs), "features")
     return score(rows, fit_on(rows, labels, most))
