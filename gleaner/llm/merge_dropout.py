@@ -387,7 +387,9 @@ def worker_encoder(path: str, rate: float, seed: int) -> Encoder:
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, seed: int = SEED) -> DataFrame:
     """doc_id, ids (array of int), text_sha256 of every row of docs; each worker has to find the model at the path.
 
-    Null text counts as empty and has no ids. A null id picks the variants of id 0. Rows that repeat an id and a text are alike. Other columns are ignored.
+    Null text counts as empty and has no ids. A null id picks the variants of id 0. Rows that repeat an id and a text are alike; rows with
+    one id and different texts are encoded each on its own. Of candidates with equal scores the leftmost is merged. Other columns are
+    ignored; no rows give no rows.
     """
     return _encoded(docs, model_path, id_col, text_col, rate, seed, check=False)
 
@@ -395,7 +397,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, seed: int = SEED, copy_col: str | None = None) -> DataFrame:
     """doc_id, ids, n_tokens, ids_crc32, decoded_sha256, lossless: encode() and decode() in one pass over the texts.
 
-    The ids of each document are decoded again and the digest of the outcome is compared with that of the text. Nulls as in encode().
+    The ids of each document are decoded again and the digest of the outcome is compared with that of the text. Nulls, ties, repeated rows and empty tables as in encode().
     copy_col numbers the copies of a document from 0 on, so that each has segmentations of its own; without it all are alike.
     """
     return _encoded(docs, model_path, id_col, text_col, rate, seed, check=True, copy_col=copy_col)

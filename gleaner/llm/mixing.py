@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, per_text, small_batches, text_blocks, word_starts
+from .common import materialize, per_text, small_batches, text_blocks, text_key, word_starts
 
 NODE = 2048
 #: Settled documents that the children of a node hand to it, about; each child hands one at least.
@@ -31,18 +31,19 @@ SPARES = 512
 WEIGHTS = (1, 2, 3)
 LIMIT = 3
 
-ROWS = "doc_id long, source string, size long, source_size long, target double, base long, p double, node long, nodes long, up boolean"
+ROWS = "doc_id long, key long, source string, size long, source_size long, target double, base long, p double, node long, nodes long, up boolean"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of runs of characters other than [\\x20\\x09-\\x0D]."""
+    """doc_id, key (see text_key), source and the number of runs of characters other than [\\x20\\x09-\\x0D]."""
 
     def each(batches):
         for batch in batches:
-            counts = [per_text(word_starts(text, offsets)[0], offsets) for _, _, text, offsets in text_blocks(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64))], ["doc_id", "source", "size"])
+            counts = [per_text(word_starts(text, offsets)[0], offsets) for _, _, text, offsets in text_blocks(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64))], ["doc_id", "key", "source", "size"])
 
-    return small_batches(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))).mapInArrow(each, "doc_id long, source string, size long")
+    rows = docs.select(F.col("doc_id").cast("long"), text_key("text"), F.col("source").cast("string"), F.col("text").cast("string"))
+    return small_batches(rows).mapInArrow(each, "doc_id long, key long, source string, size long")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: float = LIMIT) -> DataFrame:
@@ -97,7 +98,7 @@ def _level(rows: DataFrame, seed: int, depth: int, node: int) -> DataFrame:
     """Rounds each node; up is whether a row goes on to the parent, which a root has not."""
 
     def rounded(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["size", "doc_id", "key"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         p, size = pdf["p"].to_numpy(np.float64).copy(), pdf["size"].to_numpy(np.float64)
         first, nodes = pdf["doc_id"].iloc[0], int(pdf["nodes"].iloc[0])
         draws = np.random.default_rng([seed, depth, int(pdf["node"].iloc[0]), 0 if pd.isna(first) else int(first) & (2**63 - 1)]).random(len(p))
@@ -124,6 +125,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
     A null source is a source of its own, the last one. taken is copies times size, and copies is at most limit.
     The same rows and the same seed give the same copies, whatever the partitions. An empty table gives no rows.
     """
+    return _mixed(docs, weights, limit, seed, node).drop("key")
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: int = 20, node: int = NODE) -> DataFrame:
+    """mix(), and the key of each text."""
     sized = materialize(sizes(docs), "sizes")
     shares = materialize(targets(sized, weights, limit), "shares")
     deepest = max(1, math.ceil((shares.agg(F.max("n")).first()[0] or 1) / node))
@@ -132,7 +138,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
     rows = sized.join(shares, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", F.least(copies, F.lit(float(limit))))
     nodes = F.ceil(F.col("n") / F.lit(node)).cast("long")
     rows = rows.select(
-        "doc_id", "source", "size", "source_size", "target", F.floor("copies").cast("long").alias("base"), (F.col("copies") - F.floor("copies")).alias("p"),
+        "doc_id", "key", "source", "size", "source_size", "target", F.floor("copies").cast("long").alias("base"), (F.col("copies") - F.floor("copies")).alias("p"),
         F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), nodes).alias("node"), nodes.alias("nodes"),
     )
     open_ = (F.col("size") > 0) & (F.col("p") > 0)
@@ -150,11 +156,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
     for x in done[1:]:
         out = out.unionByName(x)
     taken = F.col("base") + F.col("p").cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", (taken * F.col("size")).alias("taken"), F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long").alias("copies"))
+    return out.select("doc_id", "key", "source", "size", "source_size", "target", (taken * F.col("size")).alias("taken"), F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long").alias("copies"))
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it; rows that repeat an id as often as the one that is taken most."""
-    taken = mix(docs, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").cast("int").alias("copies"))
-    rows = docs.select(F.col("doc_id").alias("key"), F.struct("*").alias("row"))
-    return rows.join(taken, F.col("key").eqNullSafe(F.col("id"))).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    """docs with each row repeated as often as the mix takes it, and with all columns. Rows that repeat an id are taken by their texts;
+    those that repeat both, as often as the one that is taken most. No rows give no rows."""
+    taken = _mixed(docs, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.max("copies").cast("int").alias("copies"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_key("text").alias("key"), F.struct("*").alias("row"))
+    met = rows.join(taken, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -103,3 +103,11 @@ def test_pivot_keeps_the_sum_and_is_fair():
         assert (p @ size) == pytest.approx(p0 @ size) and all(p[i] in (0.0, 1.0) for i in range(5) if i != left)
         mean += p / 4000
     assert np.abs(mean - p0).max() < 0.03
+
+
+def test_rows_of_one_id_are_taken_by_their_texts(spark):
+    rows = [(1, "a " * 50, "x"), (1, "", "x"), (1, "b " * 7, "y"), (None, "c " * 9, "y"), (None, None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {(r.doc_id, r.size): r.copies for r in mixing.mix(docs).collect()}
+    got = [(r.doc_id, len((r.text or "").split())) for r in mixing.take_mix(docs).collect()]
+    assert sorted(got, key=str) == sorted([k for k, n in taken.items() for _ in range(n)], key=str) and (1, 0) not in got
