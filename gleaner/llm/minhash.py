@@ -291,8 +291,8 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, threshold: float, bloc
     shared = materialize(banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = materialize(banded.join(shared, "bucket").select(F.col("bucket").alias("key"), "node", "centre"), "members")
     wanted = members.groupBy("node").agg(F.collect_set(F.when(F.col("node") != F.col("centre"), F.col("centre"))).alias("centres"))
-    wanted = materialize(wanted.join(reps.select("node", "doc", "key", "copies"), "node"), "wanted")  # of known size before the texts are joined
-    sets = weighted_sets(texts.join(wanted, ["doc", "key"]).select("node", "copies", "centres", "text"))
+    wanted = materialize(wanted.join(reps.select("node", "doc", "key", "copies"), "node"), "wanted")
+    sets = weighted_sets(texts.join(wanted.hint("merge"), ["doc", "key"]).select("node", "copies", "centres", "text"))
     sets = materialize(sets, "sets")
     sets = sets.filter("copies = 1").unionByName(sets.filter("copies > 1").dropDuplicates(["node"]))
     links = materialize(_verified(sets, threshold), "links")
