@@ -19,28 +19,22 @@ _INNER = re.compile(r"[(\[]([^()\[\]]*)[)\]](\d*)")
 _ATOM = re.compile(r"([A-Z][a-z]?)(\d*)")
 
 
-def plain_formula(c: Column) -> Column:
-    """A formula in ASCII: charges behind a caret, plain digits, no LaTeX, no blanks, no phase."""
-    out = F.regexp_replace(F.trim(c), r"^[$` ]+|[$` ]+$", "")
-    out = F.regexp_replace(out, r"([⁰¹²³⁴⁵⁶⁷⁸⁹]*[⁺⁻])$", "^$1")
-    out = F.translate(out, "₀₁₂₃₄₅₆₇₈₉⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻−∙⋅", "01234567890123456789+--··")
-    out = F.regexp_replace(F.regexp_replace(out, r"\\(?:mathrm|text)\s*\{([^{}]+)\}", "$1"), r"_\{?(\d+)\}?", "$1")
-    return F.regexp_replace(F.regexp_replace(out, r"\s+", ""), f"(?iu)(?:{PHASE})", "")
+_UP, _UP_DIGITS = "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻−", "0123456789+--"
+# A written species: its body, its charge in one of the notations, its phase. Digits before a sign are a charge behind a caret, as
+# superscripts, behind a closing bracket and behind the symbol of a monatomic ion; else a sign alone is one.
+_CHARGES = (r"\^([0-9]*[-+−])", r"([⁰¹²³⁴⁵⁶⁷⁸⁹]*[⁺⁻])", r"(?<=[\])])([0-9]+[-+−])", rf"(?<=^(?:{'|'.join(MONATOMIC)}))([0-9]+[-+−])", r"([-+−])")
+_SPECIES_PARTS = rf"(?u)^(.*?)(?:{'|'.join(_CHARGES)})?(?:(?i){PHASE.removesuffix('$')})?$"
 
 
-def charge(c: Column) -> Column:
-    """body and charge of a plain formula: ^2-, ]3-, Fe3+ and a final sign."""
-    cut = lambda pattern: F.regexp_extract(c, pattern, 0)
-    caret, bracket = r"\^\{?(\d*)([+-])\}?$", r"(?<=[\])])(\d+)([+-])$"
-    ion, sign = rf"(?<=^(?:{'|'.join(MONATOMIC)}))(\d+)([+-])$", r"([+-])$"
-
-    def of(pattern: str, digits: int | None, mark: int) -> Column:
-        size = F.lit(1) if digits is None else F.coalesce(F.regexp_extract(c, pattern, digits).try_cast("int"), F.lit(1))
-        value = F.when(F.regexp_extract(c, pattern, mark) == "+", size).otherwise(-size)
-        return F.when(cut(pattern) != "", F.struct(F.substr(c, F.lit(1), F.length(c) - F.length(cut(pattern))).alias("body"), value.alias("charge")))
-
-    electron = F.when(c.isin("e-", "e^-"), F.struct(F.lit("").alias("body"), F.lit(-1).alias("charge"))).when(c.isin("e+", "e^+"), F.struct(F.lit("").alias("body"), F.lit(1).alias("charge")))
-    return F.coalesce(electron, of(caret, 1, 2), of(bracket, 1, 2), of(ion, 1, 2), of(sign, None, 1), F.struct(c.alias("body"), F.lit(0).alias("charge")))
+def written_species(c: Column) -> Column:
+    """body (in ASCII, without charge and phase) and charge of a formula as it is written; an electron has an empty body."""
+    bare = F.regexp_replace(c, r"\\[a-z]+|[{}_$`\s]", "")  # LaTeX and blanks
+    part = lambda k: F.regexp_extract(bare, _SPECIES_PARTS, k)
+    written = F.translate(F.concat(*[part(k + 2) for k in range(len(_CHARGES))]), _UP, _UP_DIGITS)
+    size = F.coalesce(F.regexp_extract(written, "^[0-9]+", 0).try_cast("int"), F.lit(1))
+    charge = F.when(written == "", 0).when(F.endswith(written, F.lit("+")), size).otherwise(-size)
+    body = F.translate(part(1), "₀₁₂₃₄₅₆₇₈₉⁰¹²³⁴⁵⁶⁷⁸⁹∙⋅", "01234567890123456789··")
+    return F.struct(F.when((body == "e") & (written != ""), "").otherwise(body).alias("body"), charge.alias("charge"))
 
 
 def _atoms(body: str | None) -> dict[str, int] | None:
@@ -72,7 +66,7 @@ def atoms_udf(bodies: pd.Series) -> pd.Series:
 
 def species(df: DataFrame, formula: str) -> DataFrame:
     """df with atoms (map of element to count, null if it is no formula) and charge."""
-    parts = charge(plain_formula(F.col(formula)))
+    parts = written_species(F.col(formula))
     return df.withColumn("_s", parts).withColumns({"atoms": atoms_udf("_s.body"), "charge": F.col("_s.charge")}).drop("_s")
 
 
@@ -121,8 +115,27 @@ def reaction_balance(equations: DataFrame, id_col: str, equation: str) -> DataFr
 _SPECIES = r"(?:\d+(?:[./]\d+)?\s*)?(?:[A-Z\[][A-Za-z0-9()\[\]·^{}₀-₉⁰-⁹⁺⁻¹²³]*(?:[+-](?=[\s]|$|[.,;:]))?|e[-⁻])(?:\s?\((?:aq|s|l|g)\))?"
 
 
+_EQUALS = r"(?<![<>=!])=(?![=>])"
+#: Oxidation states before and after: not an equation.
+_STATES = rf"(?<=^|[\s:(])[-+−]?[0-9]+\s*(?:{ARROW})\s*[-+−]?[0-9]+(?=\s*(?:[).,;:]|$))"
+
+
 def equations_in(c: Column) -> Column:
-    """The reaction equations that a text holds: terms joined by plus signs on both sides of an arrow. Oxidation states with an
-    arrow between them are no terms."""
+    """The reaction equations that a text holds, looked for between line feeds and semicolons.
+
+    An equation is terms joined by plus signs on both sides of an arrow; without an arrow, of the only equals sign, and then one side
+    has a plus sign. A part with an arrow but no equation that can be read is given as a whole, so that it is not taken for
+    a text without one. Oxidation states with an arrow between them are no equation.
+    """
     side = rf"{_SPECIES}(?:\s*\+\s*{_SPECIES})*"
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(rf"{side}\s*(?:{ARROW})\s*{side}"), F.lit(0))
+    sum_ = rf"{_SPECIES}(?:\s*\+\s*{_SPECIES})+"
+
+    def found(part: Column) -> Column:
+        rest = F.regexp_replace(part, _STATES, " ")
+        by_arrow = F.regexp_extract_all(rest, F.lit(rf"{side}\s*(?:{ARROW})\s*{side}"), F.lit(0))
+        by_sign = F.regexp_extract_all(rest, F.lit(rf"{sum_}\s*{_EQUALS}\s*{side}|{side}\s*{_EQUALS}\s*{sum_}"), F.lit(0))
+        whole = F.array(F.regexp_replace(F.trim(part), "^[$` ]+|[$` ]+$", ""))
+        none = F.array().cast("array<string>")
+        return F.when(rest.rlike(ARROW), F.when(F.size(by_arrow) > 0, by_arrow).otherwise(whole)).when(F.regexp_count(rest, F.lit(_EQUALS)) == 1, by_sign).otherwise(none)
+
+    return F.array_distinct(F.flatten(F.transform(F.split(F.coalesce(c, F.lit("")), r"[\n;]+"), found)))

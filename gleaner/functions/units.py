@@ -135,10 +135,16 @@ def unit(c: Column | str) -> Column:
         known = {r[0]: r for r in rows()}
         found = known.get(f"={c}") or known.get(c.translate(str.maketrans("²³·µ", "23*μ")).replace(" ", "").lower())
         return _struct(found) if found else F.lit(None).cast("struct<symbol:string,dimension:string,factor:double,offset:double>")
-    lookup = F.create_map(*[x for r in rows() for x in (F.lit(r[0]), _struct(r))])
+    lookup = F.expr(_lookup())
     return F.coalesce(F.try_element_at(lookup, cased_key(c)), F.try_element_at(lookup, unit_key(c)))
 
 
+@lru_cache(1)
+def _lookup() -> str:
+    """The constant map as SQL: one expression instead of a thousand."""
+    return "map(" + ", ".join(f"'{r[0]}', named_struct('symbol', '{r[1]}', 'dimension', '{r[2]}', 'factor', {r[3]!r}D, 'offset', {r[4]!r}D)" for r in rows()) + ")"
+
+
 def join_units(df: DataFrame, c: Column) -> DataFrame:
     """df with symbol, dimension, factor, offset of its unit column, by a join with the unit table; null if unknown. The table
     has some 190 rows whatever the data, so it is broadcast."""

@@ -1,8 +1,9 @@
 """Physical-consistency rules over fact columns, and their report.
 
-A rule is a Column: a struct of check_id and state (pass, fail, warning, indeterminate, not_applicable). Facts are
-measurements (value, unit, dimension, si) or numbers; a missing one makes a rule indeterminate. Rules are plain
-arithmetic, so any number of them runs over a task table in one scan.
+A rule is a Column: a struct of check_id and state (pass, fail, warning, indeterminate, error, not_applicable). Facts are
+measurements (value, unit, dimension, si) or numbers; a missing one makes a rule indeterminate, and one that can't be
+calculated with makes it an error. Inputs that `visible` names have to be stated in the task, or the rule fails: facts are not a
+source of data that a student doesn't see. Rules are plain arithmetic, so any number of them runs over a task table in one scan.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.chemistry import equations_in, reaction_balance
-from gleaner.functions.numbers import relative_error, rounds_to, significant_digits
-from gleaner.functions.units import assigned_measurements, measurements
+from gleaner.functions.numbers import numbers, ratio_rounds_to, relative_error, significant_digits
+from gleaner.functions.units import assigned_measurements, last_assigned, measure, measurements, stated
 
 TOLERANCE = 0.01
 STATES = ("pass", "fail", "warning", "indeterminate", "not_applicable", "error")
@@ -38,15 +39,21 @@ def near(actual: Column, expected: Column, tolerance: float = TOLERANCE) -> Colu
 
 
 def outcome(check_id: str, facts: list[Column], fails: list[Column], warns: list[Column] | None = None) -> Column:
-    """indeterminate if a fact is missing, else fail or warning if any of the conditions for it holds, else pass."""
+    """indeterminate if a fact is missing, else fail or warning if any of the conditions for it holds, else error if any is unknown, else pass."""
     missing = reduce(or_, [f.isNull() for f in facts])
-    some = lambda conditions: reduce(or_, [F.coalesce(c, F.lit(True)) for c in conditions])
-    state = F.when(missing, "indeterminate").when(some(fails), "fail")
+    some = lambda conditions: reduce(or_, [F.coalesce(c, F.lit(False)) for c in conditions])
+    unknown = reduce(or_, [c.isNull() for c in [*fails, *(warns or [])]])
+    state = F.when(missing, "indeterminate").when(some(fails), "fail").when(unknown, "error")
     if warns:
         state = state.when(some(warns), "warning")
     return F.struct(F.lit(check_id).alias("check_id"), state.otherwise("pass").alias("state"))
 
 
+def hidden(statement: Column | None, *inputs: Column) -> list[Column]:
+    """Conditions that an input measurement is not stated; none without a statement."""
+    return [] if statement is None else [~F.coalesce(stated(statement, x), F.lit(False)) for x in inputs]
+
+
 def positive(*columns: Column) -> list[Column]:
     return [c <= 0 for c in columns]
 
@@ -63,28 +70,50 @@ def dilution(c1: Column, v1: Column, c2: Column, v2: Column) -> Column:
 
 def titration(c1: Column, v1: Column, f1: Column, c2: Column, v2: Column, f2: Column) -> Column:
     """Equal equivalents of analyte and titrant; f is the equivalence factor, or 1 / stoichiometric coefficient."""
-    a, b = c1["si"] * v1["si"] / f1, c2["si"] * v2["si"] / f2
+    a, b = F.try_divide(c1["si"] * v1["si"], f1), F.try_divide(c2["si"] * v2["si"], f2)
     return outcome("analytical.titration", [c1, v1, f1, c2, v2, f2], [*positive(c1["si"], v1["si"], f1, c2["si"], v2["si"], f2), ~near(a, b)])
 
 
-def gravimetry(n_analyte: Column, m_analyte: Column, n_form: Column, m_form: Column, factor: Column, form_mass: Column, analyte_mass: Column) -> Column:
-    """factor is a decimal literal: its value has to be right and its digits rounded half up; masses are numbers."""
-    exact = n_analyte * m_analyte / (n_form * m_form)
-    audit = rounds_to(F.abs(factor.cast("decimal(38,18)")).cast("string"), exact.cast("decimal(38,18)").cast("string")) | (significant_digits(factor) < 3)
-    written = rounds_to(factor, exact.cast("decimal(38,18)").cast("string"))
-    return outcome("analytical.gravimetry", [n_analyte, m_analyte, n_form, m_form, factor, form_mass, analyte_mass], [
-        *positive(n_analyte, m_analyte, n_form, m_form, form_mass), ~near(factor.try_cast("double"), exact), ~near(analyte_mass, exact * form_mass), ~(written | audit)])
-
+def gravimetry(n_analyte: Column, m_analyte: Column, n_form: Column, m_form: Column, factor: Column, form_mass: Column, analyte_mass: Column, statement: Column | None = None) -> Column:
+    """All facts are decimal literals as text: coefficients, molar masses in g/mol, the gravimetric factor, masses in g.
 
-def conductometry(resistance: Column, conductance: Column, cell_constant: Column, conductivity: Column) -> Column:
+    The factor and the mass of the analyte have to be the exact results rounded half up to the digits that they show, and to show
+    as many as the least precise of what they are made from. Molar masses and the mass of the form have to be stated.
+    """
+    facts = [n_analyte, m_analyte, n_form, m_form, factor, form_mass, analyte_mass]
+    number = lambda c: F.regexp_replace(F.trim(c), ",", ".").try_cast("double")
+    least = F.least(significant_digits(m_analyte), significant_digits(m_form))
+    precise = lambda c, digits: significant_digits(c) >= digits
+    over, under = [n_analyte, m_analyte], [n_form, m_form]
+    inputs = [measure(number(m_analyte), "г/моль"), measure(number(m_form), "г/моль"), measure(number(form_mass), "г")]
+    return outcome("analytical.gravimetry", [number(f) for f in facts], [
+        *positive(*[number(f) for f in facts]), *hidden(statement, *inputs), ~ratio_rounds_to(factor, over, under), ~precise(factor, least),
+        ~ratio_rounds_to(analyte_mass, [form_mass, *over], under), ~precise(analyte_mass, F.least(least, significant_digits(form_mass)))])
+
+
+def conductometry(resistance: Column, conductance: Column, cell_constant: Column, conductivity: Column, statement: Column | None = None) -> Column:
+    """In ohm, S, 1/m and S/m. Either electrical quantity and the cell constant have to be stated."""
+    shown = []
+    if statement is not None:
+        electrical = F.coalesce(stated(statement, measure(resistance, "Ом")) | stated(statement, measure(conductance, "S")), F.lit(False))
+        shown = [~electrical, *hidden(statement, measure(cell_constant, "м-1"))]
     return outcome("analytical.conductometry", [resistance, conductance, cell_constant, conductivity], [
-        *positive(resistance, cell_constant), ~near(conductance, F.try_divide(F.lit(1.0), resistance)), ~near(conductivity, cell_constant * conductance)])
+        *positive(resistance, conductance, cell_constant, conductivity), *shown, ~near(conductance, F.try_divide(F.lit(1.0), resistance)), ~near(conductivity, cell_constant * conductance)])
 
 
-def faraday(current: Column, time: Column, charge: Column, amount: Column, mass: Column, molar_mass: Column, electrons: Column, efficiency: Column, constant: Column) -> Column:
-    expected = molar_mass * charge * efficiency / (electrons * constant)
+def faraday(current: Column, time: Column, charge: Column, amount: Column, mass: Column, molar_mass: Column, electrons: Column, efficiency: Column, constant: Column, statement: Column | None = None) -> Column:
+    """In SI units. A constant that is used has to be the right one, and stated if there is a statement."""
+    expected = F.try_divide(molar_mass * charge * efficiency, electrons * constant)
     return outcome("analytical.faraday", [current, time, charge, amount, mass, molar_mass, electrons, efficiency, constant], [
-        *positive(current, time, molar_mass, electrons), (efficiency <= 0) | (efficiency > 1), ~near(constant, F.lit(FARADAY), 0.005), ~near(charge, current * time), ~near(amount, charge / constant), ~near(mass, expected)])
+        *positive(current, time, molar_mass, electrons), (efficiency <= 0) | (efficiency > 1), *named_constant(statement, constant, r"(?<![\p{L}\p{N}])F(?![\p{L}\p{N}])|(?iu)фараде|faraday"),
+        ~near(constant, F.lit(FARADAY), 0.005), ~near(charge, current * time), ~near(amount, F.try_divide(charge, constant)), ~near(mass, expected)])
+
+
+def named_constant(statement: Column | None, constant: Column, name: str) -> list[Column]:
+    """Conditions that a statement does not name a constant, or holds no number within 0.5 % of its value; none without a statement."""
+    if statement is None:
+        return []
+    return [~F.coalesce(statement.rlike(name), F.lit(False)), ~F.exists(numbers(statement), lambda x: F.coalesce(near(x, constant, 0.005), F.lit(False)))]
 
 
 def calibration(slope: Column, intercept: Column, signal: Column, concentration: Column, low: Column, high: Column) -> Column:
@@ -99,19 +128,40 @@ def bet_linear(slope: Column, intercept: Column, capacity: Column, constant: Col
         [F.exists(p, lambda x: (x < BET_RANGE[0]) | (x > BET_RANGE[1]))])
 
 
-def bet_surface(amount_per_mass: Column, cross_section: Column, surface: Column) -> Column:
-    return outcome("colloid.bet", [amount_per_mass, cross_section, surface], [*positive(amount_per_mass, cross_section), ~near(surface, amount_per_mass * AVOGADRO * cross_section)])
+def bet_surface(amount_per_mass: Column, cross_section: Column, surface: Column, constant: Column | None = None, statement: Column | None = None) -> Column:
+    """In mol/kg, m² and m²/kg. The constant of Avogadro that is used has to be right, and stated if there is a statement."""
+    used = F.lit(AVOGADRO) if constant is None else constant
+    return outcome("colloid.bet", [amount_per_mass, cross_section, surface, used], [
+        *positive(amount_per_mass, cross_section), ~near(used, F.lit(AVOGADRO), 0.005), *named_constant(statement, used, r"N_?[AaАа]|(?iu)авогадро|avogadro"), ~near(surface, amount_per_mass * used * cross_section)])
 
 
-def smoluchowski(mobility: Column, viscosity: Column, zeta: Column, permittivity: Column, kappa_a: Column) -> Column:
-    expected = viscosity * mobility / (permittivity * VACUUM_PERMITTIVITY)
-    return outcome("colloid.smoluchowski", [mobility, viscosity, zeta, permittivity, kappa_a], [*positive(viscosity, permittivity), ~near(zeta, expected), kappa_a <= 10], [kappa_a < 50])
+def smoluchowski(mobility: Column, viscosity: Column, zeta: Column, permittivity: Column, kappa_a: Column, statement: Column | None = None) -> Column:
+    """In SI units. The permittivity of the vacuum has to be stated if there is a statement."""
+    expected = F.try_divide(viscosity * mobility, permittivity * VACUUM_PERMITTIVITY)
+    return outcome("colloid.smoluchowski", [mobility, viscosity, zeta, permittivity, kappa_a], [
+        *positive(viscosity, permittivity), *hidden(statement, measure(F.lit(VACUUM_PERMITTIVITY), "Ф/м")), ~near(zeta, expected), kappa_a <= 10], [kappa_a < 50])
 
 
 def dlvo(ionic_strength: Column, debye_nm: Column, radius_nm: Column, separation_nm: Column, claims_derjaguin: Column, claims_sufficient: Column, other_forces: Column) -> Column:
-    thick = separation_nm / radius_nm > 0.1
+    thick = F.try_divide(separation_nm, radius_nm) > 0.1
+    expected = F.try_divide(F.lit(DEBYE_NM), F.sqrt(F.greatest(ionic_strength, F.lit(0.0))))
     return outcome("colloid.dlvo", [ionic_strength, debye_nm, radius_nm, separation_nm], [
-        *positive(ionic_strength, radius_nm), ~near(debye_nm, F.lit(DEBYE_NM) / F.sqrt(ionic_strength), 0.03), F.coalesce(claims_derjaguin, F.lit(False)) & thick, F.coalesce(claims_sufficient & other_forces, F.lit(False))], [thick])
+        *positive(ionic_strength, radius_nm), ~near(debye_nm, expected, 0.03), F.coalesce(claims_derjaguin, F.lit(False)) & thick, F.coalesce(claims_sufficient & other_forces, F.lit(False))], [thick])
+
+
+def amount(given: Column, by: Column) -> Column:
+    """The amount in mol of a measurement: itself, or with a second one a mass by a molar mass or a concentration by a volume; else null."""
+    kinds = lambda a, b: (given["dimension"] == a) & (by["dimension"] == b)
+    product = given["si"] * by["si"]
+    return F.when(given["dimension"] == "amount", given["si"]).when(kinds("mass", "molar_mass"), F.try_divide(given["si"], by["si"])).when(kinds("amount_concentration", "volume") | kinds("volume", "amount_concentration"), product)
+
+
+def amount_relation(text: Column) -> Column:
+    """n = cV between the values that a text assigns last to n, c and V; not applicable if it has not all three. For tasks without facts."""
+    assigned = assigned_measurements(text)
+    n, c, v = (last_assigned(assigned, [label], [kind]) for label, kind in (("n", "amount"), ("c", "amount_concentration"), ("v", "volume")))
+    some = n.isNotNull() & c.isNotNull() & v.isNotNull()
+    return F.struct(F.lit("chemistry.stoichiometry").alias("check_id"), F.when(~some, "not_applicable").when(near(n["si"], c["si"] * v["si"]), "pass").otherwise("fail").alias("state"))
 
 
 def scale_compatibility(text: Column) -> Column:
@@ -139,15 +189,18 @@ def reaction_results(tasks: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def stoichiometry(tasks: DataFrame, id_col: str) -> DataFrame:
-    """id, limiting, amount, state of tasks with reactants (array of name, coefficient, amount in mol), target (coefficient, amount) and
-    limiting (as declared, or null): the extent is the least amount per coefficient."""
-    rows = tasks.select(id_col, F.explode("reactants").alias("r")).select(id_col, "r.name", (F.col("r.amount") / F.col("r.coefficient")).alias("extent"))
-    least = rows.groupBy(id_col).agg(F.min(F.struct("extent", "name")).alias("m"), F.max("extent").alias("most"))
-    out = tasks.join(least, id_col)
+    """id, limiting, amount, state of tasks with reactants (array of name, coefficient, amount in mol), target (coefficient, amount),
+    limiting (as declared, or null) and maybe excess (names that are declared to be in excess and need no amount): the extent is the least
+    amount per coefficient of the others. A reactant with neither makes a task indeterminate."""
+    spare = F.coalesce(F.array_contains("excess", F.col("r.name")), F.lit(False)) if "excess" in tasks.columns else F.lit(False)
+    rows = tasks.select(id_col, *(["excess"] if "excess" in tasks.columns else []), F.explode("reactants").alias("r")).filter(~spare)
+    rows = rows.select(id_col, "r.name", F.try_divide("r.amount", "r.coefficient").alias("extent"))
+    least = rows.groupBy(id_col).agg(F.min(F.struct("extent", "name")).alias("m"), F.max("extent").alias("most"), F.bool_or(F.col("extent").isNull()).alias("unknown"))
+    out = tasks.join(least, id_col, "left")
     amount = F.col("m.extent") * F.col("target.coefficient")
     declared = F.col("limiting").isNull() & ~near(F.col("m.extent"), F.col("most"))
     wrong = ~near(F.col("target.amount"), amount) | F.coalesce(F.col("limiting") != F.col("m.name"), F.lit(False)) | declared
-    return out.select(id_col, F.col("m.name").alias("found_limiting"), amount.alias("amount"), F.when(wrong, "fail").otherwise("pass").alias("state"))
+    return out.select(id_col, F.col("m.name").alias("found_limiting"), amount.alias("amount"), F.when(F.coalesce("unknown", F.lit(True)), "indeterminate").when(wrong, "fail").otherwise("pass").alias("state"))
 
 
 def evaluate(tasks: DataFrame, id_col: str, rules: list[Column], selected: Column | None = None) -> DataFrame:

@@ -14,13 +14,13 @@ from gleaner.operators import rules as R
 from .registry import query, table
 
 
-@query("""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[0-9]+(\\.[0-9]+)?')) AS n, round(list_sum(list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9]+(\\.[0-9]+)?'), lambda x: length(x) < 12), lambda x: CAST(x AS DOUBLE))), 4) AS total FROM documents""")
+@query("""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[0-9]+(\\.[0-9]+)?')) AS n, round(list_sum(list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]+(\\.[0-9]+)?'), lambda x: CAST(x AS DOUBLE))) / 1e6, 3) AS millions FROM documents""")
 def number_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain decimal numbers; the whole grammar is tested on fixtures."""
     tokens = N.plain_tokens("text")
-    values = N.as_doubles(F.filter(tokens, lambda t: F.length(t) < 12))
-    total = F.when(F.size(values) > 0, F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 4))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("n"), total.alias("total"))
+    values = N.as_doubles(tokens)
+    total = F.when(F.size(values) > 0, F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / 1e6, 3))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("n"), total.alias("millions"))
 
 
 @query()
@@ -84,8 +84,8 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with a key, and `off`: 1, or 1.05 for every seventh part."""
-    off = F.when(F.col("l_partkey") % 7 == 0, 1.05).otherwise(1.0)
+    """Line items with a key, and `off`: a factor up to 1.9 % from 1, so that of 13 parts some lie within the tolerance of 1 % and some beyond."""
+    off = 1 + (F.col("l_partkey") % 13 - 6) * 0.0031
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("q"), (F.col("l_discount") + 1).alias("d"), (F.col("l_tax") + 1).alias("t"), off.alias("off"))
 
 
@@ -93,10 +93,14 @@ def m(c: Column, unit: str) -> Column:
     return U.measure(c, unit)
 
 
-FACTS_SQL = "f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS q, l_discount + 1 AS d, l_tax + 1 AS t, CASE WHEN l_partkey % 7 = 0 THEN 1.05 ELSE 1.0 END AS off FROM lineitem)"
+FACTS_SQL = "f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS q, l_discount + 1 AS d, l_tax + 1 AS t, 1 + (l_partkey % 13 - 6) * 0.0031 AS off FROM lineitem)"
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
 
 
+def unlike_sql(a: str, b: str, tolerance: float = 0.01) -> str:
+    return f"abs(({a}) - ({b})) / greatest(abs({a}), abs({b}), 1e-30) > {tolerance}"
+
+
 def rule(sql: str):
     return query(f"WITH {FACTS_SQL} SELECT l_orderkey, l_linenumber, l_partkey, {sql} AS state FROM f")
 
@@ -105,69 +109,85 @@ def state(spark: SparkSession, sf_dir: str, result: Column) -> DataFrame:
     return facts(spark, sf_dir).select(*KEYS, result.alias("r")).select(*KEYS, F.col("r.state").alias("state"))
 
 
-@rule("CASE WHEN l_partkey % 11 = 0 THEN 'indeterminate' WHEN l_partkey % 7 = 0 THEN 'fail' ELSE 'pass' END")
+@rule(f"CASE WHEN l_partkey % 11 = 0 THEN 'indeterminate' WHEN l_partkey % 17 = 0 OR (CASE WHEN l_partkey % 19 = 0 THEN 0 ELSE d END) <= 0 OR {unlike_sql('(q * 1000) * (d * 0.001)', '(q * d / t * off * 1000) * (t * 0.001)')} THEN 'fail' ELSE 'pass' END")
 def rule_dilution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c1 = F.when(F.col("l_partkey") % 11 != 0, m(F.col("q"), "mol/L"))
-    return state(spark, sf_dir, R.dilution(c1, m(F.col("d"), "L"), m(F.col("q") * F.col("d") / F.col("t") * F.col("off") * 1000, "mmol/L"), m(F.col("t") * 1000, "mL")))
+    """Concentrations and volumes; some missing, some volumes zero, some `volumes` that are masses."""
+    key, q, d, t = (F.col(c) for c in ("l_partkey", "q", "d", "t"))
+    v2 = F.when(key % 17 == 0, m(t, "kg")).otherwise(m(t * 1000, "mL"))
+    return state(spark, sf_dir, R.dilution(F.when(key % 11 != 0, m(q, "mol/L")), m(F.when(key % 19 == 0, 0.0).otherwise(d), "L"), m(q * d / t * F.col("off") * 1000, "mmol/L"), v2))
 
 
-@rule("CASE WHEN l_partkey % 7 = 0 THEN 'fail' ELSE 'pass' END")
+@rule(f"CASE WHEN {unlike_sql('(q * 1000) * (d * 1e-6) / 2', '(q * d / 2 / t * off * 1000) * (t * 1e-6)')} THEN 'fail' ELSE 'pass' END")
 def rule_titration(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, d, t = F.col("q"), F.col("d"), F.col("t")
     return state(spark, sf_dir, R.titration(m(q, "mol/L"), m(d, "mL"), F.lit(2.0), m(q * d / 2 / t * F.col("off"), "mol/L"), m(t, "mL"), F.lit(1.0)))
 
 
-@rule("CASE WHEN l_partkey % 7 = 0 THEN 'fail' ELSE 'pass' END")
+@rule(f"CASE WHEN l_partkey % 5 = 0 OR {unlike_sql('1 / q', '1 / q * off')} OR {unlike_sql('d / q * off * off', 'd * (1 / q * off)')} THEN 'fail' ELSE 'pass' END")
 def rule_conductometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, d = F.col("q"), F.col("d")
-    return state(spark, sf_dir, R.conductometry(q, 1 / q, d, d / q * F.col("off")))
+    """Every fifth statement hides the cell constant."""
+    q, d, off = F.col("q"), F.col("d"), F.col("off")
+    statement = F.concat(F.lit("R = "), q.cast("string"), F.lit(" Ом"), F.when(F.col("l_partkey") % 5 == 0, "").otherwise(F.concat(F.lit("; k = "), d.cast("string"), F.lit(" м⁻¹"))))
+    return state(spark, sf_dir, R.conductometry(q, 1 / q * off, d, d / q * off * off, statement))
 
 
-@rule("CASE WHEN l_partkey % 7 = 0 THEN 'fail' ELSE 'pass' END")
+@rule(f"CASE WHEN l_partkey % 5 = 0 OR {unlike_sql('q * d / 96485.0', 'q * d / 96485.0 * off')} OR {unlike_sql('0.0635 * (q * d) * 0.9 / (2 * 96485.0) * off', '0.0635 * (q * d) * 0.9 / (2 * 96485.0)')} THEN 'fail' ELSE 'pass' END")
 def rule_faraday(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, d, t = F.col("q"), F.col("d"), F.col("t")
-    charge, k = q * d, F.lit(96485.0)
-    return state(spark, sf_dir, R.faraday(q, d, charge, charge / k, F.lit(0.0635) * charge * 0.9 / (2 * k) * F.col("off"), F.lit(0.0635), F.lit(2.0), F.lit(0.9), k) if t is not None else None)
+    """Every fifth statement hides the constant."""
+    charge, k, off = F.col("q") * F.col("d"), F.lit(96485.0), F.col("off")
+    statement = F.when(F.col("l_partkey") % 5 == 0, "Найдите массу меди.").otherwise("Найдите массу меди, F = 96485 Кл/моль.")
+    return state(spark, sf_dir, R.faraday(F.col("q"), F.col("d"), charge, charge / k * off, F.lit(0.0635) * charge * 0.9 / (2 * k) * off, F.lit(0.0635), F.lit(2.0), F.lit(0.9), k, statement))
 
 
-@rule("CASE WHEN l_partkey % 7 = 0 THEN 'fail' WHEN q > 40 THEN 'warning' ELSE 'pass' END")
+@rule(f"CASE WHEN l_partkey % 17 = 0 OR {unlike_sql('q * off', '((d * q + t) - t) / d')} THEN 'fail' WHEN q * off > 40 THEN 'warning' ELSE 'pass' END")
 def rule_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventeenth line has no slope."""
     q, d, t = F.col("q"), F.col("d"), F.col("t")
-    return state(spark, sf_dir, R.calibration(d, t, d * q + t, q * F.col("off"), F.lit(0.0), F.lit(40.0)))
+    return state(spark, sf_dir, R.calibration(F.when(F.col("l_partkey") % 17 == 0, 0.0).otherwise(d), t, d * q + t, q * F.col("off"), F.lit(0.0), F.lit(40.0)))
 
 
-@rule("CASE WHEN l_partkey % 7 = 0 THEN 'fail' WHEN q > 35 THEN 'warning' ELSE 'pass' END")
+@rule(f"CASE WHEN {unlike_sql('1 / (d + t) * off', '1 / (d + t)')} OR q >= 50 THEN 'fail' WHEN q / 50 < 0.05 OR q / 50 > 0.35 THEN 'warning' ELSE 'pass' END")
 def rule_bet(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, d, t = F.col("q"), F.col("d"), F.col("t")
-    return state(spark, sf_dir, R.bet_linear(d, t, 1 / (d + t) * F.col("off"), 1 + d / t, F.array(F.lit(0.1), q / 100 + F.when(q < 5, 0.05).otherwise(0.0))))
+    return state(spark, sf_dir, R.bet_linear(d, t, 1 / (d + t) * F.col("off"), 1 + d / t, F.array(F.lit(0.1), q / 50)))
 
 
-@rule("CASE WHEN l_partkey % 7 = 0 THEN 'fail' ELSE 'pass' END")
+@rule(f"CASE WHEN l_partkey % 5 = 0 OR {unlike_sql('q * 6.02214076e23 * 1.62e-19 * off', 'q * 6.022e23 * 1.62e-19')} THEN 'fail' ELSE 'pass' END")
 def rule_bet_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state(spark, sf_dir, R.bet_surface(F.col("q"), F.lit(1.62e-19), F.col("q") * R.AVOGADRO * 1.62e-19 * F.col("off")))
+    """Every fifth statement hides the constant."""
+    statement = F.when(F.col("l_partkey") % 5 == 0, "Найдите поверхность.").otherwise("Найдите поверхность, N_A = 6,022·10²³ моль⁻¹.")
+    return state(spark, sf_dir, R.bet_surface(F.col("q"), F.lit(1.62e-19), F.col("q") * R.AVOGADRO * 1.62e-19 * F.col("off"), F.lit(6.022e23), statement))
 
 
-@rule("CASE WHEN l_partkey % 7 = 0 OR q <= 10 THEN 'fail' WHEN q < 50 THEN 'warning' ELSE 'pass' END")
+@rule(f"CASE WHEN {unlike_sql('8.9e-4 * (d * 1e-8) / (78.5 * 8.8541878128e-12) * off', '8.9e-4 * (d * 1e-8) / (78.5 * 8.8541878128e-12)')} OR q <= 10 THEN 'fail' WHEN q < 50 THEN 'warning' ELSE 'pass' END")
 def rule_smoluchowski(spark: SparkSession, sf_dir: str) -> DataFrame:
     mobility, viscosity, e = F.col("d") * 1e-8, F.lit(8.9e-4), F.lit(78.5)
     zeta = viscosity * mobility / (e * R.VACUUM_PERMITTIVITY) * F.col("off")
     return state(spark, sf_dir, R.smoluchowski(mobility, viscosity, zeta, e, F.col("q")))
 
 
-@rule("CASE WHEN l_partkey % 7 = 0 OR (q / 100.0 > 0.1 AND l_linenumber = 2) THEN 'fail' WHEN q / 100.0 > 0.1 THEN 'warning' ELSE 'pass' END")
+@rule(f"CASE WHEN {unlike_sql('0.304 / sqrt(d / 100) * off * off', '0.304 / sqrt(d / 100)', 0.03)} OR (q / 100.0 > 0.1 AND l_linenumber = 2) THEN 'fail' WHEN q / 100.0 > 0.1 THEN 'warning' ELSE 'pass' END")
 def rule_dlvo(spark: SparkSession, sf_dir: str) -> DataFrame:
     strength = F.col("d") / 100
-    return state(spark, sf_dir, R.dlvo(strength, R.DEBYE_NM / F.sqrt(strength) * F.col("off"), F.lit(100.0), F.col("q"), F.col("l_linenumber") == 2, F.lit(False), F.lit(True)))
+    return state(spark, sf_dir, R.dlvo(strength, R.DEBYE_NM / F.sqrt(strength) * F.col("off") * F.col("off"), F.lit(100.0), F.col("q"), F.col("l_linenumber") == 2, F.lit(False), F.lit(True)))
 
 
-@query()
+FACTORS = ["0.69943", "0.699431", "0.69944", "0.6994", "0.699430", "0.7", "0.70000"]
+
+
+@query(f"""WITH {FACTS_SQL}, g AS (SELECT *, list_extract({FACTORS}, CAST(l_partkey % 7 + 1 AS INT)) AS factor, round(q * 111.69 / 159.687 * CASE WHEN l_partkey % 13 = 0 THEN 1.0001 ELSE 1 END, 4) AS mass FROM f)
+    SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 5 = 0 OR length(factor) - 2 < 5 OR CAST(factor AS DOUBLE) <> CAST(round(111.69::DOUBLE / 159.687, CAST(length(factor) - 2 AS INT)) AS DOUBLE)
+        OR abs(mass - q * 111.69 / 159.687) > 0.00005 THEN 'fail' ELSE 'pass' END AS state FROM g""")
 def rule_gravimetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    literal = F.when(F.col("l_partkey") % 7 == 0, "0.6995").otherwise("0.6994")
-    exact = F.lit(2 * 55.845 / 159.687)
-    return state(spark, sf_dir, R.gravimetry(F.lit(2.0), F.lit(55.845), F.lit(1.0), F.lit(159.687), literal, F.col("q"), F.col("q") * exact))
+    """Factors of more and fewer digits, right and wrong in the last; every fifth statement hides a molar mass."""
+    literal = F.element_at(F.array(*map(F.lit, FACTORS)), (F.col("l_partkey") % 7 + 1).cast("int"))
+    mass = F.round(F.col("q") * 111.69 / 159.687 * F.when(F.col("l_partkey") % 13 == 0, 1.0001).otherwise(1.0), 4).cast("decimal(18,4)").cast("string")
+    form = F.col("q").cast("string")
+    statement = F.concat(F.lit("M = 159,687 г/моль, m = "), form, F.lit(" г"), F.when(F.col("l_partkey") % 5 == 0, "").otherwise("; M(Fe) = 55,845 г/моль"))
+    return state(spark, sf_dir, R.gravimetry(F.lit("2"), F.lit("55.845"), F.lit("1"), F.lit("159.687"), literal, form, mass, statement))
 
 
-@query(f"""WITH {FACTS_SQL} SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN q / 2 < d * 10 OR q / 2 = least(q / 2, d * 10) THEN 'A' ELSE 'B' END AS found_limiting, round(least(q / 2, d * 10) * 3, 6) AS amount, CASE WHEN l_partkey % 7 = 0 THEN 'fail' ELSE 'pass' END AS state FROM f""")
+@query(f"""WITH {FACTS_SQL} SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN q / 2 < d * 10 OR q / 2 = least(q / 2, d * 10) THEN 'A' ELSE 'B' END AS found_limiting, round(least(q / 2, d * 10) * 3, 6) AS amount, CASE WHEN {unlike_sql('least(q / 2, d * 10) * 3 * off', 'least(q / 2, d * 10) * 3')} THEN 'fail' ELSE 'pass' END AS state FROM f""")
 def rule_stoichiometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, b = F.col("q"), F.col("d") * 10
     least = F.least(q / 2, b)
@@ -178,8 +198,8 @@ def rule_stoichiometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.col(f"id.{k}").alias(k) for k in KEYS], "found_limiting", F.round("amount", 6).alias("amount"), "state")
 
 
-RESULTS_SQL = f"""WITH {FACTS_SQL}, r AS (SELECT l_orderkey AS id, 'chemistry.dilution' AS check_id, CASE WHEN l_partkey % 7 = 0 THEN 'fail' ELSE 'pass' END AS state FROM f UNION ALL
-    SELECT l_orderkey, 'analytical.calibration', CASE WHEN l_partkey % 7 = 0 THEN 'fail' WHEN q > 40 THEN 'warning' ELSE 'pass' END FROM f)"""
+RESULTS_SQL = f"""WITH {FACTS_SQL}, r AS (SELECT l_orderkey AS id, 'chemistry.dilution' AS check_id, CASE WHEN {unlike_sql('q * d', 'q * d / t * off * t')} THEN 'fail' ELSE 'pass' END AS state FROM f UNION ALL
+    SELECT l_orderkey, 'analytical.calibration', CASE WHEN {unlike_sql('q * off', '((d * q + t) - t) / d')} THEN 'fail' WHEN q * off > 40 THEN 'warning' ELSE 'pass' END FROM f)"""
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions import units
 from gleaner.operators import admission, answers, exports, grading, provenance, relational, retrieval, rules
 from gleaner.sources import readers, sinks
 from gleaner.streaming import ingest
@@ -175,16 +176,76 @@ def test_rules_without_facts_are_indeterminate(value):
     assert value(rules.calibration(L(0.0), L(0.0), L(1.0), L(1.0), L(0.0), L(2.0))["state"]) == "fail"
 
 
-@pytest.mark.parametrize(("literal", "state"), [("0.6994", "pass"), ("0.69943", "pass"), ("0.6995", "fail"), ("0.70", "pass"), ("0.71", "fail")])
-def test_gravimetric_factor(value, literal, state):
-    exact = 2 * 55.845 / 159.687
-    assert value(rules.gravimetry(L(2.0), L(55.845), L(1.0), L(159.687), L(literal), L(2.0), L(2.0 * exact))["state"]) == state
+@pytest.mark.parametrize(
+    ("factor", "mass", "state"),
+    [("0.69943", "1.3989", "pass"), ("0.699430", "1.3989", "pass"), ("0,69943", "1.3989", "pass"), ("0.6994", "1.3989", "fail"), ("0.69944", "1.3989", "fail"), ("0.7", "1.3989", "fail"), ("0.70", "1.3989", "fail"),
+     ("0.69943", "1.3988", "fail"), ("0.69943", "1.40", "pass"), ("0.69943", "1", "fail"), ("x", "1.3989", "indeterminate"), ("0.69943", None, "indeterminate"), ("0", "1.3989", "fail")],
+)
+def test_gravimetry_audits_digits(value, factor, mass, state):
+    given = [L("2"), L("55.845"), L("1"), L("159.687"), L(factor), L("2.00"), L(mass).cast("string")]
+    assert value(rules.gravimetry(*given)["state"]) == state
+
+
+@pytest.mark.parametrize(("statement", "state"), [("M = 55,845 г/моль и 159.687 г/моль, m = 2 г", "pass"), ("M = 55,845 г/моль, m = 2 г", "fail"), ("M = 55,845 г/моль и 159.687 г/моль, m = 3 г", "fail"), (None, "fail")])
+def test_hidden_inputs_fail(value, statement, state):
+    given = [L("2"), L("55.845"), L("1"), L("159.687"), L("0.69943"), L("2.00"), L("1.3989")]
+    assert value(rules.gravimetry(*given, L(statement).cast("string"))["state"]) == state
+    cell = [L(50.0), L(0.02), L(100.0), L(2.0)]
+    assert value(rules.conductometry(*cell, L("G = 20 mS, k = 1 см⁻¹"))["state"]) == "pass"
+    assert value(rules.conductometry(*cell, L("G = 21 mS, k = 1 см⁻¹"))["state"]) == "fail"
+    assert value(rules.smoluchowski(L(3e-8), L(1e-3), L(3e-8 * 1e-3 / 80 / rules.VACUUM_PERMITTIVITY), L(80.0), L(100.0), L("ε₀ = 8,854·10⁻¹² Ф/м"))["state"]) == "pass"
+
+
+def test_what_cannot_be_calculated_is_an_error(value):
+    broken = rules.outcome("x", [L(1.0)], [L(None).cast("boolean"), L(False)])
+    assert value(broken["state"]) == "error"
+    assert value(rules.titration(*[units.measure(L(1.0), u) for u in ("mol/L", "L")], L(0.0), *[units.measure(L(1.0), u) for u in ("mol/L", "L")], L(1.0))["state"]) == "fail"
+    assert value(rules.dlvo(L(-1.0), L(1.0), L(0.0), L(1.0), L(True), L(False), L(False))["state"]) == "fail"
+
+
+def test_routes_to_an_amount(value):
+    at = lambda x, u: units.measure(L(x), u)
+    assert value(rules.amount(at(18.0, "г"), at(18.0, "г/моль"))) == pytest.approx(1.0)
+    assert value(rules.amount(at(2.0, "mol/L"), at(500.0, "mL"))) == pytest.approx(1.0) == value(rules.amount(at(500.0, "mL"), at(2.0, "mol/L")))
+    assert value(rules.amount(at(3.0, "моль"), at(1.0, "mL"))) == 3.0 and value(rules.amount(at(3.0, "г"), at(1.0, "mL"))) is None
+    relation = lambda s: value(rules.amount_relation(L(s))["state"])
+    assert relation("c = 2 моль/л; V = 500 мл; n = 1 моль") == "pass" and relation("c = 2 моль/л; V = 500 мл; n = 2 моль") == "fail" and relation("c = 2 моль/л") == "not_applicable"
+
+
+def test_declared_excess(spark):
+    part = "array<struct<name:string,coefficient:double,amount:double>>"
+    rows = [(1, [("A", 2.0, 2.0), ("B", 1.0, None)], (3.0, 3.0), "A", ["B"]), (2, [("A", 2.0, 2.0), ("B", 1.0, None)], (3.0, 3.0), "A", None), (3, [("A", 2.0, 2.0), ("B", 1.0, 0.5)], (3.0, 3.0), "A", [])]
+    tasks = spark.createDataFrame(rows, f"id int, reactants {part}, target struct<coefficient:double,amount:double>, limiting string, excess array<string>")
+    assert {r.id: r.state for r in rules.stoichiometry(tasks, "id").collect()} == {1: "pass", 2: "indeterminate", 3: "fail"}
 
 
 def test_reaction_results(spark):
     rows = [(1, "2H2 + O2 -> 2H2O"), (2, "H2 + O2 -> H2O and 2H2 + O2 -> 2H2O"), (3, "no equation"), (4, None)]
     got = {r.id: r.state for r in rules.reaction_results(spark.createDataFrame(rows, "id int, t string"), "id", "t").collect()}
     assert got == {1: "pass", 2: "fail", 3: "not_applicable", 4: "not_applicable"}
+    rows = [(1, "H2 + O2 = H2O в прозе"), (2, "Реакция 2H2 + O2 = 2H2O идёт"), (3, "смесь x → ???"), (4, "n = cV = 0.030 mol"), (5, "Cr: +6 → +3"), (6, "Cr: +6 → +3; 2H2 + O2 -> 2H2O")]
+    got = {r.id: r.state for r in rules.reaction_results(spark.createDataFrame(rows, "id int, t string"), "id", "t").collect()}
+    assert got == {1: "fail", 2: "pass", 3: "indeterminate", 4: "not_applicable", 5: "not_applicable", 6: "pass"}
+
+
+GOLDEN_ANSWERS = [
+    ("F_g = 0.3621; m_MgO = 0.09052 г; w_MgO = 22.63%", "F_g = 0.3621; масса MgO = 0.09052 г; массовая доля MgO = 22.63%", "match"),
+    ("m_MgO = 0.09052 г; w_MgO = 22.63%", "масса CaO = 0.09052 г; массовая доля CaO = 22.63%", "mismatch"),
+    (r"$F_g = 0.2783$; $m(\mathrm{P}) = 0.1703\ \text{г}$; $w(\mathrm{P}) = 22.71\%$.", "Фактор F_g = 0.2783; масса фосфора в навеске = 0.1703 г; массовая доля фосфора в удобрении = 22.71%.", "match"),
+    ("m(P) = 0.1703 г; w(P) = 22.71%", "масса азота в навеске = 0.1703 г; массовая доля азота в образце = 22.71%", "mismatch"),
+    ("m_sample = 0.09052 г", "масса образца = 0.09052 г", "mismatch"),
+    (r"$F_g = 0.2032;~ m(\mathrm{Ni}) = 0.04538~\text{г};~ w(\mathrm{Ni}) = 9.08~\%$", "Fg = 0.2031, m(Ni) = 0.04538 г, ω(Ni) = 9.076%", "match"),
+    (r"$Q=73.1\ \text{Кл};~n(e^-)=7.58\cdot10^{-4}\ \text{моль};~m(Ag)=8.18\cdot10^{-2}\ \text{г}$", "Q=73.1 Кл; n(e-)=7.58×10⁻⁴ моль; m(Ag)=0.0818 г", "match"),
+    ("w1 = 5", "w1 = w2 = 5", "match"), ("w1 = w2 = 5", "w1 = 5", "incomplete"), ("w1 = w2 = 5", "w1 = w2 = 5", "match"), ("w_1 = 5", "w_2 = 5", "mismatch"),
+    ("x = 0,12345", "x = 0,12345 (0,12)", "match"), ("x = 0,12345", "x = 0,12345 (0,13)", "incomplete"), ("m = 1,2345 г", "m = 1,2345 г (1,23 г)", "match"), ("m = 1,2345 г", "m = 1,2345 г (1,23 мл)", "incomplete"),
+    ("U = 0,020 В (20 мВ)", "U = 20 мВ", "match"), ("V = 5 или 6", "V = 6", "match"), ("c = 0,010 моль/л", "n = 0,001 моль / 100 мл = 0,010 моль/л", "incomplete"),
+]
+
+
+def test_answers_against_golden_rows(spark):
+    rows = [(k, a, b) for k, (a, b, _) in enumerate(GOLDEN_ANSWERS)]
+    got = {r.k: r.verdict for r in answers.compare_answers(spark.createDataFrame(rows, "k int, a string, b string"), "a", "b", L(0.5)).collect()}
+    assert [(a, b, got[k]) for k, (a, b, _) in enumerate(GOLDEN_ANSWERS)] == GOLDEN_ANSWERS
 
 
 def test_units_of_one_label(value):
