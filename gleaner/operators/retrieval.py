@@ -64,10 +64,13 @@ def _blocks(sections: Column) -> Column:
     return F.flatten(F.transform(sections, cut))
 
 
-def _pieces(content: Column, size: int) -> Column:
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def _pieces(trimmed: Column, size: int) -> Column:
     """Text blocks in paragraphs packed up to `size` characters; longer paragraphs are cut."""
-    trimmed = F.regexp_replace(content, r"^\s+|\s+$", "")
-    paragraphs = F.filter(F.transform(F.split(trimmed, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: F.length(p) > 0)
+    paragraphs = F.filter(F.transform(F.split(trimmed, r"\n\s*\n"), _trimmed), lambda p: F.length(p) > 0)
     state = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
 
     def step(at: Column, p: Column) -> Column:
@@ -82,13 +85,16 @@ def _pieces(content: Column, size: int) -> Column:
 
 
 def split_markdown(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK) -> DataFrame:
-    """id, ord, heading, kind, content, char_len: the chunks of each document in order, tables whole."""
-    blocks = docs.select(id_col, F.posexplode(_blocks(_sections(F.col(text_col)))).alias("_b", "_block"))
-    pieces = F.when(F.col("_block.kind") == "table", F.array(F.regexp_replace("_block.content", r"^\s+|\s+$", ""))).otherwise(_pieces(F.col("_block.content"), size))
-    rows = blocks.select(id_col, "_b", "_block.heading", "_block.kind", F.posexplode(pieces).alias("_p", "_content"))
-    rows = rows.withColumn("content", F.regexp_replace("_content", r"^\s+|\s+$", "")).filter(F.length("content") > 0)
-    order = Window.partitionBy(id_col).orderBy("_b", "_p")
-    return rows.select(id_col, (F.row_number().over(order) - 1).alias("ord"), "heading", "kind", "content", F.length("content").alias("char_len"))
+    """id, ord, heading, kind, content, char_len: the chunks of each document in order, tables whole. They are numbered within the row."""
+
+    def cut(block: Column) -> Column:
+        one = lambda content: F.struct(block["heading"].alias("heading"), block["kind"].alias("kind"), _trimmed(content).alias("content"))
+        whole = _trimmed(block["content"])
+        return let(whole, lambda t: F.transform(F.when(block["kind"] == "table", F.array(t)).otherwise(_pieces(t, size)), one))
+
+    chunks = F.filter(F.flatten(F.transform(_blocks(_sections(F.col(text_col))), cut)), lambda x: F.length(x["content"]) > 0)
+    rows = docs.select(id_col, F.posexplode(chunks).alias("ord", "_x"))
+    return rows.select(id_col, "ord", "_x.heading", "_x.kind", "_x.content", F.length("_x.content").alias("char_len"))
 
 
 def postings(chunks: DataFrame, id_col: str, text_col: str, stemmed: bool = False) -> DataFrame:
@@ -145,14 +151,11 @@ def weighted_rank(sheets: DataFrame, queries: DataFrame, query_id: str, query_co
     if stemmed:
         asked = asked.withColumn("term", F.element_at(stems(F.array("term")), 1))
 
-    def tokens(field: str) -> Column:
-        found = F.regexp_extract_all(F.regexp_replace(F.lower(text(field)), "ё", "е"), F.lit("[0-9a-zа-я]+"), F.lit(0))
-        return F.array_distinct(stems(found) if stemmed else found)
+    def tokens(field: str, weight: int) -> Column:
+        found = F.regexp_extract_all(F.replace(F.lower(text(field)), F.lit("ё"), F.lit("е")), F.lit("[0-9a-zа-я]+"), F.lit(0))
+        return F.transform(F.array_distinct(stems(found) if stemmed else found), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
 
-    found = None
-    for field, weight in zip(fields, FIELD_WEIGHTS, strict=True):
-        one = sheets.select(*order, F.explode(tokens(field)).alias("term"), F.lit(weight).alias("w"))
-        found = one if found is None else found.unionByName(one)
+    found = sheets.select(*order, F.explode(F.concat(*[tokens(f, w) for f, w in zip(fields, FIELD_WEIGHTS, strict=True)])).alias("_t")).select(*order, "_t.term", "_t.w")
     scored = found.join(asked, "term").groupBy(query_id, *order).agg(F.sum("w").alias("score"))
     return ranked(scored, [query_id], k, F.col("score").desc(), *[F.col(c) for c in order])
 

@@ -169,25 +169,26 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT doc_id, source AS tenant, CASE doc_id % 4 WHEN 0 THEN 'unverified' WHEN 1 THEN 'reference' WHEN 2 THEN 'course_lecture' ELSE 'course_policy' END AS authority FROM documents)
-    SELECT item_id, doc_id FROM (SELECT DISTINCT item_id, unnest(list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 1, 4)) AS term FROM benchmark) q
-    JOIN (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents) p USING (term) JOIN d USING (doc_id) WHERE authority IN ('reference', 'course_policy') GROUP BY 1, 2 HAVING count(*) >= 3""")
+    SELECT item_id, doc_id FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(substr(text, 1, 200)), '[\\p{L}\\p{N}_]+')) AS term FROM benchmark) q
+    JOIN (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents) p USING (term) JOIN d USING (doc_id) WHERE authority IN ('reference', 'course_policy') GROUP BY 1, 2 HAVING count(*) >= 12""")
 def fts_policy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allowed documents with twelve or more of a query's terms; a query is the first 200 characters, as in the search."""
     kind = F.col("doc_id") % 4
     authority = F.when(kind == 0, "unverified").when(kind == 1, "reference").when(kind == 2, "course_lecture").otherwise("course_policy")
     allowed = documents(spark, sf_dir).select("doc_id", authority.alias("authority")).filter(R.in_list(F.col("authority"), ["reference", "course_policy"]))
     index = retrieval.postings(documents(spark, sf_dir), "doc_id", "text").select("doc_id", "term").join(allowed.select("doc_id"), "doc_id")
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.slice(T.words("text"), 1, 4))).alias("term"))
-    return index.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).filter("n >= 3").select("item_id", "doc_id")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.words(F.substring("text", 1, 200)))).alias("term"))
+    return index.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).filter("n >= 12").select("item_id", "doc_id")
 
 
 @query("""WITH f AS (SELECT doc_id, unnest([12, 4, 1]) AS w, unnest([substr(text, 1, 40), coalesce(source, ''), text]) AS t FROM documents),
     k AS (SELECT DISTINCT doc_id, w, unnest(regexp_extract_all(replace(lower(t), 'ё', 'е'), '[0-9a-zа-я]+')) AS term FROM f),
-    q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(replace(lower(substr(text, 1, 80)), 'ё', 'е'), '[0-9a-zа-я]+')) AS term FROM benchmark),
+    q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(replace(lower(text), 'ё', 'е'), '[0-9a-zа-я]+')) AS term FROM benchmark),
     s AS (SELECT item_id, doc_id, sum(w) AS score FROM q JOIN k USING (term) WHERE length(term) >= 2 OR regexp_matches(term, '^[0-9]$') GROUP BY 1, 2)
     SELECT item_id, doc_id, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 8""")
 def weighted_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheets = documents(spark, sf_dir).select("doc_id", F.substring("text", 1, 40).alias("title"), F.coalesce("source", F.lit("")).alias("description"), "text")
-    queries = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 80).alias("q"))
+    queries = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
     return retrieval.weighted_rank(sheets, queries, "item_id", "q", ("title", "description", "text"), ["doc_id"])
 
 

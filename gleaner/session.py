@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder that the session names in spark.checkpoint.dir; an own one only where it is unset."""
+    """df written to the shared folder that the session names in spark.checkpoint.dir; an own one only where it is unset and all runs on one machine."""
     sc = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
