@@ -1,7 +1,9 @@
 """The corpus pipeline: language ID, exact dedup, MinHash near-dedup, mixing to target weights, SentencePiece encoding.
 
 Each stage takes the documents that the one before kept, written as Parquet and read again. All but the last return
-the columns of documents; the mixing stage repeats a document as often as the mix takes it.
+the columns of documents; the mixing stage repeats a document as often as the mix takes it. Every row is decided by its id
+and text together: texts that share an id, or have none, are documents of their own, and a row that is stored more than once leaves
+the two dedup stages once. No rows give no rows, and columns beside those of documents pass through.
 """
 
 from __future__ import annotations
@@ -15,19 +17,23 @@ from gleaner.llm.common import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or unlike every language learned, go; those of a few words go if unlike by sign only."""
+    """Documents without a letter (null and empty ones too), or unlike every language learned, go; those of a few words go if unlike by
+    sign only."""
     return langid.keep_languages(docs, langid.fit(docs.filter(langid.fold("doc_id", 4) != 2)))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, spaces left out, the longest stays, then the one with the smallest id."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the smallest id stays; documents without words or id stay."""
     return minhash.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source gives about its target of words; documents without words are never taken, others three times at most."""
     return mixing.take_mix(docs)
 
 
