@@ -296,10 +296,10 @@ def worker_encoder(path: str, width: int) -> WordEncoder:
     return WordEncoder(path, width)
 
 
-def _cuts(rows: DataFrame, shards: int, shard_size: int) -> np.ndarray:
-    """The first keys of all shards but the first: about `shards` of equal bytes, none of much more than shard_size where keys allow it."""
+def _cuts(lengths: DataFrame, shards: int, shard_size: int) -> np.ndarray:
+    """lengths: key, size (bytes of the text). The first keys of all shards but the first: about `shards` of equal bytes, none of much more than shard_size where keys allow it."""
     finer = shards * FINER
-    edges = sorted({int(x) for x in rows.select("key").dropna().approxQuantile("key", [i / finer for i in range(1, finer)], 0.25 / shards)})
+    edges = sorted({int(x) for x in lengths.select("key").dropna().approxQuantile("key", [i / finer for i in range(1, finer)], 0.25 / shards)})
     if not edges:
         return np.zeros(0, np.int64)
     bounds = np.array(edges, np.int64)
@@ -312,7 +312,7 @@ def _cuts(rows: DataFrame, shards: int, shard_size: int) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "size"])
 
-    sized = rows.filter("key IS NOT NULL").select("key", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"))
+    sized = lengths.filter("key IS NOT NULL").select("key", F.col("size") + 1)
     size = dict(map(tuple, sized.mapInArrow(each, "cell long, size long").groupBy("cell").agg(F.sum("size")).collect()))  # a number for each finer range
     share, now, out = min(shard_size, sum(size.values()) / shards), 0, []
     for cell in range(len(edges)):
@@ -335,11 +335,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
     width = 2 if max(_tokenizer(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    size = F.octet_length("text")
-    total = rows.agg(F.sum(size).alias("all"), F.sum(F.when(F.col("key").isNull(), size)).alias("null")).first()
+    lengths = materialize(rows.select("key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")), "lengths")
+    total = lengths.agg(F.sum("size").alias("all"), F.sum(F.when(F.col("key").isNull(), F.col("size"))).alias("null")).first()
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total["all"] or 0) // shard_size))
     nulls = 1 + (total["null"] or 0) // shard_size
-    cuts = _cuts(rows, shards, shard_size)
+    cuts = _cuts(lengths, shards, shard_size)
     end = np.array([end_id], f"<u{width}").tobytes()
 
     def encode(batches):
