@@ -27,8 +27,10 @@ N = 3
 #: Most training documents that the prototypes are fitted on, about: a hash of doc_id picks that share.
 FIT_DOCUMENTS = 50_000
 #: A text whose best cosine is not above this is rejected by the pipeline's stage. Cosines of a text that has no n-gram of a
-#: language vary by 1 / sqrt(DIMENSIONS) around 0, whatever its length; clean texts with JUDGED n-grams start at about 0.14.
+#: language vary by 1 / sqrt(DIMENSIONS) around 0, whatever its length. Cosines of clean texts grow with the square root of their number
+#: of different n-grams, so texts with fewer than FULL need less in that proportion.
 LEAST_SCORE = 4.5 / DIMENSIONS**0.5
+FULL = 128
 #: Texts with fewer different n-grams, of some three words, have cosines like noise even if clean; they go at 0 only.
 JUDGED = 16
 
@@ -179,10 +181,11 @@ def fold(id_col: str, folds: int) -> F.Column:
 def keep_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs whose language is found with a cosine above `least`, with all their columns.
 
-    Texts with fewer than JUDGED different n-grams need a cosine above 0. Each row is decided by its own text, so rows that repeat an
+    Texts with n < FULL different n-grams need a cosine above least * sqrt(n / FULL), those with fewer than JUDGED one above 0. Each row is decided by its own text, so rows that repeat an
     id with other texts stay or go on their own, and a row that is stored twice stays twice. No rows give no rows.
     The rejected ids, few, are what the texts are joined with.
     """
-    needed = F.when(F.col("different") < JUDGED, F.lit(0.0)).otherwise(F.lit(float(least)))
+    graded = F.lit(float(least)) * F.sqrt(F.least(F.col("different") / FULL, F.lit(1.0)))
+    needed = F.when(F.col("different") < JUDGED, F.lit(0.0)).otherwise(graded)
     out = _scored(docs, prototypes).filter((F.col("lang_pred") == "und") | (F.col("score") <= needed))
     return without(docs, "doc_id", "text", out.select(F.col("doc_id").alias("id"), "key", F.lit(False).alias("once")).distinct(), "rejected")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -18,6 +19,43 @@ def test_held_out_languages(spark):
     assert all(0 <= r.score <= 1 for r in rows.values())
 
 
+def brute_bundle(text, bound):
+    """The direction of the sum of the n-gram vectors of a text, letter by letter; None without a letter."""
+    letters = [ord(c) if unicodedata.category(c)[0] == "L" else 0 for c in text.lower()]
+    codes = [0]
+    for code in letters + [0]:
+        if code or codes[-1]:
+            codes.append(code)
+    if not any(codes):
+        return None
+    total = np.zeros(langid.DIMENSIONS)
+    for at in range(len(codes) - 2):
+        key = tuple(codes[at : at + 3])
+        if key not in bound:
+            a, b, c = (langid.letter(k, langid.DIMENSIONS).astype(float) for k in key)
+            bound[key] = a * np.roll(b, 1) * np.roll(c, 2)
+        total += bound[key]
+    return total / np.linalg.norm(total)
+
+
+def test_whole_table_against_brute_force(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").collect()
+    bound, sums, vectors = {}, {}, {}
+    for d in docs:
+        vectors[d.doc_id] = v = brute_bundle(d.text or "", bound)
+        if v is not None and d.lang is not None and zlib.crc32(str(d.doc_id).encode()) % 4 != 2:
+            sums[d.lang] = sums.get(d.lang, 0) + v
+    rows = {r.doc_id: r for r in queries.op10_language_id(spark, small_dir).collect()}
+    assert set(rows) == set(vectors)
+    for i, v in vectors.items():
+        if v is None:
+            assert (rows[i].lang_pred, rows[i].score) == ("und", 0.0)
+            continue
+        cosines = {k: float(v @ s / np.linalg.norm(s)) for k, s in sums.items()}
+        best = max(cosines.values())
+        assert abs(rows[i].score - min(max(best, 0), 1)) < 1e-4 and cosines[rows[i].lang_pred] > best - 1e-5
+
+
 def test_bundles_are_sums_of_bound_letters():
     text = "Ab, cÄ"
     want = np.zeros(langid.DIMENSIONS)
@@ -59,6 +97,8 @@ def test_unlearned_scripts_go_and_clean_short_texts_stay(spark, middle_dir):
     prototypes = langid.fit(docs.filter(langid.fold("doc_id", 4) != 2))
     made = spark.createDataFrame(list(enumerate(unlike)), "doc_id long, text string")
     assert langid.keep_languages(made, prototypes).count() <= 0.01 * len(unlike)
+    short = spark.createDataFrame([(1, "For reanha of ndnt."), (2, "É la qui. Est èoiç."), (3, "Laosllboas osarosll. Se. Oses el el.")], "doc_id long, text string")
+    assert langid.keep_languages(short, prototypes).count() == 3
     clean = {d.doc_id for d in docs.collect() if d.text and len(langid.grams(d.text))}
     assert {r.doc_id for r in langid.keep_languages(docs, prototypes).collect()} == clean
 
