@@ -7,7 +7,8 @@ reach = sqrt(2 - 2t) apart, so a vector can only link into lists whose border wi
 its probes. Two lists are compared where the vectors of both probe the other. There, asymmetric distances from lookup
 tables, less the error's length, are a lower bound of the true distance; pairs it doesn't exclude get the exact cosine in
 doubles. No link is lost by any of these bounds, whatever the centroids and codewords, which are fitted on a sample of
-at most about FIT_VECTORS classes.
+about FIT_VECTORS classes, or four for each list if that is more. Lists number one for each LIST_SIZE classes, beyond 4 million
+classes the square root of their number.
 
 Lists are cut in blocks of about BLOCK classes and compared block by block: a task holds two blocks, emits the links of
 each class as a count and the components as at most one edge per class, never the pairs.
@@ -16,6 +17,7 @@ each class as a count and the components as at most one edge per class, never th
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +51,21 @@ def squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1), 0)
 
 
+def slices(n: int, centres: np.ndarray) -> list[slice]:
+    """Runs of n rows whose distances to all centres take 32 MB at most."""
+    step = max(1, (1 << 22) // max(1, len(centres)))
+    return [slice(i, min(i + step, n)) for i in range(0, n, step)]
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return squared(x, centres).argmin(1)
+    return np.concatenate([np.zeros(0, np.int64), *(squared(x[s], centres).argmin(1) for s in slices(len(x), centres))])
+
+
+def lists_for(n: int, list_size: int, linear: int = 1024) -> int:
+    """A list for each list_size classes, up to `linear` lists; then as many as the square root of n, so that both the distances to the
+    centroids and those within lists grow with n ** 1.5. Powers of two."""
+    power = lambda k: 1 << max(0, k.bit_length() - 1)
+    return min(power(n // list_size), max(linear, power(isqrt(n))))
 
 
 @dataclass
@@ -76,12 +91,16 @@ class Quantiser:
         left = sum(((p - w[c]) ** 2).sum(1) for p, w, c in zip(parts, self.words, codes.T, strict=True))
         return at, codes.astype(np.uint8), np.sqrt(left)
 
-    def probes(self, x: np.ndarray, at: np.ndarray, reach: float) -> np.ndarray:
-        """Flags of the lists that a vector within reach of x can be in."""
-        far = squared(x, self.centres)
-        apart = np.sqrt(squared(self.centres, self.centres))[at]
-        out = far - far[np.arange(len(x)), at][:, None] <= 2 * reach * apart + SLACK
-        out[np.arange(len(x)), at] = True
+    def probes(self, x: np.ndarray, at: np.ndarray, reach: float) -> list[list[int]]:
+        """The lists that a vector within reach of x can be in, for each x."""
+        out = []
+        for s in slices(len(x), self.centres):
+            far, own = squared(x[s], self.centres), (np.arange(s.stop - s.start), at[s])
+            homes, which = np.unique(at[s], return_inverse=True)
+            apart = np.sqrt(squared(self.centres[homes], self.centres))[which]
+            near = far - far[own][:, None] <= 2 * reach * apart + SLACK
+            near[own] = True
+            out += [np.flatnonzero(p).tolist() for p in near]
         return out
 
     def near(self, x: np.ndarray, at: int, codes: np.ndarray, errors: np.ndarray, reach: float) -> np.ndarray:
@@ -165,15 +184,16 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, fit_vector
     size = classes.agg(F.count("*").alias("n"), F.max(F.length("raw")).alias("w")).first()
     n, widest = size["n"], (size["w"] or 8) // 8
     width = -(-widest // SUBSPACES) * SUBSPACES
-    share = classes.filter(F.pmod(F.xxhash64("rep", F.lit(4)), F.lit(1 << 30)) < int(min(1, fit_vectors / max(1, n)) * (1 << 30)))
+    lists = lists_for(n, list_size)
+    share = classes.filter(F.pmod(F.xxhash64("rep", F.lit(4)), F.lit(1 << 30)) < int(min(1, max(fit_vectors, 4 * lists) / max(1, n)) * (1 << 30)))
     sample = unit_vectors([bytes(r["raw"]) for r in share.orderBy("rep").select("raw").collect()], width)
-    quantiser = Quantiser.fit(sample, min(1024, 1 << max(0, (n // list_size).bit_length() - 1)))
+    quantiser = Quantiser.fit(sample, lists)
 
     def encode(batches):
         for batch in batches:
             x = unit_vectors(batch.column("raw").to_pylist(), width)
             at, codes, errors = quantiser.encode(x)
-            probes = [np.flatnonzero(p).tolist() for p in quantiser.probes(x, at, reach)]
+            probes = quantiser.probes(x, at, reach)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors), pa.array(probes, pa.list_(pa.int32()))], [*batch.schema.names, "home", "codes", "error", "probes"])
 
     coded = classes.mapInArrow(encode, "label string, raw binary, rep long, n long, home int, codes binary, error double, probes array<int>")

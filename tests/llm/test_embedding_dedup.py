@@ -55,6 +55,15 @@ def test_many_lists_and_blocks_lose_no_link(spark):
     assert sorted(map(tuple, got.collect()), key=str) == want
 
 
+def test_lists_grow_with_the_classes(spark, monkeypatch):
+    sizes = [embedding_dedup.lists_for(n, 4096) for n in (0, 1, 50_000, 4 << 20, 100_000_000, 10**9, 10**11)]
+    assert sizes == [1, 1, 8, 1024, 8192, 16384, 262144]
+    monkeypatch.setattr(embedding_dedup, "slices", lambda n, centres: [slice(i, min(i + 7, n)) for i in range(0, n, 7)])
+    rows = clustered(300, 8)
+    got = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, SCHEMA), block=16, list_size=1)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
 def test_a_small_fit_loses_no_link(spark):
     rows = clustered(400, 5)
     assert sorted(map(tuple, embedding_dedup.embedding_dedup(spark.createDataFrame(rows, SCHEMA), fit_vectors=20, list_size=32).collect()), key=str) == brute(rows)
