@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import materialize
 from .components import block_stars, connected_components
@@ -112,40 +113,51 @@ class Quantiser:
         return total <= (reach + errors + SLACK).astype(np.float32) ** 2 + np.float32(1e-4)
 
 
-def unit_vectors(raw: list[bytes], width: int) -> np.ndarray:
-    """Doubles of length 1 from the bytes of float64 vectors, filled up with zeros to the width."""
+def unit_vectors(raw: list[bytes], width: int, kind: str = "<f8") -> np.ndarray:
+    """Doubles of length 1 from the bytes of vectors of a kind of float, filled up with zeros to the width."""
     out = np.zeros((len(raw), width))
-    for i, x in enumerate(raw):
-        v = np.frombuffer(x, "<f8")
-        out[i, : len(v)] = v
+    if len({len(x) for x in raw}) == 1:
+        alike = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1)
+        out[:, : alike.shape[1]] = alike
+    else:
+        for i, x in enumerate(raw):
+            v = np.frombuffer(x, kind)
+            out[i, : len(v)] = v
     # scaled before it is squared, so that large and tiny components neither overflow nor vanish
     out /= np.abs(out).max(1, keepdims=True)
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+def float_kind(vectors: DataFrame) -> str:
+    """Vectors of floats move as floats, which doubles hold exactly; all others as doubles."""
+    held = vectors.select("embedding").schema[0].dataType
+    return "<f4" if isinstance(held, ArrayType) and isinstance(held.elementType, FloatType) else "<f8"
+
+
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, raw (bytes of the vector as doubles) of the rows that can link."""
+    """vec_id, label, raw (bytes of the vector, of its float_kind) of the rows that can link."""
+    kind = float_kind(vectors)
 
     def each(batches):
         for batch in batches:
             raw, keep = [], []
             for i, x in enumerate(batch.column(2)):
-                v = None if not x.is_valid or x.values.null_count or not len(x) else x.values.to_numpy(zero_copy_only=False).astype("<f8")
+                v = None if not x.is_valid or x.values.null_count or not len(x) else x.values.to_numpy(zero_copy_only=False).astype(kind)
                 if v is not None and np.isfinite(v).all() and v.any():
                     raw.append(v.tobytes())
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64())), pa.array(raw, pa.binary())], ["vec_id", "label", "raw"])
 
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>").alias("embedding"))
     return rows.filter("label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL").mapInArrow(each, "vec_id long, label string, raw binary")
 
 
-def _compare(quantiser: Quantiser, width: int, threshold: float, reach: float):
+def _compare(quantiser: Quantiser, width: int, kind: str, threshold: float, reach: float):
     def compare(table: pa.Table) -> pa.Table:
         side = table.column("right").to_numpy(zero_copy_only=False).astype(bool)
         own = bool(table.column("own")[0].as_py())  # a block with itself
         ids, counts = table.column("rep").to_numpy(), table.column("n").to_numpy()
-        x = unit_vectors(table.column("raw").to_pylist(), width)
+        x = unit_vectors(table.column("raw").to_pylist(), width, kind)
         codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
         errors, home = table.column("error").to_numpy(), table.column("home").to_numpy()
         a = np.arange(len(ids)) if own else np.flatnonzero(~side)
@@ -182,16 +194,17 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, fit_vector
     rows = materialize(usable(vectors), "vectors")
     classes = materialize(rows.groupBy("label", "raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
     size = classes.agg(F.count("*").alias("n"), F.max(F.length("raw")).alias("w")).first()
-    n, widest = size["n"], (size["w"] or 8) // 8
+    kind = float_kind(vectors)
+    n, widest = size["n"], (size["w"] or 8) // int(kind[-1])
     width = -(-widest // SUBSPACES) * SUBSPACES
     lists = lists_for(n, list_size)
     share = classes.filter(F.pmod(F.xxhash64("rep", F.lit(4)), F.lit(1 << 30)) < int(min(1, max(fit_vectors, 4 * lists) / max(1, n)) * (1 << 30)))
-    sample = unit_vectors([bytes(r["raw"]) for r in share.orderBy("rep").select("raw").collect()], width)
+    sample = unit_vectors([bytes(r["raw"]) for r in share.orderBy("rep").select("raw").collect()], width, kind)
     quantiser = Quantiser.fit(sample, lists)
 
     def encode(batches):
         for batch in batches:
-            x = unit_vectors(batch.column("raw").to_pylist(), width)
+            x = unit_vectors(batch.column("raw").to_pylist(), width, kind)
             at, codes, errors = quantiser.encode(x)
             probes = quantiser.probes(x, at, reach)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors), pa.array(probes, pa.list_(pa.int32()))], [*batch.schema.names, "home", "codes", "error", "probes"])
@@ -206,7 +219,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, fit_vector
     me, they = F.struct(F.col("home").alias("l"), F.col("block").alias("b")), F.struct(F.col("other").alias("l"), F.col("facing").alias("b"))
     met = met.withColumns({"lo": F.least(me, they), "hi": F.greatest(me, they), "right": me > they, "own": me == they})
     met = met.select("label", "wide", "lo", "hi", "right", "own", "rep", "n", "raw", "home", "codes", "error")
-    found = met.groupBy("label", "wide", "lo", "hi").applyInArrow(_compare(quantiser, width, threshold, reach), "a long, b long, links long")
+    found = met.groupBy("label", "wide", "lo", "hi").applyInArrow(_compare(quantiser, width, kind, threshold, reach), "a long, b long, links long")
     found = materialize(found, "links")
     links = found.filter("links > 0").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
     parts = connected_components(found.filter("links = 0")).select(F.col("node").alias("rep"), "component")

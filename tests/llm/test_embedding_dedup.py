@@ -55,6 +55,13 @@ def test_many_lists_and_blocks_lose_no_link(spark):
     assert sorted(map(tuple, got.collect()), key=str) == want
 
 
+def test_floats_move_as_floats(spark):
+    rows = [(i, [float(np.float32(x)) for x in v] + [0.5] * (i % 3 == 0), n) for i, v, n in clustered(200, 9)] + [(900, None, 1), (901, [], 1), (902, [float("nan")] * 12, 1), (903, [3e38] * 12, 1), (904, [1e-45] * 12, 1)]
+    vectors = spark.createDataFrame(rows, SCHEMA.replace("double", "float"))
+    assert embedding_dedup.float_kind(vectors) == "<f4"
+    assert sorted(map(tuple, embedding_dedup.embedding_dedup(vectors, block=16, list_size=32).collect()), key=str) == brute([tuple(r) for r in vectors.collect()])
+
+
 def test_lists_grow_with_the_classes(spark, monkeypatch):
     sizes = [embedding_dedup.lists_for(n, 4096) for n in (0, 1, 50_000, 4 << 20, 100_000_000, 10**9, 10**11)]
     assert sizes == [1, 1, 8, 1024, 8192, 16384, 262144]
