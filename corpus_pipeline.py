@@ -17,8 +17,8 @@ from gleaner.llm.common import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (null and empty ones too), or unlike every language learned, go; those of a few words go if unlike by
-    sign only."""
+    """Documents without a letter (null and empty ones too), or unlike every language learned, go; short ones need less
+    of a likeness to stay."""
     return langid.keep_languages(docs, langid.fit(docs.filter(langid.fold("doc_id", 4) != 2)))
 
 
