@@ -20,9 +20,11 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.relational import numbered
+
 from .common import materialize, per_text, small_batches, text_blocks, text_key, word_starts
 
 NODE = 2048
@@ -50,20 +52,22 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: float =
     """A row per source: source, source_size, n, target.
 
     Sources in code point order, null last, weigh weights[0], weights[1], ... repeating, and share the sum of all
-    sizes. A target stops at limit times the size of its source; the excess is shared again by weight. The level at
-    which nothing is left over is the largest of the levels that hold if the k sources with the least room per weight
-    are full, over all k. The windows run over one row per source.
+    sizes. A target stops at limit times the size of its source; the excess is shared again by weight: the level of words per weight
+    rises until no further source is full at it. Each rise is one sum over the sources, few of which are needed, as the level grows
+    with each; the positions come from numbered(), so no task holds all sources, which may be hosts.
     """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    full = totals.withColumn("w", weight.cast("double")).withColumn("room", F.col("source_size") * float(limit))
-    by_room = Window.partitionBy(F.lit(0)).orderBy((F.col("room") / F.col("w")), F.col("source").asc_nulls_last())
-    before, everything = by_room.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("room").over(before), F.lit(0.0))
-    weighing = F.sum("w").over(by_room.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    level = full.withColumn("level", left / weighing)
-    return level.select("source", "source_size", "n", F.least(F.col("w") * F.max("level").over(everything), F.col("room")).alias("target"))
+    placed = numbered(totals.withColumn("none", F.col("source").isNull()), [], ["none", "source"], "place")
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int")).cast("double")
+    full = materialize(placed.select("source", "source_size", "n", weight.alias("w"), (F.col("source_size") * float(limit)).alias("room")), "sources")
+    level, n_full = 0.0, -1
+    while True:
+        over = F.col("room") < F.col("w") * level
+        left = F.sum("source_size") - F.coalesce(F.sum(F.when(over, F.col("room"))), F.lit(0.0))
+        found = full.agg(left.alias("left"), F.sum(F.when(~over, F.col("w"))).alias("w"), F.count_if(over).alias("full")).first()
+        if found["full"] == n_full or not found["w"]:
+            return full.select("source", "source_size", "n", F.least(F.col("w") * level, F.col("room")).alias("target"))
+        level, n_full = found["left"] / found["w"], found["full"]
 
 
 def pivot(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> int:
@@ -131,7 +135,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
 def _mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: int = 20, node: int = NODE) -> DataFrame:
     """mix(), and the key of each text."""
     sized = materialize(sizes(docs), "sizes")
-    shares = materialize(targets(sized, weights, limit), "shares")
+    shares = targets(sized, weights, limit)
     deepest = max(1, math.ceil((shares.agg(F.max("n")).first()[0] or 1) / node))
     shares = shares.select(F.col("source").alias("_source"), "source_size", "target", "n")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
