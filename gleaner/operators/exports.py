@@ -15,14 +15,14 @@ SNAPSHOT_BYTES = 1_500_000
 def bank_rows(tasks: DataFrame, topic: str, order: str) -> DataFrame:
     """tasks with paragraph, number: groups in order of first appearance, tasks numbered within them; `order` is unique.
 
-    The paragraph of a group comes from a table with a row per topic; positions within a topic from numbered().
+    The paragraph of a group is its position in a table with a row per topic. numbered() spreads both over all tasks.
     """
     from .relational import numbered
 
     name = F.coalesce(F.nullif(F.trim(topic), F.lit("")), F.lit(NO_TOPIC))
     rows = numbered(tasks.withColumn(topic, name), [topic], [order], "number")
     firsts = tasks.select(name.alias(topic), order).groupBy(topic).agg(F.min(order).alias("_first"))
-    paragraphs = firsts.withColumn("paragraph", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_first"))).drop("_first")
+    paragraphs = numbered(firsts, [], ["_first"], "paragraph").drop("_first")
     return rows.join(paragraphs, topic)
 
 
