@@ -115,9 +115,10 @@ def unit_table(spark: SparkSession) -> DataFrame:
 
 
 def unit_key(c: Column) -> Column:
-    """The key of a unit's spelling: digits for superscripts, * for products, no blanks, lower case."""
+    """The key of a unit's spelling: digits for superscripts, * for products, / for a product with an inverse, no blanks, lower case."""
     out = F.translate(F.regexp_replace(F.trim(text(c)), r"^[.,;:]+|[.,;:]+$", ""), "⁰¹²³⁴⁵⁶⁷⁸⁹⁻−µ·×", "0123456789--μ**")
-    return F.lower(F.regexp_replace(F.regexp_replace(out, r"\\cdot", "*"), r"\^|\s+", ""))
+    out = F.regexp_replace(F.regexp_replace(out, r"\\cdot", "*"), r"\^|\s+", "")
+    return F.lower(F.regexp_replace(out, r"^([^*/]+)\*([^*/()]+)-1$", "$1/$2"))
 
 
 def cased_key(c: Column) -> Column:
@@ -203,17 +204,45 @@ def unit_pattern() -> str:
 UNIT_TOKEN = r"[%°\p{L}][\p{L}\p{N}²³⁻¹°/·*×^-]*(?:\([^()\s]*\))?"
 
 
+#: A quantity's name: a word, with what stands in brackets right behind it, as in m(MgO).
+LABEL = r"\p{L}[\p{L}\p{N}_-]{0,32}(?:\([^()=\n]{0,32}\)[\p{L}\p{N}_-]{0,32}){0,4}"
+#: Where a clause ends: a semicolon, a comma or stop beside no digit, the word `and`, a line that does not go on with a unit.
+CLAUSE_END = rf"(?iu)[;\n](?=\s*{LABEL}\s*=)|;|(?<![0-9])(?:\n|[.,](?![0-9]))|(?<![\p{{L}}\p{{N}}_])(?:and|и)(?![\p{{L}}\p{{N}}_])"
+#: One-letter quantity symbols that are units as well.
+SYMBOLS = "ACFGIKMNPQRSTVcikmnpqtv"
+
+
+def measured_text(c: Column | str) -> Column:
+    """A text whose numbers and units can be read: plain numbers, formulas on lines of their own, no blanks within compound units,
+    some before a factor."""
+    close = F.regexp_replace(normalize(F.translate(text(c), "~$", " \n")), r"[^\S\n]*([\^/]|·(?=\s*\p{L}))[^\S\n]*", "$1")
+    return F.regexp_replace(close, "·(?=[0-9])", " · ")
+
+
 def measurements(c: Column | str) -> Column:
     """All measurements of a text, in order: numbers followed by a known unit."""
-    found = F.regexp_extract_all(normalize(c), F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_.,^]){NUMBER}\s*{UNIT_TOKEN}"), F.lit(0))
+    found = F.regexp_extract_all(measured_text(c), F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_.,^]){NUMBER}\s*{UNIT_TOKEN}"), F.lit(0))
     return F.filter(F.transform(found, parse_measurement), lambda m: m.isNotNull())
 
 
+def names_quantity(label: Column) -> Column:
+    """Whether a name in front of an equals sign is that of a quantity: neither a unit nor a bare formula of a species, as in `mass of MnO2 =`."""
+    plain = F.translate(label, "₀₁₂₃₄₅₆₇₈₉", "0123456789")
+    symbol = plain.rlike(f"^[{SYMBOLS}][0-9]*$")
+    species = plain.rlike("^(?:[A-Z][a-z]?[0-9]*)+$") & plain.rlike("[a-z0-9]")
+    return symbol | ~(species | unit(label).isNotNull())
+
+
 def assigned_measurements(c: Column | str) -> Column:
-    """label, measurement of every `label = number unit` of a text, in order."""
-    found = F.regexp_extract_all(normalize(c), F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_])[\p{{L}}][\p{{L}}\p{{N}}_]*\s*=\s*{NUMBER}\s*{UNIT_TOKEN}"), F.lit(0))
-    pairs = F.transform(found, lambda x: F.struct(label_key(F.regexp_extract(x, r"^([^=]*?)\s*=", 1)).alias("label"), parse_measurement(F.regexp_extract(x, r"(?s)=(.*)$", 1)).alias("measurement")))
-    return F.filter(pairs, lambda p: p["measurement"].isNotNull())
+    """label, measurement of every `label = number unit` of a text, in order.
+
+    Only the first equals sign of a clause assigns: `n1 = c1 V1 = 0.4 mol/L` says nothing of V1.
+    """
+    pattern = rf"(?iu)^[^=]*?(?<![\p{{L}}\p{{N}}_(])({LABEL})\s*=\s*({NUMBER}\s*{UNIT_TOKEN})"
+    pairs = F.transform(F.split(measured_text(c), CLAUSE_END), lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("name"), F.regexp_extract(x, pattern, 2).alias("said")))
+    named = F.filter(pairs, lambda p: (p["said"] != "") & names_quantity(p["name"]))
+    read = F.transform(named, lambda p: F.struct(label_key(p["name"]).alias("label"), parse_measurement(p["said"]).alias("measurement")))
+    return F.filter(read, lambda p: p["measurement"].isNotNull())
 
 
 def last_assigned(assigned: Column, labels: list[str], dimensions: list[str] | None = None) -> Column:

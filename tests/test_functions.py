@@ -162,6 +162,32 @@ def test_last_assignment_wins(value):
     assert value(units.last_assigned(assigned, ["c1"], ["volume"])) is None
 
 
+@pytest.mark.parametrize(
+    ("said", "labels"),
+    [
+        ("c1 = 0.100 mol/L; V1 = 25.0 mL; mu = 3.2e-8 m2/(V*s); eta = 1.0 mPa*s", ["c1", "v1", "mu", "eta"]),
+        ("m = 5 г и V = 3 мл", ["m", "v"]), ("V(р-ра) = 0,25 л", ["vрра"]), ("m = 5\nV = 3 мл", ["v"]),
+        ("n1 = c1 V1 = 0.400 mol/L", []), ("x = 2 мл = 3 г, y = 4 г", ["x", "y"]), ("мл = 5 г; t = 5 с", ["t"]), ("m = 5 arbitrary_units", []), ("", []),
+        ("масса MnO₂ = 0,4583 г; массовая доля MnO₂ = 91,66 %; m(MnO₂) = 0,4583 г", ["mmno2"]), ("масса Fe = 0,5 г; m(Fe) = 0,5 г", ["mfe"]),
+        (r"$V_1 = 30.0$ мл; $c_2 = \frac{0.4\,\text{моль/л}\times0.03\,\text{л}}{0.2\,\text{л}} = 0.06$ моль/л. $V_{\text{треб}} = 150.0$ мл", ["v1", "vтреб"]),
+    ],
+)
+def test_only_quantities_are_assigned(value, said, labels):
+    assert [x.label for x in value(units.assigned_measurements(L(said)))] == labels
+
+
+@pytest.mark.parametrize(
+    ("said", "found"),
+    [
+        (r"M(Fe) = 55.85\ \text{г/моль}; N = 6.02 \times 10^{23}\ \text{моль}^{-1}; S = 229\ \text{м}^2/\text{г}", [(55.85, "molar_mass"), (6.02e23, "reciprocal_amount"), (229.0, "specific_surface")]),
+        (r"$m_{\text{нав}} = 0.5000~\text{г}$, $M(\mathrm{Mg}) = 24.31\ \text{г·моль}^{-1}$", [(0.5, "mass"), (24.31, "molar_mass")]),
+        (r"0.4\,\text{моль/л}\times0.03\,\text{л}", [(0.4, "amount_concentration"), (0.03, "volume")]),
+    ],
+)
+def test_measurements_in_formulas(value, said, found):
+    assert [(x.value, x.dimension) for x in value(units.measurements(L(said)))] == found
+
+
 @pytest.mark.parametrize(
     ("formula", "atoms", "charge"),
     [
