@@ -54,8 +54,16 @@ def validation() -> Column:
         data.alias("data"), lineage.alias("lineage"), some_if(every(53), "x").alias("sanity_issues"), every(59).alias("duplicate"), some_if(F.lit(False), "x").alias("reasons"))
 
 
-DECISION_SQL = """(doc_id % 97 > 6 AND doc_id % 7 <> 0 AND (doc_id % 5 <> 0 OR doc_id % 3 = 0) AND """ + " AND ".join(f"doc_id % {n} <> 0" for n in (11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59)) + " AND doc_id % 61 <> 0)"
-APPROVAL_SQL = "(doc_id % 4 <> 0 AND doc_id % 9 <> 0 AND doc_id % 6 <> 0 AND doc_id % 61 <> 0)"
+#: The planted validations and approvals as columns, and what has to hold of them.
+PLANTED_SQL = """p AS (SELECT *, doc_id % 61 <> 0 AS fresh, CASE WHEN doc_id % 7 = 0 THEN 'rejected' ELSE 'validated' END AS verdict, CASE WHEN doc_id % 3 = 0 THEN 'text' ELSE 'numeric' END AS answer_format, CASE WHEN doc_id % 3 = 0 THEN 'theory' ELSE 'calculation' END AS task_kind,
+    sha256(text) AS fingerprint, list_transform([11, 11, 13, 13, 17, 19], lambda n: CASE WHEN doc_id % n = 0 THEN 'mismatch' ELSE 'match' END) AS comparisons, CASE WHEN doc_id % 23 = 0 THEN 'fail' ELSE 'pass' END AS critic,
+    list_transform(range(7), lambda i: doc_id % 97 <> i) AS critic_checks, CASE WHEN doc_id % 29 = 0 THEN ['wording'] ELSE [] END AS critic_issues, CASE WHEN doc_id % 5 = 0 THEN 'limited' ELSE 'pass' END AS effect,
+    CASE WHEN doc_id % 31 = 0 THEN ['x'] ELSE [] END AS blocking, CASE WHEN doc_id % 37 = 0 THEN ['x'] ELSE [] END AS warnings, ['chemistry.dilution'] AS required, CASE WHEN doc_id % 41 = 0 THEN [] ELSE ['chemistry.dilution'] END AS passed,
+    CASE WHEN doc_id % 43 = 0 THEN 'warn' ELSE 'ok' END AS data_status, CASE WHEN doc_id % 43 = 0 THEN ['1.5'] ELSE [] END AS unknown_numbers, CASE WHEN doc_id % 47 = 0 THEN ['x'] ELSE [] END AS unbound, CASE WHEN doc_id % 53 = 0 THEN ['x'] ELSE [] END AS sanity, doc_id % 59 = 0 AS duplicate,
+    CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1 END AS schema_version, CASE WHEN doc_id % 9 = 0 THEN 'yesterday' ELSE '2026-01-02T03:04:05Z' END AS reviewed_at, CASE WHEN doc_id % 6 = 0 THEN 'short' ELSE 'the statement was checked by hand' END AS reason FROM t)"""
+DECISION_SQL = """coalesce(fresh AND verdict = 'validated' AND trim(fingerprint) <> '' AND len(list_filter(comparisons, lambda c: c <> 'match')) = 0 AND critic = 'pass' AND list_bool_and(critic_checks) AND len(critic_issues) = 0
+    AND (effect = 'pass' OR effect = 'limited' AND task_kind <> 'calculation' AND answer_format <> 'numeric') AND len(blocking) + len(warnings) + len(unknown_numbers) + len(unbound) + len(sanity) = 0 AND list_has_all(passed, required) AND data_status = 'ok' AND NOT duplicate, false)"""
+APPROVAL_SQL = "coalesce(fresh AND schema_version = 1 AND try_cast(reviewed_at AS TIMESTAMP) IS NOT NULL AND trim(fingerprint) <> '' AND length(trim(reason)) >= 10, false)"
 
 
 def approval() -> Column:
@@ -74,17 +82,17 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
 READY_SQL = f"(status = 'validated' AND {DECISION_SQL}) OR (status = 'approved' AND {APPROVAL_SQL})"
 
 
-@query(f"WITH {TASKS_SQL} SELECT doc_id, status, {DECISION_SQL} AS decision, {APPROVAL_SQL} AS manual, {READY_SQL} AS ready FROM t")
+@query(f"WITH {TASKS_SQL}, {PLANTED_SQL} SELECT doc_id, status, {DECISION_SQL} AS decision, {APPROVAL_SQL} AS manual, {READY_SQL} AS ready FROM p")
 def export_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(spark, sf_dir).select("doc_id", "status", "decision", "manual", "ready")
 
 
-@query(f"WITH {TASKS_SQL}, r AS (SELECT *, {READY_SQL} AS ready FROM t) SELECT doc_id, status = 'validated' AND ready AS auto_ready, status = 'approved' AND ready AS manual_ready, NOT ready AND status <> 'rejected' AS attention FROM r")
+@query(f"WITH {TASKS_SQL}, {PLANTED_SQL}, r AS (SELECT *, {READY_SQL} AS ready FROM p) SELECT doc_id, status = 'validated' AND ready AS auto_ready, status = 'approved' AND ready AS manual_ready, NOT ready AND status <> 'rejected' AS attention FROM r")
 def attention_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in A.partitions(F.col("status"), F.col("ready")).items()])
 
 
-@query(f"""WITH {TASKS_SQL}, r AS (SELECT *, {READY_SQL} AS ready FROM t) SELECT source, count(*) AS candidates, count(*) FILTER (ready) AS ready, count(*) FILTER (status = 'rejected') AS discarded, count(*) FILTER (ready) >= 5 AS complete FROM r GROUP BY 1""")
+@query(f"""WITH {TASKS_SQL}, {PLANTED_SQL}, r AS (SELECT *, {READY_SQL} AS ready FROM p) SELECT source, count(*) AS candidates, count(*) FILTER (ready) AS ready, count(*) FILTER (status = 'rejected') AS discarded, count(*) FILTER (ready) >= 5 AS complete FROM r GROUP BY 1""")
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.quality_summary(decided(spark, sf_dir).withColumn("requested", F.lit(5)), "source")
 
