@@ -121,18 +121,24 @@ def verdict_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks(spark, sf_dir).select("doc_id", passed.alias("passed"), F.array_join(failed, ",").alias("failed"))
 
 
-@query("""WITH c AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'match' WHEN 1 THEN 'incomplete' ELSE 'mismatch' END AS s, CASE doc_id % 5 WHEN 0 THEN 'match' WHEN 1 THEN 'mismatch' ELSE 'incomplete' END AS v, CASE doc_id % 2 WHEN 0 THEN 'match' ELSE 'incomplete' END AS x, doc_id % 7 = 0 AS wordy, doc_id % 11 <> 0 AS rules, doc_id % 13 = 0 AS dirty FROM documents)
-    SELECT doc_id, x = 'match' AND s = 'incomplete' AND v = 'incomplete' AND (wordy OR rules) AND NOT dirty AS semantic,
-    ((s = 'match' AND v = 'incomplete' AND NOT dirty) OR (v = 'match' AND s = 'incomplete' AND NOT dirty)) AND (wordy OR rules) AS solution_backed, s = 'match' AND v = 'match' AND x = 'incomplete' AND NOT dirty AND rules AS reference_anchored FROM c""")
+VERDICTS = ["match", "incomplete", "mismatch", "uncertain", None]
+
+
+@query("""WITH c AS (SELECT doc_id, list_extract(['match', 'incomplete', 'mismatch', 'uncertain', NULL], CAST(doc_id % 5 + 1 AS INT)) AS s, list_extract(['match', 'incomplete', 'mismatch', 'uncertain', NULL], CAST(doc_id // 5 % 5 + 1 AS INT)) AS v,
+        list_extract(['match', 'incomplete', 'mismatch', 'uncertain', NULL], CAST(doc_id // 25 % 5 + 1 AS INT)) AS x, doc_id % 13 + doc_id % 17 > 1 AS s_clean, doc_id % 13 + doc_id % 19 > 1 AS v_clean, doc_id % 13 + doc_id % 23 > 1 AS x_clean, doc_id % 7 < 3 OR doc_id % 11 <> 0 AS backed, doc_id % 11 <> 0 AS rules FROM documents),
+    k AS (SELECT *, coalesce(s IN ('incomplete', 'uncertain'), false) AS sp, coalesce(v IN ('incomplete', 'uncertain'), false) AS vp, coalesce(x IN ('incomplete', 'uncertain'), false) AS xp, coalesce(s = 'match', false) AS sm, coalesce(v = 'match', false) AS vm, coalesce(x = 'match', false) AS xm FROM c)
+    SELECT doc_id, xm AND sp AND vp AND s_clean AND v_clean AND backed AS semantic, (sm AND vp AND v_clean OR vm AND sp AND s_clean) AND x IS DISTINCT FROM 'mismatch' AND backed AS solution_backed, sm AND vm AND xp AND x_clean AND rules AS reference_anchored FROM k""")
 def entailment_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def comparison(verdict: Column) -> Column:
-        return F.struct(verdict.alias("verdict"), F.when(every(13), 1).otherwise(0).alias("n_missing"), F.lit(0).alias("n_unexpected"))
-
-    m3, m5, m2 = F.col("doc_id") % 3, F.col("doc_id") % 5, F.col("doc_id") % 2
-    s = comparison(F.when(m3 == 0, "match").when(m3 == 1, "incomplete").otherwise("mismatch"))
-    v = comparison(F.when(m5 == 0, "match").when(m5 == 1, "mismatch").otherwise("incomplete"))
-    x = comparison(F.when(m2 == 0, "match").otherwise("incomplete"))
-    ways = A.entailment(F.when(every(7), "text").otherwise("numeric"), s, v, x, ~every(11))
+    """All triples of verdicts, unknown ones too; some comparisons with missing or unexpected parts."""
+    doc = F.col("doc_id")
+
+    def comparison(step: int, n: int) -> Column:
+        verdict = F.element_at(F.array(*map(F.lit, VERDICTS)), (F.floor(doc / step) % 5 + 1).cast("int"))
+        odd = doc % 13 + doc % n
+        return F.struct(verdict.alias("verdict"), F.when(odd == 0, 1).otherwise(0).alias("n_missing"), F.when(odd == 1, 2).otherwise(0).alias("n_unexpected"))
+
+    style = F.when(doc % 7 < 2, "text").when(doc % 7 == 2, "formula").otherwise("numeric")
+    ways = A.entailment(style, comparison(1, 17), comparison(5, 19), comparison(25, 23), ~every(11))
     return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in ways.items()])
 
 
