@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, exact_dedup, langid, merge_dropout, minhash, mixing, quality, suffix_dedup, token_files
+from . import chat, embedding_dedup, exact_dedup, langid, merge_dropout, minhash, mixing, quality, suffix_dedup, token_files, whitening
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
@@ -67,6 +67,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, prototypes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
+    "op13_whitening": op13_whitening,
 }
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
