@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, exact_dedup, langid, merge_dropout, minhash, mixing, quality, suffix_dedup, token_files, whitening
+from . import chat, embedding_dedup, exact_dedup, langid, merge_dropout, minhash, mixing, quality, suffix_dedup, token_files, toxicity, whitening
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
@@ -67,6 +67,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, prototypes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), langid.fold("doc_id", 5) == 0
+    scored = toxicity.classify(docs, table(spark, sf_dir, "labels").filter(~held_out), docs.filter(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -82,6 +88,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
+    "op12_toxicity": op12_toxicity,
     "op13_whitening": op13_whitening,
 }
 
