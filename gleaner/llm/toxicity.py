@@ -192,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, seeds: t
     share = known.agg(F.avg("toxic").alias("p")).first()["p"]
     prior = float(np.clip(prior if prior is not None else share if share is not None else 0.5, 1e-3, 1 - 1e-3))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    positive = texts.join(sampled(known.filter("toxic = 1").select("doc_id"), most_toxic, 12), "doc_id", "left_semi").withColumn("toxic", F.lit(True))
+    # about most_toxic ids at most, so they are sent to all tasks and texts stay where they are
+    positive = texts.join(F.broadcast(sampled(known.filter("toxic = 1").select("doc_id"), most_toxic, 12)), "doc_id", "left_semi").withColumn("toxic", F.lit(True))
     rest = sampled(texts, most_rest, 13).withColumn("toxic", F.lit(False))
     chosen = materialize(positive.unionByName(rest), "fitted")
     n = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
