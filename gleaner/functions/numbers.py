@@ -26,7 +26,7 @@ _TOKENS = "|".join([
     rf"{_MANTISSA}{_BY_TEN}(?:{_RAISED}|\s*[-+−]?[0-9]+)", rf"(?<![0-9.,eE])10{_RAISED}", _MANTISSA,
     rf"[{SUPERSCRIPTS}]+", r"\s*\^\s*\{\s*[-+−]?[0-9]+\s*\}", r"\s*\^\s*",
     r"_\s*\{\s*(?:\\[a-z]+\s*\{[^{}]*\}|[^{}\\]*)\s*\}",  # a subscript
-    r"\\(?:text|mathrm|operatorname)\s*\{[^{}]*\}", r"\s*/\s*", r"\\[a-zA-Z]+", r"\\[\s\S]", r"(?<=[0-9])~\s*[%\p{L}]",
+    r"\\(?:text|mathrm|operatorname)\s*\{[^{}]*\}", r"\s*/\s*", r"\\[a-zA-Z]+", r"\\[\s\S]",
     rf"[^0-9\s\\$^_/~−{SUPERSCRIPTS}]+", r"\s+", r"[\s\S]",
 ])
 
@@ -42,7 +42,7 @@ def _spelled(token: Column) -> Column:
         F.when(token.rlike(r"^[0-9]{1,2}[.)]$"), "").when(token.rlike("^[0-9]"), number).when(token.rlike(f"^[{SUPERSCRIPTS}]"), F.concat(F.lit("^"), F.translate(token, SUPERSCRIPTS, SUPERSCRIPT_DIGITS)))
         .when(F.startswith(bare, F.lit("^")), F.concat(F.lit("^"), F.translate(inner, "−", "-"))).when(token.rlike(r"^_\s*\{"), F.concat(F.lit("_"), inner)).when(bare == "/", "/")
         .when(token.rlike(r"^\\[a-z]+\s*\{"), F.concat(F.lit(" "), inner, F.lit(" "))).when(token.isin("\\cdot", "\\times"), "·").when(token == "\\%", "%")
-        .when(token.isin("$", *(f"\\{c}" for c in ",;!:()[]")), "").when(F.startswith(token, F.lit("\\")), " ").when(token.rlike("^~."), F.concat(F.lit(" "), F.right(token, F.lit(1)))).when(token == "−", "-").otherwise(token)
+        .when(token.isin("$", *(f"\\{c}" for c in ",;!:()[]")), "").when(F.startswith(token, F.lit("\\")), " ").when(token == "−", "-").otherwise(token)
     )
 
 
@@ -51,8 +51,9 @@ NUMBER = rf"(?iu)(?<![a-zа-яё_^])(?<!\^[-+])[-+]?{_UNSIGNED}"
 
 
 def normalize(c: Column | str) -> Column:
-    """Numbers of a text in plain notation: powers of ten as exponents, decimal points, no LaTeX, no numbers of list items."""
-    tokens = F.regexp_extract_all(text(c), F.lit(f"(?u){_TOKENS}"), F.lit(0))
+    """Numbers of a text in plain notation: powers of ten as exponents, decimal points, no LaTeX, no numbers of list items. A ~ between a
+    number and what may be its unit is a blank."""
+    tokens = F.regexp_extract_all(F.regexp_replace(text(c), r"(?<=[0-9}])~(?=\s*(?:[%\p{L}]|\\))", " "), F.lit(f"(?u){_TOKENS}"), F.lit(0))
     return F.array_join(F.transform(tokens, _spelled), "")
 
 

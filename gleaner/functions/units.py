@@ -7,6 +7,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import unit_grammar
 from .numbers import normalize
 from .text import let, text
 
@@ -95,6 +96,35 @@ electrical_conductivity|µS/cm|1e-4|μS/cm мкСм/см
 amount_concentration|mol/L|1e3|M
 charge|mC|1e-3|мКл
 """
+# The exponents over metre, kilogram, second, ampere, kelvin and mole of each dimension of the table.
+VECTORS = """
+dimensionless 0,0,0,0,0,0
+current 0,0,0,1,0,0
+charge 0,0,1,1,0,0
+charge_per_amount 0,0,1,1,0,-1
+electrical_resistance 2,1,-3,-2,0,0
+electrical_conductance -2,-1,3,2,0,0
+electrical_conductivity -3,-1,3,2,0,0
+voltage 2,1,-3,-1,0,0
+time 0,0,1,0,0,0
+amount 0,0,0,0,0,1
+amount_per_mass 0,-1,0,0,0,1
+reciprocal_amount 0,0,0,0,0,-1
+mass 0,1,0,0,0,0
+volume 3,0,0,0,0,0
+amount_concentration -3,0,0,0,0,1
+mass_concentration -3,1,0,0,0,0
+molar_mass 0,1,0,0,0,-1
+length 1,0,0,0,0,0
+area 2,0,0,0,0,0
+inverse_length -1,0,0,0,0,0
+pressure -1,1,-2,0,0,0
+dynamic_viscosity -1,1,-1,0,0,0
+permittivity -3,-1,4,2,0,0
+electrophoretic_mobility 0,-1,2,1,0,0
+specific_surface 2,-1,0,0,0,0
+temperature 0,0,0,0,1,0
+"""
 KELVIN_OFFSET = 273.15
 #: Fixed value: the number of a measurement.
 NUMBER = r"[-+]?(?:[0-9]+(?:[.,][0-9]*)?|[.,][0-9]+)(?:[eE][-+]?[0-9]+)?"
@@ -136,14 +166,43 @@ def unit(c: Column | str) -> Column:
         known = {r[0]: r for r in rows()}
         found = known.get(f"={c}") or known.get(c.translate(str.maketrans("²³·µ", "23*μ")).replace(" ", "").lower())
         return _struct(found) if found else F.lit(None).cast("struct<symbol:string,dimension:string,factor:double,offset:double>")
-    lookup = F.expr(_lookup())
-    return F.coalesce(F.try_element_at(lookup, cased_key(c)), F.try_element_at(lookup, unit_key(c)))
+    return let(any_unit(c), lambda u: F.when(u["named"], u.dropFields("named")))
+
+
+def any_unit(c: Column) -> Column:
+    """unit() of a column for any readable expression: symbol, dimension, factor, offset and named, whether the dimension has a name. A spelling of
+    the table is looked up, all others are read by the grammar; a dimension without a name is its exponents in writing."""
+    lookup, names, symbols = (unit_grammar.constant_map(x) for x in (_lookup(), _names(), _symbols()))
+    listed = F.get(F.filter(F.transform(F.array(cased_key(c), unit_key(c)), lambda k: F.split(F.try_element_at(lookup, k), r"\|")), lambda x: x.isNotNull()), F.lit(0))
+
+    def spelled(r: Column) -> Column:
+        name = F.try_element_at(names, F.array_join(r["vector"].cast("array<string>"), ","))
+        dimension = F.coalesce(name, unit_grammar.vector_text(r["vector"]))
+        symbol = F.coalesce(F.try_element_at(symbols, F.concat(dimension, F.lit("|"), F.format_string("%.6e", r["factor"]))), unit_grammar.plain_unit(c))
+        return F.when(r.isNotNull(), F.struct(symbol.alias("symbol"), dimension.alias("dimension"), r["factor"].alias("factor"), F.lit(0.0).alias("offset"), name.isNotNull().alias("named")))
+
+    known = let(listed, lambda u: F.when(u.isNotNull(), F.struct(u[0].alias("symbol"), u[1].alias("dimension"), u[2].cast("double").alias("factor"), u[3].cast("double").alias("offset"), F.lit(True).alias("named"))))
+    return F.coalesce(known, let(unit_grammar.read(c), spelled))
 
 
 @lru_cache(1)
-def _lookup() -> str:
-    """The constant map as SQL: one expression instead of a thousand."""
-    return "map(" + ", ".join(f"'{r[0]}', named_struct('symbol', '{r[1]}', 'dimension', '{r[2]}', 'factor', {r[3]!r}D, 'offset', {r[4]!r}D)" for r in rows()) + ")"
+def _names() -> dict[str, str]:
+    return {v: name for name, v in (line.split() for line in VECTORS.strip().splitlines())}
+
+
+@lru_cache(1)
+def _symbols() -> dict[str, str]:
+    """The table's symbol of each dimension and factor, for units that are spelled otherwise."""
+    first: dict[str, str] = {}
+    for _, symbol, dimension, factor, offset in rows():
+        if not offset:
+            first.setdefault(f"{dimension}|{factor:.6e}", symbol)
+    return first
+
+
+@lru_cache(1)
+def _lookup() -> dict[str, str]:
+    return {r[0]: f"{r[1]}|{r[2]}|{r[3]!r}|{r[4]!r}" for r in rows()}
 
 
 def join_units(df: DataFrame, c: Column) -> DataFrame:
@@ -191,17 +250,8 @@ def label_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.translate(text(c), "₀₁₂₃₄₅₆₇₈₉", "0123456789")), "[^a-zа-яё0-9]+", "")
 
 
-@lru_cache(1)
-def unit_pattern() -> str:
-    """All spellings, longest first; letters of either case, nothing that goes on as a word or a compound unit."""
-    import re
-
-    spellings = {re.escape(r[0].lstrip("=")).replace(r"\*", "[·*×]") for r in rows()} | {"м²", "m²", "см²", "м³", "m³", "дм³", "см³"}
-    return "(?:" + "|".join(sorted(spellings, key=lambda s: (-len(s), s))) + r")(?![\p{L}\p{N}])(?!\s*[/·×*^])"
-
-
-#: What may be a unit behind a number: a run without blanks that is looked up as a whole, so an unknown compound has no unit.
-UNIT_TOKEN = r"[%°\p{L}][\p{L}\p{N}²³⁻¹°/·*×^-]*(?:\([^()\s]*\))?"
+#: What may be a unit behind a number: a run without blanks that is read as a whole, so an unknown compound has no unit.
+UNIT_TOKEN = r"[%°\p{L}](?:[\p{L}\p{N}²³⁻¹°/·*×^]|-(?=[0-9]))*(?:\([^()\s]*\)(?:\^?-?[0-9])?)?"
 
 
 #: A quantity's name: a word, with what stands in brackets right behind it, as in m(MgO).
@@ -212,11 +262,14 @@ CLAUSE_END = rf"(?iu)[;\n](?=\s*{LABEL}\s*=)|;|(?<![0-9])(?:\n|[.,](?![0-9]))|(?
 SYMBOLS = "ACFGIKMNPQRSTVcikmnpqtv"
 
 
+def compact_units(plain: Column) -> Column:
+    """A text of plain numbers without blanks within compound units, some before a factor."""
+    return F.regexp_replace(F.regexp_replace(plain, r"[^\S\n]*([\^/]|·(?=\s*\p{L}))[^\S\n]*", "$1"), "·(?=[0-9])", " · ")
+
+
 def measured_text(c: Column | str) -> Column:
-    """A text whose numbers and units can be read: plain numbers, formulas on lines of their own, no blanks within compound units,
-    some before a factor."""
-    close = F.regexp_replace(normalize(F.translate(text(c), "~$", " \n")), r"[^\S\n]*([\^/]|·(?=\s*\p{L}))[^\S\n]*", "$1")
-    return F.regexp_replace(close, "·(?=[0-9])", " · ")
+    """A text whose numbers and units can be read: plain numbers, formulas on lines of their own, compact units."""
+    return compact_units(normalize(F.translate(text(c), "~$", " \n")))
 
 
 def measurements(c: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import chemistry as C
 from gleaner.functions import numbers as N
+from gleaner.functions import unit_grammar
 from gleaner.functions import units as U
 from gleaner.operators import answers
 from gleaner.operators import rules as R
@@ -75,6 +76,53 @@ def answer_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.compare_answers(rows, "reference", "given", F.lit(1.0)).select("p_partkey", "verdict", "n_required", "n_matched")
 
 
+# Parts of unit expressions: prefixes with the power of ten, bases with their exponents over m, kg, s, A, K, mol, and what is divided by.
+UNIT_PARTS = {
+    "prefix": [("", 0), ("к", 3), ("м", -3), ("мк", -6)],
+    "base": [("м", (1, 0, 0, 0, 0, 0)), ("моль", (0, 0, 0, 0, 0, 1)), ("Па", (-1, 1, -2, 0, 0, 0)), ("В", (2, 1, -3, -1, 0, 0))],
+    "power": ["", "²", "^{3}", "⁻¹"],
+    "rest": [("", (0, 0, 0, 0, 0, 0)), ("/с", (0, 0, -1, 0, 0, 0)), ("/(кг·К)", (0, -1, 0, 0, -1, 0)), (" · с^-1", (0, 0, -1, 0, 0, 0)), ("/(с·К)²", (0, 0, -2, 0, -2, 0)), ("/фут", None)],
+}
+
+
+def _axis(k: int) -> str:
+    base = [v[k] for _, v in UNIT_PARTS["base"]]
+    rest = [v[k] if v else 0 for _, v in UNIT_PARTS["rest"]]
+    return f"list_extract({base}, b) * power + list_extract({rest}, r)"
+
+
+@query(f"""WITH u AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_partkey % 4 + 1 AS p, l_partkey // 4 % 4 + 1 AS b, list_extract([1, 2, 3, -1], l_linenumber % 4 + 1) AS power, l_orderkey % 6 + 1 AS r FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN r <> 6 THEN concat_ws(',', {', '.join(f'CAST({_axis(k)} AS VARCHAR)' for k in range(6))}) END AS vector,
+        CASE WHEN r <> 6 THEN round(log10(l_quantity) + power * list_extract([0, 3, -3, -6], p), 6) END AS magnitude FROM u""")
+def unit_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements in compound units, put together from prefixes, bases, powers in three notations and divisors: exponents and size in SI."""
+    pick = lambda items, at: F.element_at(F.array(*map(F.lit, items)), (at + 1).cast("int"))
+    key, names = F.col("l_partkey"), lambda part: [x[0] for x in UNIT_PARTS[part]]
+    spelled = F.concat(pick(names("prefix"), key % 4), pick(names("base"), F.floor(key / 4) % 4), pick(UNIT_PARTS["power"], F.col("l_linenumber") % 4), pick(names("rest"), F.col("l_orderkey") % 6))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", unit_grammar.read(spelled).alias("u"))
+    size = F.round(F.log10(F.col("l_quantity") * F.col("u.factor")), 6)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(F.col("u.vector").cast("array<string>"), ",").alias("vector"), F.when(F.col("u").isNotNull(), size).alias("magnitude"))
+
+
+# Units in which a specific surface may be given: m² a kg; the last ones are other quantities, of which one has no name.
+SURFACES = [("м²/г", 1e3), ("м^2/кг", 1.0), ("см²/мг", 100.0), ("м²·кг⁻¹", 1.0), ("мм^{2}/(мкг)", 1e3), ("м²", None), ("м²/(г·с)", None), ("м²/пуд", None)]
+
+
+@query(f"""WITH a AS (SELECT p_partkey, p_retailprice AS r, list_extract({[f or 0 for _, f in SURFACES]}::DOUBLE[], p_partkey % 8 + 1) AS factor, 1 + (p_size % 13 - 6) * 0.0031 AS off, p_size % 7 = 0 AS unscaled FROM part),
+    g AS (SELECT *, CASE WHEN factor = 0 OR unscaled THEN r * off ELSE r * 1000 / factor * off END AS given FROM a),
+    v AS (SELECT *, factor > 0 AND abs(given * factor - r * 1000) <= 0.01 * greatest(given * factor, r * 1000) AS fits FROM g)
+    SELECT p_partkey, CASE WHEN fits THEN 'match' ELSE 'mismatch' END AS verdict, CAST(fits AS INT) AS n_matched FROM v""")
+def answer_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in compound units of one dimension, of another, and unreadable ones, up to 1.9 % off with a tolerance of 1 %; some keep
+    the number but not the unit."""
+    at = (F.col("p_partkey") % 8 + 1).cast("int")
+    unit, factor = F.element_at(F.array(*[F.lit(u) for u, _ in SURFACES]), at), F.element_at(F.array(*[F.lit(float(f or 0)) for _, f in SURFACES]), at)
+    r, off = F.col("p_retailprice"), 1 + (F.col("p_size") % 13 - 6) * 0.0031
+    value = F.when((factor == 0) | (F.col("p_size") % 7 == 0), r * off).otherwise(F.try_divide(r * 1000, factor) * off)
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("S = "), r.cast("string"), F.lit(" м²/г")).alias("reference"), F.concat(F.lit("S = "), value.cast("string"), F.lit(" "), unit).alias("given"))
+    return answers.compare_answers(rows, "reference", "given", F.lit(1.0)).select("p_partkey", "verdict", "n_matched")
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, 5 AS n_measurements, CASE l_partkey % 3 WHEN 0 THEN 'm,vрра,c1,n1' WHEN 1 THEN 'm,vрра,n1' ELSE 'm,vрра,v,n1' END AS labels,
     round(l_quantity * 1e-3, 9) AS m, CASE WHEN l_partkey % 3 = 0 THEN round(l_tax * 1e3, 9) END AS c1, CASE WHEN l_partkey % 3 = 2 THEN 0.002::DOUBLE END AS v FROM lineitem""")
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:

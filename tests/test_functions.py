@@ -1,13 +1,15 @@
 from __future__ import annotations
 
 import json
+import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gleaner.functions import chemistry, numbers, stem, text, units
+from gleaner.functions import chemistry, numbers, stem, text, unit_grammar, units
 
 L = F.lit
 NULL = lambda: F.lit(None).cast("string")
@@ -211,3 +213,53 @@ def test_balance_does_not_hang_on_scale(spark):
 def test_equations_in_prose(value):
     prose = "Тогда 2H2 + O2 → 2H2O, а степень меняется +6 → +3. Далее Fe + CuSO4 -> FeSO4 + Cu."
     assert value(chemistry.equations_in(L(prose))) == ["2H2 + O2 → 2H2O", "Fe + CuSO4 -> FeSO4 + Cu"]
+
+
+def test_the_grammar_reads_the_table(spark):
+    """Every spelling of the unit table, and its vector is that of its dimension only."""
+    vectors = units._names()
+    assert len(vectors) == len({r[2] for r in units.rows()})
+    listed = [r for r in units.rows() if "-заряд" not in r[0]]
+    frame = spark.createDataFrame([(k, r[0].lstrip("=")) for k, r in enumerate(listed)], "k int, u string")
+    got = {r.k: r.g for r in frame.select("k", unit_grammar.read(frame.u).alias("g")).collect()}
+    for k, (_, _, dimension, factor, _) in enumerate(listed):
+        assert vectors[",".join(map(str, got[k].vector))] == dimension and got[k].factor == pytest.approx(factor, rel=1e-12)
+
+
+def test_unit_expressions(spark):
+    cases = {
+        "м²/г": ("2,-1,0,0,0,0", 1e3), "m²/(V·s)": ("0,-1,2,1,0,0", 1), "(м/с)^2": ("2,0,-2,0,0,0", 1), "Дж/(моль·К)": ("2,1,-2,0,-1,-1", 1), "кг·м^2·с^{-2}": ("2,1,-2,0,0,0", 1), "a/b": None, "г/л·с": ("-3,1,1,0,0,0", 1),
+        "мм³": ("3,0,0,0,0,0", 1e-9), "МПа": ("-1,1,-2,0,0,0", 1e6), "мПа": ("-1,1,-2,0,0,0", 1e-3), "мин⁻¹": ("0,0,-1,0,0,0", 1 / 60), "кмин": None, "1/(г·(л))": None, "м//с": None, "/с": None, "(м": None, "м)": None, "": None, "м^99999": None, "5": None, "молекул": None,
+        "м" * 50: None, r"г\cdot моль^{-1}": ("0,1,0,0,0,-1", 1e-3),
+    }
+    frame = spark.createDataFrame([(u,) for u in cases], "u string")
+    for r in frame.select("u", unit_grammar.read(frame.u).alias("g")).collect():
+        want = cases[r.u]
+        assert (r.g is None) == (want is None), r
+        if want:
+            assert ",".join(map(str, r.g.vector)) == want[0] and r.g.factor == pytest.approx(want[1], rel=1e-12), r
+
+
+def brute_unit(tokens):
+    """Vector and log of the factor of (sign, prefix, base, power) factors."""
+    vector, log = [0] * 6, 0.0
+    for sign, prefix, base, power in tokens:
+        factor, own, _ = unit_grammar.bases()[base]
+        vector = [a + sign * power * b for a, b in zip(vector, own, strict=True)]
+        log += sign * power * (math.log10(factor) + math.log10(float(unit_grammar._entries()[1].get(prefix, 1))))
+    return vector, log
+
+
+def test_random_products_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(300):
+        parts = [(rng.choice([1, -1]) if i else 1, rng.choice(["", "к", "м", "мк"]), rng.choice(["м", "моль", "Па", "В", "Дж"]), rng.choice([1, 2, -1, -3])) for i in range(rng.randint(1, 4))]
+        bases = unit_grammar.bases()
+        parts = [(s, p, b if b in bases else b.lower(), n) for s, p, b, n in parts]
+        said = "".join(("" if i == 0 else "·" if s == 1 else "/") + p + b + ("" if n == 1 else f"^{n}") for i, (s, p, b, n) in enumerate(parts))
+        rows.append((k, said, *brute_unit(parts)))
+    frame = spark.createDataFrame([(k, said) for k, said, _, _ in rows], "k int, u string")
+    got = {r.k: r.g for r in frame.select("k", unit_grammar.read(frame.u).alias("g")).collect()}
+    for k, said, vector, log in rows:
+        assert list(got[k].vector) == vector and math.log10(got[k].factor) == pytest.approx(log, abs=1e-6), said

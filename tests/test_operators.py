@@ -238,6 +238,11 @@ GOLDEN_ANSWERS = [
     (r"$Q=73.1\ \text{Кл};~n(e^-)=7.58\cdot10^{-4}\ \text{моль};~m(Ag)=8.18\cdot10^{-2}\ \text{г}$", "Q=73.1 Кл; n(e-)=7.58×10⁻⁴ моль; m(Ag)=0.0818 г", "match"),
     ("w1 = 5", "w1 = w2 = 5", "match"), ("w1 = w2 = 5", "w1 = 5", "incomplete"), ("w1 = w2 = 5", "w1 = w2 = 5", "match"), ("w_1 = 5", "w_2 = 5", "mismatch"),
     ("x = 0,12345", "x = 0,12345 (0,12)", "match"), ("x = 0,12345", "x = 0,12345 (0,13)", "incomplete"), ("m = 1,2345 г", "m = 1,2345 г (1,23 г)", "match"), ("m = 1,2345 г", "m = 1,2345 г (1,23 мл)", "incomplete"),
+    (r"$F_g=0.2032;~m(\mathrm{Ni})=0.04538~\text{г};~w(\mathrm{Ni})=9.08~\%$", "Fg=0.2032; m(Ni)=0.04538 мг; ω(Ni)=9.08%", "incomplete"), ("V = 2 л", "V = 2 дм^3", "match"), ("V = 2 дм^3", "V = 2 л", "match"),
+    ("S_уд = 183 м²/г", "S_уд = 1.8·10² м²/г (183 м²/г)", "match"), ("S_уд = 183 м²/г", "S_уд = 1.7·10² м²/г (183 м²/г)", "incomplete"), ("S_уд = 183 м²/г", "S_уд = 1.8·10² м²/кг (183 м²/г)", "incomplete"),
+    ("ζ = 0.020 V и 20 mV", "ζ = 20 mV", "match"), ("ζ = 0.020 V и 30 mV", "ζ = 20 mV", "incomplete"), ("μ = 1e-8 m²/(V·s)", "μ = 1e-8 cm²/(V·s)", "mismatch"), ("μ = 1e-8 m²/(V·s)", "μ = 1e-4 cm²/(V·s)", "match"),
+    ("S = 183 м²/г", "S = 183 м²/кг", "mismatch"), ("S = 183 м²/г", r"S = 183 \text{м}^2/\text{г}", "match"), ("V = 2 см³", "V = 2 м³", "mismatch"), ("V = 2 см³", "V = 2 мл", "match"), ("ζ = 0.020 V", "градиент = 20 mV/cm", "mismatch"), ("E = 5 mV/cm", "E = 0,5 V/m", "match"),
+    ("x = 5 qq/zz", "x = 5 г/л", "mismatch"), ("x = 5 qq/zz", "x = 5 QQ/zz", "match"), ("x = 5 молекул", "x = 5 штук", "match"), ("x = 5", "x = 5 г", "match"), ("m = 5 г", "m = 5", "mismatch"), ("k = 2 1/моль", "k = 2 моль⁻¹", "match"), ("H = 2 кДж/моль", "H = 2000 Дж·моль^{-1}", "match"),
     ("U = 0,020 В (20 мВ)", "U = 20 мВ", "match"), ("V = 5 или 6", "V = 6", "match"), ("c = 0,010 моль/л", "n = 0,001 моль / 100 мл = 0,010 моль/л", "incomplete"),
 ]
 
