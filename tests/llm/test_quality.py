@@ -4,6 +4,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -59,26 +60,37 @@ def brute_kind(byte):
     return {"!": "exclaim", "|": "pipe"}.get(c, "stop" if c in ".,;:'\"-?()" else "symbol")
 
 
+@lru_cache(None)
 def brute_bucket(word):
+    """A word's bucket; hashed once for each different word, which are far fewer than words times buckets."""
     return int(span_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0]) % quality.BUCKETS
 
 
+@lru_cache(None)
+def brute_marked(word):
+    return any(brute_kind(b) in ("symbol", "exclaim", "pipe", "digit") for b in word)
+
+
 def brute_features(text):
     """All FEATURES of a text by name, word by word."""
     raw = text.encode()
     words, lines = raw.split(), re.findall(rb"[^\n]*\n|[^\n]+", raw)
-    kinds, used = Counter(map(brute_kind, raw)), Counter(raw)
+    used = Counter(raw)
+    kinds = Counter()
+    for byte, n in used.items():
+        kinds[brute_kind(byte)] += n
     pairs = list(zip(words, words[1:], strict=False))
     share = lambda a, b: a / b if b else 0.0
     of_words = lambda test: share(sum(map(test, words)), len(words))
     shown = len(raw) - kinds["space"]
     out = {k: share(kinds[k], shown) for k in ("digit", "stop", "symbol", "exclaim", "pipe", "wide", "control")}
-    out |= {f"words_{k}": of_words(lambda w, k=k: brute_bucket(w) == k) for k in range(quality.BUCKETS)}
+    dealt = Counter(map(brute_bucket, words))
+    out |= {f"words_{k}": share(dealt[k], len(words)) for k in range(quality.BUCKETS)}
     return out | {
         "bytes": math.log1p(len(raw)), "words": math.log1p(len(words)), "lines": math.log1p(len(lines)), "word_len": share(shown, len(words)),
         "longest_word": math.log1p(max(map(len, words), default=0)), "line_len": math.log1p(share(len(raw), len(lines))),
         "upper": share(kinds["upper"], kinds["upper"] + kinds["lower"]), "capital_words": of_words(lambda w: brute_kind(w[0]) == "upper"),
-        "marked_words": of_words(lambda w: any(brute_kind(b) in ("symbol", "exclaim", "pipe", "digit") for b in w)), "short_words": of_words(lambda w: len(w) <= 2),
+        "marked_words": of_words(brute_marked), "short_words": of_words(lambda w: len(w) <= 2),
         "same_words": share(len(words) - len(set(words)), len(words)), "same_lines": share(len(lines) - len(set(lines)), len(lines)),
         "same_pairs": share(len(pairs) - len(set(pairs)), len(pairs)), "top_word": share(max(Counter(words).values(), default=0), len(words)),
         "entropy": -sum(n / len(raw) * math.log2(n / len(raw)) for n in used.values()), "packed": share(len(zlib.compress(raw, 1)), len(raw)),
