@@ -204,10 +204,14 @@ def stoichiometry(tasks: DataFrame, id_col: str) -> DataFrame:
 
 
 def evaluate(tasks: DataFrame, id_col: str, rules: list[Column], selected: Column | None = None) -> DataFrame:
-    """id, check_id, state for every rule, or those that the array `selected` names, in one pass over the tasks."""
-    every = F.array(*rules)
-    chosen = every if selected is None else F.filter(every, lambda r: F.array_contains(selected, r["check_id"]))
-    return tasks.select(id_col, F.explode(chosen).alias("_r")).select(id_col, "_r.check_id", "_r.state")
+    """id, check_id, state for every rule, or those that the array `selected` names, in one pass over the tasks.
+
+    Each rule is a column before the rows are multiplied: in a projection its repeated parts are computed once, in a generator they are not."""
+    names = [f"_rule{k}" for k in range(len(rules))]
+    found = tasks.select(id_col, *[r.alias(n) for r, n in zip(rules, names, strict=True)], *([] if selected is None else [selected.alias("_selected")]))
+    every = F.array(*map(F.col, names))
+    chosen = every if selected is None else F.filter(every, lambda r: F.array_contains("_selected", r["check_id"]))
+    return found.select(id_col, F.explode(chosen).alias("_r")).select(id_col, "_r.check_id", "_r.state")
 
 
 def required_checks(explicit: Column, blocks: Column) -> Column:
