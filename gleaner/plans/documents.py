@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import stem, text as T
-from gleaner.operators import exports, retrieval
+from gleaner.operators import exports, impacts, ranking, retrieval, segments
 from gleaner.operators import relational as R
 from gleaner.operators.dedup import dedup_bounded as bounded
-from gleaner.session import checkpointed
+from gleaner.session import checkpointed, shared_folder
 from gleaner.sources import readers
 
-from .registry import query, table
+from .registry import ORACLE_SQL, query, table
 
 WORDS_SQL = r"regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}_]+')"
 
@@ -126,25 +126,57 @@ def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.split_markdown(docs, "conv_id", "text")
 
 
+#: Letters of the texts and the Russian ones that stand for them, so that words get Russian endings.
+LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшьыз"
+RUSSIAN_SQL = f"translate(lower(text), '{LATIN}', '{CYRILLIC}')"
+
+
+def russian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.translate(F.lower("text"), LATIN, CYRILLIC).alias("text"))
+
+
 def _stem_sql() -> str:
+    """CTEs up to k (term, stem): every word of the texts in Russian letters and its stem."""
     v = stem.VOWELS
     head = f"regexp_extract(w, '^[^{v}]*[{v}]')"
     rep = lambda c, s: f"regexp_replace({c}, '{s[0]}', '{s[1].replace('$1', chr(92) + '1')}')"
-    return f"""WITH t AS (SELECT DISTINCT unnest(list_value('вагоны', 'важнейшие', 'волнение', 'программирование', 'красивая', 'бегавший', 'раствором', 'растворы', 'массовая', 'концентрации', 'титрование', 'был', 'кислота', 'реакции', 'осадок', 'водный', 'щёлочью', 'пр', 'окислилась', 'старость', 'деревянный')) || CASE WHEN n = 0 THEN '' ELSE 'и' END AS w0 FROM (SELECT unnest([0, 1]) AS n)),
+    return f"""t AS (SELECT DISTINCT unnest({words_sql(RUSSIAN_SQL)}) AS w0 FROM documents),
     a AS (SELECT w0, replace(w0, 'ё', 'е') AS w FROM t), b AS (SELECT w0, w, {head} AS h, substr(w, length({head}) + 1) AS rv FROM a),
     c AS (SELECT *, {rep('rv', stem.GERUND_STEP)} AS g, {rep('rv', stem.REFLEXIVE_STEP)} AS p FROM b), d AS (SELECT *, {rep('p', stem.ADJECTIVE_STEP)} AS adj FROM c),
     e AS (SELECT *, CASE WHEN g <> rv THEN g WHEN adj <> p THEN {rep('adj', stem.PARTICIPLE_STEP)} WHEN {rep('p', stem.VERB_STEP)} <> p THEN {rep('p', stem.VERB_STEP)} ELSE {rep('p', stem.NOUN_STEP)} END AS one FROM d),
     f AS (SELECT *, h || regexp_replace(one, 'и$', '') AS two, length(regexp_extract(w, '{stem.R2}')) AS r2 FROM e), g2 AS (SELECT *, regexp_extract(two, '({stem.DERIVED})$') AS x FROM f),
     i AS (SELECT *, substr(CASE WHEN x <> '' AND r2 > 0 AND length(two) - length(x) >= r2 THEN substr(two, 1, length(two) - length(x)) ELSE two END, length(h) + 1) AS tail FROM g2),
-    j AS (SELECT *, regexp_replace(tail, '({stem.SUPERLATIVE})$', '') AS s FROM i)
-    SELECT w0 AS word, CASE WHEN h = '' THEN w ELSE h || CASE WHEN tail LIKE '%нн' THEN regexp_replace(tail, 'н$', '') WHEN s <> tail THEN regexp_replace(s, 'нн$', 'н') ELSE regexp_replace(tail, 'ь$', '') END END AS stem FROM j"""
+    j AS (SELECT *, regexp_replace(tail, '({stem.SUPERLATIVE})$', '') AS s FROM i),
+    k AS (SELECT w0 AS term, CASE WHEN h = '' THEN w ELSE h || CASE WHEN tail LIKE '%нн' THEN regexp_replace(tail, 'н$', '') WHEN s <> tail THEN regexp_replace(s, 'нн$', 'н') ELSE regexp_replace(tail, 'ь$', '') END END AS stem FROM j)"""
 
 
-@query(_stem_sql())
+@query(f"WITH {_stem_sql()} SELECT term AS word, stem FROM k")
 def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = "вагоны важнейшие волнение программирование красивая бегавший раствором растворы массовая концентрации титрование был кислота реакции осадок водный щёлочью пр окислилась старость деревянный".split()
-    rows = spark.createDataFrame([(w + end,) for w in listed for end in ("", "и")], "word string").distinct()
-    return rows.select("word", stem.stem_ru(F.col("word")).alias("stem"))
+    """Every different word of the texts, in Russian letters, and its stem."""
+    return ranking.stem_dictionary(russian(spark, sf_dir), "text").select(F.col("term").alias("word"), "stem")
+
+
+@query(f"WITH {_stem_sql()}, p AS (SELECT doc_id, unnest({words_sql(RUSSIAN_SQL)}) AS term FROM documents) SELECT doc_id, stem AS term, count(*) AS tf FROM p JOIN k USING (term) GROUP BY 1, 2")
+def stem_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The term index of stems: each different word is stemmed once, whatever the number of its places."""
+    docs = russian(spark, sf_dir)
+    index = retrieval.postings(docs, "doc_id", "text")
+    return ranking.stemmed_index(index, ranking.stem_dictionary(docs, "text"), "doc_id").select("doc_id", "term", "tf")
+
+
+@query(f"""WITH f AS (SELECT doc_id, {words_sql("source || ' ' || substr(text, 1, 40)")} AS h, {words_sql("text")} AS b FROM documents),
+    p AS (SELECT doc_id, unnest(h || b) AS term, unnest(range(len(h) + len(b))) AS pos, unnest(list_transform(range(len(h) + len(b)), lambda i: CASE WHEN i < len(h) THEN 1.0 ELSE 0.1 END))::DOUBLE AS w FROM f),
+    j AS (SELECT *, row_number() OVER (PARTITION BY doc_id, term ORDER BY pos) AS j FROM p),
+    m AS (SELECT doc_id, term, max(w) AS most, sum(w / (j * j)) AS whole, arg_min(j, (-w, j)) AS first FROM j GROUP BY 1, 2),
+    g AS (SELECT doc_id, term, (most + whole - most / (first * first)) / 1.64493406685 AS gain FROM m),
+    q AS (SELECT DISTINCT item_id, unnest({words_sql('text')}) AS term FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1),
+    r AS (SELECT item_id, doc_id, round(sum(gain / n), 6) AS score FROM q JOIN n USING (item_id) JOIN g USING (term) GROUP BY 1, 2)
+    SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r QUALIFY rank <= 8""")
+def ts_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole benchmark texts as queries; source and opening are the heading (class A), texts the body (class D)."""
+    docs = documents(spark, sf_dir).select("doc_id", F.concat("source", F.lit(" "), F.substring("text", 1, 40)).alias("heading"), "text")
+    index = ranking.positional_postings(docs, "doc_id", {"heading": "A", "text": "D"})
+    return ranking.rank_by_places(index, table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text")
 
 
 @query(f"""WITH p AS (SELECT doc_id, unnest({words_sql('text')}) AS term FROM documents) SELECT doc_id, term, count(*) AS tf FROM p GROUP BY 1, 2""")
@@ -170,6 +202,30 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25(index, queries, "doc_id", "item_id", "q")
 
 
+@query(ORACLE_SQL["bm25_topk"])
+def bm25_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of bm25_topk by impact bands and upper bounds."""
+    index = checkpointed(retrieval.postings(documents(spark, sf_dir), "doc_id", "text"))
+    queries = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 200).alias("q"))
+    return impacts.top_k(*impacts.impact_index(index, "doc_id"), queries, "doc_id", "item_id", "q")
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 100 = 7 THEN text || ' upserted ' || coalesce(source, '') ELSE text END AS text FROM documents WHERE doc_id % 100 <> 11 OR doc_id % 200 = 111),
+    p AS (SELECT doc_id, unnest({words_sql('text')}) AS term FROM d) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS places FROM p GROUP BY 1""")
+def segment_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all texts, of which 1 % change, 1 % are deleted, and half of those come back, each in a segment of its own, then compacted but for the first."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    index = segments.SegmentedIndex(spark, shared_folder(spark, "segments"))
+    index.upsert(docs, "doc_id", "text")
+    changed = documents(spark, sf_dir).filter("doc_id % 100 = 7").select("doc_id", F.concat("text", F.lit(" upserted "), F.coalesce("source", F.lit(""))).alias("text"))
+    index.upsert(changed, "doc_id", "text")
+    index.delete(docs.filter("doc_id % 100 = 11"), "doc_id")
+    index.upsert(docs.filter("doc_id % 200 = 111"), "doc_id", "text")
+    index.compact(2)
+    places = index.postings().groupBy("term").agg(F.sum("tf").alias("places"))
+    return index.frequencies().join(places, "term").select("term", "df", "places")
+
+
 @query("""WITH d AS (SELECT doc_id, source AS tenant, CASE doc_id % 4 WHEN 0 THEN 'unverified' WHEN 1 THEN 'reference' WHEN 2 THEN 'course_lecture' ELSE 'course_policy' END AS authority FROM documents)
     SELECT item_id, doc_id FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(substr(text, 1, 200)), '[\\p{L}\\p{N}_]+')) AS term FROM benchmark) q
     JOIN (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents) p USING (term) JOIN d USING (doc_id) WHERE authority IN ('reference', 'course_policy') GROUP BY 1, 2 HAVING count(*) >= 12""")

@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder that the session names in spark.checkpoint.dir; an own one only where it is unset and all runs on one machine."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+def _shared(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir; an own one only where it is unset and all runs on one machine."""
+    sc = spark.sparkContext
+    if not (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables in the shared one."""
+    return f"{_shared(spark).rstrip('/')}/gleaner/{name}-{uuid.uuid4().hex}"
