@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, MapType, StringType
 
+from .text import let
+
+#: The elements by atomic number.
+ELEMENTS = """H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn
+Sb Te I Xe Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U""".split()
 #: Elements whose symbol, digits and sign (Fe3+) are an ion's charge rather than a count.
 MONATOMIC = "Ag Al Ba Ca Cd Cl Co Cr Cu F Fe H Hg I K Li Mg Mn Na Ni O Pb S Sn Zn".split()
 #: What stands between the sides of an equation, and what a phase looks like.
@@ -112,30 +117,59 @@ def reaction_balance(equations: DataFrame, id_col: str, equation: str) -> DataFr
         F.when(~F.col("_bad"), F.coalesce("atom_delta", none)).alias("atom_delta"), F.when(~F.col("_bad"), F.col("charge_delta")).alias("charge_delta"))
 
 
-_SPECIES = r"(?:\d+(?:[./]\d+)?\s*)?(?:[A-Z\[][A-Za-z0-9()\[\]·^{}₀-₉⁰-⁹⁺⁻¹²³]*(?:[+-](?=[\s]|$|[.,;:]))?|e[-⁻])(?:\s?\((?:aq|s|l|g)\))?"
+_EQUALS = r"(?<![<>=!])=(?![=>])"
+_DIGITS = r"(?:_?\{?[0-9₀-₉]+\}?)?"
+_FORMULA = rf"(?:(?:(?:{'|'.join(sorted(ELEMENTS, key=lambda e: (-len(e), e)))}|[(\[]|[)\]]){_DIGITS})+)"
+# A sign is a charge if what follows can't be a further term: a blank, the end, an arrow or a stop.
+_CHARGE = rf"(?:\^\{{?[0-9]*[-+−]\}}?|[⁰¹²³⁴-⁹]*[⁺⁻]|[0-9]*[-+−](?=\s|$|[.,:)]|=|{ARROW}))?"
+_TERM = rf"(?:[0-9]+(?:[./][0-9]+)?\s*)?(?:{_FORMULA}(?:[·∙⋅][0-9]*{_FORMULA})*{_CHARGE}|e\^?\{{?[-−⁻]\}}?)(?:\s?{PHASE.removesuffix('$')})?(?![\p{{L}}\p{{N}}])"
+_SIDE = rf"{_TERM}(?:\s*\+\s*{_TERM})*"
+_EDGE = r"[\s$`:,.…]*"
+#: A formula that is more than one letter, so that `P = F` is no equation.
+_COMPOUND = r"[A-Z].*[A-Z0-9₀-₉]"
+
 
+def _around(pieces: Column, sign: str, single: bool) -> Column:
+    """The equations at each separator of a text that was split at them: from the separator a side grows, term by term, as far as
+    the grammar goes; greedy matching takes the most terms. Empty where a side has no term. single: whether both sides may be one term of any kind."""
 
-_EQUALS = r"(?<![<>=!])=(?![=>])"
-#: Oxidation states before and after: not an equation.
-_STATES = rf"(?<=^|[\s:(])[-+−]?[0-9]+\s*(?:{ARROW})\s*[-+−]?[0-9]+(?=\s*(?:[).,;:]|$))"
+    def one(i: Column) -> Column:
+        left, right = F.get(pieces, i), F.get(pieces, i + 1)
+        a = F.trim(F.regexp_extract(left, rf"(?u)(?<![\p{{L}}\p{{N}}_^.,+\-=/\[(])({_SIDE}){_EDGE}$", 1))
+        b = F.trim(F.regexp_extract(right, rf"(?u)^{_EDGE}({_SIDE})", 1))
+        good = (a != "") & (b != "")
+        if not single:
+            good &= (a.contains("+") | a.rlike(_COMPOUND)) & (b.contains("+") | b.rlike(_COMPOUND))
+        return F.when(good, F.concat(a, F.lit(f" {sign} "), b)).otherwise("")
+
+    return F.transform(F.when(F.size(pieces) > 1, F.sequence(F.lit(0), F.size(pieces) - 2)).otherwise(F.array().cast("array<int>")), one)
+
+
+def _states(pieces: Column) -> Column:
+    """For each arrow of a split text, whether a signed whole number stands on both sides of it: oxidation states, not an equation."""
+    number = r"^[-+−]?[0-9]+[).,;:]*$"
+    last, first = lambda x: F.element_at(F.split(F.rtrim(x), r"[\s:(]+"), -1), lambda x: F.get(F.split(F.ltrim(x), r"\s+"), F.lit(0))
+    at = F.when(F.size(pieces) > 1, F.sequence(F.lit(0), F.size(pieces) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: last(F.get(pieces, i)).rlike(r"^[-+−]?[0-9]+$") & first(F.get(pieces, i + 1)).rlike(number))
 
 
 def equations_in(c: Column) -> Column:
     """The reaction equations that a text holds, looked for between line feeds and semicolons.
 
-    An equation is terms joined by plus signs on both sides of an arrow; without an arrow, of the only equals sign, and then one side
-    has a plus sign. A part with an arrow but no equation that can be read is given as a whole, so that it is not taken for
-    a text without one. Oxidation states with an arrow between them are no equation.
+    Every arrow grows a side on its left and right by the grammar of terms; so does the only equals sign of a part without arrows, where a
+    side has to be more than one letter. A part with an arrow but no equation that can be read is given as a whole, so that it is not
+    taken for a text without one. Oxidation states with an arrow between them are no equation.
     """
-    side = rf"{_SPECIES}(?:\s*\+\s*{_SPECIES})*"
-    sum_ = rf"{_SPECIES}(?:\s*\+\s*{_SPECIES})+"
 
     def found(part: Column) -> Column:
-        rest = F.regexp_replace(part, _STATES, " ")
-        by_arrow = F.regexp_extract_all(rest, F.lit(rf"{side}\s*(?:{ARROW})\s*{side}"), F.lit(0))
-        by_sign = F.regexp_extract_all(rest, F.lit(rf"{sum_}\s*{_EQUALS}\s*{side}|{side}\s*{_EQUALS}\s*{sum_}"), F.lit(0))
-        whole = F.array(F.regexp_replace(F.trim(part), "^[$` ]+|[$` ]+$", ""))
-        none = F.array().cast("array<string>")
-        return F.when(rest.rlike(ARROW), F.when(F.size(by_arrow) > 0, by_arrow).otherwise(whole)).when(F.regexp_count(rest, F.lit(_EQUALS)) == 1, by_sign).otherwise(none)
+        def cut(x: Column) -> Column:
+            arrows = F.filter(F.arrays_zip(x["spans"].alias("span"), x["states"].alias("state")), lambda y: ~F.coalesce(y["state"], F.lit(False)))
+            read = F.filter(F.transform(arrows, lambda y: y["span"]), lambda y: y != "")
+            whole = F.array(F.regexp_replace(F.trim(part), "^[$` ]+|[$` ]+$", ""))
+            by_sign = F.filter(_around(F.split(part, _EQUALS), "=", False), lambda y: y != "")
+            none = F.array().cast("array<string>")
+            return F.when(F.size(arrows) > 0, F.when(F.size(read) > 0, read).otherwise(whole)).when(F.regexp_count(part, F.lit(_EQUALS)) == 1, by_sign).otherwise(none)
+
+        return let(F.split(part, ARROW), lambda p: let(F.struct(_around(p, "→", True).alias("spans"), _states(p).alias("states")), cut))
 
     return F.array_distinct(F.flatten(F.transform(F.split(F.coalesce(c, F.lit("")), r"[\n;]+"), found)))

@@ -283,15 +283,22 @@ def rule_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 EQUATIONS = [
     (1, "2H2 + O2 -> 2H2O"), (2, "H2 + O2 -> H2O"), (3, "Fe + CuSO4 = FeSO4 + Cu"), (4, "MnO4- + 5Fe2+ + 8H+ → Mn2+ + 5Fe3+ + 4H2O"), (5, "Ca(OH)2 + 2HCl → CaCl2 + 2H2O"),
     (6, "SO₄²⁻ + Ba²⁺ → BaSO₄"), (7, "x -> y"), (8, "1/2N2 + 3/2H2 <=> NH3"), (9, "CuSO4·5H2O → CuSO4 + 5H2O"), (10, "[Fe(CN)6]3- + e- → [Fe(CN)6]4-"), (11, "a = b = c"), (12, "Al2(SO4)3 + 6NaOH -> 2Al(OH)3 + 3Na2SO4"),
+    (13, "MgCO3 = MgO"), (14, "2KClO3 = 2KCl + 3O2"), (15, "CaCO3 → CaO + CO2"), (16, "C2H4 = C2H4"), (17, "Zn + 2H+ → Zn2+ + H2"),
 ]
-BALANCED = {1: True, 2: False, 3: True, 4: True, 5: True, 6: True, 7: None, 8: True, 9: True, 10: True, 11: None, 12: True}
+BALANCED = {1: True, 2: False, 3: True, 4: True, 5: True, 6: True, 7: None, 8: True, 9: True, 10: True, 11: None, 12: True, 13: False, 14: True, 15: True, 16: True, 17: True}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{ {True: 'balanced', False: 'unbalanced', None: 'unparsed'}[v]}')" for k, v in BALANCED.items()) + ") v(id, state)")
+@query("""WITH p AS (SELECT p_partkey, p_size % 4 + 1 AS a, p_partkey % 3 + 1 AS b, p_size % 3 + 1 AS c, p_partkey % 5 = 0 AS charged, p_partkey % 7 = 0 AS odd FROM part)
+    SELECT p_partkey, CASE WHEN odd THEN 'unparsed' WHEN a = c AND 2 * b = c AND NOT charged THEN 'balanced' ELSE 'unbalanced' END AS state,
+        CASE WHEN NOT odd THEN CAST(2 * c - 2 * a AS DOUBLE) END AS h, CASE WHEN NOT odd THEN CAST(c - 2 * b AS DOUBLE) END AS o, CASE WHEN NOT odd THEN CASE WHEN charged THEN 1.0 ELSE 0.0 END::DOUBLE END AS charge FROM p""")
 def rule_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(EQUATIONS, "id int, equation string")
+    """Equations with coefficients from the parts, some with an electron too much, some with a word for a formula: which atoms and charges are left."""
+    a, b, c = (x.cast("string") for x in (F.col("p_size") % 4 + 1, F.col("p_partkey") % 3 + 1, F.col("p_size") % 3 + 1))
+    left = F.concat(a, F.lit("H2 + "), b, F.lit("O2"), F.when(F.col("p_partkey") % 5 == 0, " + e-").otherwise(""))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(left, F.lit(" → "), c, F.when(F.col("p_partkey") % 7 == 0, "water").otherwise("H2O")).alias("equation"))
     state = F.when(~F.col("parsed"), "unparsed").when(F.col("balanced"), "balanced").otherwise("unbalanced")
-    return C.reaction_balance(rows, "id", "equation").select("id", state.alias("state"))
+    delta = lambda e: F.when(F.col("parsed"), F.coalesce(F.try_element_at("atom_delta", F.lit(e)), F.lit(0.0)))
+    return C.reaction_balance(rows, "p_partkey", "equation").select("p_partkey", state.alias("state"), delta("H").alias("h"), delta("O").alias("o"), F.col("charge_delta").alias("charge"))
 
 
 STATES_SQL = {k: {True: "pass", False: "fail", None: "indeterminate"}[v] for k, v in BALANCED.items()}

@@ -212,7 +212,7 @@ def test_balance_does_not_hang_on_scale(spark):
 
 def test_equations_in_prose(value):
     prose = "Тогда 2H2 + O2 → 2H2O, а степень меняется +6 → +3. Далее Fe + CuSO4 -> FeSO4 + Cu."
-    assert value(chemistry.equations_in(L(prose))) == ["2H2 + O2 → 2H2O", "Fe + CuSO4 -> FeSO4 + Cu"]
+    assert value(chemistry.equations_in(L(prose))) == ["2H2 + O2 → 2H2O", "Fe + CuSO4 → FeSO4 + Cu"]
 
 
 def test_the_grammar_reads_the_table(spark):
@@ -263,3 +263,13 @@ def test_random_products_against_brute_force(spark):
     got = {r.k: r.g for r in frame.select("k", unit_grammar.read(frame.u).alias("g")).collect()}
     for k, said, vector, log in rows:
         assert list(got[k].vector) == vector and math.log10(got[k].factor) == pytest.approx(log, abs=1e-6), said
+
+
+@pytest.mark.parametrize("prose, found", [
+    ("Разложение MgCO3 = MgO идёт", ["MgCO3 = MgO"]), ("P = F", []), ("V = IR", []), ("n = m/M; c = 5", []), ("U = 5 В", []), ("As shown, 2H2 + O2 -> 2H2O.", ["2H2 + O2 → 2H2O"]),
+    ("Zn + 2H+ → Zn2+ + H2 в кислоте", ["Zn + 2H+ → Zn2+ + H2"]), ("шаг 1: CaCO3 → CaO → Ca(OH)2", ["CaCO3 → CaO", "CaO → Ca(OH)2"]), ("Cr: +6 → +3", []), ("Fe: +2 → +3, поэтому Fe2+ → Fe3+ + e-", ["Fe2+ → Fe3+ + e-"]),
+    ("Reaction → product", ["Reaction → product"]), ("$CuSO_4·5H_2O → CuSO_4 + 5H_2O$", ["CuSO_4·5H_2O → CuSO_4 + 5H_2O"]), ("H2+O2=H2O", ["H2+O2 = H2O"]), ("a = b = c", []), ("NaCl = NaCl = x", []), ("", []), ("2 H2 (g) + O2 (g) -> 2 H2O (l), затем", ["2 H2 (g) + O2 (g) → 2 H2O (l)"]),
+    ("Na+ + Cl- → NaCl", ["Na+ + Cl- → NaCl"]), ("[Fe(CN)6]3- + e- → [Fe(CN)6]4-", ["[Fe(CN)6]3- + e- → [Fe(CN)6]4-"]), ("SO₄²⁻ + Ba²⁺ → BaSO₄", ["SO₄²⁻ + Ba²⁺ → BaSO₄"]), ("mH2 = 5", []),
+])
+def test_sides_grow_from_the_separator(value, prose, found):
+    assert value(chemistry.equations_in(L(prose))) == found
