@@ -7,8 +7,9 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from gleaner.session import checkpointed
+from gleaner.session import checkpointed, shared_folder
 
 
 def in_list(c: Column, allowed: list | None) -> Column:
@@ -125,11 +126,44 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rn")
 
 
 def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
-    """Page `number` (from 1; below that the first) of the ordered rows: a top-k of the cluster, not a sort in one task."""
+    """Page `number` (from 1; below that the first) of the ordered rows: a top-k of the cluster, for the first pages. See OrderedPages for pages far
+    behind, whose rows before would all meet in one task."""
     start = (max(1, number) - 1) * size
     return df.orderBy(*order).limit(start + size).orderBy(*order).offset(start)
 
 
+class OrderedPages:
+    """Ordered rows in range partitions on disk, any page of which is read from the partitions that hold it.
+
+    The rows are ranged and written once, in a folder for each range, with the count of each; a page far behind costs as little as the
+    first. The order columns tell rows apart, else rows that tie may come on either of two pages. Page numbers below 1 are the first, beyond the end the last.
+    """
+
+    def __init__(self, df: DataFrame, *order: Column, ranges: int | None = None):
+        """ranges: in how many parts the rows are cut, the session's shuffle partitions if not given; a page sorts a part or two."""
+        self.order, self.spark, self.schema = order, df.sparkSession, df.schema
+        self.path = shared_folder(df.sparkSession, "pages")
+        count = ranges or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartitionByRange(count, *order).withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(self.path)
+        self.counts = {r["_range"]: r["n"] for r in self._rows().groupBy("_range").agg(F.count("*").alias("n")).collect()}
+        self.total = sum(self.counts.values())
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema(StructType([*self.schema, StructField("_range", IntegerType())])).parquet(self.path)
+
+    def page(self, number: int, size: int) -> DataFrame:
+        number = min(max(1, number), max(1, -(-self.total // size)))
+        start = (number - 1) * size
+        before, ranges, skipped = 0, [], 0
+        for part in sorted(self.counts):
+            if before + self.counts[part] > start and before < start + size:
+                skipped = skipped if ranges else before
+                ranges.append(part)
+            before += self.counts[part]
+        rows = self._rows().filter(F.col("_range").isin(ranges) if ranges else F.lit(False)).drop("_range")
+        return rows.orderBy(*self.order).limit(start - skipped + size).orderBy(*self.order).offset(start - skipped)
+
+
 def changes(current: DataFrame, desired: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """key, action: create, update, keep or delete; fields are compared null-safely."""
     a = current.select(key, F.struct(*fields).alias("_now"))

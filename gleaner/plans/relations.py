@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import admission, relational as R
+from gleaner.streaming import work
 
 from .registry import query, table
 
@@ -232,6 +233,13 @@ def page_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 3, 10, F.col("o_totalprice").desc(), F.col("o_orderkey"))
 
 
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10 OFFSET (SELECT (least(5000, greatest(1, ceil(count(*) / 10))) - 1) * 10 FROM lineitem)::BIGINT")
+def page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 5,000, or the last one if there are fewer."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return R.OrderedPages(rows, F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")).page(5000, 10)
+
+
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS ordinal FROM orders ORDER BY ordinal, o_orderkey LIMIT 100")
 def attention_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordinal = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
@@ -293,3 +301,14 @@ def copy_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interrupted_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "P", "running").otherwise("completed")
     return table(spark, sf_dir, "orders").select("o_orderkey", admission.interrupted(status).alias("status"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, event_type FROM events WHERE event_type IN ('click', 'purchase')),
+    n AS (SELECT *, lead(event_type) OVER w AS next_type, lead(ts) OVER w AS next_ts, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER w AS INT) AS attempt FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type, event_id))
+    SELECT user_id, attempt, ts AS started, CASE WHEN next_type = 'purchase' AND next_ts <= ts + INTERVAL 6 HOUR THEN 'committed' WHEN attempt < 3 THEN 'retry' ELSE 'failed' END AS state FROM n WHERE event_type = 'click'""")
+def work_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks start work, purchases commit it: what each attempt came to, six hours being the limit. The stream of the same rule is tested against this."""
+    kind = F.when(F.col("event_type") == "click", "start").when(F.col("event_type") == "purchase", "commit")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind")).filter("kind IS NOT NULL")
+    out = work.outcomes(events, 6 * 3600)
+    return out.select(F.col("job").alias("user_id"), "attempt", F.col("started").cast("timestamp_ntz").alias("started"), "state")
