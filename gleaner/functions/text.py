@@ -167,15 +167,27 @@ def wrapped_items(c: Column) -> Column:
     return F.transform(F.coalesce(inner, one, sole), lambda x: F.to_json(x))
 
 
-#: Letters that are JSON escapes but also begin LaTeX commands, with the commands.
-LATEX = "frac beta bar boxed neq nu nabla rho right rangle tau theta text times to forall"
+#: LaTeX commands whose first letter is a JSON escape. Some are told by how they begin, the others only whole.
+LATEX_BEGINS = "times text frac tfrac theta therefore tilde triangle right rangle rceil rfloor nabla notin"
+LATEX_WHOLE = "tau tan tanh to rho neq"
 
 
-@F.pandas_udf(StringType())
-def repair_latex_udf(texts: pd.Series) -> pd.Series:
-    r"""JSON with LaTeX commands after a single backslash: those backslashes are doubled, real escapes stay."""
-    known = "|".join(sorted(LATEX.split(), key=len, reverse=True))
-    return texts.str.replace(rf'(?<!\\)((?:\\\\)*)\\(?=(?:{known})(?![a-z])|[^"\\/bfnrtu]|u(?![0-9a-fA-F]{{4}}))', r"\1\\\\", regex=True)
+def repaired_latex(c: Column) -> Column:
+    r"""JSON text with LaTeX commands behind a single backslash: those backslashes are doubled, real escapes stay.
+
+    The text is cut into runs of backslashes, each with what follows up to the next run. Pairs are escaped already; of an odd run the last backslash
+    stays before a quote, a slash, the end of the text or a code point (u and four hex digits), and before b, f, n, r, t unless a command
+    goes on from there: after b and f any letter does, after the others only known commands.
+    """
+    runs = F.regexp_extract_all(c, F.lit(r"(?s)\\+[^\\]*|^[^\\]+"), F.lit(0))
+    command = rf"[bf][a-zA-Z]|{'|'.join(LATEX_BEGINS.split())}|(?:{'|'.join(LATEX_WHOLE.split())})(?![a-zA-Z])"
+    stays = rf'(?s)^\\+(?:\z|["/]|u[0-9a-fA-F]{{4}}|(?!{command})[bfnrt])'
+
+    def one(run: Column) -> Column:
+        odd = F.length(F.regexp_extract(run, r"^\\+", 0)) % 2 == 1
+        return F.when(odd & ~run.rlike(stays), F.concat(F.lit("\\"), run)).otherwise(run)
+
+    return F.when(c.isNotNull(), F.array_join(F.transform(runs, one), ""))
 
 
 @F.pandas_udf(StringType())

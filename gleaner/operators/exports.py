@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from gleaner.functions.canonical import canonical
 from gleaner.functions.numbers import number_tokens
-from gleaner.functions.text import canonical_json
 
 NO_TOPIC = "Без темы"
 SNAPSHOT_BYTES = 1_500_000
@@ -44,8 +45,8 @@ def answer_tolerance(answer: Column, frozen_pct: Column, template_pct: Column, d
 
 
 def snapshots(rows: DataFrame, key: str, columns: list[str], most: int = SNAPSHOT_BYTES) -> DataFrame:
-    """key, body (canonical JSON), version (its SHA-256), too_large of each row."""
-    body = canonical_json(F.struct(*columns))
+    """key, body (canonical JSON, byte by byte), version (its SHA-256), too_large of each row."""
+    body = canonical(F.struct(*columns), StructType([rows.schema[c] for c in columns]))
     return rows.select(key, body.alias("body")).withColumns({"version": F.sha2("body", 256), "too_large": F.octet_length("body") > most})
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gleaner.functions import stem, text as T
+from gleaner.functions import canonical, stem, text as T
 from gleaner.operators import exports, impacts, ranking, retrieval, segments
 from gleaner.operators import relational as R
 from gleaner.operators.dedup import dedup_bounded as bounded
@@ -338,6 +339,24 @@ def canonical_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.snapshots(table(spark, sf_dir, "part"), "p_partkey", ["p_size", "p_name", "p_brand"])
 
 
+_DIGITS_SQL = "CASE l_partkey % 9 WHEN 0 THEN '-0.0'::DOUBLE WHEN 1 THEN 1e21 WHEN 2 THEN l_extendedprice / 3 ELSE l_extendedprice * list_extract([1e-11, 1e-7, 1e-5, 1e-3, 1, 1e5, 1e11, 1e12, 1e19, 1e297]::DOUBLE[], l_partkey % 10 + 1) END"
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, CAST({_DIGITS_SQL} AS DOUBLE) AS x, CASE WHEN l_linenumber % 3 <> 0 THEN l_returnflag || ' «é日😀"' || chr(92) || chr(9) || chr(1) || '/' END AS t, l_partkey AS k FROM lineitem),
+    b AS (SELECT l_orderkey, l_linenumber, '{{"items":[' || CAST(x AS VARCHAR) || ',' || CAST(q AS VARCHAR) || '],"key":' || k || ',"text":' || coalesce('"' || replace(replace(replace(replace(t, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(9), chr(92) || 't'), chr(1), chr(92) || 'u0001') || '"', 'null') || '}}' AS body FROM l)
+    SELECT l_orderkey, l_linenumber, body, sha256(body) AS digest FROM b""")
+def canonical_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with exponents, negative zero, huge and tiny numbers, nulls, control characters and letters of any script."""
+    key, price = F.col("l_partkey"), F.col("l_extendedprice")
+    factor = F.element_at(F.array(*map(F.lit, [1e-11, 1e-7, 1e-5, 1e-3, 1.0, 1e5, 1e11, 1e12, 1e19, 1e297])), (key % 10 + 1).cast("int"))
+    x = F.when(key % 9 == 0, -0.0).when(key % 9 == 1, 1e21).when(key % 9 == 2, price / 3).otherwise(price * factor)
+    said = F.when(F.col("l_linenumber") % 3 != 0, F.concat("l_returnflag", F.lit(' «é日😀"\\\t\x01/')))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", said.alias("text"), key.alias("key"), F.array(x, F.col("l_quantity").cast("double")).alias("items"))
+    kept = ["text", "key", "items"]
+    body = canonical.canonical(F.struct(*kept), StructType([rows.schema[c] for c in kept]))
+    return rows.select("l_orderkey", "l_linenumber", body.alias("body")).withColumn("digest", F.sha2("body", 256))
+
+
 @query("""SELECT p_brand, substr(sha256(string_agg(l, chr(10) ORDER BY l)), 1, 12) AS fingerprint FROM (SELECT DISTINCT p_brand, p_type || '=' || p_name AS l FROM part) GROUP BY 1""")
 def policy_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.collect_set(F.concat("p_type", F.lit("="), "p_name"))
@@ -359,7 +378,7 @@ def sheet_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events' JSON in fences and with a LaTeX command: repaired, extracted, and its item list."""
     raw = F.concat(F.lit("```json\n{\"tasks\": [{\"statement\": \"$\\frac{1}{2}$\", \"props\": "), F.col("props"), F.lit("}]}\n```"))
-    fixed = T.repair_latex_udf(raw)
+    fixed = T.repaired_latex(raw)
     return table(spark, sf_dir, "events").select("event_id", F.array_join(T.wrapped_items(T.json_object(fixed)), "\n").alias("items"))
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import random
@@ -9,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gleaner.functions import chemistry, numbers, stem, text, unit_grammar, units
+from gleaner.functions import canonical, chemistry, numbers, stem, text, unit_grammar, units
 
 L = F.lit
 NULL = lambda: F.lit(None).cast("string")
@@ -64,7 +65,7 @@ def test_canonical_json_does_not_hang_on_the_order_of_fields(value):
     [(r'{"a":"\frac{1}{2}"}', {"a": r"\frac{1}{2}"}), (r'{"a":"\\frac"}', {"a": r"\frac"}), (r'{"a":"x\ny \alpha"}', {"a": "x\ny \\alpha"}), (r'{"a":"\"q\" A"}', {"a": '"q" A'})],
 )
 def test_latex_in_json(value, raw, fixed):
-    assert json.loads(value(text.repair_latex_udf(L(raw)))) == fixed
+    assert json.loads(value(text.repaired_latex(L(raw)))) == fixed
 
 
 def test_json_object_and_items(value):
@@ -273,3 +274,55 @@ def test_random_products_against_brute_force(spark):
 ])
 def test_sides_grow_from_the_separator(value, prose, found):
     assert value(chemistry.equations_in(L(prose))) == found
+
+
+def brute_latex(raw):
+    """Backslash by backslash."""
+    out, i = "", 0
+    begins, whole = (tuple(x.split()) for x in (text.LATEX_BEGINS, text.LATEX_WHOLE))
+    while i < len(raw):
+        if raw[i] != "\\":
+            out, i = out + raw[i], i + 1
+            continue
+        j = i
+        while j < len(raw) and raw[j] == "\\":
+            j += 1
+        rest, run = raw[j:], raw[i:j]
+        code = len(rest) > 4 and rest[0] == "u" and all(c in "0123456789abcdefABCDEF" for c in rest[1:5])
+        letter = lambda k: k < len(rest) and rest[k].isascii() and rest[k].isalpha()  # noqa: E731, B023
+        command = (rest[:1] in ("b", "f") and letter(1)) or rest.startswith(begins) or any(rest.startswith(w) and not letter(len(w)) for w in whole)
+        keep = rest == "" or rest[0] in '"/' or code or (rest[0] in "bfnrt" and not command)
+        out += run + ("" if len(run) % 2 == 0 or keep else "\\")
+        i = j
+    return out
+
+
+def test_latex_repair_against_brute_force(spark):
+    """Every run of up to four backslashes before every kind of rest, inside and outside of strings, and random mixtures."""
+    rests = ["", '"', "/", "n", "n ", "nabla", "neq", "neqx", "to", "to1", "top", "tau", "taux", "theta", "b", "b1", "beta", "f", "frac{1}{2}", "t", "r", "rho", "rhombus", "right", "u12aF", "u12a", "u00e9x", "alpha", "\n", "é", "0", "times2", "tanh", "tanhx", "tan", "v\n"]
+    cases = [f"{head}{chr(92) * n}{rest}" for head in ("", 'x"', "{") for n in range(5) for rest in rests]
+    rng = random.Random(5)
+    cases += ["".join(rng.choice(["\\", "\\", '"', "n", "t", "to", " ", "u0041", "frac", "é", "\n"]) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    frame = spark.createDataFrame([(k, c) for k, c in enumerate(cases)] + [(-1, None)], "k int, t string")
+    got = {r.k: r.x for r in frame.select("k", text.repaired_latex(frame.t).alias("x")).collect()}
+    assert got.pop(-1) is None
+    assert [(c, got[k]) for k, c in enumerate(cases)] == [(c, brute_latex(c)) for c in cases]
+
+
+def test_canonical_numbers(spark):
+    rng = random.Random(6)
+    xs = [0.0, -0.0, 1.0, -1.5, 0.1, 1e16, 1e15, 123456789012345680.0, 9999999999999998.0, 1e-4, 1e-5, 0.00012345, 1e21, 1e22, 1e23, 2.0**-44, 5e-324, 1.7976931348623157e308, 2.2250738585072014e-308, 100.0, 1 / 3, 2 / 3, 1e100, 4.35, 0.3, 2e-3, 9007199254740993.0, 2**63 * 1.0]
+    xs += [rng.uniform(-1, 1) * 10.0 ** rng.randint(-30, 30) for _ in range(500)] + [float(rng.randint(0, 10**17)) for _ in range(100)]
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(xs)] + [(-1, math.nan), (-2, math.inf), (-3, None)], "k int, x double")
+    got = {r.k: r.s for r in frame.select("k", canonical.json_number(frame.x).alias("s")).collect()}
+    assert [got.pop(k) for k in (-1, -2, -3)] == [None] * 3
+    assert [got[k] for k in range(len(xs))] == [json.dumps(x) for x in xs]
+
+
+def test_canonical_json_of_nested_values(spark):
+    values = {"b": [1, None, 3], "a": {"z": 'q"\\\n\u0001\x7fé😀', "ё": None, "_": -0.0, "B": True}, "m": {"k2": 1.5, "k1": 1e21}, "e": [], "none": None}
+    schema = "b array<int>, a struct<z:string,`ё`:string,_:double,B:boolean>, m map<string,double>, e array<string>, none struct<x:int>"
+    row = spark.createDataFrame([(values["b"], (values["a"]["z"], None, -0.0, True), values["m"], [], None)], schema)
+    got = row.select(canonical.canonical(F.struct("*"), row.schema).alias("j"), canonical.digest(F.struct("*"), row.schema).alias("d")).first()
+    want = json.dumps(values, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    assert got.j == want and got.d == hashlib.sha256(want.encode()).hexdigest()
