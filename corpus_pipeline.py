@@ -17,9 +17,10 @@ from gleaner.llm.common import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (null and empty ones too), or unlike every language learned, go; short ones need less
-    of a likeness to stay."""
-    return langid.keep_languages(docs, langid.fit(docs.filter(langid.fold("doc_id", 4) != 2)))
+    """Documents without a letter (null and empty ones too), or unlike every language learned, go; short ones are judged in more
+    dimensions, so that a few n-grams are told from noise as surely as many."""
+    known = docs.filter(langid.fold("doc_id", 4) != 2)
+    return langid.keep_languages(docs, langid.fit(known), langid.fit_wide(known))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

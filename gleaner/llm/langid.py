@@ -26,30 +26,37 @@ DIMENSIONS = 1024
 N = 3
 #: Most training documents that the prototypes are fitted on, about: a hash of doc_id picks that share.
 FIT_DOCUMENTS = 50_000
-#: A text whose best cosine is not above this is rejected by the pipeline's stage. Cosines of a text that has no n-gram of a
-#: language vary by 1 / sqrt(DIMENSIONS) around 0, whatever its length. Cosines of clean texts grow with the square root of their number
-#: of different n-grams, so texts with fewer than FULL need less in that proportion.
-LEAST_SCORE = 4.5 / DIMENSIONS**0.5
+#: Cosines of a text that has nothing of a language vary by 1 / sqrt(dimensions) around 0, whatever its length. The pipeline's stage rejects a text whose
+#: best cosine is not more than so many times that.
+SIGNIFICANT = 3.5
+LEAST_SCORE = SIGNIFICANT / DIMENSIONS**0.5
+#: Cosines of clean texts grow with the square root of their number of different n-grams until there are some FULL of them. Texts with fewer are
+#: judged with WIDE dimensions, where the noise is small enough to tell even a word's n-grams from it.
 FULL = 128
-#: Texts with fewer different n-grams, of some three words, have cosines like noise even if clean; they go at 0 only.
-JUDGED = 16
+WIDE = 8192
+#: Most training documents of each language for the wide prototypes, about.
+FIT_WIDE = 1_000
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 13)
 def letter(code: int, dimensions: int) -> np.ndarray:
-    """The vector of a letter; the word border is code 0."""
+    """The vector of a letter, as bytes of signs; the word border is code 0."""
     with np.errstate(over="ignore"):
         bits = mix64(np.arange(dimensions // 64, dtype=np.uint64) + mix64(np.array([code + 1], np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
-    return (np.unpackbits(bits.astype("<u8").view(np.uint8)).astype(np.float32) * 2 - 1).copy()
+    return np.unpackbits(bits.astype("<u8").view(np.uint8)).astype(np.int8) * np.int8(2) - np.int8(1)
 
 
-@lru_cache(1 << 15)
-def gram(code: int, dimensions: int) -> np.ndarray:
+def bound(code: int, dimensions: int) -> np.ndarray:
     """The bound vector of N letters packed in 21 bits each, as bytes of signs."""
-    out = np.ones(dimensions, np.float32)
+    out = np.ones(dimensions, np.int8)
     for place in range(N):
         out = out * np.roll(letter((code >> (21 * place)) & 0x1FFFFF, dimensions), place)
-    return out.astype(np.int8)
+    return out
+
+
+@lru_cache(1 << 15)
+def gram(code: int) -> np.ndarray:
+    return bound(code, DIMENSIONS)
 
 
 @lru_cache(1)
@@ -91,8 +98,9 @@ def bundles(texts: list[str], dimensions: int = DIMENSIONS, most: int = 1 << 17,
                 part = (where >= at) & (where < at + 4096)
                 table = np.zeros((len(held), min(4096, len(codes) - at)), np.float32)
                 table[rows[part], where[part] - at] = counts[part]
-                vectors = np.stack([gram(int(c), dimensions) for c in codes[at : at + 4096]]).astype(np.float32)
-                out[[i for i, _, _ in held]] += table @ vectors
+                for k in range(0, table.shape[1], 512):
+                    vectors = np.stack([gram(c) if dimensions == DIMENSIONS else bound(c, dimensions) for c in codes[at + k : at + k + 512].tolist()]).astype(np.float32)
+                    out[[i for i, _, _ in held]] += table[:, k : k + 512] @ vectors
         held, total = [], 0
 
     for i, text in enumerate(texts):
@@ -124,14 +132,28 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     n = known.count()
     if n > most:
         known = known.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(10)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+    return _prototypes(known, text_col, lang_col, DIMENSIONS)
+
+
+def fit_wide(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most: int = FIT_WIDE) -> dict[str, np.ndarray]:
+    """Prototypes with WIDE dimensions, from about `most` rows of each language, picked by a hash of the id."""
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    counts = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}  # a row a language
+    share = F.lit(1 << 30)
+    for lang, n in counts.items():
+        share = F.when(F.col(lang_col).cast("string") == lang, int(min(1.0, most / n) * (1 << 30))).otherwise(share)
+    return _prototypes(known.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) < share), text_col, lang_col, WIDE)
+
 
+def _prototypes(known: DataFrame, text_col: str, lang_col: str, dimensions: int) -> dict[str, np.ndarray]:
     def each(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            vectors = directions(bundles(batch.column(1).to_pylist()))
-            langs = np.array(batch.column(0).to_pylist(), dtype=object)
-            for lang in set(langs):
-                sums[lang] = sums.get(lang, 0) + vectors[langs == lang].sum(0, dtype=np.float64)
+            texts, langs = batch.column(1).to_pylist(), np.array(batch.column(0).to_pylist(), dtype=object)
+            for at in range(0, len(texts), 128):
+                vectors, own = directions(bundles(texts[at : at + 128], dimensions)), langs[at : at + 128]
+                for lang in set(own):
+                    sums[lang] = sums.get(lang, 0) + vectors[own == lang].sum(0, dtype=np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
     partial = small_batches(known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))).mapInArrow(each, "lang string, v array<double>")
@@ -148,11 +170,13 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     `und` with score 0, as is everything if there are no prototypes. On a tie the language that sorts first wins. Rows that repeat an id
     or a text each have a row with the same result; no rows give no rows.
     """
-    return _scored(docs, prototypes, id_col, text_col).drop("key", "different")
+    return _scored(docs, prototypes, None, id_col, text_col).drop("key", "above")
 
 
-def _scored(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """predict(), and key (see text_key) and the number of different n-grams."""
+def _scored(docs: DataFrame, prototypes: dict[str, np.ndarray], wide: dict[str, np.ndarray] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """predict(), and key (see text_key) and above: the best cosine as a multiple of its noise, of texts with fewer than FULL different n-grams
+    by the wide prototypes if there are any."""
+    broad = np.stack([wide[k] for k in sorted(wide)]).astype(np.float32) if wide else None
     names = sorted(prototypes)
     matrix = np.stack([prototypes[k] for k in names]).astype(np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)
 
@@ -168,24 +192,28 @@ def _scored(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
                 scores = np.clip(cosines[np.arange(len(best)), best].astype(np.float64), 0, 1)
             else:
                 langs, scores = np.full(len(vectors), "und", dtype=object), np.zeros(len(vectors))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), batch.column(2), pa.array(different)], ["doc_id", "lang_pred", "score", "key", "different"])
+            above = scores * DIMENSIONS**0.5
+            short = np.flatnonzero((different > 0) & (different < FULL)) if broad is not None else []
+            for at in range(0, len(short), 128):
+                some = short[at : at + 128]
+                above[some] = (directions(bundles(batch.column(1).take(pa.array(some)).to_pylist(), WIDE)) @ broad.T).max(1) * WIDE**0.5
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), batch.column(2), pa.array(above)], ["doc_id", "lang_pred", "score", "key", "above"])
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), text_key(text_col))
-    return small_batches(rows).mapInArrow(each, "doc_id long, lang_pred string, score double, key long, different long")
+    return small_batches(rows).mapInArrow(each, "doc_id long, lang_pred string, score double, key long, above double")
 
 
 def fold(id_col: str, folds: int) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
-def keep_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs whose language is found with a cosine above `least`, with all their columns.
+def keep_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], wide: dict[str, np.ndarray] | None = None, significant: float = SIGNIFICANT) -> DataFrame:
+    """The rows of docs whose language is found with a cosine of more than `significant` times its noise, with all their columns.
 
-    Texts with n < FULL different n-grams need a cosine above least * sqrt(n / FULL), those with fewer than JUDGED one above 0. Each row is decided by its own text, so rows that repeat an
-    id with other texts stay or go on their own, and a row that is stored twice stays twice. No rows give no rows.
+    The noise has one standard deviation for texts of all lengths, so one multiple holds for all; with wide prototypes (fit_wide) texts with fewer
+    than FULL different n-grams, whose cosines are small even if clean, are judged where the noise is a third. Each row is decided by its own text, so rows that
+    repeat an id with other texts stay or go on their own, and a row that is stored twice stays twice. No rows give no rows.
     The rejected ids, few, are what the texts are joined with.
     """
-    graded = F.lit(float(least)) * F.sqrt(F.least(F.col("different") / FULL, F.lit(1.0)))
-    needed = F.when(F.col("different") < JUDGED, F.lit(0.0)).otherwise(graded)
-    out = _scored(docs, prototypes).filter((F.col("lang_pred") == "und") | (F.col("score") <= needed))
+    out = _scored(docs, prototypes, wide).filter((F.col("lang_pred") == "und") | (F.col("above") <= significant))
     return without(docs, "doc_id", "text", out.select(F.col("doc_id").alias("id"), "key", F.lit(False).alias("once")).distinct(), "rejected")

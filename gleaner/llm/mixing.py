@@ -143,7 +143,7 @@ def _mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIM
     nodes = F.ceil(F.col("n") / F.lit(node)).cast("long")
     rows = rows.select(
         "doc_id", "key", "source", "size", "source_size", "target", F.floor("copies").cast("long").alias("base"), (F.col("copies") - F.floor("copies")).alias("p"),
-        F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), nodes).alias("node"), nodes.alias("nodes"),
+        F.pmod(F.xxhash64(F.col("doc_id"), F.col("key"), F.lit(seed)), nodes).alias("node"), nodes.alias("nodes"),
     )
     open_ = (F.col("size") > 0) & (F.col("p") > 0)
     done = [rows.filter(~open_).withColumn("p", F.lit(0.0)).withColumn("up", F.lit(False))]

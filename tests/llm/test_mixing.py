@@ -111,3 +111,20 @@ def test_rows_of_one_id_are_taken_by_their_texts(spark):
     taken = {(r.doc_id, r.size): r.copies for r in mixing.mix(docs).collect()}
     got = [(r.doc_id, len((r.text or "").split())) for r in mixing.take_mix(docs).collect()]
     assert sorted(got, key=str) == sorted([k for k, n in taken.items() for _ in range(n)], key=str) and (1, 0) not in got
+
+
+def test_many_rows_without_an_id_are_dealt_to_many_nodes(spark, monkeypatch):
+    """All ids are null, texts differ: no node gets more than some twice its share, and the source comes near its target."""
+    docs = spark.range(100_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('w', id, repeat(' x', CAST(id % 9 AS INT))) AS text", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS source")
+    largest = []
+    real = mixing._level
+
+    def seen(rows, *args):
+        largest.append(max(r["count"] for r in rows.groupBy("source", "node").count().collect()))
+        return real(rows, *args)
+
+    monkeypatch.setattr(mixing, "_level", seen)
+    out = mixing.mix(docs)
+    got = out.groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert largest and max(largest) <= 2.2 * mixing.NODE
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 10 for r in got) and out.count() == 100_000
