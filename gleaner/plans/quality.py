@@ -97,21 +97,29 @@ def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.quality_summary(decided(spark, sf_dir).withColumn("requested", F.lit(5)), "source")
 
 
-@query("""SELECT CASE WHEN doc_id % 5 = 0 THEN 'duplicate' WHEN doc_id % 3 = 0 THEN 'data' WHEN doc_id % 2 = 0 THEN 'other' END AS class, count(*) AS n FROM documents GROUP BY 1""")
+@query("""WITH r AS (SELECT list_filter(string_split(substr(text, 1, 40), ' '), lambda w: length(w) > 4) AS reasons FROM documents),
+    j AS (SELECT len(reasons) AS n, lower(array_to_string(reasons, chr(10))) AS t FROM r)
+    SELECT CASE WHEN n > 0 THEN CASE WHEN regexp_matches(t, 'ing$|ing\\n') THEN 'form' WHEN contains(t, 'th') OR contains(t, 'qu') THEN 'data' ELSE 'other' END END AS class, count(*) AS n FROM j GROUP BY 1""")
 def failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reasons = F.array_compact(F.array(F.when(every(3), "Unknown DATA in the statement"), F.when(every(5), "a duplicate"), F.when(every(2), "strange")))
-    found = A.failure_class(reasons, [("duplicate", "duplicate"), ("data", "data|source")])
+    """The longer words of a text's opening as reasons: classes by priority, other, and none without a reason."""
+    reasons = F.filter(F.split(F.substring("text", 1, 40), " "), lambda w: F.length(w) > 4)
+    found = A.failure_class(reasons, [("form", r"ing$|ing\n"), ("data", "th|qu")])
     return table(spark, sf_dir, "documents").groupBy(found.alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN length(trim(text, ' ')) < 30 THEN 'short_statement' END, CASE WHEN length(trim(coalesce(source, ''), ' ')) < 20 THEN 'short_solution' END, CASE WHEN length(trim(coalesce(lang, ''), ' ')) < 1 THEN 'no_answer' END,
-    CASE WHEN doc_id % 8 = 0 THEN 'empty' END, CASE WHEN doc_id % 8 = 1 THEN 'blank_name' END, CASE WHEN doc_id % 8 = 2 THEN 'repeated_name' END, CASE WHEN doc_id % 8 = 3 THEN 'bad_score' END, CASE WHEN doc_id % 8 = 4 THEN 'bad_max' END, CASE WHEN doc_id % 8 = 5 THEN 'sum_differs' END], lambda x: x IS NOT NULL), ',') AS issues FROM documents""")
+@query("""WITH f AS (SELECT doc_id, text, source, lang, CASE WHEN n_chars % 11 = 0 THEN '  ' ELSE 'Setup' END AS a, CASE WHEN n_chars % 5 = 0 THEN 'SETUP ' ELSE coalesce(lang, '') END AS b, (n_chars % 7)::DOUBLE AS x, CASE WHEN n_chars % 13 = 0 THEN 'nan'::DOUBLE ELSE doc_id % 6 + 0.5 END AS y, n_chars % 17 = 0 AS none FROM documents),
+    g AS (SELECT *, CASE WHEN doc_id % 19 = 0 THEN -1.0 WHEN isnan(y) THEN 10.0 ELSE x + y + (doc_id % 5 - 2) * 0.006 END AS top, NOT none AND x > 0 AND NOT isnan(y) AND y > 0 AS good FROM f)
+    SELECT doc_id, array_to_string(list_filter([CASE WHEN length(trim(text, ' ')) < 30 THEN 'short_statement' END, CASE WHEN length(trim(coalesce(source, ''), ' ')) < 20 THEN 'short_solution' END, CASE WHEN length(trim(coalesce(lang, ''), ' ')) < 1 THEN 'no_answer' END,
+    CASE WHEN none THEN 'empty' END, CASE WHEN NOT none AND (trim(a) = '' OR trim(b) = '') THEN 'blank_name' END, CASE WHEN NOT none AND lower(trim(a)) = lower(trim(b)) THEN 'repeated_name' END, CASE WHEN NOT none AND NOT good THEN 'bad_score' END, CASE WHEN top <= 0 THEN 'bad_max' END, CASE WHEN good AND top > 0 AND abs(x + y - top) > 0.01 THEN 'sum_differs' END], lambda x: x IS NOT NULL), ',') AS issues FROM g""")
 def sanity_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    case = F.col("doc_id") % 8
+    """Rubrics of two criteria whose names and scores come from the documents, and a total up to 0.012 beside their sum."""
+    n, doc = F.col("n_chars"), F.col("doc_id")
     one = lambda name, score: F.struct(name.alias("name"), score.alias("max_score"))
-    rubric = F.array(one(F.when(case == 1, "  ").otherwise("Setup"), F.lit(4.0)), one(F.when(case == 2, "SETUP ").otherwise("Result"), F.when(case == 3, float("nan")).when(case == 5, 7.0).otherwise(6.0)))
+    x, y = (n % 7).cast("double"), F.when(n % 13 == 0, float("nan")).otherwise(doc % 6 + 0.5)
+    rubric = F.array(one(F.when(n % 11 == 0, "  ").otherwise("Setup"), x), one(F.when(n % 5 == 0, "SETUP ").otherwise(T.text("lang")), y))
     empty = F.array().cast("array<struct<name:string,max_score:double>>")
-    issues = A.sanity_issues(F.col("text"), F.col("source"), F.col("lang"), F.when(case == 0, empty).otherwise(rubric), F.when(case == 4, F.lit(-1.0)).otherwise(F.lit(10.0)))
+    top = F.when(doc % 19 == 0, -1.0).when(F.isnan(y), 10.0).otherwise(x + y + (doc % 5 - 2) * 0.006)
+    issues = A.sanity_issues(F.col("text"), F.col("source"), F.col("lang"), F.when(n % 17 == 0, empty).otherwise(rubric), top)
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(issues, ",").alias("issues"))
 
 
@@ -142,11 +150,15 @@ def entailment_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in ways.items()])
 
 
-@query("""SELECT doc_id, doc_id % 2 = 0 AS numeric, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN 3 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS n_true, 'mismatch' AS previous, 'match' AS verdict FROM documents""")
+@query("""WITH c AS (SELECT doc_id, doc_id % 2 = 0 AS numeric, doc_id % 3 = 0 AS all_match, [n_chars % 2 = 0, n_chars % 3 = 0, n_chars % 5 < 3, n_chars % 7 = 0] AS checks, list_extract(['mismatch', 'uncertain', 'incomplete'], CAST(n_chars % 3 + 1 AS INT)) AS previous FROM documents)
+    SELECT doc_id, numeric, CASE WHEN numeric AND all_match THEN 3 + CAST(checks[4] AS INT) ELSE len(list_filter(checks, lambda x: x)) END AS n_true, previous, 'match' AS verdict FROM c""")
 def critic_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks = F.create_map(F.lit("answers_agree"), F.lit(False), F.lit("units_consistent"), every(5))
+    """Four checks from the documents: the numbers decide three of them, the fourth stays the critic's."""
+    n = F.col("n_chars")
+    checks = F.map_from_arrays(F.array(*map(F.lit, ["answer_matches_solution", "answers_agree", "solution_correct", "units_consistent"])), F.array(n % 2 == 0, n % 3 == 0, n % 5 < 3, n % 7 == 0))
     fixed = A.numeric_override(checks, F.when(every(2), "numeric").otherwise("text"), every(3))
-    report = A.promoted(F.struct(F.lit("mismatch").alias("verdict")), "semantic")
+    verdict = F.element_at(F.array(*map(F.lit, ["mismatch", "uncertain", "incomplete"])), (n % 3 + 1).cast("int"))
+    report = A.promoted(F.struct(verdict.alias("verdict")), "semantic")
     return table(spark, sf_dir, "documents").select("doc_id", every(2).alias("numeric"), F.size(F.filter(F.map_values(fixed), lambda x: x)).alias("n_true"), report["previous"].alias("previous"), report["verdict"].alias("verdict"))
 
 
@@ -169,10 +181,15 @@ def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", print_.alias("fingerprint"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 3 = 0 THEN 'untrusted' WHEN doc_id % 5 = 0 THEN 'not_parsed' END END AS violation, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'quarantine' WHEN doc_id % 2 = 0 THEN 'student' ELSE 'teacher_only' END AS visibility FROM documents""")
+@query("""WITH f AS (SELECT doc_id, list_extract(['student', 'teacher_only', 'quarantine', NULL], CAST(n_chars % 4 + 1 AS INT)) AS v, list_extract(['unverified', 'reference', 'course_policy', 'course_lecture', 'rumour', NULL], CAST(doc_id % 6 + 1 AS INT)) AS a, CASE WHEN n_chars % 11 <> 0 THEN n_chars % 5 <> 0 END AS parsed FROM documents)
+    SELECT doc_id, CASE WHEN v = 'student' THEN CASE WHEN NOT coalesce(a IN ('reference', 'course_policy', 'course_lecture'), false) THEN 'untrusted' WHEN NOT coalesce(parsed, false) THEN 'not_parsed' END END AS violation, CASE WHEN a = 'unverified' AND v = 'student' THEN 'quarantine' ELSE v END AS visibility FROM f""")
 def source_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    visibility, authority = F.when(every(2), "student").otherwise("teacher_only"), F.when(every(3), "unverified").otherwise("reference")
-    return table(spark, sf_dir, "documents").select("doc_id", A.source_violation(visibility, authority, ~every(5)).alias("violation"), A.quarantined(visibility, authority).alias("visibility"))
+    """All pairs of visibility and authority, unknown ones too, with and without a parsed source."""
+    n = F.col("n_chars")
+    pick = lambda items, at: F.element_at(F.array(*map(F.lit, items)), (at + 1).cast("int"))
+    visibility, authority = pick(["student", "teacher_only", "quarantine", None], n % 4), pick(["unverified", "reference", "course_policy", "course_lecture", "rumour", None], F.col("doc_id") % 6)
+    parsed = F.when(n % 11 != 0, n % 5 != 0)
+    return table(spark, sf_dir, "documents").select("doc_id", A.source_violation(visibility, authority, parsed).alias("violation"), A.quarantined(visibility, authority).alias("visibility"))
 
 
 @query("""SELECT p_partkey, least(p_size * 3, p_size + 20) AS candidate_budget, CAST(ceil(p_size / 2.0) AS BIGINT) + 3 AS call_limit FROM part""")
@@ -180,11 +197,16 @@ def refill_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", *[c.alias(n) for n, c in A.refill(F.col("p_size")).items()])
 
 
-@query("""SELECT doc_id, CASE WHEN trim(text, ' ') = '' OR doc_id % 7 = 0 THEN 'statement' WHEN doc_id % 5 = 0 THEN 'data_used' WHEN doc_id % 3 = 0 THEN 'facts' WHEN doc_id % 2 = 0 THEN 'block' END AS error, CASE WHEN doc_id % 3 = 0 THEN 10.0 ELSE 7.5 END AS max_score FROM documents""")
+@query("""WITH f AS (SELECT doc_id, CASE WHEN n_chars % 7 = 0 THEN NULL WHEN n_chars % 7 = 1 THEN ' ' ELSE text END AS statement, doc_id % 5 = 0 AS unused, CASE WHEN doc_id % 3 <> 0 THEN 19970 + n_chars % 30 END AS size, list_extract(['auto', 'dilution', 'bet', NULL], CAST(n_chars % 4 + 1 AS INT)) AS block, list_extract(['7.5', 'ten', '1e1', '', NULL, '-3'], CAST(n_chars % 6 + 1 AS INT)) AS score FROM documents)
+    SELECT doc_id, CASE WHEN trim(coalesce(statement, ''), ' ') = '' THEN 'statement' WHEN unused THEN 'data_used' WHEN size IS NULL OR size + length('{"dilution":""}') > 20000 THEN 'facts' WHEN block NOT IN ('auto', 'dilution') THEN 'block' END AS error, coalesce(try_cast(score AS DOUBLE), 10) AS max_score FROM f""")
 def candidate_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = F.when(~every(3), F.create_map(F.lit("dilution"), F.lit("{}")))
-    error = A.candidate_error(F.when(~every(7), F.col("text")), F.when(~every(5), F.array(F.lit(1))), facts, F.when(every(2), "bet").otherwise("auto"))
-    item = F.struct(F.col("text").alias("statement"), F.col("lang").alias("answer"), F.when(every(3), "ten").otherwise("7.5").alias("max_score"), F.lit(None).cast("array<struct<name:string,max_score:double>>").alias("rubric"))
+    """Candidates with missing parts, facts of 19,985 to 20,014 characters, blocks with and without facts, and scores that are numbers or not."""
+    n = F.col("n_chars")
+    pick = lambda items, at: F.element_at(F.array(*map(F.lit, items)), (at + 1).cast("int"))
+    facts = F.when(~every(3), F.create_map(F.lit("dilution"), F.repeat(F.lit("x"), (19_970 + n % 30).cast("int"))))
+    statement = F.when(n % 7 == 1, " ").when(n % 7 != 0, F.col("text"))
+    error = A.candidate_error(statement, F.when(~every(5), F.array(F.lit(1))), facts, pick(["auto", "dilution", "bet", None], n % 4))
+    item = F.struct(F.col("text").alias("statement"), F.col("lang").alias("answer"), pick(["7.5", "ten", "1e1", "", None, "-3"], n % 6).alias("max_score"), F.lit(None).cast("array<struct<name:string,max_score:double>>").alias("rubric"))
     row = A.task_row(item, F.lit(None).cast("array<struct<name:string,max_score:double>>"))
     return table(spark, sf_dir, "documents").select("doc_id", error.alias("error"), row["max_score"].alias("max_score"))
 
@@ -204,10 +226,17 @@ def legacy_data_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("conv_id", found.alias("f")).select("conv_id", "f.status", F.size("f.unknown").cast("long").alias("n_unknown"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'invalid' WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN 'warn' ELSE 'ok' END AS status, CASE WHEN doc_id % 7 <> 0 AND doc_id % 3 = 0 THEN 1 ELSE 0 END AS n_numbers, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS n_sources FROM documents""")
+@query("""WITH f AS (SELECT doc_id, list_extract(['Gas constants', 'gas CONSTANTS', 'Gas constant', 'Gas constants (Справка)', 'Missing table', '  ', 'Gas'], CAST(n_chars % 7 + 1 AS INT)) AS title, [CAST(8.31 + (doc_id % 7 - 3) * 0.000004 AS DECIMAL(10, 6)), 298 + CAST(n_chars % 3 AS DECIMAL(10, 6)) / 5000] AS v, n_chars % 13 = 0 AS none, n_chars % 17 = 0 AS skipped FROM documents),
+    g AS (SELECT *, none OR trim(title) = '' AS invalid, NOT (starts_with('gas constants (справка)', lower(title)) AND substr('gas constants (справка)', length(title) + 1, 1) IN ('', ' ', '(')) AS unknown_title,
+        CASE WHEN none THEN 0 ELSE len(list_filter(v, lambda x: abs(x::DOUBLE - 8.31) > 1e-6 * greatest(x::DOUBLE, 8.31) AND abs(x::DOUBLE - 298) > 1e-6 * greatest(x::DOUBLE, 298))) END AS n FROM f)
+    SELECT doc_id, CASE WHEN skipped THEN 'skipped' WHEN invalid THEN 'invalid' WHEN n > 0 OR unknown_title THEN 'warn' ELSE 'ok' END AS status, CASE WHEN skipped THEN 0 ELSE n END AS n_numbers, CASE WHEN skipped OR trim(title) = '' THEN 0 ELSE CAST(unknown_title AS INT) END AS n_sources FROM g""")
 def data_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = F.when(every(7), F.array().cast("array<string>")).otherwise(F.array(F.when(every(3), "9,75").otherwise("8.31"), F.lit("298")))
-    used = F.array(F.struct(F.when(every(5), "Missing table").otherwise("Gas constants").alias("sheet_title"), values.alias("values")))
+    """Cited numbers within and beyond a millionth of those of the sheets, titles that begin a heading, go on beyond it or stop within a word."""
+    n = F.col("n_chars")
+    title = F.element_at(F.array(*map(F.lit, ["Gas constants", "gas CONSTANTS", "Gas constant", "Gas constants (Справка)", "Missing table", "  ", "Gas"])), (n % 7 + 1).cast("int"))
+    gas, warm = (8.31 + (F.col("doc_id") % 7 - 3) * 0.000004).cast("decimal(10,6)"), (298 + (n % 3) / 5000).cast("decimal(10,6)")
+    values = F.when(n % 13 == 0, F.array().cast("array<string>")).otherwise(F.array(F.regexp_replace(gas.cast("string"), r"\.", ","), warm.cast("string")))
+    used = F.when(n % 17 != 0, F.array(F.struct(title.alias("sheet_title"), values.alias("values"))))
     found = P.data_check(used, F.lit("### Gas constants (Справка)\nR = 8,31; T = 298 K"))
     return table(spark, sf_dir, "documents").select("doc_id", found.alias("f")).select("doc_id", "f.status", F.size("f.unknown_numbers").alias("n_numbers"), F.size("f.unknown_sources").alias("n_sources"))
 
@@ -254,45 +283,70 @@ def consensus_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.consensus_guards(grades(spark, sf_dir))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'reason_missing' WHEN o_orderkey % 7 = 0 THEN 'confidence_range' WHEN o_orderkey % 5 = 0 THEN 'criteria_missing' WHEN o_orderkey % 3 = 0 THEN 'score_range' WHEN o_orderkey % 2 = 0 THEN 'total_differs' END AS violation, o_orderkey % 11 = 0 OR o_orderkey % 4 = 0 AS needs_review FROM orders""")
+@query("""WITH f AS (SELECT o_orderkey, o_custkey % 11 = 0 AS unreadable, CASE WHEN o_orderkey % 3 = 0 THEN 'blurred' ELSE ' ' END AS reason, (o_custkey % 25) / 20.0 - 0.1 AS confidence, 10 + (o_orderkey % 4) * 0.0000004 AS top, list_extract(['Setup', ' Result ', 'Other'], CAST(CASE WHEN o_custkey % 8 < 6 THEN 2 WHEN o_custkey % 8 = 6 THEN 1 ELSE 3 END AS INT)) AS name, (o_orderkey % 10) * 0.5 AS x, (o_custkey % 14) * 0.5 AS y, CASE WHEN o_orderkey % 13 = 0 THEN 6.5 ELSE 6.0 END AS y_top, list_extract([0, 0.0000005, -0.0000005, 0.000002, 0.5]::DOUBLE[], CAST(o_custkey % 5 + 1 AS INT)) AS off, o_orderkey % 4 = 0 AS asked FROM orders)
+    SELECT o_orderkey, CASE WHEN unreadable AND trim(reason) = '' THEN 'reason_missing' WHEN NOT confidence BETWEEN 0 AND 1 THEN 'confidence_range' WHEN abs(top - 10) > 1e-6 THEN 'max_differs' WHEN trim(name) <> 'Result' THEN CASE WHEN trim(name) IN ('Setup', 'Other') THEN 'criteria_missing' END WHEN x > 4 + 1e-6 OR y > y_top + 1e-6 THEN 'score_range' WHEN abs(y_top - 6) > 1e-6 THEN 'criterion_max_differs' WHEN abs(off) > 1e-6 THEN 'total_differs' END AS violation, unreadable OR asked AS needs_review FROM f""")
 def rubric_sum_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda n: F.col("o_orderkey") % n == 0
+    """Graders' outputs with scores, maxima, confidences and totals on both sides of their bounds."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
     rubric = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(m).alias("max_score")) for n, m in (("Setup", 4.0), ("Result", 6.0))])
-    scored = lambda n, s, m: F.struct(n.alias("name"), s.alias("score"), F.lit(m).alias("max_score"))
-    criteria = F.array(scored(F.lit("Setup"), F.when(at(3), 5.0).otherwise(3.0), 4.0), scored(F.when(at(5), "Other").otherwise(" Result "), F.lit(6.0), 6.0))
-    total = F.when(at(3), 11.0).otherwise(9.0) + F.when(at(2), 0.5).otherwise(0.0)
-    output = F.struct(at(11).alias("unreadable"), F.lit("").alias("unreadable_reason"), total.alias("total_score"), F.lit(10.0).alias("max_score"), criteria.alias("criteria"), F.when(at(7), 1.5).otherwise(0.9).alias("confidence"), at(4).alias("needs_review"))
+    name = F.when(customer % 8 < 6, " Result ").when(customer % 8 == 6, "Setup").otherwise("Other")
+    x, y = (key % 10) * 0.5, (customer % 14) * 0.5
+    criteria = F.array(F.struct(F.lit("Setup").alias("name"), x.alias("score"), F.lit(4.0).alias("max_score")), F.struct(name.alias("name"), y.alias("score"), F.when(key % 13 == 0, 6.5).otherwise(6.0).alias("max_score")))
+    total = x + y + F.element_at(F.array(*map(F.lit, [0.0, 5e-7, -5e-7, 2e-6, 0.5])), (customer % 5 + 1).cast("int"))
+    output = F.struct(
+        (customer % 11 == 0).alias("unreadable"), F.when(key % 3 == 0, "blurred").otherwise(" ").alias("unreadable_reason"), total.alias("total_score"), (10 + (key % 4) * 4e-7).alias("max_score"), criteria.alias("criteria"),
+        ((customer % 25) / 20.0 - 0.1).alias("confidence"), (key % 4 == 0).alias("needs_review"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", output.alias("o"), rubric.alias("r"))
     return rows.select("o_orderkey", G.contract_violation(F.col("o"), F.col("r"), F.lit(10.0)).alias("violation"), G.needs_review(F.col("o")).alias("needs_review"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'unknown_type' WHEN p_partkey % 11 = 0 THEN 'step_after_consensus' WHEN p_partkey % 7 = 0 THEN 'ocr_not_first' WHEN p_partkey % 5 = 0 THEN 'model_missing' WHEN p_partkey % 3 = 0 THEN 'temperature_range' WHEN p_partkey % 2 = 0 THEN 'repeated_role' END AS violation FROM part""")
+STEP_TYPES = ["grade", "ocr", "consensus", "grade", "magic", "grade"]
+STEP_ROLES = ["primary", None, "PRIMARY ", "Bad role!", "second"]
+ROLES_SQL = "['primary', NULL, 'PRIMARY ', 'Bad role!', 'second']"
+
+
+@query(f"""WITH d AS (SELECT p_partkey, list_transform(range(CAST(p_size % 5 AS BIGINT)), lambda i: (p_partkey * 7 + p_size * i * i + 3 * i) % 30) AS h, p_size FROM part),
+    t AS (SELECT p_partkey, list_transform(h, lambda x: list_extract({STEP_TYPES}, CAST(x % 6 + 1 AS INT))) AS types, list_transform(h, lambda x: list_extract({ROLES_SQL}, CAST(x % 5 + 1 AS INT))) AS roles, list_transform(h, lambda x: CASE WHEN x = 11 THEN ' ' ELSE 'm' END) AS models, list_transform(h, lambda x: x / 14.0) AS temperatures, list_transform(h, lambda x: x * 4.0) AS thresholds FROM d),
+    g AS (SELECT *, list_filter(range(1, len(types) + 1), lambda i: types[i] = 'grade') AS grades, coalesce(list_position(types, 'grade'), 0) AS first_grade, coalesce(list_position(types, 'consensus'), 0) AS consensus FROM t),
+    r AS (SELECT *, list_transform(grades, lambda i, k: coalesce(lower(trim(roles[i])), CASE k WHEN 1 THEN 'primary' WHEN 2 THEN 'skeptic' ELSE 'grader_' || k END)) AS names FROM g)
+    SELECT p_partkey, CASE WHEN len(types) = 0 THEN 'no_steps' WHEN list_contains(types, 'magic') THEN 'unknown_type' WHEN consensus > 0 AND consensus < len(types) THEN 'step_after_consensus'
+        WHEN len(list_filter(types, lambda x: x = 'ocr')) > 1 OR first_grade > 0 AND len(list_filter(range(1, len(types) + 1), lambda i: i > first_grade AND types[i] = 'ocr')) > 0 THEN 'ocr_not_first'
+        WHEN len(list_filter(grades, lambda i: trim(models[i]) = '')) > 0 THEN 'model_missing' WHEN len(list_filter(names, lambda x: NOT regexp_full_match(x, '[a-z][a-z0-9_]*'))) > 0 THEN 'bad_role' WHEN len(list_filter(grades, lambda i: NOT temperatures[i] BETWEEN 0 AND 2)) > 0 THEN 'temperature_range'
+        WHEN consensus > 0 AND len(list_filter(grades, lambda i: i < consensus)) < 2 THEN 'too_few_grades' WHEN consensus > 0 AND NOT thresholds[consensus] BETWEEN 0 AND 100 THEN 'threshold_range' WHEN len(grades) = 0 THEN 'no_grade' WHEN consensus > 0 AND len(list_distinct(names)) < len(names) THEN 'repeated_role' END AS violation FROM r""")
 def pipeline_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda n: F.col("p_partkey") % n == 0
-    null = F.lit(None).cast("string")
-    step = lambda kind, model=null, role=null, temperature=F.lit(0.5), threshold=F.lit(20.0): F.struct(kind.alias("type"), model.alias("model"), role.alias("role"), temperature.alias("temperature"), threshold.alias("threshold"))
-    grade = step(F.lit("grade"), F.when(~at(5), "m1"), F.when(at(2), "primary"), F.when(at(3), 3.0).otherwise(0.5))
-    first = step(F.when(at(13), "magic").when(at(7), "grade").otherwise("ocr"), F.lit("m0"), F.lit("zero"))
-    last = step(F.when(at(7) & ~at(11), "ocr").otherwise("consensus"))
-    steps = F.array(first, grade, step(F.lit("grade"), F.lit("m2"), F.when(at(2), "PRIMARY ")), last)
-    extended = F.when(at(11), F.concat(steps, F.array(step(F.lit("grade"), F.lit("m3"), F.lit("late"))))).otherwise(steps)
-    rows = table(spark, sf_dir, "part").select("p_partkey", extended.alias("s"))
+    """Up to four steps whose type, role, model, temperature and threshold follow from the part: every rule is broken by some."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    pick = lambda items, at: F.element_at(F.array(*map(F.lit, items)), (at + 1).cast("int"))
+    drawn = F.when(size % 5 > 0, F.transform(F.sequence(F.lit(0), (size % 5 - 1).cast("int")), lambda i: (key * 7 + size * i * i + 3 * i) % 30)).otherwise(F.array().cast("array<bigint>"))
+    step = lambda x: F.struct(pick(STEP_TYPES, x % 6).alias("type"), F.when(x == 11, " ").otherwise("m").alias("model"), pick(STEP_ROLES, x % 5).alias("role"), (x / 14.0).alias("temperature"), (x * 4.0).alias("threshold"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.transform(drawn, step).alias("s"))
     return rows.select("p_partkey", G.pipeline_violation(F.col("s")).alias("violation"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'task_text' WHEN o_orderkey % 5 = 0 THEN 'rubric' WHEN o_orderkey % 3 = 0 THEN 'files' WHEN o_orderkey % 2 = 0 THEN 'model' END AS missing FROM orders""")
+@query("""WITH f AS (SELECT o_orderkey, CASE o_custkey % 9 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE 'task' END AS task, CASE o_custkey % 7 WHEN 0 THEN NULL ELSE range(CAST(o_custkey % 7 - 1 AS BIGINT)) END AS rubric, o_orderkey % 2 = 0 AS ocr, o_custkey % 3 AS files, CASE WHEN o_orderkey % 5 = 0 THEN 'read' ELSE ' ' END AS said, o_custkey % 5 AS models, o_orderkey % 4 AS graders FROM orders)
+    SELECT o_orderkey, CASE WHEN trim(coalesce(task, '')) = '' THEN 'task_text' WHEN coalesce(len(rubric), 0) = 0 THEN 'rubric' WHEN ocr AND files = 0 AND trim(said) = '' THEN 'files' WHEN models < graders THEN 'model' END AS missing FROM f""")
 def run_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda n: F.col("o_orderkey") % n == 0
+    """Runs with blank, missing and sufficient parts: as many models as graders, one fewer, and more."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    names = F.array(*[F.lit(f"c{k}") for k in range(6)])
     run = F.struct(
-        F.when(at(7), " ").otherwise("task").alias("task_text"), F.when(at(5), F.array().cast("array<string>")).otherwise(F.array(F.lit("c"))).alias("rubric"), F.lit(True).alias("needs_ocr"),
-        F.when(at(3), 0).otherwise(2).alias("n_files"), F.lit("").alias("ocr_text"), F.when(at(2), 1).otherwise(2).alias("n_models"), F.lit(2).alias("n_graders"))
+        F.when(customer % 9 == 0, " ").when(customer % 9 != 1, "task").alias("task_text"), F.when(customer % 7 > 0, F.slice(names, F.lit(1), (customer % 7 - 1).cast("int"))).alias("rubric"), (key % 2 == 0).alias("needs_ocr"),
+        (customer % 3).alias("n_files"), F.when(key % 5 == 0, "read").otherwise(" ").alias("ocr_text"), (customer % 5).alias("n_models"), (key % 4).alias("n_graders"))
     return table(spark, sf_dir, "orders").select("o_orderkey", G.preflight(run).alias("missing"))
 
 
-@query("""SELECT o_orderkey, o_orderkey % 2 = 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 5 <> 0) AS substantive, CASE o_orderkey % 4 WHEN 0 THEN 'Primary grader' WHEN 1 THEN 'Grader 3' WHEN 2 THEN 'Second grader' ELSE 'custom' END AS label FROM orders""")
+REASONS = ["low Confidence of the model", "sums differ", "confidence", "page 2 is cut", "CONFIDENCE is low"]
+ROLES = ["primary", "grader_3", "skeptic", "custom", "arbiter", "grader_12", "grader_x"]
+
+
+@query(f"""WITH f AS (SELECT o_orderkey, CASE o_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS asked, o_custkey % 7 = 0 AS unreadable, CASE WHEN o_orderkey % 4 < 3 THEN list_transform(range(CAST(o_orderkey % 4 AS BIGINT)), lambda i: list_extract({REASONS}, CAST((o_custkey + 2 * i) % 5 + 1 AS INT))) END AS reasons, list_extract({ROLES}, CAST(o_custkey % 7 + 1 AS INT)) AS role FROM orders)
+    SELECT o_orderkey, coalesce(asked, false) AND (unreadable OR coalesce(len(reasons), 0) = 0 OR len(list_filter(reasons, lambda r: NOT contains(lower(r), 'confidence'))) > 0) AS substantive,
+        CASE WHEN role = 'primary' THEN 'Primary grader' WHEN role = 'skeptic' THEN 'Second grader' WHEN role = 'arbiter' THEN 'Arbiter' WHEN regexp_full_match(role, 'grader_[0-9]+') THEN 'Grader ' || substr(role, 8) ELSE role END AS label FROM f""")
 def substantive_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda n: F.col("o_orderkey") % n == 0
-    reasons = F.when(at(5), F.array(F.lit("low Confidence of the model"))).otherwise(F.array(F.lit("low confidence"), F.lit("sums differ")))
-    case = F.col("o_orderkey") % 4
-    role = F.when(case == 0, "primary").when(case == 1, "grader_3").when(case == 2, "skeptic").otherwise("custom")
-    return table(spark, sf_dir, "orders").select("o_orderkey", G.substantive(at(2), at(3), reasons).alias("substantive"), T.role_label(role).alias("label"))
+    """No, one or two reasons, with and without the model's confidence, or none given; roles with and without a number."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda items, at: F.element_at(F.array(*map(F.lit, items)), (at + 1).cast("int"))
+    some = F.transform(F.sequence(F.lit(0), (key % 4 - 1).cast("int")), lambda i: pick(REASONS, (customer + 2 * i) % 5))
+    reasons = F.when(key % 4 == 0, F.array().cast("array<string>")).when(key % 4 < 3, some)
+    asked = F.when(customer % 3 == 0, True).when(customer % 3 == 1, False)
+    return table(spark, sf_dir, "orders").select("o_orderkey", G.substantive(asked, customer % 7 == 0, reasons).alias("substantive"), T.role_label(pick(ROLES, customer % 7)).alias("label"))
\ No newline at end of file

@@ -56,12 +56,16 @@ def rel_close_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", N.close(a, b, 0.5).alias("near"), N.relative_error(a, b).alias("error"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) THEN value END AS strict, CASE WHEN event_id % 5 IN (0, 2) THEN value END AS lenient FROM events""")
+SAID = ["12,5", "abc", "1e3", "", " 7 ", "-0,5", "NaN", "inf", "1 2", "0x10"]
+
+
+@query(f"""WITH e AS (SELECT event_id, value, event_id % 5 AS kind, replace(trim(list_extract({SAID}, CAST(user_id % 10 + 1 AS INT))), ',', '.') AS said FROM events)
+    SELECT event_id, CASE WHEN kind = 0 THEN value WHEN kind = 1 THEN CAST(floor(value) AS DOUBLE) END AS strict, CASE WHEN regexp_full_match(said, '[-+]?[0-9]+([.][0-9]*)?(e[0-9]+)?') THEN CAST(said AS DOUBLE) END AS lenient FROM e""")
 def strict_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON values that may be numbers, text or booleans, and texts with decimal commas."""
+    """JSON values that are numbers, texts of numbers, booleans or null; texts with decimal commas, blanks, words and what is no finite number."""
     case, v = F.col("event_id") % 5, F.col("value").cast("string")
-    json = F.when(case.isin(0, 1), v).when(case == 2, F.concat(F.lit('"'), v, F.lit('"'))).when(case == 3, "true").otherwise("null")
-    said = F.when(case.isin(0, 2), F.regexp_replace(v, r"\.", ",")).otherwise("n/a")
+    json = F.when(case == 0, v).when(case == 1, F.floor("value").cast("string")).when(case == 2, F.concat(F.lit('"'), v, F.lit('"'))).when(case == 3, "true").otherwise("null")
+    said = F.element_at(F.array(*map(F.lit, SAID)), (F.col("user_id") % 10 + 1).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", N.strict_number(F.parse_json(json)).alias("strict"), N.lenient_number(said).alias("lenient"))
 
 
@@ -316,10 +320,17 @@ def equation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reaction_results(rows, "doc_id", "t")
 
 
-@query("""WITH l AS (SELECT l_orderkey AS id, CASE WHEN l_partkey % 7 = 0 THEN 'm' ELSE 'V' END AS second, CASE WHEN l_partkey % 3 = 0 THEN '12' ELSE '12 г' END AS answer FROM lineitem)
-    SELECT id, 'chemistry.units' AS check_id, CASE WHEN second = 'm' THEN 'fail' WHEN NOT contains(answer, 'г') THEN 'warning' ELSE 'pass' END AS state FROM l UNION ALL SELECT id, 'chemistry.scale_compatibility', 'not_applicable' FROM l""")
+SCALES = ["По Полингу χ(Cl) = 3.", "Electronegativity after Pauling.", "Электроотрицательность по Маллику, I + E, и по Полингу.", "Mulliken: I_A + E, the electronegativity is half of it.", "Mulliken and Pauling electronegativity: (I + E) / 2.", "Без шкал."]
+
+
+@query(f"""WITH l AS (SELECT l_orderkey AS id, CASE WHEN l_partkey % 7 = 0 THEN 'm' WHEN l_partkey % 7 = 1 THEN 'мл' ELSE 'V' END AS second, CASE WHEN l_partkey % 3 = 0 THEN '12' ELSE '12 г' END AS answer, list_extract({SCALES}, CAST(l_partkey % 6 + 1 AS INT)) AS scales FROM lineitem)
+    SELECT id, 'chemistry.units' AS check_id, CASE WHEN second = 'm' THEN 'fail' WHEN NOT contains(answer, 'г') THEN 'warning' ELSE 'pass' END AS state FROM l
+    UNION ALL SELECT id, 'chemistry.scale_compatibility', CASE WHEN NOT regexp_matches(lower(scales), 'electronegativ|электроотрицательн') THEN 'not_applicable' WHEN regexp_matches(lower(scales), 'mulliken|маллик') AND regexp_matches(lower(scales), 'pauling|полинг') AND regexp_matches(scales, '[IE] *_?[A-Za-z]* *[+]') THEN 'fail' ELSE 'pass' END FROM l""")
 def rule_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    statement = F.concat(F.lit("m = "), F.col("q").cast("string"), F.when(F.col("l_partkey") % 7 == 0, F.lit(" г, m = 5 мл")).otherwise(F.lit(" г, V = 5 мл")))
+    """One label with two dimensions, answers without a unit; scales of electronegativity alone, mixed and not mentioned."""
+    second = F.when(F.col("l_partkey") % 7 == 0, "m").when(F.col("l_partkey") % 7 == 1, "мл").otherwise("V")
+    scales = F.element_at(F.array(*map(F.lit, SCALES)), (F.col("l_partkey") % 6 + 1).cast("int"))
+    statement = F.concat(scales, F.lit("; m = "), F.col("q").cast("string"), F.lit(" г, "), second, F.lit(" = 5 мл"))
     checks = [R.unit_consistency(statement, F.when(F.col("l_partkey") % 3 == 0, "12").otherwise("12 г"), F.lit(True)), R.scale_compatibility(statement)]
     return R.evaluate(facts(spark, sf_dir).withColumnRenamed("l_orderkey", "id"), "id", checks)
 

@@ -57,3 +57,27 @@ def test_no_plan_has_a_cross_join(spark):
     for name, query in QUERIES.items():
         plan = query(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
         assert "Join Cross" not in plan and "CartesianProduct" not in plan, name
+
+
+#: Queries of rules, the columns that tell their outcome, and outcomes that all have to occur in the middle tables.
+OUTCOMES = {
+    "rubric_sum_contract": ("violation", {None, "reason_missing", "confidence_range", "max_differs", "criteria_missing", "score_range", "criterion_max_differs", "total_differs"}),
+    "pipeline_steps": ("violation", {None, "no_steps", "unknown_type", "step_after_consensus", "ocr_not_first", "bad_role", "temperature_range", "no_grade"}),
+    "run_preflight": ("missing", {None, "task_text", "rubric", "files", "model"}),
+    "source_policy": ("violation", {None, "untrusted", "not_parsed"}),
+    "candidate_contract": ("error", {None, "statement", "data_used", "facts", "block"}),
+    "data_check": ("status", {"skipped", "invalid", "warn", "ok"}),
+    "failure_histogram": ("class", {None, "form", "data", "other"}),
+    "rule_units": ("state", {"fail", "warning", "pass", "not_applicable"}),
+    "rule_balance": ("state", {"unparsed", "balanced", "unbalanced"}),
+    "answer_units": ("verdict", {"match", "mismatch"}),
+    "work_outcomes": ("state", {"committed", "retry", "failed"}),
+    "equation_search": ("state", {"pass", "fail", "indeterminate", "not_applicable"}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OUTCOMES))
+def test_every_outcome_occurs(spark, name):
+    column, wanted = OUTCOMES[name]
+    found = {r[0] for r in QUERIES[name](spark, "/root/testdata/sf0.01").select(column).distinct().collect()}
+    assert wanted <= found
