@@ -391,7 +391,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
 
 
 def read_token_files(manifest: DataFrame, block: int = 4096) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, read from the files through their index.
+    """doc_id, start, n_tokens, ids_crc32 of every document, read from the files through their index: a key is hashed to the number of its
+    document, whose offsets say where its ids are. An index that leads to no or to a wrong document raises, or shows in the result.
 
     start counts the ids of all documents before; ids_crc32 is the unsigned crc32 of the ids as little-endian uint32.
     """
@@ -402,14 +403,18 @@ def read_token_files(manifest: DataFrame, block: int = 4096) -> DataFrame:
                 shard = ShardFile(uri)
                 keys, null, offsets = shard.documents()
                 known = keys[null == 0]
-                if not np.array_equal(shard.find(known), np.searchsorted(known, known)):
+                first = shard.find(known)
+                if (first < 0).any():
                     raise ValueError(f"the index of {uri} does not lead to its documents")
+                # documents of one key follow the one that the index gives; those without a key are not indexed and follow each other
+                numbers = np.r_[first + np.arange(len(known)) - np.searchsorted(known, known), np.arange(len(known), len(keys))]
                 for a in range(0, len(keys), block):
-                    ends = offsets[a : a + block + 1]
-                    ids = shard.ids(int(ends[0]), int(ends[-1])).astype("<u4")
-                    cut = (ends - ends[0]).tolist()
-                    crc = [zlib.crc32(ids[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + block].astype(np.int64), mask=null[a : a + block] > 0), pa.array(base + ends[:-1]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    at = numbers[a : a + block]
+                    starts, ends = offsets[at], offsets[at + 1]
+                    low = int(starts.min())
+                    ids = shard.ids(low, int(ends.max())).astype("<u4")
+                    crc = [zlib.crc32(ids[i:j]) for i, j in zip((starts - low).tolist(), (ends - low).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + block].astype(np.int64), mask=null[a : a + block] > 0), pa.array(base + starts), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = manifest.select("uri", "base", "shard").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
     return spread.select("uri", "base").mapInArrow(each, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -83,6 +83,33 @@ def test_lookup_over_all_shards(spark, tokenizer):
     assert all(a[1] + a[2] == b[1] for a, b in zip(whole, whole[1:], strict=False)) and [r[0] for r in whole[-10:]] == [None] * 10
 
 
+def test_the_result_comes_through_the_index(spark):
+    """Two documents whose numbers are exchanged in the index exchange their ids in the result; a wrong fingerprint raises."""
+    docs = spark.createDataFrame([(k, f"number {k} " * (k + 1)) for k in range(6)], "doc_id long, text string")
+    manifest = token_files.write_token_files(docs, PATH).filter("n_docs > 0").persist()
+    good = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(manifest).collect()}
+    at = max(manifest.collect(), key=lambda r: r.n_docs)
+    path, shard = at.uri.removeprefix("file://"), token_files.ShardFile(at.uri)
+    assert shard.m >= 2
+    keys = shard.documents()[0].tolist()
+    with open(path, "rb") as f:
+        content = bytearray(f.read())
+    place = shard.at["index"] + 4
+    wrong = bytearray(content)
+    wrong[place : place + 4], wrong[place + 8 : place + 12] = content[place + 8 : place + 12], content[place : place + 4]
+    one, two = (keys[int.from_bytes(content[p : p + 4], "little")] for p in (place, place + 8))
+    with open(path, "wb") as f:
+        f.write(wrong)
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(manifest).collect()}
+    assert got == good | {one: good[two], two: good[one]}
+    wrong = bytearray(content)
+    wrong[place - 4] ^= 1
+    with open(path, "wb") as f:
+        f.write(wrong)
+    with pytest.raises(Exception, match="does not lead to its documents"):
+        token_files.read_token_files(manifest).collect()
+
+
 def test_lookup_reads_little(spark, tmp_path):
     """The bytes that a lookup reads do not grow with the shard."""
     sizes = []
