@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import words
-from gleaner.session import checkpointed
+from gleaner.session import written
 
 from .retrieval import K1, B, ranked
 
@@ -34,13 +34,13 @@ def impact_index(index: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
     rows = index.join(frequency, "term").withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one")  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    gains = checkpointed(rows.select(id_col, "term", gain.alias("gain")))
+    gains = written(rows.select(id_col, "term", gain.alias("gain")), "gains")
     most = gains.groupBy("term").agg(F.max("gain").alias("most"))
     banded = gains.join(most, "term").withColumn("band", F.least(F.floor(F.col("gain") / F.col("most") * BANDS), F.lit(BANDS - 1)).cast("int"))
-    postings = checkpointed(banded.repartitionByRange("term", F.desc("band"), id_col).sortWithinPartitions("term", F.desc("band")))
+    postings = written(banded.repartitionByRange("term", F.desc("band"), id_col).sortWithinPartitions("term", F.desc("band")), "impacts")
     held = postings.groupBy("term", "band").agg(F.count("*").alias("n"), F.max("most").alias("most"))
     bounds = held.groupBy("term").agg(F.max("most").alias("most"), F.reverse(F.sort_array(F.collect_list(F.struct("band", "n")))).alias("held"))
-    return postings.drop("most"), checkpointed(bounds)
+    return postings.drop("most"), written(bounds, "bounds")
 
 
 def top_k(postings: DataFrame, bounds: DataFrame, queries: DataFrame, id_col: str, query_id: str, query_col: str, k: int = 8, trace: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -48,7 +48,7 @@ def top_k(postings: DataFrame, bounds: DataFrame, queries: DataFrame, id_col: st
     asked = queries.select(query_id, F.explode(F.array_distinct(words(query_col))).alias("term")).join(bounds, "term")
     # the best bands of a term until they hold k postings
     upto = F.aggregate("held", F.struct(F.lit(0).cast("long").alias("n"), F.lit(BANDS).alias("band")), lambda at, x: F.when(at["n"] >= k, at).otherwise(F.struct((at["n"] + x["n"]).alias("n"), x["band"].alias("band"))))
-    asked = checkpointed(asked.select(query_id, "term", "most", upto["band"].alias("seed")))
+    asked = written(asked.select(query_id, "term", "most", upto["band"].alias("seed")), "asked")
     seeds = postings.join(asked, "term").filter(F.col("band") >= F.col("seed"))
     partial = seeds.groupBy(query_id, id_col).agg(F.sum("gain").alias("score"))
     best = partial.withColumn("r", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score")))).filter(F.col("r") == k)
@@ -59,11 +59,11 @@ def top_k(postings: DataFrame, bounds: DataFrame, queries: DataFrame, id_col: st
     terms = asked.join(threshold, query_id, "left").withColumns({"least": F.coalesce("least", F.lit(0.0)), "upto": F.sum("most").over(order), "all": F.sum("most").over(every)})
     terms = terms.withColumn("essential", F.col("upto") >= F.col("least"))
     rest = F.sum(F.when(~F.col("essential"), F.col("most")).otherwise(0.0)).over(every)
-    terms = checkpointed(terms.withColumn("rest", rest))
+    terms = written(terms.withColumn("rest", rest), "terms")
     reach = (F.col("band") + 1) / BANDS * F.col("most") + F.col("all") - F.col("most") >= F.col("least")
     first = postings.join(terms.filter("essential").select(query_id, "term", "most", "all", "least", "rest"), "term").filter(reach)
     found = first.groupBy(query_id, id_col).agg(F.sum("gain").alias("found"), F.max("least").alias("least"), F.max("rest").alias("rest"))
-    candidates = checkpointed(found.filter(F.col("found") + F.col("rest") >= F.col("least") - ROOM).select(query_id, id_col))
+    candidates = written(found.filter(F.col("found") + F.col("rest") >= F.col("least") - ROOM).select(query_id, id_col), "candidates")
     needed = candidates.join(terms.select(query_id, "term"), query_id)
     # the candidates' other terms; of essential ones the postings below the bound belong to no candidate that can win, but count for those that do
     second = postings.join(needed, [id_col, "term"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.stem import stems
 from gleaner.functions.text import let, query_terms, text, words
+from gleaner.session import written
 
 #: Fixed values.
 CHUNK = 2_500
@@ -113,12 +114,13 @@ def bm25(index: DataFrame, queries: DataFrame, id_col: str, query_id: str, query
     """query, id, score, rank of the k best chunks of each query; terms are or-ed, ties go by id.
 
     Scores are rounded to 6 places before they are ranked, so the order does not hang on the order of sums. The ranking window keeps k rows
-    per query and task before its shuffle.
+    per query and task before its shuffle. The queries' terms are written first, so Spark knows their size: if they are few, postings are
+    picked by them where they are read, and only those of the queries' terms are shuffled.
     """
     lengths = index.groupBy(id_col).agg(F.first("len").alias("len"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
-    terms = queries.select(query_id, F.explode(F.array_distinct(words(query_col))).alias("term"))
+    terms = written(queries.select(query_id, F.explode(F.array_distinct(words(query_col))).alias("term")), "terms")
+    frequency = index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     asked = terms.join(frequency, "term").withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one")  # one row
     hits = index.join(asked, "term")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

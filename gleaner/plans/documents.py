@@ -10,7 +10,7 @@ from gleaner.functions import canonical, stem, text as T
 from gleaner.operators import exports, impacts, ranking, retrieval, segments
 from gleaner.operators import relational as R
 from gleaner.operators.dedup import dedup_bounded as bounded
-from gleaner.session import checkpointed, shared_folder
+from gleaner.session import shared_folder, written
 from gleaner.sources import readers
 
 from .registry import ORACLE_SQL, query, table
@@ -198,7 +198,7 @@ def index_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r QUALIFY rank <= 8""")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index is used for lengths, frequencies and hits, so it is written once."""
-    index = checkpointed(retrieval.postings(documents(spark, sf_dir), "doc_id", "text"))
+    index = written(retrieval.postings(documents(spark, sf_dir), "doc_id", "text"), "index")
     queries = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 200).alias("q"))
     return retrieval.bm25(index, queries, "doc_id", "item_id", "q")
 
@@ -206,7 +206,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLE_SQL["bm25_topk"])
 def bm25_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of bm25_topk by impact bands and upper bounds."""
-    index = checkpointed(retrieval.postings(documents(spark, sf_dir), "doc_id", "text"))
+    index = written(retrieval.postings(documents(spark, sf_dir), "doc_id", "text"), "index")
     queries = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 200).alias("q"))
     return impacts.top_k(*impacts.impact_index(index, "doc_id"), queries, "doc_id", "item_id", "q")
 

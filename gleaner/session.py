@@ -27,3 +27,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for tables in the shared one."""
     return f"{_shared(spark).rstrip('/')}/gleaner/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table of the shared folder: computed once, and of a size that Spark knows when it plans joins with it."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
