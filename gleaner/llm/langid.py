@@ -166,7 +166,7 @@ def _prototypes(known: DataFrame, text_col: str, lang_col: str, dimensions: int)
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for every row of docs; the other columns are ignored.
 
-    score is the cosine with the best prototype, 0 at least and 1 at most. Null texts and texts without a letter are
+    score is the cosine with the best prototype, 0 at least and 1 at most, to 6 places, so that it does not hang on what else is in a batch. Null texts and texts without a letter are
     `und` with score 0, as is everything if there are no prototypes. On a tie the language that sorts first wins. Rows that repeat an id
     or a text each have a row with the same result; no rows give no rows.
     """
@@ -189,7 +189,7 @@ def _scored(docs: DataFrame, prototypes: dict[str, np.ndarray], wide: dict[str,
                 best = cosines.argmax(1)
                 langs = np.array(names, dtype=object)[best]
                 langs[~vectors.any(1)] = "und"
-                scores = np.clip(cosines[np.arange(len(best)), best].astype(np.float64), 0, 1)
+                scores = np.round(np.clip(cosines[np.arange(len(best)), best].astype(np.float64), 0, 1), 6)
             else:
                 langs, scores = np.full(len(vectors), "und", dtype=object), np.zeros(len(vectors))
             above = scores * DIMENSIONS**0.5

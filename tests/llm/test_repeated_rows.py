@@ -24,7 +24,9 @@ def test_documents(twice):
     count = lambda df: Counter(r.doc_id for r in df.collect())
     assert count(exact_dedup.exact_dedup(twice)) == ids and count(exact_dedup.drop_exact_copies(twice)) == once
     assert count(minhash.near_dedup(twice)) == ids and count(minhash.drop_near_copies(twice)) == once
-    assert count(langid.keep_languages(twice, langid.fit(twice))) == ids
+    assert count(langid.keep_languages(twice, langid.fit(twice), langid.fit_wide(twice))) == ids
+    predicted = langid.predict(twice, langid.fit(twice)).collect()
+    assert len(predicted) == 9 and len(set(predicted)) == 6
     assert count(mixing.mix(twice)) == ids
     assert set(mixing.take_mix(twice).collect()) <= set(twice.collect()) and max(count(mixing.take_mix(twice)).values()) <= 6
     rows = [(r.doc_id, r.text) for r in twice.collect()]
