@@ -22,8 +22,7 @@ _BY_TEN = rf"\s*(?:[{TIMES}]|\\cdot|\\times)\s*10"
 _RAISED = rf"(?:\s*\^\s*\{{?\s*[-+−]?[0-9]+\s*\}}?|[{SUPERSCRIPTS}]+)"
 _POWER = rf"(?:{_BY_TEN}\s*\^?|^10\s*\^|^10(?=[{SUPERSCRIPTS}]))\s*\{{?\s*([-+−]?[0-9{SUPERSCRIPTS}]+)\s*\}}?$"
 _TOKENS = "|".join([
-    r"(?:^|(?<=\s))[0-9]{1,2}[.)](?=\s+\S)",  # the number of a list item
-    rf"{_MANTISSA}{_BY_TEN}(?:{_RAISED}|\s*[-+−]?[0-9]+)", rf"(?<![0-9.,eE])10{_RAISED}", _MANTISSA,
+    rf"{_MANTISSA}{_BY_TEN}(?:{_RAISED}|\s*[-+−]?[0-9]+)", rf"10{_RAISED}", rf"{_MANTISSA}(?:[eE][-+]?[0-9]+)?",
     rf"[{SUPERSCRIPTS}]+", r"\s*\^\s*\{\s*[-+−]?[0-9]+\s*\}", r"\s*\^\s*",
     r"_\s*\{\s*(?:\\[a-z]+\s*\{[^{}]*\}|[^{}\\]*)\s*\}",  # a subscript
     r"\\(?:text|mathrm|operatorname)\s*\{[^{}]*\}", r"\s*/\s*", r"\\[a-zA-Z]+", r"\\[\s\S]",
@@ -39,7 +38,7 @@ def _spelled(token: Column) -> Column:
     inner = F.trim(F.regexp_extract(token, r"\{([^{}]*)\}\s*\}?$", 1))
     bare = F.trim(token)
     return (
-        F.when(token.rlike(r"^[0-9]{1,2}[.)]$"), "").when(token.rlike("^[0-9]"), number).when(token.rlike(f"^[{SUPERSCRIPTS}]"), F.concat(F.lit("^"), F.translate(token, SUPERSCRIPTS, SUPERSCRIPT_DIGITS)))
+        F.when(token.rlike("^[0-9]"), number).when(token.rlike(f"^[{SUPERSCRIPTS}]"), F.concat(F.lit("^"), F.translate(token, SUPERSCRIPTS, SUPERSCRIPT_DIGITS)))
         .when(F.startswith(bare, F.lit("^")), F.concat(F.lit("^"), F.translate(inner, "−", "-"))).when(token.rlike(r"^_\s*\{"), F.concat(F.lit("_"), inner)).when(bare == "/", "/")
         .when(token.rlike(r"^\\[a-z]+\s*\{"), F.concat(F.lit(" "), inner, F.lit(" "))).when(token.isin("\\cdot", "\\times"), "·").when(token == "\\%", "%")
         .when(token.isin("$", *(f"\\{c}" for c in ",;!:()[]")), "").when(F.startswith(token, F.lit("\\")), " ").when(token == "−", "-").otherwise(token)
@@ -54,7 +53,16 @@ def normalize(c: Column | str) -> Column:
     """Numbers of a text in plain notation: powers of ten as exponents, decimal points, no LaTeX, no numbers of list items. A ~ between a
     number and what may be its unit is a blank."""
     tokens = F.regexp_extract_all(F.regexp_replace(text(c), r"(?<=[0-9}])~(?=\s*(?:[%\p{L}]|\\))", " "), F.lit(f"(?u){_TOKENS}"), F.lit(0))
-    return F.array_join(F.transform(tokens, _spelled), "")
+
+    def read(all_: Column) -> Column:
+        at = lambda k: F.coalesce(F.get(all_, k), F.lit(""))
+        blank = lambda k: F.trim(F.regexp_replace(at(k), r"\s", "")) == ""
+        # a number of one or two digits, alone but for its stop or bracket, with more behind it, counts a list's items
+        item = lambda k: at(k).rlike("^[0-9]{1,2}$") & blank(k - 1) & at(k + 1).isin(".", ")") & (at(k + 2) != "") & blank(k + 2) & (at(k + 3) != "")
+        return F.transform(all_, lambda t, k: F.when((item(k) | item(k - 1)) & t.rlike("^[0-9.)]"), "").otherwise(_spelled(t)))
+
+    return F.array_join(let(tokens, read), "")
+
 
 
 def number_tokens(c: Column | str) -> Column:

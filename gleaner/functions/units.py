@@ -169,11 +169,16 @@ def unit(c: Column | str) -> Column:
     return let(any_unit(c), lambda u: F.when(u["named"], u.dropFields("named")))
 
 
+def listed(c: Column) -> Column:
+    """The row of the table for a unit's spelling, as an array of texts; null if it is not in the table."""
+    lookup = unit_grammar.constant_map(_lookup())
+    return F.get(F.filter(F.transform(F.array(cased_key(c), unit_key(c)), lambda k: F.split(F.try_element_at(lookup, k), r"\|")), lambda x: x.isNotNull()), F.lit(0))
+
+
 def any_unit(c: Column) -> Column:
     """unit() of a column for any readable expression: symbol, dimension, factor, offset and named, whether the dimension has a name. A spelling of
     the table is looked up, all others are read by the grammar; a dimension without a name is its exponents in writing."""
-    lookup, names, symbols = (unit_grammar.constant_map(x) for x in (_lookup(), _names(), _symbols()))
-    listed = F.get(F.filter(F.transform(F.array(cased_key(c), unit_key(c)), lambda k: F.split(F.try_element_at(lookup, k), r"\|")), lambda x: x.isNotNull()), F.lit(0))
+    names, symbols = (unit_grammar.constant_map(x) for x in (_names(), _symbols()))
 
     def spelled(r: Column) -> Column:
         name = F.try_element_at(names, F.array_join(r["vector"].cast("array<string>"), ","))
@@ -181,7 +186,7 @@ def any_unit(c: Column) -> Column:
         symbol = F.coalesce(F.try_element_at(symbols, F.concat(dimension, F.lit("|"), F.format_string("%.6e", r["factor"]))), unit_grammar.plain_unit(c))
         return F.when(r.isNotNull(), F.struct(symbol.alias("symbol"), dimension.alias("dimension"), r["factor"].alias("factor"), F.lit(0.0).alias("offset"), name.isNotNull().alias("named")))
 
-    known = let(listed, lambda u: F.when(u.isNotNull(), F.struct(u[0].alias("symbol"), u[1].alias("dimension"), u[2].cast("double").alias("factor"), u[3].cast("double").alias("offset"), F.lit(True).alias("named"))))
+    known = let(listed(c), lambda u: F.when(u.isNotNull(), F.struct(u[0].alias("symbol"), u[1].alias("dimension"), u[2].cast("double").alias("factor"), u[3].cast("double").alias("offset"), F.lit(True).alias("named"))))
     return F.coalesce(known, let(unit_grammar.read(c), spelled))
 
 
@@ -283,7 +288,7 @@ def names_quantity(label: Column) -> Column:
     plain = F.translate(label, "₀₁₂₃₄₅₆₇₈₉", "0123456789")
     symbol = plain.rlike(f"^[{SYMBOLS}][0-9]*$")
     species = plain.rlike("^(?:[A-Z][a-z]?[0-9]*)+$") & plain.rlike("[a-z0-9]")
-    return symbol | ~(species | unit(label).isNotNull())
+    return symbol | ~(species | listed(label).isNotNull())
 
 
 def assigned_measurements(c: Column | str) -> Column:
