@@ -243,6 +243,10 @@ GOLDEN_ANSWERS = [
     ("ζ = 0.020 V и 20 mV", "ζ = 20 mV", "match"), ("ζ = 0.020 V и 30 mV", "ζ = 20 mV", "incomplete"), ("μ = 1e-8 m²/(V·s)", "μ = 1e-8 cm²/(V·s)", "mismatch"), ("μ = 1e-8 m²/(V·s)", "μ = 1e-4 cm²/(V·s)", "match"),
     ("S = 183 м²/г", "S = 183 м²/кг", "mismatch"), ("S = 183 м²/г", r"S = 183 \text{м}^2/\text{г}", "match"), ("V = 2 см³", "V = 2 м³", "mismatch"), ("V = 2 см³", "V = 2 мл", "match"), ("ζ = 0.020 V", "градиент = 20 mV/cm", "mismatch"), ("E = 5 mV/cm", "E = 0,5 V/m", "match"),
     ("x = 5 qq/zz", "x = 5 г/л", "mismatch"), ("x = 5 qq/zz", "x = 5 QQ/zz", "match"), ("x = 5 молекул", "x = 5 штук", "match"), ("x = 5", "x = 5 г", "match"), ("m = 5 г", "m = 5", "mismatch"), ("k = 2 1/моль", "k = 2 моль⁻¹", "match"), ("H = 2 кДж/моль", "H = 2000 Дж·моль^{-1}", "match"),
+    ("c = 1e-12 mol/L", "c = 9e-10 mol/L", "mismatch"), ("Q = 5 C", "I = 5 A", "mismatch"), ("η = 2 Pa·s", "η = 2 mPa·s", "mismatch"), ("ζ = 20 mV", "ζ = 0.020 V", "match"), ("w(Ni)=10 %; w(Co)=20 %", "ω(Ni)=20 %; ω(Co)=10 %", "mismatch"), ("F_g=0.2031", "Fg=0.2031", "match"),
+    ("ζ = 0.020 V; отдельное напряжение Δφ = 20 mV", "ζ = 0.020 V", "incomplete"), ("Q = 225 C; n = 2.25e-3 mol; m = 243 mg", "Q = 225 C; n = 2.25e-3 mol; m = 243 mg", "match"),
+    ("Среднее: 10.4975 см (или 10.498 см). Абсолютная погрешность: 0.0025 см. Относительная: 0.024%.", "Среднее 10.4975 см; абсолютная погрешность 0.0025 см; относительная 0.024%.", "match"),
+    ("1) n = 0,012 моль\n2) V = 15 мл", "n = 0.0120 моль; V = 15.0 мл", "match"), ("Тогда w1 = w2 = 5", "w2 = 5", "incomplete"), ("x + w1 = w2 = 5", "w2 = 5", "match"), ("массовая доля никеля в этом сплаве = 5 %", "w(Ni) = 5 %", "match"), ("масса CaCO3 = 5 г", "m(CaCO3) = 5 г", "match"), ("масса никеля из трёх старых проб = 5 г", "m(Ni) = 5 г", "match"), ("масса никеля из трёх больших старых проб = 5 г", "m(Ni) = 5 г", "mismatch"),
     ("U = 0,020 В (20 мВ)", "U = 20 мВ", "match"), ("V = 5 или 6", "V = 6", "match"), ("c = 0,010 моль/л", "n = 0,001 моль / 100 мл = 0,010 моль/л", "incomplete"),
 ]
 
