@@ -59,7 +59,7 @@ def normalize(c: Column | str) -> Column:
         blank = lambda k: F.trim(F.regexp_replace(at(k), r"\s", "")) == ""
         # a number of one or two digits, alone but for its stop or bracket, with more behind it, counts a list's items
         item = lambda k: at(k).rlike("^[0-9]{1,2}$") & blank(k - 1) & at(k + 1).isin(".", ")") & (at(k + 2) != "") & blank(k + 2) & (at(k + 3) != "")
-        return F.transform(all_, lambda t, k: F.when((item(k) | item(k - 1)) & t.rlike("^[0-9.)]"), "").otherwise(_spelled(t)))
+        return F.transform(all_, lambda t, k: F.when(t.rlike("^[0-9.)]") & (item(k) | item(k - 1)), "").otherwise(_spelled(t)))
 
     return F.array_join(let(tokens, read), "")
 

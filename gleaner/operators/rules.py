@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.chemistry import equations_in, reaction_balance
 from gleaner.functions.numbers import numbers, ratio_rounds_to, relative_error, significant_digits
+from gleaner.functions.text import let
 from gleaner.functions.units import assigned_measurements, last_assigned, measure, measurements, stated
 
 TOLERANCE = 0.01
@@ -172,11 +173,16 @@ def scale_compatibility(text: Column) -> Column:
 
 def unit_consistency(text: Column, answer: Column, numeric: Column) -> Column:
     """One label has one dimension, and a numeric answer to a dimensional task has a unit."""
-    assigned = assigned_measurements(text)
-    pairs = F.array_distinct(F.transform(assigned, lambda a: F.struct(a["label"].alias("l"), a["measurement"]["dimension"].alias("d"))))
-    clash = F.size(F.array_distinct(F.transform(pairs, lambda p: p["l"]))) < F.size(pairs)
-    bare = numeric & (F.size(assigned) > 0) & (F.size(measurements(answer)) == 0)
-    return F.struct(F.lit("chemistry.units").alias("check_id"), F.when(clash, "fail").when(bare, "warning").when(F.size(assigned) == 0, "not_applicable").otherwise("pass").alias("state"))
+
+    def facts(assigned: Column) -> Column:
+        return F.struct(F.size(assigned).alias("n"), F.array_distinct(F.transform(assigned, lambda a: F.struct(a["label"].alias("l"), a["measurement"]["dimension"].alias("d")))).alias("pairs"))
+
+    def judged(v: Column) -> Column:
+        clash = F.size(F.array_distinct(F.transform(v["pairs"], lambda p: p["l"]))) < F.size(v["pairs"])
+        bare = numeric & (v["n"] > 0) & (F.size(measurements(answer)) == 0)
+        return F.when(clash, "fail").when(bare, "warning").when(v["n"] == 0, "not_applicable").otherwise("pass")
+
+    return F.struct(F.lit("chemistry.units").alias("check_id"), let(let(assigned_measurements(text), facts), judged).alias("state"))
 
 
 def reaction_results(tasks: DataFrame, id_col: str, text_col: str) -> DataFrame:
