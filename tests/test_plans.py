@@ -59,6 +59,15 @@ def test_no_plan_has_a_cross_join(spark):
         assert "Join Cross" not in plan and "CartesianProduct" not in plan, name
 
 
+def test_balances_keep_signs_of_zero_and_all_digits(spark, tmp_path):
+    amounts = [-0.0, 0.125, 2.675, -0.004, 1234567.891, 1e17, None]
+    rows = [(3 * i + shape, x) for i, x in enumerate(amounts) for shape in range(3)]
+    for name in oracle.TABLES:
+        spark.read.parquet(f"{SMALL}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/customer.parquet")
+    assert oracle.check(spark, str(tmp_path), QUERIES["balances"], ORACLE_SQL["balances"]) == len(rows)
+
+
 #: Queries of rules, the columns that tell their outcome, and outcomes that all have to occur in the middle tables.
 OUTCOMES = {
     "rubric_sum_contract": ("violation", {None, "reason_missing", "confidence_range", "max_differs", "criteria_missing", "score_range", "criterion_max_differs", "total_differs"}),
