@@ -10,6 +10,7 @@ from gleaner.functions import numbers as N
 from gleaner.functions import unit_grammar
 from gleaner.functions import units as U
 from gleaner.operators import answers
+from gleaner.operators import relational
 from gleaner.operators import rules as R
 
 from .registry import query, table
@@ -134,9 +135,14 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     tax, case = F.col("l_tax").cast("string"), F.col("l_partkey") % 3
     middle = F.when(case == 0, F.concat(F.lit("c₁ = "), tax, F.lit(" моль/л"))).when(case == 1, F.concat(F.lit("n = c₁ = "), tax, F.lit(r" моль·л^{-1}"))).otherwise(r"$V = 2\ \text{л}$")
     statement = F.concat(F.lit("m = "), F.col("l_quantity").cast("string"), F.lit(" г, V(р-ра) = 0,25 л; "), middle, F.lit("; масса MnO₂ = 3 г и n₁ = 2 моль"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", U.assigned_measurements(statement).alias("a"), F.size(U.measurements(statement)).alias("n_measurements"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", statement.alias("statement"))
     si = lambda label, *kinds: F.round(U.last_assigned(F.col("a"), [label], list(kinds))["si"], 9).alias(label)
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "n_measurements", F.array_join(F.transform("a", lambda x: x["label"]), ",").alias("labels"), si("m", "mass"), si("c1", "amount_concentration"), si("v", "volume"))
+
+    def read(texts: DataFrame) -> DataFrame:
+        found = texts.select("statement", U.assigned_measurements("statement").alias("a"), F.size(U.measurements("statement")).alias("n_measurements"))
+        return found.select("statement", "n_measurements", F.array_join(F.transform("a", lambda x: x["label"]), ",").alias("labels"), si("m", "mass"), si("c1", "amount_concentration"), si("v", "volume"))
+
+    return relational.once(rows, ["statement"], read).drop("statement")
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,3 +264,15 @@ def test_units_of_one_label(value):
 
 def test_a_model_on_both_lists_is_advisory(value):
     assert value(admission.model_use(L(" M1 "), ["m1"], ["m1"])) == "advisory" and value(admission.model_use(L(None).cast("string"), ["m1"], [])) == "unlisted"
+
+
+def test_once_reads_each_different_input_once(spark):
+    rows = spark.createDataFrame([(1, "a", None), (2, "a", None), (2, "a", None), (3, None, "x"), (4, "a", "")], "id int, s string, t string")
+    sizes = []
+
+    def read(inputs):
+        sizes.append(inputs.count())
+        return inputs.withColumn("said", F.concat_ws("|", F.coalesce("s", F.lit("?")), F.coalesce("t", F.lit("?"))))
+
+    got = sorted((r.id, r.said) for r in relational.once(rows, ["s", "t"], read).collect())
+    assert got == [(1, "a|?"), (2, "a|?"), (2, "a|?"), (3, "?|x"), (4, "a|")] and sizes == [3]

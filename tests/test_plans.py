@@ -106,3 +106,15 @@ def test_section_containment_finds_sections_of_any_length(spark, tmp_path):
     start = time.time()
     assert oracle.check(spark, str(tmp_path), QUERIES["section_containment"], ORACLE_SQL["section_containment"]) > 5
     assert time.time() - start < 60
+
+
+@pytest.mark.parametrize("name", ["measurements", "rule_gravimetry", "rule_units", "rule_conductometry", "rule_faraday", "rule_bet_surface", "rule_balance", "answer_compare", "answer_units"])
+def test_equal_texts_are_read_once(spark, name):
+    """What is read of texts is a table of different ones before the rows are."""
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp_extract" not in plan
+
+
+def test_number_grammar_reads_a_text_once(spark):
+    plan = QUERIES["number_grammar"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("regexp_extract_all") == 2  # tokens, and numbers among them
