@@ -311,4 +311,9 @@ def last_assigned(assigned: Column, labels: list[str], dimensions: list[str] | N
 
 def stated(text_column: Column | str, wanted: Column, tolerance: float = 0.002) -> Column:
     """Whether a measurement occurs in a text, in any unit of its dimension."""
-    return F.exists(measurements(text_column), lambda m: (m["dimension"] == wanted["dimension"]) & close_si(m["si"], wanted["si"], tolerance))
+    return stated_among(measurements(text_column), wanted, tolerance)
+
+
+def stated_among(found: Column, wanted: Column, tolerance: float = 0.002) -> Column:
+    """Whether a measurement is among those of a text that has been read."""
+    return F.exists(found, lambda m: (m["dimension"] == wanted["dimension"]) & close_si(m["si"], wanted["si"], tolerance))

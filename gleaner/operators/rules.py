@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import and_, or_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 from gleaner.functions.chemistry import equations_in, reaction_balance
 from gleaner.functions.numbers import numbers, ratio_rounds_to, relative_error, significant_digits
 from gleaner.functions.text import let
-from gleaner.functions.units import assigned_measurements, last_assigned, measure, measurements, stated
+from gleaner.functions.units import assigned_measurements, last_assigned, measure, measurements, stated_among
+
+from .relational import once
 
 TOLERANCE = 0.01
 STATES = ("pass", "fail", "warning", "indeterminate", "not_applicable", "error")
@@ -35,6 +38,25 @@ BLOCK_OF = {
 GENERIC = ("chemistry.units", "chemistry.scale_compatibility", "chemistry.reaction_balance")
 
 
+class Statement(NamedTuple):
+    """A task's statement: its text, and what has been read from it. Rules take it for the text alone, which each of their conditions reads anew."""
+
+    text: Column
+    measurements: Column
+    numbers: Column
+
+
+def statement_of(statement: Column | Statement) -> Statement:
+    return statement if isinstance(statement, Statement) else Statement(statement, measurements(statement), numbers(statement))
+
+
+def with_statement(tasks: DataFrame, text_col: str, wanted: tuple[str, ...] = ("measurements", "numbers")) -> tuple[DataFrame, Statement]:
+    """The tasks, and their statements for rules that need what is `wanted` of them: each different text is read once."""
+    readers = {"measurements": measurements, "numbers": numbers}
+    read = lambda texts: texts.select(text_col, *[readers[k](text_col).alias(f"_{k}") for k in wanted])
+    return once(tasks, [text_col], read), Statement(F.col(text_col), *[F.col(f"_{k}") if k in wanted else readers[k](text_col) for k in readers])
+
+
 def near(actual: Column, expected: Column, tolerance: float = TOLERANCE) -> Column:
     return relative_error(actual, expected) <= tolerance
 
@@ -50,9 +72,9 @@ def outcome(check_id: str, facts: list[Column], fails: list[Column], warns: list
     return F.struct(F.lit(check_id).alias("check_id"), state.otherwise("pass").alias("state"))
 
 
-def hidden(statement: Column | None, *inputs: Column) -> list[Column]:
+def hidden(statement: Column | Statement | None, *inputs: Column) -> list[Column]:
     """Conditions that an input measurement is not stated; none without a statement."""
-    return [] if statement is None else [~F.coalesce(stated(statement, x), F.lit(False)) for x in inputs]
+    return [] if statement is None else [~F.coalesce(stated_among(statement_of(statement).measurements, x), F.lit(False)) for x in inputs]
 
 
 def positive(*columns: Column) -> list[Column]:
@@ -75,7 +97,7 @@ def titration(c1: Column, v1: Column, f1: Column, c2: Column, v2: Column, f2: Co
     return outcome("analytical.titration", [c1, v1, f1, c2, v2, f2], [*positive(c1["si"], v1["si"], f1, c2["si"], v2["si"], f2), ~near(a, b)])
 
 
-def gravimetry(n_analyte: Column, m_analyte: Column, n_form: Column, m_form: Column, factor: Column, form_mass: Column, analyte_mass: Column, statement: Column | None = None) -> Column:
+def gravimetry(n_analyte: Column, m_analyte: Column, n_form: Column, m_form: Column, factor: Column, form_mass: Column, analyte_mass: Column, statement: Column | Statement | None = None) -> Column:
     """All facts are decimal literals as text: coefficients, molar masses in g/mol, the gravimetric factor, masses in g.
 
     The factor and the mass of the analyte have to be the exact results rounded half up to the digits that they show, and to show
@@ -92,17 +114,18 @@ def gravimetry(n_analyte: Column, m_analyte: Column, n_form: Column, m_form: Col
         ~ratio_rounds_to(analyte_mass, [form_mass, *over], under), ~precise(analyte_mass, F.least(least, significant_digits(form_mass)))])
 
 
-def conductometry(resistance: Column, conductance: Column, cell_constant: Column, conductivity: Column, statement: Column | None = None) -> Column:
+def conductometry(resistance: Column, conductance: Column, cell_constant: Column, conductivity: Column, statement: Column | Statement | None = None) -> Column:
     """In ohm, S, 1/m and S/m. Either electrical quantity and the cell constant have to be stated."""
     shown = []
     if statement is not None:
-        electrical = F.coalesce(stated(statement, measure(resistance, "Ом")) | stated(statement, measure(conductance, "S")), F.lit(False))
+        found = statement_of(statement).measurements
+        electrical = F.coalesce(stated_among(found, measure(resistance, "Ом")) | stated_among(found, measure(conductance, "S")), F.lit(False))
         shown = [~electrical, *hidden(statement, measure(cell_constant, "м-1"))]
     return outcome("analytical.conductometry", [resistance, conductance, cell_constant, conductivity], [
         *positive(resistance, conductance, cell_constant, conductivity), *shown, ~near(conductance, F.try_divide(F.lit(1.0), resistance)), ~near(conductivity, cell_constant * conductance)])
 
 
-def faraday(current: Column, time: Column, charge: Column, amount: Column, mass: Column, molar_mass: Column, electrons: Column, efficiency: Column, constant: Column, statement: Column | None = None) -> Column:
+def faraday(current: Column, time: Column, charge: Column, amount: Column, mass: Column, molar_mass: Column, electrons: Column, efficiency: Column, constant: Column, statement: Column | Statement | None = None) -> Column:
     """In SI units. A constant that is used has to be the right one, and stated if there is a statement."""
     expected = F.try_divide(molar_mass * charge * efficiency, electrons * constant)
     return outcome("analytical.faraday", [current, time, charge, amount, mass, molar_mass, electrons, efficiency, constant], [
@@ -110,11 +133,12 @@ def faraday(current: Column, time: Column, charge: Column, amount: Column, mass:
         ~near(constant, F.lit(FARADAY), 0.005), ~near(charge, current * time), ~near(amount, F.try_divide(charge, constant)), ~near(mass, expected)])
 
 
-def named_constant(statement: Column | None, constant: Column, name: str) -> list[Column]:
+def named_constant(statement: Column | Statement | None, constant: Column, name: str) -> list[Column]:
     """Conditions that a statement does not name a constant, or holds no number within 0.5 % of its value; none without a statement."""
     if statement is None:
         return []
-    return [~F.coalesce(statement.rlike(name), F.lit(False)), ~F.exists(numbers(statement), lambda x: F.coalesce(near(x, constant, 0.005), F.lit(False)))]
+    read = statement_of(statement)
+    return [~F.coalesce(read.text.rlike(name), F.lit(False)), ~F.exists(read.numbers, lambda x: F.coalesce(near(x, constant, 0.005), F.lit(False)))]
 
 
 def calibration(slope: Column, intercept: Column, signal: Column, concentration: Column, low: Column, high: Column) -> Column:
@@ -129,14 +153,14 @@ def bet_linear(slope: Column, intercept: Column, capacity: Column, constant: Col
         [F.exists(p, lambda x: (x < BET_RANGE[0]) | (x > BET_RANGE[1]))])
 
 
-def bet_surface(amount_per_mass: Column, cross_section: Column, surface: Column, constant: Column | None = None, statement: Column | None = None) -> Column:
+def bet_surface(amount_per_mass: Column, cross_section: Column, surface: Column, constant: Column | None = None, statement: Column | Statement | None = None) -> Column:
     """In mol/kg, m² and m²/kg. The constant of Avogadro that is used has to be right, and stated if there is a statement."""
     used = F.lit(AVOGADRO) if constant is None else constant
     return outcome("colloid.bet", [amount_per_mass, cross_section, surface, used], [
         *positive(amount_per_mass, cross_section), ~near(used, F.lit(AVOGADRO), 0.005), *named_constant(statement, used, r"N_?[AaАа]|(?iu)авогадро|avogadro"), ~near(surface, amount_per_mass * used * cross_section)])
 
 
-def smoluchowski(mobility: Column, viscosity: Column, zeta: Column, permittivity: Column, kappa_a: Column, statement: Column | None = None) -> Column:
+def smoluchowski(mobility: Column, viscosity: Column, zeta: Column, permittivity: Column, kappa_a: Column, statement: Column | Statement | None = None) -> Column:
     """In SI units. The permittivity of the vacuum has to be stated if there is a statement."""
     expected = F.try_divide(viscosity * mobility, permittivity * VACUUM_PERMITTIVITY)
     return outcome("colloid.smoluchowski", [mobility, viscosity, zeta, permittivity, kappa_a], [

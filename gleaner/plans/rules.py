@@ -168,7 +168,16 @@ def rule(sql: str):
 
 
 def state(spark: SparkSession, sf_dir: str, result: Column) -> DataFrame:
-    return facts(spark, sf_dir).select(*KEYS, result.alias("r")).select(*KEYS, F.col("r.state").alias("state"))
+    return states(facts(spark, sf_dir), result)
+
+
+def states(rows: DataFrame, result: Column) -> DataFrame:
+    return rows.select(*KEYS, result.alias("r")).select(*KEYS, F.col("r.state").alias("state"))
+
+
+def stated(spark: SparkSession, sf_dir: str, statement: Column, wanted: str) -> tuple[DataFrame, R.Statement]:
+    """The facts with their statements, of which `wanted` has been read."""
+    return R.with_statement(facts(spark, sf_dir).withColumn("statement", statement), "statement", (wanted,))
 
 
 @rule(f"CASE WHEN l_partkey % 11 = 0 THEN 'indeterminate' WHEN l_partkey % 17 = 0 OR (CASE WHEN l_partkey % 19 = 0 THEN 0 ELSE d END) <= 0 OR {unlike_sql('(q * 1000) * (d * 0.001)', '(q * d / t * off * 1000) * (t * 0.001)')} THEN 'fail' ELSE 'pass' END")
@@ -246,7 +255,13 @@ def rule_gravimetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     mass = F.round(F.col("q") * 111.69 / 159.687 * F.when(F.col("l_partkey") % 13 == 0, 1.0001).otherwise(1.0), 4).cast("decimal(18,4)").cast("string")
     form = F.col("q").cast("string")
     statement = F.concat(F.lit("M = 159,687 г/моль, m = "), form, F.lit(" г"), F.when(F.col("l_partkey") % 5 == 0, "").otherwise("; M(Fe) = 55,845 г/моль"))
-    return state(spark, sf_dir, R.gravimetry(F.lit("2"), F.lit("55.845"), F.lit("1"), F.lit("159.687"), literal, form, mass, statement))
+    rows = facts(spark, sf_dir).select(*KEYS, literal.alias("factor"), form.alias("form"), mass.alias("mass"), statement.alias("statement"))
+
+    def read(cases: DataFrame) -> DataFrame:
+        told, said = R.with_statement(cases, "statement", ("measurements",))
+        return told.select(*cases.columns, R.gravimetry(F.lit("2"), F.lit("55.845"), F.lit("1"), F.lit("159.687"), F.col("factor"), F.col("form"), F.col("mass"), said)["state"].alias("state"))
+
+    return relational.once(rows, ["factor", "form", "mass", "statement"], read).select(*KEYS, "state")
 
 
 @query(f"""WITH {FACTS_SQL} SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN q / 2 < d * 10 OR q / 2 = least(q / 2, d * 10) THEN 'A' ELSE 'B' END AS found_limiting, round(least(q / 2, d * 10) * 3, 6) AS amount, CASE WHEN {unlike_sql('least(q / 2, d * 10) * 3 * off', 'least(q / 2, d * 10) * 3')} THEN 'fail' ELSE 'pass' END AS state FROM f""")
