@@ -357,8 +357,11 @@ def rule_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.when(F.col("l_partkey") % 7 == 0, "m").when(F.col("l_partkey") % 7 == 1, "мл").otherwise("V")
     scales = F.element_at(F.array(*map(F.lit, SCALES)), (F.col("l_partkey") % 6 + 1).cast("int"))
     statement = F.concat(scales, F.lit("; m = "), F.col("q").cast("string"), F.lit(" г, "), second, F.lit(" = 5 мл"))
-    checks = [R.unit_consistency(statement, F.when(F.col("l_partkey") % 3 == 0, "12").otherwise("12 г"), F.lit(True)), R.scale_compatibility(statement)]
-    return R.evaluate(facts(spark, sf_dir).withColumnRenamed("l_orderkey", "id"), "id", checks)
+    answer = F.when(F.col("l_partkey") % 3 == 0, "12").otherwise("12 г")
+    rows = facts(spark, sf_dir).select(F.col("l_orderkey").alias("id"), statement.alias("statement"), answer.alias("answer"))
+    checks = {"units": R.unit_consistency(F.col("statement"), F.col("answer"), F.lit(True)), "scales": R.scale_compatibility(F.col("statement"))}
+    judged = relational.once(rows, ["statement", "answer"], lambda texts: texts.withColumns(checks))
+    return R.evaluate(judged, "id", [F.col(c) for c in checks])
 
 
 @query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'colloid' WHEN 1 THEN 'analytical' WHEN 2 THEN 'general' ELSE 'unspecified' END AS discipline FROM part""")
