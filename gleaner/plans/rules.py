@@ -130,7 +130,7 @@ def answer_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, off = F.col("p_retailprice"), 1 + (F.col("p_size") % 13 - 6) * 0.0031
     value = F.when((factor == 0) | (F.col("p_size") % 7 == 0), r * off).otherwise(F.try_divide(r * 1000, factor) * off)
     rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("S = "), r.cast("string"), F.lit(" м²/г")).alias("reference"), F.concat(F.lit("S = "), value.cast("string"), F.lit(" "), unit).alias("given"))
-    return answers.compare_answers(rows, "reference", "given", F.lit(1.0)).select("p_partkey", "verdict", "n_matched")
+    return compared(rows).select("p_partkey", "verdict", "n_matched")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, 5 AS n_measurements, CASE l_partkey % 3 WHEN 0 THEN 'm,vрра,c1,n1' WHEN 1 THEN 'm,vрра,n1' ELSE 'm,vрра,v,n1' END AS labels,
