@@ -232,7 +232,8 @@ def rule_bet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_bet_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth statement hides the constant."""
     statement = F.when(F.col("l_partkey") % 5 == 0, "Найдите поверхность.").otherwise("Найдите поверхность, N_A = 6,022·10²³ моль⁻¹.")
-    return state(spark, sf_dir, R.bet_surface(F.col("q"), F.lit(1.62e-19), F.col("q") * R.AVOGADRO * 1.62e-19 * F.col("off"), F.lit(6.022e23), statement))
+    rows, read = stated(spark, sf_dir, statement, "numbers")
+    return states(rows, R.bet_surface(F.col("q"), F.lit(1.62e-19), F.col("q") * R.AVOGADRO * 1.62e-19 * F.col("off"), F.lit(6.022e23), read))
 
 
 @rule(f"CASE WHEN {unlike_sql('8.9e-4 * (d * 1e-8) / (78.5 * 8.8541878128e-12) * off', '8.9e-4 * (d * 1e-8) / (78.5 * 8.8541878128e-12)')} OR q <= 10 THEN 'fail' WHEN q < 50 THEN 'warning' ELSE 'pass' END")
