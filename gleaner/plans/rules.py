@@ -212,7 +212,8 @@ def rule_faraday(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth statement hides the constant."""
     charge, k, off = F.col("q") * F.col("d"), F.lit(96485.0), F.col("off")
     statement = F.when(F.col("l_partkey") % 5 == 0, "Найдите массу меди.").otherwise("Найдите массу меди, F = 96485 Кл/моль.")
-    return state(spark, sf_dir, R.faraday(F.col("q"), F.col("d"), charge, charge / k * off, F.lit(0.0635) * charge * 0.9 / (2 * k) * off, F.lit(0.0635), F.lit(2.0), F.lit(0.9), k, statement))
+    rows, read = stated(spark, sf_dir, statement, "numbers")
+    return states(rows, R.faraday(F.col("q"), F.col("d"), charge, charge / k * off, F.lit(0.0635) * charge * 0.9 / (2 * k) * off, F.lit(0.0635), F.lit(2.0), F.lit(0.9), k, read))
 
 
 @rule(f"CASE WHEN l_partkey % 17 = 0 OR {unlike_sql('q * off', '((d * q + t) - t) / d')} THEN 'fail' WHEN q * off > 40 THEN 'warning' ELSE 'pass' END")
