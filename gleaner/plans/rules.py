@@ -204,7 +204,8 @@ def rule_conductometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth statement hides the cell constant."""
     q, d, off = F.col("q"), F.col("d"), F.col("off")
     statement = F.concat(F.lit("R = "), q.cast("string"), F.lit(" Ом"), F.when(F.col("l_partkey") % 5 == 0, "").otherwise(F.concat(F.lit("; k = "), d.cast("string"), F.lit(" м⁻¹"))))
-    return state(spark, sf_dir, R.conductometry(q, 1 / q * off, d, d / q * off * off, statement))
+    rows, read = stated(spark, sf_dir, statement, "measurements")
+    return states(rows, R.conductometry(q, 1 / q * off, d, d / q * off * off, read))
 
 
 @rule(f"CASE WHEN l_partkey % 5 = 0 OR {unlike_sql('q * d / 96485.0', 'q * d / 96485.0 * off')} OR {unlike_sql('0.0635 * (q * d) * 0.9 / (2 * 96485.0) * off', '0.0635 * (q * d) * 0.9 / (2 * 96485.0)')} THEN 'fail' ELSE 'pass' END")
