@@ -331,7 +331,8 @@ def rule_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(left, F.lit(" → "), c, F.when(F.col("p_partkey") % 7 == 0, "water").otherwise("H2O")).alias("equation"))
     state = F.when(~F.col("parsed"), "unparsed").when(F.col("balanced"), "balanced").otherwise("unbalanced")
     delta = lambda e: F.when(F.col("parsed"), F.coalesce(F.try_element_at("atom_delta", F.lit(e)), F.lit(0.0)))
-    return C.reaction_balance(rows, "p_partkey", "equation").select("p_partkey", state.alias("state"), delta("H").alias("h"), delta("O").alias("o"), F.col("charge_delta").alias("charge"))
+    result = [state.alias("state"), delta("H").alias("h"), delta("O").alias("o"), F.col("charge_delta").alias("charge")]
+    return relational.once(rows, ["equation"], lambda texts: C.reaction_balance(texts.withColumn("k", F.col("equation")), "k", "equation").select(F.col("k").alias("equation"), *result)).drop("equation")
 
 
 STATES_SQL = {k: {True: "pass", False: "fail", None: "indeterminate"}[v] for k, v in BALANCED.items()}
