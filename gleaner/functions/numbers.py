@@ -28,6 +28,8 @@ _TOKENS = "|".join([
     r"\\(?:text|mathrm|operatorname)\s*\{[^{}]*\}", r"\s*/\s*", r"\\[a-zA-Z]+", r"\\[\s\S]",
     rf"[^0-9\s\\$^_/~−{SUPERSCRIPTS}]+", r"\s+", r"[\s\S]",
 ])
+#: What tokens have that are spelled anew.
+_MARKS = rf"[0-9\\$^_/~−{SUPERSCRIPTS}]"
 
 
 def _spelled(token: Column) -> Column:
@@ -59,7 +61,9 @@ def normalize(c: Column | str) -> Column:
         blank = lambda k: F.trim(F.regexp_replace(at(k), r"\s", "")) == ""
         # a number of one or two digits, alone but for its stop or bracket, with more behind it, counts a list's items
         item = lambda k: at(k).rlike("^[0-9]{1,2}$") & blank(k - 1) & at(k + 1).isin(".", ")") & (at(k + 2) != "") & blank(k + 2) & (at(k + 3) != "")
-        return F.transform(all_, lambda t, k: F.when(t.rlike("^[0-9.)]") & (item(k) | item(k - 1)), "").otherwise(_spelled(t)))
+        stop = lambda t, k: F.when(item(k - 1), "").otherwise(t)
+        # most tokens are words and blanks, which stay
+        return F.transform(all_, lambda t, k: F.when(t.isin(".", ")"), stop(t, k)).when(~t.rlike(_MARKS), t).when(t.rlike("^[0-9]") & item(k), "").otherwise(_spelled(t)))
 
     return F.array_join(let(tokens, read), "")
 
