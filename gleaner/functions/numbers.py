@@ -21,12 +21,14 @@ _MANTISSA = rf"[0-9]+(?:[{BLANKS}]+[0-9]+)*(?:(?:[.,]|\{{,\}})[0-9]+(?:[{BLANKS}
 _BY_TEN = rf"\s*(?:[{TIMES}]|\\cdot|\\times)\s*10"
 _RAISED = rf"(?:\s*\^\s*\{{?\s*[-+−]?[0-9]+\s*\}}?|[{SUPERSCRIPTS}]+)"
 _POWER = rf"(?:{_BY_TEN}\s*\^?|^10\s*\^|^10(?=[{SUPERSCRIPTS}]))\s*\{{?\s*([-+−]?[0-9{SUPERSCRIPTS}]+)\s*\}}?$"
+# Words and blanks, which most tokens are, come first: no other kind begins with what a word does, or with blanks that go on with neither ^ nor /.
 _TOKENS = "|".join([
+    rf"[^0-9\s\\$^_/~−{SUPERSCRIPTS}]+", r"\s++(?![\^/])",
     rf"{_MANTISSA}{_BY_TEN}(?:{_RAISED}|\s*[-+−]?[0-9]+)", rf"10{_RAISED}", rf"{_MANTISSA}(?:[eE][-+]?[0-9]+)?",
     rf"[{SUPERSCRIPTS}]+", r"\s*\^\s*\{\s*[-+−]?[0-9]+\s*\}", r"\s*\^\s*",
     r"_\s*\{\s*(?:\\[a-z]+\s*\{[^{}]*\}|[^{}\\]*)\s*\}",  # a subscript
     r"\\(?:text|mathrm|operatorname)\s*\{[^{}]*\}", r"\s*/\s*", r"\\[a-zA-Z]+", r"\\[\s\S]",
-    rf"[^0-9\s\\$^_/~−{SUPERSCRIPTS}]+", r"\s+", r"[\s\S]",
+    r"[\s\S]",
 ])
 #: What tokens have that are spelled anew.
 _MARKS = rf"[0-9\\$^_/~−{SUPERSCRIPTS}]"
@@ -48,7 +50,7 @@ def _spelled(token: Column) -> Column:
 
 
 #: A number of a text in plain notation: no letter, low line or power sign comes before it.
-NUMBER = rf"(?iu)(?<![a-zа-яё_^])(?<!\^[-+])[-+]?{_UNSIGNED}"
+NUMBER = rf"(?iu)(?=[-+0-9])(?<![a-zа-яё_^])(?<!\^[-+])[-+]?{_UNSIGNED}"
 
 
 def normalize(c: Column | str) -> Column:
