@@ -6,6 +6,8 @@ a double is written with the fewest digits that give it back: plainly from 1e-4
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegralType, MapType, NullType, StringType, StructType, TimestampNTZType, TimestampType
@@ -18,12 +20,17 @@ ESCAPES = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
 
 def json_number(x: Column) -> Column:
     """The shortest digits that give a double back. NaN and infinities, which JSON lacks, are null."""
-    said = [F.format_string(f"%.{p}e", x) for p in range(17)]
-    # digits are tried from few to many; what a JVM prints itself may have a digit more than it takes
-    first = F.coalesce(*[F.when(s.cast("double") == x, s) for s in said])
-    sign = F.when(F.startswith(first, F.lit("-")), "-").otherwise("")
-    digits = F.rtrim(F.regexp_replace(F.regexp_extract(first, r"^-?([0-9.]+)e", 1), r"\.", ""), F.lit("0"))
-    power = F.regexp_extract(first, r"e([-+][0-9]+)$", 1).cast("int")
+    # what a JVM prints itself may have a digit more than it takes. Decimals of up to 15 digits have doubles of their own, so one that gives a normal
+    # double back is what rounding to 15 digits leaves but for zeros; only for numbers below are digits tried from few to many
+    def shortest(places: range) -> Column:
+        return F.coalesce(*[let(F.format_string(f"%.{p}e", x), lambda s: F.when(s.cast("double") == x, s)) for p in places])
+
+    first = F.when(F.abs(x) >= sys.float_info.min, shortest(range(14, 17))).otherwise(shortest(range(17)))
+
+    def parts(s: Column) -> Column:
+        sign = F.when(F.startswith(s, F.lit("-")), "-").otherwise("")
+        digits = F.rtrim(F.regexp_replace(F.regexp_extract(s, r"^-?([0-9.]+)e", 1), r"\.", ""), F.lit("0"))
+        return F.struct(sign.alias("s"), digits.alias("d"), F.regexp_extract(s, r"e([-+][0-9]+)$", 1).cast("int").alias("e"))
 
     def nearest(v: Column) -> Column:
         """For whole numbers beyond 2 ** 53 the JVM may print a digit too many, itself rounded. Up to 2 ** 124 all digits are known, as two longs: the
@@ -51,7 +58,7 @@ def json_number(x: Column) -> Column:
         return F.concat(v["s"], F.when((e < -4) | (e >= 16), wide).when(e < 0, small).when(n <= e + 1, whole).otherwise(mixed))
 
     zero = F.when(F.startswith(x.cast("string"), F.lit("-")), "-0.0").otherwise("0.0")
-    return F.when(x == 0, zero).when(~F.isnan(x) & (F.abs(x) < float("inf")), let(let(F.struct(sign.alias("s"), digits.alias("d"), power.alias("e")), lambda v: F.when((F.abs(x) < float(1 << 53)) | (F.abs(x) >= float(1 << 124)), v).otherwise(nearest(v))), laid_out))
+    return F.when(x == 0, zero).when(~F.isnan(x) & (F.abs(x) < float("inf")), let(let(let(first, parts), lambda v: F.when((F.abs(x) < float(1 << 53)) | (F.abs(x) >= float(1 << 124)), v).otherwise(nearest(v))), laid_out))
 
 
 def json_text(c: Column) -> Column:

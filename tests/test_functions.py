@@ -4,6 +4,8 @@ import hashlib
 import json
 import math
 import random
+import struct
+import sys
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -326,3 +328,16 @@ def test_canonical_json_of_nested_values(spark):
     got = row.select(canonical.canonical(F.struct("*"), row.schema).alias("j"), canonical.digest(F.struct("*"), row.schema).alias("d")).first()
     want = json.dumps(values, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
     assert got.j == want and got.d == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_json_number_takes_few_tries_and_the_shortest_digits(spark):
+    rnd = random.Random(5)
+    xs = [struct.unpack("<d", rnd.randbytes(8))[0] for _ in range(20_000)] + [s * 2.0**k for k in range(-1074, 1024, 7) for s in (1, -1)]
+    xs += [round(rnd.uniform(0, 1e5), 2) * f for f in (1e-11, 1e-7, 1e-3, 1, 1e5, 1e12, 1e19, 1e297) for _ in range(500)] + [rnd.uniform(0, 1e5) / 3 for _ in range(500)]
+    xs += [sys.float_info.min, math.nextafter(sys.float_info.min, 0), 5e-324, 1e22, 1e23, 9007199254740993.0, 2e-3, 0.1, 0.3, 123456789012345.0, 999999999999999.9, -0.0, 0.0]
+    xs = [x for x in xs if math.isfinite(x)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", canonical.json_number(F.col("x")).alias("s"))
+    got = [(r.x, r.s) for r in df.collect()]
+    assert [(x, s) for x, s in got if float(s) != x or len(s) > len(repr(x)) + 1] == []
+    assert sum(s != repr(x) for x, s in got) < 20  # beyond 2 ** 124 the JVM's digits, of which a few are one too many
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("format_string") < 25
