@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.stem import stem_ru
 from gleaner.functions.text import let, words
+from gleaner.session import written
 
-from .retrieval import ranked
+from .retrieval import by_single_id, ranked, runs
 
 #: The weights of the classes of fields, and the sum of 1 / k ** 2 over all k.
 CLASS_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
@@ -28,10 +29,19 @@ def positional_postings(chunks: DataFrame, id_col: str, fields: dict[str, str],
     def read(c: str, kind: str) -> Column:
         return F.transform(words(c), lambda w: F.struct(w.alias("term"), F.lit(kind).alias("class")))
 
-    rows = chunks.select(id_col, F.posexplode(F.concat(*[read(c, kind) for c, kind in fields.items()])).alias("pos", "_t")).select(id_col, "pos", "_t.term", "_t.class")
+    found = F.concat(*[read(c, kind) for c, kind in fields.items()])
+    single, several = (chunks, None) if dictionary is not None else by_single_id(chunks, id_col)
+    if dictionary is None:  # a chunk's places are in its row
+        places = F.transform(found, lambda t, i: F.struct(t["term"].alias("term"), i.alias("pos"), t["class"].alias("class")))
+        one = lambda items, i, n: F.struct(F.get(items, i)["term"].alias("term"), F.transform(F.slice(items, i + 1, n), lambda x: F.struct(x["pos"].alias("pos"), x["class"].alias("class"))).alias("places"))
+        out = single.select(id_col, F.explode(runs(F.sort_array(places), lambda x: x["term"], one)).alias("_x")).select(id_col, "_x.term", "_x.places")
+        if several is None:
+            return out
+    rows = (chunks if several is None else several).select(id_col, F.posexplode(found).alias("pos", "_t")).select(id_col, "pos", "_t.term", "_t.class")
     if dictionary is not None:
         rows = rows.join(dictionary, "term").drop("term").withColumnRenamed("stem", "term")
-    return rows.groupBy(id_col, "term").agg(F.sort_array(F.collect_list(F.struct("pos", "class"))).alias("places"))
+    rest = rows.groupBy(id_col, "term").agg(F.sort_array(F.collect_list(F.struct("pos", "class"))).alias("places"))
+    return rest if dictionary is not None else out.unionByName(rest)
 
 
 def place_gain(places: Column) -> Column:
@@ -56,9 +66,11 @@ def rank_by_places(index: DataFrame, queries: DataFrame, id_col: str, query_id:
     asked = asked.select(query_id, F.explode("_t").alias("term"))
     if dictionary is not None:
         asked = asked.select(query_id, stem_ru(F.col("term")).alias("term")).distinct()
+    asked = written(asked, "asked")  # of a known size, so postings are picked where they are made
     sizes = asked.groupBy(query_id).agg(F.count("*").alias("n"))
+    asked = written(asked.join(sizes, query_id), "terms")
     # of a hot term's postings only those that a query asks for leave their task
-    hits = index.select(id_col, "term", place_gain(F.col("places")).alias("gain")).join(asked.join(sizes, query_id), "term")
+    hits = index.select(id_col, "term", place_gain(F.col("places")).alias("gain")).join(asked, "term")
     scored = hits.groupBy(query_id, id_col).agg(F.round(F.sum(F.col("gain") / F.col("n")), 6).alias("score"))
     return ranked(scored, [query_id], k, F.col("score").desc(), F.col(id_col))
 

@@ -160,3 +160,15 @@ def test_a_hot_term_stays_where_it_is(spark):
     whole = index.filter("term IN ('rare', 'op')").count()
     assert moved < whole / 50 and trace["candidates"].count() == 10
     assert whole == 4010
+
+
+def test_terms_are_counted_in_their_rows_without_a_shuffle(spark):
+    """Only the rows of ids that several rows have are shuffled; they count together."""
+    docs = spark.createDataFrame([(1, "b a b"), (2, "c"), (3, ""), (4, None)], "id long, t string")
+    twice = docs.unionByName(spark.createDataFrame([(2, "c d"), (None, "e"), (None, "e")], "id long, t string"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(retrieval.postings(docs, "id", "t")) and "Exchange" not in plan(ranking.positional_postings(docs, "id", {"t": "A"}))
+    got = {(r.id, r.term): r.tf for r in retrieval.postings(twice, "id", "t").collect()}
+    assert got == {(1, "a"): 1, (1, "b"): 2, (2, "c"): 2, (2, "d"): 1, (None, "e"): 2}
+    places = {(r.id, r.term): [(p.pos, p["class"]) for p in r.places] for r in ranking.positional_postings(twice, "id", {"t": "A"}).collect()}
+    assert places[1, "b"] == [(0, "A"), (2, "A")] and places[2, "c"] == [(0, "A"), (0, "A")] and places[None, "e"] == [(0, "A"), (0, "A")]
