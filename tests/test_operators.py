@@ -276,3 +276,10 @@ def test_once_reads_each_different_input_once(spark):
 
     got = sorted((r.id, r.said) for r in relational.once(rows, ["s", "t"], read).collect())
     assert got == [(1, "a|?"), (2, "a|?"), (2, "a|?"), (3, "?|x"), (4, "a|")] and sizes == [3]
+
+
+def test_once_deals_small_texts_over_all_tasks(spark):
+    """Bytes say nothing of the work that a text makes, so texts of a few bytes are not merged for one task."""
+    rows = spark.range(2000).select(F.concat(F.lit("m = "), F.col("id").cast("string")).alias("s"))
+    read = relational.once(rows, ["s"], lambda inputs: inputs.withColumn("task", F.spark_partition_id()))
+    assert read.select("task").distinct().count() >= spark.sparkContext.defaultParallelism and read.count() == 2000
