@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from gleaner.functions.numbers import finite
 from gleaner.functions.text import title_key
 
+from .relational import dealt
+
 DISAGREEMENT = 20.0
 SAME = 1e-6
 
@@ -40,9 +42,13 @@ def consensus_totals(grades: DataFrame, run: str = "run", threshold: float = DIS
 
 
 def consensus_guards(grades: DataFrame, run: str = "run") -> DataFrame:
-    """run and the first rule that forbids a consensus: too_few, repeated_role, criteria_differ, maxima_differ; else ok."""
-    roles = grades.groupBy(run, "role").agg(
-        F.count("*").alias("rows"), F.count_distinct("criterion").alias("names"), F.sum(F.xxhash64("criterion").cast("decimal(38,0)")).alias("set"), F.sum("max_score").alias("m"))
+    """run and the first rule that forbids a consensus: too_few, repeated_role, criteria_differ, maxima_differ; else ok.
+
+    A run's graders are dealt over tasks by run and role, in shares of a number of rows, so the tables of a task are small whatever the input."""
+    own = dealt(grades.select(run, "role", "criterion", "max_score"), [run, "role"], grades.count())
+    named = own.groupBy(run, "role", "criterion").agg(F.count("*").alias("k"), F.sum("max_score").alias("m"))
+    roles = named.groupBy(run, "role").agg(
+        F.sum("k").alias("rows"), F.count("criterion").alias("names"), F.sum(F.xxhash64("criterion").cast("decimal(38,0)") * F.col("k")).alias("set"), F.sum("m").alias("m"))
     runs = roles.groupBy(run).agg(
         F.count("*").alias("n"), F.max(F.col("rows") > F.col("names")).alias("repeated"), (F.min("set") != F.max("set")).alias("differ"), (F.max("m") - F.min("m") > SAME).alias("maxima"))
     rule = F.when(F.col("n") < 2, "too_few").when(F.col("repeated"), "repeated_role").when(F.col("differ"), "criteria_differ").when(F.col("maxima"), "maxima_differ").otherwise("ok")

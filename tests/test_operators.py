@@ -283,3 +283,18 @@ def test_once_deals_small_texts_over_all_tasks(spark):
     rows = spark.range(2000).select(F.concat(F.lit("m = "), F.col("id").cast("string")).alias("s"))
     read = relational.once(rows, ["s"], lambda inputs: inputs.withColumn("task", F.spark_partition_id()))
     assert read.select("task").distinct().count() >= spark.sparkContext.defaultParallelism and read.count() == 2000
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_guards_are_found_in_shares_of_the_grades(spark):
+    """Tasks are by the number of grades, not merged by bytes; a repeated criterion, or one without a name, is that of its grader only."""
+    grades = [(1, 1, "a"), (1, 2, "a"), (2, 1, "a"), (3, 1, "a"), (3, 1, "a"), (3, 2, "a"), (4, 1, "a"), (4, 2, "b"), (5, 1, None), (5, 2, None), (6, 1, "a"), (6, 1, "b"), (6, 2, "b"), (6, 2, "a")]
+    rows = spark.createDataFrame([(*g, 10.0) for g in grades] + [(7, 1, "a", 10.0), (7, 2, "a", 11.0)], "run int, role int, criterion string, max_score double")
+    out = grading.consensus_guards(rows)
+    plan = plan_of(out)
+    assert {r.run: r.state for r in out.collect()} == {1: "ok", 2: "too_few", 3: "repeated_role", 4: "criteria_differ", 5: "repeated_role", 6: "ok", 7: "maxima_differ"}
+    assert plan.count("Exchange") == 2 and "REPARTITION_BY_NUM" in plan
+    assert relational.dealt(rows, ["run"], 1000, 10).rdd.getNumPartitions() == 100
