@@ -172,3 +172,13 @@ def test_terms_are_counted_in_their_rows_without_a_shuffle(spark):
     assert got == {(1, "a"): 1, (1, "b"): 2, (2, "c"): 2, (2, "d"): 1, (None, "e"): 2}
     places = {(r.id, r.term): [(p.pos, p["class"]) for p in r.places] for r in ranking.positional_postings(twice, "id", {"t": "A"}).collect()}
     assert places[1, "b"] == [(0, "A"), (2, "A")] and places[2, "c"] == [(0, "A"), (0, "A")] and places[None, "e"] == [(0, "A"), (0, "A")]
+
+
+def test_weighted_rank_adds_up_and_ranks_sheets_where_they_are_dealt(spark):
+    """Scores are not added up before the sheets are dealt by the number of hits; sheets that share an id count together."""
+    sheets = spark.createDataFrame([(1, "oxide", "", "oxide of iron"), (2, "", "oxide", None), (2, "", "", "iron"), (3, "", "", "water")], "id int, title string, description string, text string")
+    queries = spark.createDataFrame([("a", "iron oxide"), ("b", "water"), ("c", "none")], "item string, q string")
+    out = retrieval.weighted_rank(sheets, queries, "item", "q", ("title", "description", "text"), ["id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.item, r.id, r.score, r["rank"]) for r in out.collect()) == [("a", 1, 14, 1), ("a", 2, 5, 2), ("b", 3, 1, 1)]
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 2  # by sheet, then each task's best by query
