@@ -40,9 +40,8 @@ def dedup_bounded(statements: DataFrame, group: str, id_col: str, text_col: str,
     """
     fit = eligible if eligible is not None else F.lit(True)
     flagged = statements.select(group, id_col, text_col, F.coalesce(fit, F.lit(False)).alias("_fit"))
-    numbered = running(flagged, [group], [id_col], {"_e": F.when(F.col("_fit"), 1).otherwise(0)})
-    rows = profiles(numbered, text_col, plain)
-    rows = rows if plain else written(rows, "profiles")  # used three times, and the grammar costs more than a table
+    made = written(profiles(flagged, text_col, plain), "profiles")  # once, for the ranges, the numbers and both sides of the pairs; texts are not moved
+    rows = running(made, [group], [id_col], {"_e": F.when(F.col("_fit"), 1).otherwise(0)})
     before = F.col("_e") - F.when(F.col("_fit"), 1).otherwise(0)
     block = lambda c: F.floor((c - 1) / neighbours)
     mine = rows.select(group, id_col, before.alias("_before"), F.col("_words").alias("w"), F.col("_numbers").alias("x"), F.explode(F.array(block(before), block(before) - 1)).alias("block"))

@@ -118,3 +118,10 @@ def test_equal_texts_are_read_once(spark, name):
 def test_number_grammar_reads_a_text_once(spark):
     plan = QUERIES["number_grammar"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("regexp_extract_all") == 2  # tokens, and numbers among them
+
+
+@pytest.mark.parametrize("name", ["dedup_bounded", "dedup_revalidation"])
+def test_profiles_of_texts_are_made_once(spark, name):
+    """Words and numbers of the texts are a table before it is ranged, numbered and compared."""
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp_extract_all" not in plan
