@@ -21,17 +21,23 @@ _MANTISSA = rf"[0-9]+(?:[{BLANKS}]+[0-9]+)*(?:(?:[.,]|\{{,\}})[0-9]+(?:[{BLANKS}
 _BY_TEN = rf"\s*(?:[{TIMES}]|\\cdot|\\times)\s*10"
 _RAISED = rf"(?:\s*\^\s*\{{?\s*[-+−]?[0-9]+\s*\}}?|[{SUPERSCRIPTS}]+)"
 _POWER = rf"(?:{_BY_TEN}\s*\^?|^10\s*\^|^10(?=[{SUPERSCRIPTS}]))\s*\{{?\s*([-+−]?[0-9{SUPERSCRIPTS}]+)\s*\}}?$"
-# Words and blanks, which most tokens are, come first: no other kind begins with what a word does, or with blanks that go on with neither ^ nor /.
+# What begins a token that is spelled anew.
+_MARK = r"0123456789\\$^_/~−⁰¹²³⁴-⁻"
+# A run of characters that do not, nor are blanks. The regex engine looks up single Latin-1 characters in one bit set, and asks for ranges and all others one by
+# one, which takes most of the time; so the bit set comes first, then one range, and only what is in neither is compared with the other marks.
+_LATIN = "".join(f"\\x{k:02x}" for k in range(256) if chr(k) not in "0123456789\\$^_/~¹²³ \t\n\x0b\f\r")
+_WORD = rf"[{_LATIN}]++|[\u0400-\u04ff]++|(?![\x00-\xff])[^−⁰⁴-⁻]"
+# Words and blanks, which most text is, come first: no other kind begins with what a word does, or with blanks that go on with neither ^ nor /. A run
+# of them is one token, but for what tells a list's items: the blanks before such a number, its stop or bracket, and the blanks behind that.
 _TOKENS = "|".join([
-    rf"[^0-9\s\\$^_/~−{SUPERSCRIPTS}]+", r"\s++(?![\^/])",
+    r"(?<=[0-9])[.)](?=\s)", r"(?<=[0-9][.)])\s++(?![\^/])",
+    rf"(?:{_WORD}|\s++(?![\^/]|[0-9]{{1,2}}[.)]\s))++", r"\s++(?![\^/])",
     rf"{_MANTISSA}{_BY_TEN}(?:{_RAISED}|\s*[-+−]?[0-9]+)", rf"10{_RAISED}", rf"{_MANTISSA}(?:[eE][-+]?[0-9]+)?",
     rf"[{SUPERSCRIPTS}]+", r"\s*\^\s*\{\s*[-+−]?[0-9]+\s*\}", r"\s*\^\s*",
     r"_\s*\{\s*(?:\\[a-z]+\s*\{[^{}]*\}|[^{}\\]*)\s*\}",  # a subscript
     r"\\(?:text|mathrm|operatorname)\s*\{[^{}]*\}", r"\s*/\s*", r"\\[a-zA-Z]+", r"\\[\s\S]",
     r"[\s\S]",
 ])
-#: What tokens have that are spelled anew.
-_MARKS = rf"[0-9\\$^_/~−{SUPERSCRIPTS}]"
 
 
 def _spelled(token: Column) -> Column:
@@ -42,7 +48,7 @@ def _spelled(token: Column) -> Column:
     inner = F.trim(F.regexp_extract(token, r"\{([^{}]*)\}\s*\}?$", 1))
     bare = F.trim(token)
     return (
-        F.when(token.rlike("^[0-9]"), number).when(token.rlike(f"^[{SUPERSCRIPTS}]"), F.concat(F.lit("^"), F.translate(token, SUPERSCRIPTS, SUPERSCRIPT_DIGITS)))
+        F.when(token.rlike(r"^[0-9]+(?:[.,][0-9]+)?$"), F.translate(token, ",", ".")).when(token.rlike("^[0-9]"), number).when(token.rlike(f"^[{SUPERSCRIPTS}]"), F.concat(F.lit("^"), F.translate(token, SUPERSCRIPTS, SUPERSCRIPT_DIGITS)))
         .when(F.startswith(bare, F.lit("^")), F.concat(F.lit("^"), F.translate(inner, "−", "-"))).when(token.rlike(r"^_\s*\{"), F.concat(F.lit("_"), inner)).when(bare == "/", "/")
         .when(token.rlike(r"^\\[a-z]+\s*\{"), F.concat(F.lit(" "), inner, F.lit(" "))).when(token.isin("\\cdot", "\\times"), "·").when(token == "\\%", "%")
         .when(token.isin("$", *(f"\\{c}" for c in ",;!:()[]")), "").when(F.startswith(token, F.lit("\\")), " ").when(token == "−", "-").otherwise(token)
@@ -65,7 +71,7 @@ def normalize(c: Column | str) -> Column:
         item = lambda k: at(k).rlike("^[0-9]{1,2}$") & blank(k - 1) & at(k + 1).isin(".", ")") & (at(k + 2) != "") & blank(k + 2) & (at(k + 3) != "")
         stop = lambda t, k: F.when(item(k - 1), "").otherwise(t)
         # most tokens are words and blanks, which stay
-        return F.transform(all_, lambda t, k: F.when(t.isin(".", ")"), stop(t, k)).when(~t.rlike(_MARKS), t).when(t.rlike("^[0-9]") & item(k), "").otherwise(_spelled(t)))
+        return F.transform(all_, lambda t, k: F.when(t.isin(".", ")"), stop(t, k)).when(~t.rlike(rf"^\s*[{_MARK}]"), t).when(t.rlike("^[0-9]") & item(k), "").otherwise(_spelled(t)))
 
     return F.array_join(let(tokens, read), "")
 

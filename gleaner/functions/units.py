@@ -148,7 +148,8 @@ def unit_key(c: Column) -> Column:
     """The key of a unit's spelling: digits for superscripts, * for products, / for a product with an inverse, no blanks, lower case."""
     out = F.translate(F.regexp_replace(F.trim(text(c)), r"^[.,;:]+|[.,;:]+$", ""), "⁰¹²³⁴⁵⁶⁷⁸⁹⁻−µ·×", "0123456789--μ**")
     out = F.regexp_replace(F.regexp_replace(out, r"\\cdot", "*"), r"\^|\s+", "")
-    return F.lower(F.regexp_replace(out, r"^([^*/]+)\*([^*/()]+)-1$", "$1/$2"))
+    out = F.lower(F.regexp_replace(out, r"^([^*/]+)\*([^*/()]+)-1$", "$1/$2"))
+    return F.when(c.rlike(r"\A[a-zа-я/]+\z"), c).otherwise(out)  # most are such keys as they are
 
 
 def cased_key(c: Column) -> Column:
@@ -166,13 +167,13 @@ def unit(c: Column | str) -> Column:
         known = {r[0]: r for r in rows()}
         found = known.get(f"={c}") or known.get(c.translate(str.maketrans("²³·µ", "23*μ")).replace(" ", "").lower())
         return _struct(found) if found else F.lit(None).cast("struct<symbol:string,dimension:string,factor:double,offset:double>")
-    return let(any_unit(c), lambda u: F.when(u["named"], u.dropFields("named")))
+    return let(let(c, any_unit), lambda u: F.when(u["named"], u.dropFields("named")))
 
 
 def listed(c: Column) -> Column:
     """The row of the table for a unit's spelling, as an array of texts; null if it is not in the table."""
-    lookup = unit_grammar.constant_map(_lookup())
-    return F.get(F.filter(F.transform(F.array(cased_key(c), unit_key(c)), lambda k: F.split(F.try_element_at(lookup, k), r"\|")), lambda x: x.isNotNull()), F.lit(0))
+    cased, folded = map(unit_grammar.constant_map, _lookup())
+    return F.split(F.coalesce(F.try_element_at(cased, cased_key(c)), F.try_element_at(folded, unit_key(c))), r"\|")
 
 
 def any_unit(c: Column) -> Column:
@@ -206,8 +207,10 @@ def _symbols() -> dict[str, str]:
 
 
 @lru_cache(1)
-def _lookup() -> dict[str, str]:
-    return {r[0]: f"{r[1]}|{r[2]}|{r[3]!r}|{r[4]!r}" for r in rows()}
+def _lookup() -> tuple[dict[str, str], dict[str, str]]:
+    """The table by its cased spellings, and by the others. Maps are searched from their first entry, so each is as short as it can be."""
+    entries = {r[0]: f"{r[1]}|{r[2]}|{r[3]!r}|{r[4]!r}" for r in rows()}
+    return {k: v for k, v in entries.items() if k[0] == "="}, {k: v for k, v in entries.items() if k[0] != "="}
 
 
 def join_units(df: DataFrame, c: Column) -> DataFrame:
@@ -277,10 +280,14 @@ def measured_text(c: Column | str) -> Column:
     return compact_units(normalize(F.translate(text(c), "~$", " \n")))
 
 
+def sayings(plain: Column) -> Column:
+    """The numbers of a measured text with what may be their units, in order."""
+    return F.regexp_extract_all(plain, F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_.,^]){NUMBER}\s*{UNIT_TOKEN}"), F.lit(0))
+
+
 def measurements(c: Column | str) -> Column:
     """All measurements of a text, in order: numbers followed by a known unit."""
-    found = F.regexp_extract_all(measured_text(c), F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_.,^]){NUMBER}\s*{UNIT_TOKEN}"), F.lit(0))
-    return F.filter(F.transform(found, parse_measurement), lambda m: m.isNotNull())
+    return F.filter(F.transform(sayings(measured_text(c)), parse_measurement), lambda m: m.isNotNull())
 
 
 def names_quantity(label: Column) -> Column:
@@ -291,18 +298,40 @@ def names_quantity(label: Column) -> Column:
     return symbol | ~(species | listed(label).isNotNull())
 
 
-def assigned_measurements(c: Column | str) -> Column:
-    """label, measurement of every `label = number unit` of a text, in order.
+def assignments(plain: Column) -> Column:
+    """label, said of every `label = number unit` of a measured text, in order, whether the unit is known or not.
 
     Only the first equals sign of a clause assigns: `n1 = c1 V1 = 0.4 mol/L` says nothing of V1.
     """
     pattern = rf"(?iu)^[^=]*?(?<![\p{{L}}\p{{N}}_(])({LABEL})\s*=\s*({NUMBER}\s*{UNIT_TOKEN})"
-    pairs = F.transform(F.split(measured_text(c), CLAUSE_END), lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("name"), F.regexp_extract(x, pattern, 2).alias("said")))
+    pairs = F.transform(F.split(plain, CLAUSE_END), lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("name"), F.regexp_extract(x, pattern, 2).alias("said")))
     named = F.filter(pairs, lambda p: (p["said"] != "") & names_quantity(p["name"]))
-    read = F.transform(named, lambda p: F.struct(label_key(p["name"]).alias("label"), parse_measurement(p["said"]).alias("measurement")))
+    return F.transform(named, lambda p: F.struct(label_key(p["name"]).alias("label"), p["said"].alias("said")))
+
+
+def assigned_measurements(c: Column | str) -> Column:
+    """label, measurement of every assignment of a text with a known unit, in order."""
+    read = F.transform(assignments(measured_text(c)), lambda p: F.struct(p["label"].alias("label"), parse_measurement(p["said"]).alias("measurement")))
     return F.filter(read, lambda p: p["measurement"].isNotNull())
 
 
+def all_measurements(c: Column | str) -> Column:
+    """measurements() and assigned_measurements() of a text as `found` and `assigned`. The text is spelled anew once for both, and one
+    expression reads the units of both."""
+
+    def read(said: Column) -> Column:
+        n, labels = F.size(said["found"]), said["assigned"]["label"]
+        both = F.transform(F.concat(said["found"], said["assigned"]["said"]), parse_measurement)
+
+        def parted(m: Column) -> Column:
+            named = F.zip_with(labels, F.slice(m, n + 1, F.size(labels)), lambda k, x: F.struct(k.alias("label"), x.alias("measurement")))
+            return F.struct(F.filter(F.slice(m, F.lit(1), n), lambda x: x.isNotNull()).alias("found"), F.filter(named, lambda p: p["measurement"].isNotNull()).alias("assigned"))
+
+        return let(both, parted)
+
+    return let(let(measured_text(c), lambda plain: F.struct(sayings(plain).alias("found"), assignments(plain).alias("assigned"))), read)
+
+
 def last_assigned(assigned: Column, labels: list[str], dimensions: list[str] | None = None) -> Column:
     """The measurement of the last assignment to one of the labels, of one of the dimensions."""
     keep = lambda p: p["label"].isin(labels) & (p["measurement"]["dimension"].isin(dimensions) if dimensions else F.lit(True))

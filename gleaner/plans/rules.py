@@ -145,7 +145,7 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     si = lambda label, *kinds: F.round(U.last_assigned(F.col("a"), [label], list(kinds))["si"], 9).alias(label)
 
     def read(texts: DataFrame) -> DataFrame:
-        found = texts.select("statement", U.assigned_measurements("statement").alias("a"), F.size(U.measurements("statement")).alias("n_measurements"))
+        found = texts.select("statement", U.all_measurements("statement").alias("m")).select("statement", F.col("m.assigned").alias("a"), F.size("m.found").alias("n_measurements"))
         return found.select("statement", "n_measurements", F.array_join(F.transform("a", lambda x: x["label"]), ",").alias("labels"), si("m", "mass"), si("c1", "amount_concentration"), si("v", "volume"))
 
     return relational.once(rows, ["statement"], read).drop("statement")

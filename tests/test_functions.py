@@ -341,3 +341,36 @@ def test_json_number_takes_few_tries_and_the_shortest_digits(spark):
     assert [(x, s) for x, s in got if float(s) != x or len(s) > len(repr(x)) + 1] == []
     assert sum(s != repr(x) for x, s in got) < 20  # beyond 2 ** 124 the JVM's digits, of which a few are one too many
     assert df._jdf.queryExecution().optimizedPlan().toString().count("format_string") < 25
+
+
+READ = [
+    r"m = 2.5 г, V(р-ра) = 0,25 л; n = c₁ = 0.03 моль·л^{-1}; масса MnO₂ = 3 г и n₁ = 2 моль", r"$V = 2\ \text{л}$; R = 5 мОм", "1. m = 3 г\n2) V = 4 мл и 5 парсек; k = 2 A·с", "слова без чисел", "", None,
+]
+
+
+@pytest.mark.parametrize("said", READ)
+def test_all_measurements_are_both_kinds(value, said):
+    text = L(said).cast("string")
+    got = value(units.all_measurements(text))
+    assert got.found == value(units.measurements(text)) and got.assigned == value(units.assigned_measurements(text))
+
+
+def test_measurements_query_spells_a_text_once(spark, monkeypatch):
+    """Found and assigned measurements come from one reading of the text, with one expression for the units."""
+    from gleaner.operators import relational
+    from gleaner.plans import QUERIES
+
+    plans = []
+    monkeypatch.setattr(relational, "once", lambda rows, inputs, read: plans.append(read(rows.select(*inputs))) or rows.crossJoin(plans[0].drop(*inputs).limit(0)))
+    QUERIES["measurements"](spark, "/root/testdata/sf0.001")
+    plan = plans[0]._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("mathrm|operatorname") == 1 and plan.count("aggregate(regexp_extract_all") == 1  # the lexer of texts, the grammar of units
+
+
+@pytest.mark.parametrize(("said", "tokens"), [
+    ("слова, and words \t日本 é\nfurther.", ["слова, and words \t日本 é\nfurther."]), ("a b ^2 c", ["a b", " ^", "2", " c"]), ("m − 3⁵", ["m ", "−", " ", "3", "⁵"]),
+    ("see 1. first 2) second", ["see", " ", "1", ".", " ", "first", " ", "2", ")", " ", "second"]), ("x = 1, 2", ["x = ", "1", ", ", "2"]),
+])
+def test_runs_of_words_are_one_token(value, said, tokens):
+    """But for the blanks and stops by which numbers of a list's items are told."""
+    assert value(F.regexp_extract_all(L(said), L(f"(?u){numbers._TOKENS}"), L(0))) == tokens
