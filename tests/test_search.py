@@ -7,9 +7,11 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
 from gleaner.operators import impacts, ranking, retrieval, segments
+from gleaner.plans import ORACLE_SQL, QUERIES
 
 WORDS = "ab cd ef gh ij kl mn op".split()
 
@@ -182,3 +184,32 @@ def test_weighted_rank_adds_up_and_ranks_sheets_where_they_are_dealt(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.item, r.id, r.score, r["rank"]) for r in out.collect()) == [("a", 1, 14, 1), ("a", 2, 5, 2), ("b", 3, 1, 1)]
     assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 2  # by sheet, then each task's best by query
+
+
+def searched(spark, tmp_path, name, docs, items):
+    """Rows of a search over tables of these documents and benchmark items, and those of its SQL."""
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = {(r.item_id, r.doc_id, round(r.score, 6), r["rank"]) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    return got, {(i, d, round(x, 6), k) for i, d, x, k in con.execute(ORACLE_SQL[name]).fetchall()}
+
+
+def test_bm25_topk_searches_with_whole_texts(spark, tmp_path):
+    """The word that decides is behind 200 characters; texts that share an id count together, and items that share one ask for a word once."""
+    docs = [(1, "ab ab cd"), (2, "late cd cd"), (3, ""), (4, None), (5, "ef gh"), (5, "late ij kl mn op"), (6, "gh gh")]
+    items = [(1, "ab " * 80 + "late"), (2, "gh"), (2, "gh cd"), (3, "")]
+    got, want = searched(spark, tmp_path, "bm25_topk", docs, items)
+    assert got == want and {d for i, d, *_ in got if i == 1} == {1, 2, 5}
+
+
+def test_an_index_of_the_asked_terms_searches_as_the_whole_one(spark):
+    docs = frame(spark, texts(7, 300, 30) | {1000: "only others", 1001: "", 5: "ab"}).unionByName(frame(spark, {3: "kl mn other"}))
+    queries = spark.createDataFrame([(1, "ab kl"), (2, "op zz")], "q int, t string")
+    whole = retrieval.postings(docs, "id", "text")
+    asked = retrieval.postings(docs, "id", "text", asked=retrieval.asked_terms(queries, "t"))
+    assert {r.term for r in asked.select("term").distinct().collect()} == {"ab", "kl", "op", None}
+    assert asked.filter("term IS NULL").count() == whole.select("id").distinct().count()
+    assert {tuple(r) for r in retrieval.bm25(asked, queries, "id", "q", "t").collect()} == {tuple(r) for r in retrieval.bm25(whole, queries, "id", "q", "t").collect()}
