@@ -213,3 +213,40 @@ def test_an_index_of_the_asked_terms_searches_as_the_whole_one(spark):
     assert {r.term for r in asked.select("term").distinct().collect()} == {"ab", "kl", "op", None}
     assert asked.filter("term IS NULL").count() == whole.select("id").distinct().count()
     assert {tuple(r) for r in retrieval.bm25(asked, queries, "id", "q", "t").collect()} == {tuple(r) for r in retrieval.bm25(whole, queries, "id", "q", "t").collect()}
+
+
+def shuffled(spark, run):
+    """Rows that the stages of a run write for shuffles."""
+    sc = spark.sparkContext
+    store, jvm = sc._jsc.sc().statusStore(), sc._jvm
+
+    def records():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = records()
+    run()
+    return sum(n for s, n in records().items() if s not in before)
+
+
+def test_pruned_bm25_moves_no_postings_that_nobody_asks_for(spark, tmp_path):
+    """Of 12,000 postings 360 are of asked terms; texts that share an id count together, and items that share one ask for a word once."""
+    docs = [(i, f"{'ab ' * (i % 4)}{'cd' if i % 3 else 'cd ef'} " + " ".join(f"w{i * j % 997}x{j}" for j in range(39))) for i in range(300)]
+    docs += [(7, "late ab"), (1000, ""), (1001, None)]
+    items = [(1, "ab ef"), (2, "ef"), (2, "ef late"), (3, ""), (4, "none")]
+    out = []
+    moved = shuffled(spark, lambda: out.extend(searched(spark, tmp_path, "bm25_pruned", docs, items)))
+    assert out[0] == out[1] and len(out[0]) == 16
+    assert moved < 6_000
+
+
+def test_candidates_are_few_where_whole_scores_are_high(spark):
+    """The best chunks are found by their rare term; what else they have of the query lifts the threshold over the bounds of all others together."""
+    docs = {i: "rare t0 t1 t2" for i in range(8)} | {100 + i: f"t{i % 3} " * 6 + "o1 o2 o3 o4 o5 o6" for i in range(600)}
+    index = retrieval.postings(frame(spark, docs), "id", "text")
+    queries = spark.createDataFrame([(1, "rare t0 t1 t2")], "q int, t string")
+    trace = {}
+    got = {tuple(r) for r in impacts.top_k(*impacts.impact_index(index, "id"), queries, "id", "q", "t", 8, trace).collect()}
+    assert got == {tuple(r) for r in retrieval.bm25(index, queries, "id", "q", "t", 8).collect()} and {d for _, d, *_ in got} == set(range(8))
+    assert trace["candidates"].count() == 8 and trace["second"].count() == 8 * 4
